@@ -10,10 +10,12 @@ from .bpe import op8_bpe
 from .html_extract import op1_html
 from .licenses import op9_licenses
 from .near_dedup import op2_near_dedup
+from .pii import op5_pii
 from .quality_classifier import op6_quality_classifier
 from .quality_rules import op3_quality_rules
+from .token_counts import op4_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html, op2_near_dedup, op3_quality_rules, op6_quality_classifier, op8_bpe, op9_licenses)
+    f.__name__: f for f in (op1_html, op2_near_dedup, op3_quality_rules, op4_token_counts, op5_pii, op6_quality_classifier, op8_bpe, op9_licenses)
 }
 ORACLE_SQL: dict[str, str] = {}
