@@ -53,3 +53,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def id_and_text(docs: DataFrame, text: str = "text") -> DataFrame:
     """Only the two columns an operator works on, so that other columns' names can't clash."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+
+
+def gathered(rows: DataFrame, splits: int = 8) -> DataFrame:
+    """The rows in fewer partitions, for tasks that each send a table of fixed size.
+
+    A task then serves up to ``splits`` input splits, as long as that leaves every core with work.
+    """
+    n = rows.rdd.getNumPartitions()
+    return rows.coalesce(max(1, -(-n // splits), min(n, 2 * rows.sparkSession.sparkContext.defaultParallelism)))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op8_bpe
+from .decontaminate import op10_decontaminate
 from .html_extract import op1_html
 from .licenses import op9_licenses
 from .near_dedup import op2_near_dedup
@@ -16,6 +17,6 @@ from .quality_rules import op3_quality_rules
 from .token_counts import op4_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html, op2_near_dedup, op3_quality_rules, op4_token_counts, op5_pii, op6_quality_classifier, op8_bpe, op9_licenses)
+    f.__name__: f for f in (op1_html, op2_near_dedup, op3_quality_rules, op4_token_counts, op5_pii, op6_quality_classifier, op8_bpe, op9_licenses, op10_decontaminate)
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import id_and_text, table
+from .shingles import fold
 
 #: The base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -51,7 +52,6 @@ WEIGHT = {"base": 0.9, "tag": 0.95, "notice": 0.6}
 RANK = {"or": 1, "and": 2, "with": 3}
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>"
 
-_FOLD = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 
 
@@ -73,11 +73,6 @@ def _tags() -> ahocorasick.Automaton:
     return found
 
 
-def fold(text: str) -> list[bytes]:
-    """Words of the text: UTF-8 bytes, A-Z lower-cased, other ASCII punctuation and blanks as breaks."""
-    return text.encode().lower().translate(_FOLD).split()
-
-
 def parse_expression(text: str, at: int = 0, end: int | None = None) -> list[str] | None:
     """Reverse Polish form of the licence expression at ``text[at:end]``; None if it is malformed.
 

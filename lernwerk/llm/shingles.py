@@ -40,3 +40,49 @@ def shingle_ids(text: str, width: int = 5) -> np.ndarray:
     rolled ^= rolled >> np.uint64(29)
     rolled *= _MIX
     return (rolled >> np.uint64(32)).astype(np.uint32)
+
+
+_FOLD = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
+
+
+def fold(text: str) -> list[bytes]:
+    """Words of the text as UTF-8: A-Z lower-cased, ASCII blanks and punctuation as breaks."""
+    return text.encode().lower().translate(_FOLD).split()
+
+
+#: Bytes hashed at once; powers of the step and of its inverse for each place in them.
+_SEGMENT = 1 << 16
+with np.errstate(over="ignore"):
+    _POWER = np.cumprod(np.full(_SEGMENT, _STEP), dtype=np.uint64)
+    _INVERSE = np.cumprod(np.full(_SEGMENT, pow(int(_STEP), -1, 1 << 64), dtype=np.uint64), dtype=np.uint64)
+
+
+def _hash_segment(raw: bytes) -> np.ndarray:
+    letters = np.frombuffer(raw, dtype=np.uint8)
+    edges = np.flatnonzero(np.diff(letters != 0x20, prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(letters * _POWER[: len(letters)])])
+    found = (sums[ends] - sums[starts]) * _INVERSE[starts]
+    found ^= found >> np.uint64(29)
+    return found * _MIX
+
+
+def hashed_words(text: str) -> np.ndarray:
+    """64-bit hashes of the words of ``fold``, in order, without making the words.
+
+    A word's hash is a polynomial in its bytes, read off running sums. Long texts are hashed by
+    segments cut between words; a word longer than a segment by another function.
+    """
+    raw = text.encode().lower().translate(_FOLD)
+    if len(raw) <= _SEGMENT:
+        return _hash_segment(raw)
+    parts, at = [], 0
+    while at < len(raw):
+        end = len(raw) if len(raw) - at <= _SEGMENT else raw.rfind(b" ", at, at + _SEGMENT)
+        if end <= at:  # a blank at the cut, or no blank within reach
+            end = raw.find(b" ", at + 1) if raw[at] != 0x20 else at + 1
+            end = len(raw) if end < 0 else end
+        part = raw[at:end]
+        parts.append(_hash_segment(part) if len(part) <= _SEGMENT else np.array([xxhash.xxh3_64_intdigest(part)], dtype=np.uint64))
+        at = end
+    return np.concatenate(parts)
