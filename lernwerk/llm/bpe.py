@@ -23,6 +23,7 @@ import pandas as pd
 import public_tokenizers
 import regex
 import tiktoken
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ from .common import id_and_text, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 CHUNK, OVERLAP = 32_768, 1_024
-PIECE = "doc_id long, doc_key string, copies int, piece int, ids binary"
+PIECE = "doc_id long, doc_key string, copies int, piece int, ids binary"  # ids packed by zstandard
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -65,11 +66,19 @@ def safe_boundaries(text: str, low: int, high: int) -> list[int]:
     return [s for m in _pattern().finditer(text) if low <= (s := m.start()) < high and s and not text[s - 1].isspace()]
 
 
+def pack(ids: bytes) -> bytes:
+    return zstandard.compress(ids, 1)
+
+
+def unpack(packed: bytes) -> bytes:
+    return zstandard.decompress(packed)
+
+
 def _chunks(size: int, overlap: int):
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            for doc_id, text in zip(rows["doc_id"], rows["text"], strict=True):
-                key = hashlib.sha256(text.encode()).hexdigest()
+            for doc_id, text in zip(rows["doc_id"].astype("Int64"), rows["text"], strict=True):
+                key = hashlib.sha256(f"{doc_id} {text}".encode()).hexdigest()
                 for no, at in enumerate(range(0, len(text), size)):
                     yield pd.DataFrame({"doc_id": pd.array([doc_id], dtype="Int64"), "doc_key": [key], "chunk": [no], "text": [text[at : at + size + overlap]]})
 
@@ -89,12 +98,12 @@ def _edges(size: int, overlap: int) -> Column:
     return edges(F.col("chunk"), F.col("text"))
 
 
-def _joined(size: int, vocabulary: str):
+def _encoded(size: int, vocabulary: str):
     def ids(parts: list, start: int, end: int | None) -> bytes:
         parts = sorted(parts, key=lambda x: x["chunk"])
         text = "".join(p["text"][:size] for p in parts[:-1]) + parts[-1]["text"]
         first = parts[0]["chunk"] * size
-        return encode_text(text[start - first : None if end is None else end - first], vocabulary)
+        return pack(encode_text(text[start - first : None if end is None else end - first], vocabulary))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -109,23 +118,24 @@ def long_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = CHUNK
     """Pieces of texts longer than ``size``: (doc_id, doc_key, copies, piece, ids).
 
     Chunks, not documents, are dealt to the tasks, so one long text is pre-tokenised and encoded by
-    many; only arrays of boundaries meet per document.
+    many; only arrays of boundaries meet per document. Chunks that can't be cut from the one before
+    are grouped with it; all others are encoded where they lie.
     """
-    key = ["doc_id", "doc_key"]
     chunks = id_and_text(docs).filter(F.length("text") > size).mapInPandas(_chunks(size, overlap), "doc_id long, doc_key string, chunk int, text string")
-    chunks = chunks.groupBy(*key, "chunk").agg(F.first("text").alias("text"), F.count("*").cast("int").alias("copies"))
-    order = W.partitionBy(*key).orderBy("chunk")
-    cuts = chunks.select(*key, "chunk", _edges(size, overlap).alias("e")).withColumn("before", F.lag("e.tail").over(order))
+    chunks = chunks.groupBy("doc_key", "chunk").agg(F.first("text").alias("text"), F.first("doc_id").alias("doc_id"), F.count("*").cast("int").alias("copies"))
+    order = W.partitionBy("doc_key").orderBy("chunk")
+    cuts = chunks.select("doc_key", "chunk", _edges(size, overlap).alias("e")).withColumn("before", F.lag("e.tail").over(order))
     start = F.when(F.col("chunk") == 0, 0).otherwise(F.array_min(F.array_intersect("before", "e.head")))
-    cuts = cuts.select(*key, "chunk", start.alias("start"))
-    cuts = cuts.withColumn("piece", F.last(F.when(F.col("start").isNotNull(), F.col("chunk")), ignorenulls=True).over(order))
-    ends = cuts.filter("start is not null").select(*key, "piece", "start", F.lead("start").over(W.partitionBy(*key).orderBy("piece")).alias("end"))
-    parts = chunks.join(cuts.select(*key, "chunk", "piece").withColumnsRenamed({k: f"_{k}" for k in (*key, "chunk")}),
-                        F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("doc_key") == F.col("_doc_key")) & (F.col("chunk") == F.col("_chunk")))
-    parts = parts.groupBy(*key, "piece").agg(F.collect_list(F.struct("chunk", "text")).alias("parts"), F.max("copies").alias("copies"))
-    ends = ends.withColumnsRenamed({k: f"_{k}" for k in (*key, "piece")})
-    whole = parts.join(ends, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("doc_key") == F.col("_doc_key")) & (F.col("piece") == F.col("_piece")))
-    return whole.select(*key, "copies", "piece", "parts", "start", "end").mapInPandas(_joined(size, vocabulary), PIECE)
+    cuts = cuts.select("doc_key", "chunk", start.alias("start"))
+    starts = F.when(F.col("start").isNotNull(), F.col("chunk"))
+    later = order.rowsBetween(1, W.unboundedFollowing)
+    cuts = cuts.withColumns({"piece": F.last(starts, ignorenulls=True).over(order), "end": F.first("start", ignorenulls=True).over(later), "next": F.lead("start").over(order), "more": F.lead("chunk").over(order).isNotNull()})
+    alone = F.col("start").isNotNull() & (F.col("next").isNotNull() | ~F.col("more"))
+    cuts = cuts.select("doc_key", "chunk", "piece", "start", "end", alone.alias("alone"))
+    parts = chunks.join(cuts, ["doc_key", "chunk"]).withColumn("part", F.struct("chunk", "text"))
+    single = parts.filter("alone").select("doc_id", "doc_key", "copies", "piece", F.array("part").alias("parts"), "start", "end")
+    joined = parts.filter("not alone").groupBy("doc_key", "piece").agg(F.first("doc_id").alias("doc_id"), F.first("copies").alias("copies"), F.collect_list("part").alias("parts"), F.max("start").alias("start"), F.max("end").alias("end"))
+    return single.unionByName(joined).mapInPandas(_encoded(size, vocabulary), PIECE)
 
 
 def short_texts(docs: DataFrame, size: int = CHUNK) -> DataFrame:
@@ -135,13 +145,13 @@ def short_texts(docs: DataFrame, size: int = CHUNK) -> DataFrame:
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """Ids of every text by pieces: (doc_id, doc_key, copies, piece, ids).
 
-    ``ids`` are little-endian unsigned 32-bit integers. Texts of one piece have a null doc_key and
+    ``ids`` are little-endian unsigned 32-bit integers, packed by zstandard (``unpack``). Texts of one piece have a null doc_key and
     one row for each input row; rows of longer texts that are equal share pieces, counted in copies.
     """
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            ids = [encode_text(x, vocabulary) for x in rows["text"]]
+            ids = [pack(encode_text(x, vocabulary)) for x in rows["text"]]
             yield pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64"), "doc_key": None, "copies": 1, "piece": 0, "ids": ids})
 
     return short_texts(docs, size).mapInPandas(whole, PIECE).unionByName(long_pieces(docs, vocabulary, size, overlap))
@@ -152,7 +162,7 @@ def decode(pieces: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     @F.pandas_udf(T.BinaryType())
     def to_bytes(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: decode_ids(x, vocabulary))
+        return ids.map(lambda x: decode_ids(unpack(x), vocabulary))
 
     return pieces.select("doc_id", "doc_key", "copies", "piece", to_bytes("ids").alias("bytes"))
 
@@ -178,19 +188,19 @@ def digest(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = CHUNK, ove
             return pd.DataFrame([row] * copies).astype({"doc_id": "Int64"})
 
         for rows in batches:
-            doc_ids = [None if pd.isna(x) else int(x) for x in rows["doc_id"]]
-            for doc_id, key, times, part in zip(doc_ids, rows["doc_key"], rows["copies"], rows["ids"], strict=True):
-                if now != (doc_id, key):
+            for doc_id, key, times, part in zip(rows["doc_id"].astype("Int64"), rows["doc_key"], rows["copies"], rows["ids"], strict=True):
+                if now is None or now[1] != key:
                     if now:
                         yield done()
                     now, n, copies, ids, out = (doc_id, key), 0, int(times), hashlib.sha256(), hashlib.sha256()
+                part = unpack(part)
                 n += len(part) // 4
                 ids.update(part)
                 out.update(decode_ids(part, vocabulary))
         if now:
             yield done()
 
-    joined = long_pieces(docs, vocabulary, size, overlap).repartition("doc_id", "doc_key").sortWithinPartitions("doc_id", "doc_key", "piece")
+    joined = long_pieces(docs, vocabulary, size, overlap).repartition("doc_key").sortWithinPartitions("doc_key", "piece")
     return short_texts(docs, size).mapInPandas(whole, DIGEST).unionByName(joined.mapInPandas(in_order, DIGEST))
 
 
