@@ -15,7 +15,6 @@ equal rows each give a row; a null doc_id is kept, and its remainder is that of
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,13 +22,12 @@ import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import id_and_text, table
 
 PER_CLASS, LONGEST, DICTIONARY, LEVEL = 3_000, 20_000, 1 << 20, 9
-SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
 @dataclass(frozen=True)
@@ -94,14 +92,15 @@ def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, fl
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, longest: int = LONGEST) -> DataFrame:
     """(doc_id, text, quality): the bounded sample that a model is fitted on.
 
-    The ids are chosen before texts are read, so only small rows are ranked.
+    Rows are chosen by id and hash, so no text is shuffled but the chosen ones.
     """
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     ids = ids.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("quality").alias("least")).filter("quality = least")
-    known = id_and_text(docs).filter(~held_out() & F.col("text").isNotNull() & (F.length("text") <= longest))
-    rows = known.join(ids.select("doc_id", "quality"), "doc_id").withColumn("pick", F.xxhash64("doc_id", "text"))
-    parts = [rows.filter(F.col("quality") == q).orderBy("pick", "doc_id").limit(per_class) for q in (0, 1)]
-    return parts[0].unionByName(parts[1]).select("doc_id", "text", "quality", "pick")
+    known = id_and_text(docs).filter(~held_out() & F.col("text").isNotNull() & (F.length("text") <= longest)).withColumn("pick", F.xxhash64("doc_id", "text"))
+    rows = known.select("doc_id", "pick").join(ids.select("doc_id", "quality"), "doc_id").distinct()
+    chosen = [rows.filter(F.col("quality") == q).orderBy("pick", "doc_id").limit(per_class) for q in (0, 1)]
+    chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * per_class small rows
+    return known.join(chosen, ["doc_id", "pick"]).dropDuplicates(["doc_id", "pick"]).select("doc_id", "text", "quality", "pick")
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, longest: int = LONGEST, size: int = DICTIONARY, level: int = LEVEL) -> Model:
@@ -118,24 +117,34 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, longest:
     return Model(good, bad, slope, offset)
 
 
-def score(docs: DataFrame, model: Model, level: int = LEVEL) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row; one pass without a shuffle.
+def score_column(spark: SparkSession, model: Model, level: int = LEVEL):
+    """A function from a text column to its score (null texts count as empty).
 
     The model is sent to every task; its two dictionaries have a fixed size.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast(model)
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(T.DoubleType())
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = sent.value
         good, bad = compressor(m.good, level), compressor(m.bad, level)
-        for batch in batches:
-            z = [m.slope * difference(x.encode(), good, bad) + m.offset for x in batch["text"]]
-            s = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
-            ids = batch["doc_id"].astype("Int64")
-            held = [zlib.crc32(b"" if pd.isna(x) else str(x).encode()) % 3 == 1 for x in ids]
-            yield pd.DataFrame({"doc_id": ids, "held_out": held, "score": s, "predicted": (s >= 0.5).astype("int32")})
-
-    return id_and_text(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(rows, SCHEMA)
+        for texts in batches:
+            z = np.array([m.slope * difference((x or "").encode(), good, bad) + m.offset for x in texts], dtype=float)
+            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -700, 700))))
+
+    return scores
+
+
+def score(docs: DataFrame, model: Model, level: int = LEVEL) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row; one pass without a shuffle."""
+    rows = id_and_text(docs).select("doc_id", held_out().alias("held_out"), score_column(docs.sparkSession, model, level)("text").alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows with a score of at least one half, with all their columns."""
+    scores = score_column(docs.sparkSession, fit(docs, labels))
+    return docs.withColumn("_lw_score", scores(F.col("text").cast("string"))).filter("_lw_score >= 0.5").drop("_lw_score")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
