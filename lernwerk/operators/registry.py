@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import bank, grading, review, stats
+
+MODULES = (stats, review, grading, bank)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for m in MODULES for name, query in m.R.queries.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for m in MODULES for name, sql in m.R.oracles.items()}
