@@ -319,8 +319,8 @@ R.add("generation_funnel", lambda s: generation_funnel(self_check(validate_quest
 R.add("paper_totals", lambda s: paper_totals(s["v_paper_item"], s["v_question"]),
       """SELECT paper_id, count(*) AS total_count, sum(CASE WHEN q_type <= 4 THEN 5.0 ELSE 10.0 END) AS total_score, count(*) FILTER (WHERE status = 0) AS drafts, count(*) FILTER (WHERE status = 1) AS published, CASE WHEN count(*) FILTER (WHERE status = 0) > 0 THEN 'review' ELSE 'ready' END AS status
       FROM {v_paper_item} i JOIN {v_question} q ON q.question_id = i.question_id GROUP BY paper_id""")
-R.add("search_questions", lambda s: search_questions(s["v_question"], kb_id=1, status=1, keyword="GREEN", size=30).select("question_id", "stem", "total"),
-      "SELECT question_id, stem, (SELECT count(*) FROM {v_question} WHERE kb_id = 1 AND status = 1 AND stem ILIKE '%green%') AS total FROM {v_question} WHERE kb_id = 1 AND status = 1 AND stem ILIKE '%green%' ORDER BY question_id DESC LIMIT 30")
+R.add("search_questions", lambda s: search_questions(s["v_question"], kb_id=1, status=1, keyword="RING", size=30).select("question_id", "stem", "total"),
+      "SELECT question_id, stem, (SELECT count(*) FROM {v_question} WHERE kb_id = 1 AND status = 1 AND stem ILIKE '%ring%') AS total FROM {v_question} WHERE kb_id = 1 AND status = 1 AND stem ILIKE '%ring%' ORDER BY question_id DESC LIMIT 30")
 R.add("enrich_questions", lambda s: enrich_questions(s["v_question"], s["v_option"], s["v_question_tag"].groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("tag_id")), lambda x: x.cast("string")), ",").alias("tags"))).select("question_id", F.array_join(F.transform("options", lambda o: F.concat(o["option_key"], o["is_correct"].cast("string"))), ",").alias("options"), "tags"),
       """SELECT q.question_id, o.options, t.tags FROM {v_question} q LEFT JOIN (SELECT question_id, string_agg(concat(option_key, is_correct), ',' ORDER BY sort_order) AS options FROM {v_option} GROUP BY 1) o ON o.question_id = q.question_id
       LEFT JOIN (SELECT question_id, string_agg(CAST(tag_id AS VARCHAR), ',' ORDER BY tag_id) AS tags FROM {v_question_tag} GROUP BY 1) t ON t.question_id = q.question_id""")

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bank, grading, review, stats
+from . import bank, grading, retrieval, review, stats, tags
 
-MODULES = (stats, review, grading, bank)
+MODULES = (stats, review, grading, bank, tags, retrieval)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for m in MODULES for name, query in m.R.queries.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for m in MODULES for name, sql in m.R.oracles.items()}

@@ -43,7 +43,7 @@ VIEWS = {
         CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS success FROM {events}""",
     "v_doc": "SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(doc_id % 5 AS BIGINT) AS kb_id, source AS file_name, replace(text, chr(10), concat(chr(10), chr(10))) AS text FROM {documents}",
     "v_turn": "SELECT CAST(conv_id AS BIGINT) AS interview_id, CAST(turn AS BIGINT) AS seq, CASE role WHEN 'assistant' THEN 2 ELSE 1 END AS role, text AS content FROM {conversations} WHERE role <> 'system'",
-    "v_chunk": """SELECT CAST(doc_id AS BIGINT) AS chunk_id, CAST(doc_id % 50 AS BIGINT) AS doc_id, CAST(doc_id % 5 AS BIGINT) AS kb_id, CAST(doc_id / 50 AS INT) AS chunk_index, text AS content, CAST(n_chars AS INT) AS n_chars FROM {documents}""",
+    "v_chunk": """SELECT CAST(doc_id AS BIGINT) AS chunk_id, CAST(doc_id % 50 AS BIGINT) AS doc_id, CAST(doc_id % 5 AS BIGINT) AS kb_id, CAST(floor(doc_id / 50) AS INT) AS chunk_index, text AS content, CAST(n_chars AS INT) AS n_chars FROM {documents}""",
     "v_chunk_tag": """SELECT c.chunk_id, t.tag_id, t.kb_id FROM {v_chunk} c JOIN {v_tag} t ON c.kb_id = t.kb_id AND (c.chunk_id + t.sort_order) % 7 = 0 WHERE t.level = 2""",
     "v_paper_item": "SELECT CAST(l_orderkey AS BIGINT) AS paper_id, question_id, CAST(sort_order AS INT) AS sort_order FROM (SELECT l_orderkey, CAST(l_partkey AS BIGINT) AS question_id, min(l_linenumber) AS sort_order FROM {lineitem} GROUP BY l_orderkey, l_partkey) x",
     "v_query_vector": "SELECT CAST(vec_id AS BIGINT) AS query_id, embedding AS vector, CAST(vec_id % 5 AS BIGINT) AS kb_id FROM {embeddings} WHERE vec_id % 20 = 0",
