@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bank, calls, dedup_vector, documents, grading, interviews, retrieval, review, stats, tags, transcripts
+from . import bank, calls, dedup_vector, documents, grading, interviews, maintenance, retrieval, review, stats, tags, transcripts
 
-MODULES = (stats, review, grading, bank, dedup_vector, tags, retrieval, documents, transcripts, interviews, calls)
+MODULES = (stats, review, grading, bank, dedup_vector, tags, retrieval, documents, transcripts, interviews, calls, maintenance)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for m in MODULES for name, query in m.R.queries.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for m in MODULES for name, sql in m.R.oracles.items()}
