@@ -106,11 +106,12 @@ def due_by_kb(due: DataFrame, shown: int = 8) -> DataFrame:
     return rows.groupBy("kb_id").agg(F.count("*").alias("items"), F.count_if(F.col("overdue_days") > 0).alias("overdue"), first.alias("first_items"))
 
 
-as_of = F.expr(AS_OF)
+def now() -> Column:
+    return F.expr(AS_OF)
 
 
 def _due(s, limit: int = 200) -> DataFrame:
-    return due_today(s["v_mistake"], s["v_question"], as_of, limit=limit)
+    return due_today(s["v_mistake"], s["v_question"], now(), limit=limit)
 
 
 def _text(rows: DataFrame, *columns: str) -> DataFrame:
@@ -138,10 +139,10 @@ R.add("list_mistakes", lambda s: list_mistakes(s["v_mistake"], kb_id=2, question
 R.add("compose_review_paper", lambda s: compose_review_paper(_due(s)),
       f"""SELECT CAST(n AS INT) AS sort_order, user_id, question_id, CASE WHEN q_type <= 4 THEN 5.0 ELSE 10.0 END AS score, sum(CASE WHEN q_type <= 4 THEN 5.0 ELSE 10.0 END) OVER () AS total_score, first_value(kb_id) OVER (ORDER BY n) AS kb_id
       FROM (SELECT *, row_number() OVER (ORDER BY next_review_at, user_id, question_id) AS n FROM ({DUE}) d) x WHERE n <= 20""")
-R.add("mark_mastered", lambda s: _text(mark_mastered(s["v_mistake"], s["v_mistake"].filter("question_id % 3 = 0").selectExpr("user_id", "question_id", "cast(user_id % 2 as int) as mastered"), as_of), "next_review_at"),
+R.add("mark_mastered", lambda s: _text(mark_mastered(s["v_mistake"], s["v_mistake"].filter("question_id % 3 = 0").selectExpr("user_id", "question_id", "cast(user_id % 2 as int) as mastered"), now()), "next_review_at"),
       f"""SELECT user_id, question_id, CASE WHEN question_id % 3 = 0 THEN user_id % 2 ELSE mastered END AS mastered, CASE WHEN question_id % 3 <> 0 THEN interval_days WHEN user_id % 2 = 1 THEN 365 ELSE 1 END AS interval_days,
       CASE WHEN question_id % 3 = 0 AND user_id % 2 = 0 THEN 0 ELSE repetitions END AS repetitions, strftime(CASE WHEN question_id % 3 <> 0 THEN next_review_at WHEN user_id % 2 = 1 THEN {AS_OF} + INTERVAL 365 DAY ELSE {AS_OF} END, '%Y-%m-%d %H:%M:%S') AS next_review_at FROM {{v_mistake}}""")
-R.add("review_calendar", lambda s: review_calendar(s["v_mistake"], s["v_attempt"].withColumnRenamed("ts", "reviewed_at"), as_of, 30, 7).withColumn("day", F.col("day").cast("string")),
+R.add("review_calendar", lambda s: review_calendar(s["v_mistake"], s["v_attempt"].withColumnRenamed("ts", "reviewed_at"), now(), 30, 7).withColumn("day", F.col("day").cast("string")),
       f"""SELECT CAST(d.day AS VARCHAR) AS day, coalesce(due, 0) AS due, coalesce(reviewed, 0) AS reviewed FROM (SELECT CAST(x AS DATE) AS day FROM generate_series(DATE '2001-08-02' - INTERVAL 30 DAY, DATE '2001-08-02' + INTERVAL 7 DAY, INTERVAL 1 DAY) g(x)) d
       LEFT JOIN (SELECT CAST(next_review_at AS DATE) AS day, count(*) AS due FROM {{v_mistake}} WHERE mastered = 0 AND next_review_at < TIMESTAMP '2001-08-09' GROUP BY 1) m ON m.day = d.day LEFT JOIN (SELECT CAST(ts AS DATE) AS day, count(*) AS reviewed FROM {{v_attempt}} GROUP BY 1) a ON a.day = d.day""")
 R.add("due_by_kb", lambda s: due_by_kb(_due(s)),

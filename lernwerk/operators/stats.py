@@ -163,7 +163,14 @@ def kb_top_tags(counts: DataFrame, n: int = 20) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select("kb_id", "rank", "tag_id", "chunk_count")
 
 
-as_of, events_as_of = F.expr(AS_OF), F.expr(EVENTS_AS_OF)
+def now() -> Column:
+    return F.expr(AS_OF)
+
+
+def events_now() -> Column:
+    return F.expr(EVENTS_AS_OF)
+
+
 MASTERY = """SELECT t.tag_id, t.kb_id, t.name, t.level, count(*) AS answered, count(*) FILTER (WHERE a.score >= 0.999 * a.full_score) AS correct, round(avg(a.score / nullif(a.full_score, 0)), 6) AS avg_rate
     FROM {v_answer} a JOIN {v_exam} e ON a.exam_id = e.exam_id AND e.status = 3 JOIN {v_question_tag} q ON q.question_id = a.question_id JOIN {v_tag} t ON t.tag_id = q.tag_id GROUP BY t.tag_id, t.kb_id, t.name, t.level"""
 PRICES = "SELECT 'model' || CAST(i AS VARCHAR) AS model, i * 0.5 AS price_in, i * 1.5 AS price_out FROM range(1, 7) x(i)"
@@ -180,27 +187,27 @@ def _prices(s) -> DataFrame:
 
 R.add("tag_mastery", _mastery, MASTERY)
 R.add("weakest_tags", lambda s: weakest_tags(_mastery(s)), f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kb_id ORDER BY avg_rate, tag_id) AS rank FROM ({MASTERY}) m) x WHERE rank <= 8")
-R.add("score_trend", lambda s: score_trend(s["v_answer"], s["v_exam"], as_of, 365).withColumn("day", F.col("day").cast("string")),
+R.add("score_trend", lambda s: score_trend(s["v_answer"], s["v_exam"], now(), 365).withColumn("day", F.col("day").cast("string")),
       """SELECT CAST(d.day AS VARCHAR) AS day, coalesce(exams, 0) AS exams, coalesce(answers, 0) AS answers, coalesce(avg_rate, 0.0) AS avg_rate
       FROM (SELECT CAST(x AS DATE) AS day FROM generate_series(DATE '2001-08-02' - INTERVAL 365 DAY, TIMESTAMP '2001-08-02', INTERVAL 1 DAY) g(x)) d LEFT JOIN
       (SELECT CAST(e.graded_at AS DATE) AS day, count(DISTINCT e.exam_id) AS exams, count(*) AS answers, round(avg(a.score / nullif(a.full_score, 0)) * 100 + 1e-8, 2) AS avg_rate FROM {v_answer} a JOIN {v_exam} e ON a.exam_id = e.exam_id AND e.status = 3 GROUP BY 1) f ON d.day = f.day""")
-R.add("activity_streak", lambda s: activity_streak(activity_days(s["v_attempt"], s["v_exam"]), as_of),
+R.add("activity_streak", lambda s: activity_streak(activity_days(s["v_attempt"], s["v_exam"]), now()),
       f"""WITH days AS (SELECT user_id, CAST(ts AS DATE) AS day FROM {{v_attempt}} UNION SELECT user_id, CAST(submitted_at AS DATE) FROM {{v_exam}}),
       runs AS (SELECT user_id, day, day - CAST(row_number() OVER (PARTITION BY user_id ORDER BY day) AS INT) AS run FROM days WHERE day <= CAST({AS_OF} AS DATE)),
       sized AS (SELECT user_id, run, count(*) AS n, max(day) AS last FROM runs GROUP BY user_id, run)
       SELECT user_id, coalesce(max(CASE WHEN last >= CAST({AS_OF} AS DATE) - 1 THEN n END), 0) AS streak FROM sized GROUP BY user_id""")
 COST = f"""SELECT c.*, round(c.prompt_tokens / 1e6 * coalesce(p.price_in, 0.0) + c.completion_tokens / 1e6 * coalesce(p.price_out, 0.0) + 1e-12, 6) AS cost FROM {{v_call_log}} c LEFT JOIN ({PRICES}) p ON p.model = c.model
     WHERE created_at >= CAST({EVENTS_AS_OF} AS DATE) - 30 AND created_at < CAST({EVENTS_AS_OF} AS DATE) + 1"""
-R.add("ai_cost_daily", lambda s: ai_cost_daily(s["v_call_log"], _prices(s), events_as_of, 30).withColumn("day", F.col("day").cast("string")),
+R.add("ai_cost_daily", lambda s: ai_cost_daily(s["v_call_log"], _prices(s), events_now(), 30).withColumn("day", F.col("day").cast("string")),
       f"SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS day, vendor, model, count(*) AS calls, count(*) FILTER (WHERE success = 0) AS failed, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens, CAST(round(sum(cost), 4) AS DOUBLE) AS cost, CAST(floor(avg(latency_ms)) AS BIGINT) AS avg_latency FROM ({COST}) x GROUP BY 1, 2, 3")
-R.add("ai_cost_total", lambda s: ai_cost_total(s["v_call_log"], _prices(s), events_as_of, 30),
+R.add("ai_cost_total", lambda s: ai_cost_total(s["v_call_log"], _prices(s), events_now(), 30),
       f"SELECT count(*) AS calls, CAST(coalesce(sum(prompt_tokens + completion_tokens), 0) AS BIGINT) AS tokens, CAST(coalesce(round(sum(cost), 4), 0) AS DOUBLE) AS cost, CAST(coalesce(floor(avg(latency_ms)), 0) AS BIGINT) AS avg_latency FROM ({COST}) x")
 R.add("estimate_cost", lambda s: estimate_cost(s["v_call_log"], _prices(s)).select("call_id", "cost"),
       f"SELECT c.call_id, round(c.prompt_tokens / 1e6 * coalesce(p.price_in, 0.0) + c.completion_tokens / 1e6 * coalesce(p.price_out, 0.0) + 1e-12, 6) AS cost FROM {{v_call_log}} c LEFT JOIN ({PRICES}) p ON p.model = c.model")
 R.add("kb_mastery", lambda s: kb_mastery(s["v_kb"], s["v_question"], s["v_answer"]),
       """SELECT k.kb_id, k.name, (SELECT count(*) FROM {v_question} q WHERE q.kb_id = k.kb_id AND q.status = 1) AS questions, coalesce(n, 0) AS answers, avg_rate FROM {v_kb} k
       LEFT JOIN (SELECT q.kb_id, count(*) AS n, round(avg(a.score / nullif(a.full_score, 0)), 6) AS avg_rate FROM {v_answer} a JOIN {v_question} q ON q.question_id = a.question_id GROUP BY q.kb_id) f ON f.kb_id = k.kb_id""")
-R.add("overview", lambda s: overview(s["v_kb"], s["v_chunk"], s["v_question"], s["v_mistake"], s["v_exam"], s["v_answer"], as_of),
+R.add("overview", lambda s: overview(s["v_kb"], s["v_chunk"], s["v_question"], s["v_mistake"], s["v_exam"], s["v_answer"], now()),
       f"""SELECT (SELECT count(*) FROM {{v_kb}}) AS kbs, (SELECT count(*) FROM {{v_chunk}}) AS chunks, q.*, m.*, e.*, (SELECT count(*) FROM {{v_answer}}) AS answers,
       (SELECT round(sum(score) / sum(full_score) * 1000) / 10 FROM {{v_answer}} a JOIN {{v_exam}} x ON a.exam_id = x.exam_id AND x.status = 3) AS avg_rate
       FROM (SELECT count(*) AS questions, count(*) FILTER (WHERE status = 1) AS published, count(*) FILTER (WHERE status = 0) AS draft FROM {{v_question}}) q,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import re
 from functools import reduce
 
 import pandas as pd
@@ -148,8 +149,6 @@ def hotword_dictionary(tags: DataFrame, builtin: DataFrame, limit: int = 300) ->
 
 def correct_text(text: str, words: list[str], han: float = 0.75, latin: float = 0.78) -> tuple[str, list[tuple[str, str, float]]]:
     """Terms that a transcript misspells: a left-to-right scan for Chinese terms, then Latin words."""
-    import re
-
     cjk = sorted((w for w in words if re.search("[一-鿿]", w)), key=lambda w: (-len(w), w))
     starts: dict[str, list[str]] = {}
     for w in cjk:
@@ -180,8 +179,8 @@ def correct_text(text: str, words: list[str], han: float = 0.75, latin: float =
 
     def fix(m) -> str:
         word = m[0]
-        if word.lower() in known or not known:
-            return known.get(word.lower(), word) if word in known.values() else word
+        if word.lower() in known:
+            return word
         found = difflib.get_close_matches(word.lower(), known, 1, latin)
         if not found:
             return word

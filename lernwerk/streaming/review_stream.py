@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 STATE = "in_book boolean, wrong int, reps int, streak int, ease double, gap int, mastered boolean, wrong_at timestamp, seen_at timestamp, last_at timestamp"
-OUTPUT = "user_id long, question_id long, wrong_count int, right_streak int, ease_factor double, interval_days int, repetitions int, last_wrong_at timestamp, next_review_at timestamp, mastered int, late boolean"
+OUTPUT = "user_id long, question_id long, wrong_count int, right_streak int, ease_factor double, interval_days int, repetitions int, last_wrong_at timestamp, next_review_at timestamp, mastered int, updated_at timestamp, late boolean"
 FRESH = (False, 0, 0, 0, 2.5, 0, False, None, None, None)
 
 
@@ -40,11 +40,11 @@ class Reviews(StatefulProcessor):
                 continue
             state = advance(state, pd.Timestamp(ts).to_pydatetime(), float(rate))
         self.state.update(state)
-        in_book, wrong, reps, streak, ease, gap, mastered, wrong_at, seen_at, _ = state
+        in_book, wrong, reps, streak, ease, gap, mastered, wrong_at, seen_at, last_at = state
         if in_book or late:
             due = None if seen_at is None else pd.Timestamp(seen_at) + pd.Timedelta(days=gap)
             yield pd.DataFrame({"user_id": [key[0]], "question_id": [key[1]], "wrong_count": [wrong], "right_streak": [streak], "ease_factor": [ease], "interval_days": [gap], "repetitions": [reps],
-                                "last_wrong_at": [pd.Timestamp(wrong_at) if wrong_at else pd.NaT], "next_review_at": [due if due is not None else pd.NaT], "mastered": [int(mastered)], "late": [late > 0]})
+                                "last_wrong_at": [pd.Timestamp(wrong_at) if wrong_at else pd.NaT], "next_review_at": [due if due is not None else pd.NaT], "mastered": [int(mastered)], "updated_at": [pd.Timestamp(last_at)], "late": [late > 0]})
 
     def close(self) -> None:
         pass
