@@ -77,7 +77,7 @@ def ai_cost_daily(calls: DataFrame, prices: DataFrame, as_of: Column, n_days: in
     rows = estimate_cost(in_window(calls, as_of, n_days), prices).withColumn("day", F.to_date("created_at"))
     return rows.groupBy("day", "vendor", "model").agg(
         F.count("*").alias("calls"), F.count_if(F.col("success") == 0).alias("failed"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"),
-        F.round(F.sum("cost"), 4).cast("double").alias("cost"), F.floor(F.avg("latency_ms")).cast("long").alias("avg_latency"),
+        half_up(F.sum("cost"), 4).cast("double").alias("cost"), F.floor(F.avg("latency_ms")).cast("long").alias("avg_latency"),
     )
 
 
@@ -85,7 +85,7 @@ def ai_cost_total(calls: DataFrame, prices: DataFrame, as_of: Column, n_days: in
     """Calls, tokens, cost and mean latency of the window; zeros for none."""
     rows = estimate_cost(in_window(calls, as_of, n_days), prices)
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return rows.agg(F.count("*").alias("calls"), zero(F.sum(F.col("prompt_tokens") + F.col("completion_tokens"))).cast("long").alias("tokens"), zero(F.round(F.sum("cost"), 4)).cast("double").alias("cost"), zero(F.floor(F.avg("latency_ms"))).cast("long").alias("avg_latency"))
+    return rows.agg(F.count("*").alias("calls"), zero(F.sum(F.col("prompt_tokens") + F.col("completion_tokens"))).cast("long").alias("tokens"), zero(half_up(F.sum("cost"), 4)).cast("double").alias("cost"), zero(F.floor(F.avg("latency_ms"))).cast("long").alias("avg_latency"))
 
 
 def in_window(calls: DataFrame, as_of: Column, n_days: int) -> DataFrame:
@@ -199,9 +199,9 @@ R.add("activity_streak", lambda s: activity_streak(activity_days(s["v_attempt"],
 COST = f"""SELECT c.*, round(c.prompt_tokens / 1e6 * coalesce(p.price_in, 0.0) + c.completion_tokens / 1e6 * coalesce(p.price_out, 0.0) + 1e-12, 6) AS cost FROM {{v_call_log}} c LEFT JOIN ({PRICES}) p ON p.model = c.model
     WHERE created_at >= CAST({EVENTS_AS_OF} AS DATE) - 30 AND created_at < CAST({EVENTS_AS_OF} AS DATE) + 1"""
 R.add("ai_cost_daily", lambda s: ai_cost_daily(s["v_call_log"], _prices(s), events_now(), 30).withColumn("day", F.col("day").cast("string")),
-      f"SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS day, vendor, model, count(*) AS calls, count(*) FILTER (WHERE success = 0) AS failed, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens, CAST(round(sum(cost), 4) AS DOUBLE) AS cost, CAST(floor(avg(latency_ms)) AS BIGINT) AS avg_latency FROM ({COST}) x GROUP BY 1, 2, 3")
+      f"SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS day, vendor, model, count(*) AS calls, count(*) FILTER (WHERE success = 0) AS failed, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens, CAST(round(sum(cost) + 1e-10, 4) AS DOUBLE) AS cost, CAST(floor(avg(latency_ms)) AS BIGINT) AS avg_latency FROM ({COST}) x GROUP BY 1, 2, 3")
 R.add("ai_cost_total", lambda s: ai_cost_total(s["v_call_log"], _prices(s), events_now(), 30),
-      f"SELECT count(*) AS calls, CAST(coalesce(sum(prompt_tokens + completion_tokens), 0) AS BIGINT) AS tokens, CAST(coalesce(round(sum(cost), 4), 0) AS DOUBLE) AS cost, CAST(coalesce(floor(avg(latency_ms)), 0) AS BIGINT) AS avg_latency FROM ({COST}) x")
+      f"SELECT count(*) AS calls, CAST(coalesce(sum(prompt_tokens + completion_tokens), 0) AS BIGINT) AS tokens, CAST(coalesce(round(sum(cost) + 1e-10, 4), 0) AS DOUBLE) AS cost, CAST(coalesce(floor(avg(latency_ms)), 0) AS BIGINT) AS avg_latency FROM ({COST}) x")
 R.add("estimate_cost", lambda s: estimate_cost(s["v_call_log"], _prices(s)).select("call_id", "cost"),
       f"SELECT c.call_id, round(c.prompt_tokens / 1e6 * coalesce(p.price_in, 0.0) + c.completion_tokens / 1e6 * coalesce(p.price_out, 0.0) + 1e-12, 6) AS cost FROM {{v_call_log}} c LEFT JOIN ({PRICES}) p ON p.model = c.model")
 R.add("kb_mastery", lambda s: kb_mastery(s["v_kb"], s["v_question"], s["v_answer"]),
