@@ -7,47 +7,15 @@ import xxhash
 
 #: Factors of the rolling hash and of its last mixing step; any odd numbers would do.
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_CACHE_LIMIT = 500_000
 
-
-class _WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= _CACHE_LIMIT:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_hashes = _WordHashes()
-
-
-def word_hashes(words: list[str]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
-def shingle_ids(text: str, width: int = 5) -> np.ndarray:
-    """Ids of all runs of ``width`` lower-cased words, in order; a shorter text with words is one run."""
-    words = word_hashes(text.lower().split())
-    n = len(words) - width + 1
-    if not len(words):
-        return np.empty(0, dtype=np.uint32)
-    if n < 1:
-        width, n = len(words), 1
-    rolled = words[:n].copy()
-    for i in range(1, width):
-        rolled *= _STEP
-        rolled += words[i : i + n]
-    rolled ^= rolled >> np.uint64(29)
-    rolled *= _MIX
-    return (rolled >> np.uint64(32)).astype(np.uint32)
-
-
-_FOLD = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
+#: What breaks words: everything but letters, digits and characters beyond ASCII; or white space alone.
+FOLD = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
+BLANKS = bytes(0x20 if 0x09 <= c <= 0x0D else c for c in range(256))
 
 
 def fold(text: str) -> list[bytes]:
     """Words of the text as UTF-8: A-Z lower-cased, ASCII blanks and punctuation as breaks."""
-    return text.encode().lower().translate(_FOLD).split()
+    return text.encode().lower().translate(FOLD).split()
 
 
 #: Bytes hashed at once; powers of the step and of its inverse for each place in them.
@@ -67,13 +35,13 @@ def _hash_segment(raw: bytes) -> np.ndarray:
     return found * _MIX
 
 
-def hashed_words(text: str) -> np.ndarray:
-    """64-bit hashes of the words of ``fold``, in order, without making the words.
+def hashed_words(text: str, breaks: bytes = FOLD) -> np.ndarray:
+    """64-bit hashes of the words of a text, in order, without making the words; ASCII letters are lower-cased.
 
     A word's hash is a polynomial in its bytes, read off running sums. Long texts are hashed by
     segments cut between words; a word longer than a segment by another function.
     """
-    raw = text.encode().lower().translate(_FOLD)
+    raw = text.encode().lower().translate(breaks)
     if len(raw) <= _SEGMENT:
         return _hash_segment(raw)
     parts, at = [], 0
@@ -86,3 +54,20 @@ def hashed_words(text: str) -> np.ndarray:
         parts.append(_hash_segment(part) if len(part) <= _SEGMENT else np.array([xxhash.xxh3_64_intdigest(part)], dtype=np.uint64))
         at = end
     return np.concatenate(parts)
+
+
+def shingle_ids(text: str, width: int = 5) -> np.ndarray:
+    """Ids of all runs of ``width`` lower-cased words, in order; a shorter text with words is one run."""
+    words = hashed_words(text.lower(), BLANKS)
+    n = len(words) - width + 1
+    if not len(words):
+        return np.empty(0, dtype=np.uint32)
+    if n < 1:
+        width, n = len(words), 1
+    rolled = words[:n].copy()
+    for i in range(1, width):
+        rolled *= _STEP
+        rolled += words[i : i + n]
+    rolled ^= rolled >> np.uint64(29)
+    rolled *= _MIX
+    return (rolled >> np.uint64(32)).astype(np.uint32)
