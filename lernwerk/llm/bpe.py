@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_and_text, table
+from .common import id_and_text, null_ids, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 CHUNK, OVERLAP = 32_768, 1_024
@@ -154,7 +154,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = CHUNK, ove
             ids = [pack(encode_text(x, vocabulary)) for x in rows["text"]]
             yield pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64"), "doc_key": None, "copies": 1, "piece": 0, "ids": ids})
 
-    return short_texts(docs, size).mapInPandas(whole, PIECE).unionByName(long_pieces(docs, vocabulary, size, overlap))
+    return null_ids(short_texts(docs, size).mapInPandas(whole, PIECE).unionByName(long_pieces(docs, vocabulary, size, overlap)))
 
 
 def decode(pieces: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -201,7 +201,7 @@ def digest(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = CHUNK, ove
             yield done()
 
     joined = long_pieces(docs, vocabulary, size, overlap).repartition("doc_key").sortWithinPartitions("doc_key", "piece")
-    return short_texts(docs, size).mapInPandas(whole, DIGEST).unionByName(joined.mapInPandas(in_order, DIGEST))
+    return null_ids(short_texts(docs, size).mapInPandas(whole, DIGEST).unionByName(joined.mapInPandas(in_order, DIGEST)))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Stands in for a missing doc_id where ids are compared: it sorts after every other id.
@@ -50,9 +50,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def known_id(column: str = "doc_id") -> Column:
+    return F.coalesce(F.col(column).cast("long"), F.lit(LAST_ID))
+
+
+def null_ids(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.withColumns({c: F.nullif(F.col(c), F.lit(LAST_ID)) for c in columns or ("doc_id",)})
+
+
 def id_and_text(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Only the two columns an operator works on, so that other columns' names can't clash."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    """Only the two columns an operator works on, so that other columns' names can't clash.
+
+    A missing doc_id becomes LAST_ID, since pandas turns integers with gaps into floats; ``null_ids`` undoes it.
+    """
+    return docs.select(known_id().alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
 def gathered(rows: DataFrame, splits: int = 8) -> DataFrame:

@@ -19,7 +19,7 @@ import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import id_and_text, table
+from .common import id_and_text, null_ids, table
 from .shingles import fold
 
 #: The base phrases and their labels.
@@ -181,7 +181,7 @@ def scan(docs: DataFrame) -> DataFrame:
             found.insert(0, "doc_id", batch["doc_id"].astype("Int64"))
             yield found.astype({"first_word": "Int64", "last_word": "Int64"})
 
-    return id_and_text(docs).mapInPandas(rows, SCHEMA)
+    return null_ids(id_and_text(docs).mapInPandas(rows, SCHEMA))
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

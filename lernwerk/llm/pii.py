@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_and_text, materialise, table
+from .common import id_and_text, known_id, materialise, null_ids, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
 THRESHOLD, SUPPORT, NEAR_WORDS, NEAR_CHARS = 0.9, 3, 6, 120
@@ -119,7 +119,7 @@ def find_base(docs: DataFrame) -> DataFrame:
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, text, key): the key tells rows apart unless id and text are equal."""
     rows = id_and_text(docs).withColumn("text", F.coalesce("text", F.lit("")))
-    return rows.withColumn("key", F.unhex(F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text").cast("binary"))))
+    return rows.withColumn("key", F.unhex(F.md5(F.concat_ws(" ", F.col("doc_id").cast("string"), "text").cast("binary"))))
 
 
 def term_frequencies(docs: DataFrame) -> DataFrame:
@@ -166,7 +166,7 @@ def find_spans(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUP
     near = found.select("key", F.explode("near").alias("x")).select("key", "x.entity", "x.term", "x.start", "x.end")
     added = near.join(pairs, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("share").alias("share"))
     added = added.groupBy("key").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "share")).alias("added"))
-    return found.select("doc_id", "key", "spans").join(added, "key", "left")
+    return null_ids(found.select("doc_id", "key", "spans").join(added, "key", "left"))
 
 
 def sanitise(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
@@ -198,7 +198,7 @@ def sanitise(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPO
     spans = find_spans(docs, threshold, support).filter("size(spans) > 0 or added is not null").dropDuplicates(["key"])
     spans = spans.select(F.col("key").alias("_lw_key"), F.col("spans").alias("_lw_spans"), F.col("added").alias("_lw_added"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    key = F.unhex(F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), text).cast("binary")))
+    key = F.unhex(F.md5(F.concat_ws(" ", known_id().cast("string"), text).cast("binary")))
     rows = docs.withColumn("_lw_row", key).join(spans, F.col("_lw_row") == F.col("_lw_key"), "left")
     return rows.withColumn("text", rewrite(F.col("text").cast("string"), "_lw_spans", "_lw_added")).select(*docs.columns)
 

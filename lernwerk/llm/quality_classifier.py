@@ -137,7 +137,8 @@ def score_column(spark: SparkSession, model: Model, level: int = LEVEL):
 
 def score(docs: DataFrame, model: Model, level: int = LEVEL) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row; one pass without a shuffle."""
-    rows = id_and_text(docs).select("doc_id", held_out().alias("held_out"), score_column(docs.sparkSession, model, level)("text").alias("score"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.select("doc_id", held_out().alias("held_out"), score_column(docs.sparkSession, model, level)("text").alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

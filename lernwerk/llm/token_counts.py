@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import encoding
-from .common import id_and_text, materialise, table
+from .common import id_and_text, materialise, null_ids, table
 
 VOCABULARY, SEPARATOR = public_tokenizers.path("byte_bpe_50k.tiktoken"), 50_256
 #: Tokens of a block.
@@ -55,11 +55,11 @@ def write_flat(docs: DataFrame, vocabulary: str = VOCABULARY, separator: int = S
             return made
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].astype("Int64"), batch["text"], strict=True):
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 tokens = np.array([*encode(text), separator], dtype="<u2")
                 held += len(tokens)
                 parts.append(tokens)
-                ids.append(None if pd.isna(doc_id) else int(doc_id))
+                ids.append(int(doc_id))
                 ends.append(held)
                 if held >= block:
                     flat = np.concatenate(parts)
@@ -107,7 +107,7 @@ def names(blocks: DataFrame) -> DataFrame:
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, separator: int = SEPARATOR, block: int = BLOCK) -> DataFrame:
     """(doc_id, file, document, start, n_tokens) of every row, through flat token files in the shared folder."""
     blocks = materialise(write_flat(docs, vocabulary, separator, block), "tokens")
-    return scan(blocks, separator).join(names(blocks), ["file", "document"]).select("doc_id", "file", "document", "start", "n_tokens")
+    return null_ids(scan(blocks, separator).join(names(blocks), ["file", "document"]).select("doc_id", "file", "document", "start", "n_tokens"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from lernwerk.llm import bpe, decontaminate, html_extract, licenses, near_dedup, pii, quality_classifier, quality_rules, suffix_dedup, token_counts
 
 LONG = "word " * 60_000
-DOCS = [(1, "", "en"), (2, None, "en"), (None, "null id here", "en"), (3, LONG, "fr"), (4, "same text twice", "en"), (4, "same text twice", "en"), (5, "same text twice", None), (6, " \n\t ", "de"), (7, "ünï çödé 漢字 🙂", "es"), (8, "x" * 70_000, "en")]
+DOCS = [(1, "", "en"), (2, None, "en"), (None, "null id here", "en"), (3, LONG, "fr"), (4, "same text twice", "en"), (4, "same text twice", "en"), (5, "same text twice", None), (6, " \n\t ", "de"), (7, "ünï çödé 漢字 🙂", "es"), (8, "x" * 70_000, "en"), (2**62 + 1, "a large id", "en")]
 SCHEMA = "doc_id long, text string, lang string, n_words long, key binary, ids binary, bucket int, score double"
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -67,13 +67,13 @@ def test_decontaminate_edges(spark, docs, nothing):
     assert decontaminate.find_leaks(nothing, bench).collect() == []
     assert decontaminate.find_leaks(docs, bench.limit(0)).collect() == []
     left = decontaminate.drop_leaks(docs, bench)
-    assert left.columns == docs.columns and sorted(str(r["doc_id"]) for r in left.collect()) == ["1", "2", "3", "6", "7", "8"]
+    assert left.columns == docs.columns and sorted(str(r["doc_id"]) for r in left.collect()) == ["1", "2", "3", "4611686018427387905", "6", "7", "8"]
 
 
 def test_near_dedup_keeps_one_of_each_class(docs):
     kept = near_dedup.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "4", "6", "7", "8", "None"]
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "4", "4611686018427387905", "6", "7", "8", "None"]
 
 
 def test_sanitise_keeps_columns_and_nulls(docs):
