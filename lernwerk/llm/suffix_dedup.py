@@ -33,14 +33,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, materialise, table
+from .common import materialise, null_ids, table
 from .pii import keyed
 
-LENGTH, GRAM = 50, 20
+LENGTH, GRAM = 50, 14
 REACH = LENGTH - GRAM  # how far before its sampled place a string may start
 SPLIT = REACH // 2  # strings that start nearer are told by a longer prefix, others by a longer suffix
-#: Bytes of text that one task of the sorts works on, and bytes hashed at once.
-TASK_BYTES, SEGMENT = 1 << 26, 1 << 18
+#: Bytes of text that one task of the sorts works on, bytes hashed at once, and tuples gathered before they are dealt.
+TASK_BYTES, SEGMENT, FLUSH = 1 << 24, 1 << 18, 1 << 18
 PACKED = "bucket int, part binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _STEP, _MIX, _MIX2 = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9FB21C651E98DF25)
@@ -70,26 +70,41 @@ class Hashes:
 
 
 def pack(**columns: np.ndarray) -> bytes:
-    head = ";".join(f"{k}:{v.dtype.str}:{len(v)}" for k, v in columns.items()).encode()
-    return zstandard.compress(len(head).to_bytes(4, "little") + head + b"".join(np.ascontiguousarray(v).tobytes() for v in columns.values()), 1)
-
-
-def unpack(part: bytes) -> dict[str, np.ndarray]:
-    raw = zstandard.decompress(part)
-    at = 4 + int.from_bytes(raw[:4], "little")
+    """Columns as bytes, each compressed alone. Of ``doc`` and ``start``, which ascend by stretches, differences are kept, like bytes together."""
+    out = []
+    for name, v in columns.items():
+        raw = np.diff(v, prepend=v.dtype.type(0)).view(np.uint8).reshape(-1, 4).T.tobytes() if name in ("doc", "start") else np.ascontiguousarray(v).tobytes()
+        out.append((f"{name}:{v.dtype.str}", zstandard.compress(raw, 1)))
+    head = ";".join(f"{name}:{len(raw)}" for name, raw in out).encode()
+    return len(head).to_bytes(4, "little") + head + b"".join(raw for _, raw in out)
+
+
+def unpack(part: bytes, names: tuple[str, ...]) -> dict[str, np.ndarray]:
+    """The named columns."""
+    at = 4 + int.from_bytes(part[:4], "little")
     out = {}
-    for field in raw[4:at].decode().split(";"):
+    for field in part[4:at].decode().split(";"):
         name, kind, n = field.split(":")
-        out[name] = np.frombuffer(raw, dtype=kind, count=int(n), offset=at)
-        at += out[name].nbytes
+        if name in names:
+            raw = zstandard.decompress(part[at : at + int(n)])
+            if name in ("doc", "start"):
+                planes = np.frombuffer(raw, dtype=np.uint8).reshape(4, -1)
+                out[name] = np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32)
+            else:
+                out[name] = np.frombuffer(raw, dtype=kind)
+        at += int(n)
     return out
 
 
-def unpack_all(parts: list[bytes]) -> dict[str, np.ndarray]:
-    """Columns of several parts together; ``doc`` counts on over the parts' documents."""
-    every = [unpack(x) for x in parts]
-    shift = np.cumsum([0, *(len(x["ids"]) for x in every[:-1])])
-    return {k: np.concatenate([x[k] + s if k == "doc" else x[k] for x, s in zip(every, shift, strict=True)]) for k in every[0]}
+def unpack_all(parts: list[bytes], *names: str) -> list[np.ndarray]:
+    """The named columns of several parts together; ``doc`` counts on over the parts' documents."""
+    every = [unpack(x, (*names, "keys") if "doc" in names else names) for x in parts]
+    if "doc" in names:
+        seen = 0
+        for x in every:
+            x["doc"] = x["doc"] + np.uint32(seen)
+            seen += len(x["keys"])
+    return [np.concatenate([x[name] for x in every]) for name in names]
 
 
 def segments(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -137,15 +152,25 @@ def sampled(letters: np.ndarray, firsts: np.ndarray, ends: np.ndarray, hashes: H
     return stretch[new], place[new], starts[new], n, grams[place[new]]
 
 
-def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[bytes], np.ndarray, np.ndarray]]:
+def _rows(batches) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
     for rows in batches:
-        yield rows, [x.encode() for x in rows["text"]], rows["doc_id"].to_numpy(dtype=np.int64), np.array([x[:16] for x in rows["key"]], dtype="S16")
+        texts = [zstandard.decompress(x) for x in rows["raw"]] if "raw" in rows else [x.encode() for x in rows["text"]]
+        yield texts, rows["doc_id"].to_numpy(dtype=np.int64), np.array([_key(x) for x in rows["key"]], dtype=np.uint64)
 
 
 def _tuples(buckets: int):
+    def deal(found: list, ids: np.ndarray, keys: np.ndarray) -> Iterator[pd.DataFrame]:
+        doc, start, n, back, reach, longer, before, bucket = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(bucket, kind="stable")
+        at = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        for b in np.unique(bucket):
+            o = order[at[b] : at[b + 1]]
+            used, own = np.unique(doc[o], return_inverse=True)
+            yield pd.DataFrame({"bucket": [int(b)], "part": [pack(ids=ids[used], keys=keys[used], doc=own.astype(np.uint32), start=start[o], n=n[o], back=back[o], reach=reach[o], longer=longer[o], before=before[o])]})
+
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, texts, ids, keys in _rows(batches):
-            found = []
+        for texts, ids, keys in _rows(batches):
+            found, size = [], 0
             for letters, doc, offset, firsts, ends in segments(texts):
                 h = Hashes(letters)
                 stretch, place, start, n, gram = sampled(letters, firsts, ends, h)
@@ -155,15 +180,13 @@ def _tuples(buckets: int):
                 # Which of the two digests matter depends on where the strings start.
                 longer = np.where(right <= ends[stretch], h.of(place, np.minimum(right, len(letters))), 0)
                 before = np.where(left >= firsts[stretch], h.of(np.maximum(left, 0), place + GRAM), 0)
-                found.append((doc[stretch], start - firsts[stretch] + offset[stretch], n, back, reach, (longer >> np.uint64(32)).astype(np.uint32), (before >> np.uint64(32)).astype(np.uint32), (gram >> np.uint64(40)).astype(np.int64) % buckets))
+                found.append((doc[stretch].astype(np.uint32), (start - firsts[stretch] + offset[stretch]).astype(np.uint32), n.astype(np.uint8), back.astype(np.uint8), reach, (longer >> np.uint64(32)).astype(np.uint32), (before >> np.uint64(32)).astype(np.uint32), ((gram >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)))
+                size += len(start)
+                if size >= FLUSH:
+                    yield from deal(found, ids, keys)
+                    found, size = [], 0
             if found:
-                doc, start, n, back, reach, longer, before, bucket = (np.concatenate(x) for x in zip(*found, strict=True))
-                order = np.argsort(bucket, kind="stable")
-                at = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                for b in np.unique(bucket):
-                    o = order[at[b] : at[b + 1]]
-                    used, own = np.unique(doc[o], return_inverse=True)
-                    yield pd.DataFrame({"bucket": [int(b)], "part": [pack(ids=ids[used], keys=keys[used], doc=own.astype(np.uint32), start=start[o].astype(np.uint32), n=n[o].astype(np.uint8), back=back[o].astype(np.uint8), reach=reach[o], longer=longer[o], before=before[o])]})
+                yield from deal(found, ids, keys)
 
     return make
 
@@ -181,53 +204,55 @@ def group_least(values: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def _dealt(kind: int, buckets: int, keys: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> Iterator[pd.DataFrame]:
     """Runs of strings by bucket of their document."""
-    to = np.array([int.from_bytes(k[:4].ljust(4, b"\0"), "big") % buckets for k in keys.tolist()], dtype=np.int64)
-    bucket = to[doc]
+    bucket = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)[doc]
     order = np.argsort(bucket, kind="stable")
     at = np.searchsorted(bucket[order], np.arange(buckets + 1))
     for b in np.unique(bucket):
         o = order[at[b] : at[b + 1]]
         used, own = np.unique(doc[o], return_inverse=True)
-        yield pd.DataFrame({"kind": [kind], "bucket": [int(b)], "part": [pack(ids=np.zeros(len(used), np.int8), keys=keys[used], doc=own.astype(np.uint32), start=start[o], n=n[o])]})
+        yield pd.DataFrame({"kind": [kind], "bucket": [int(b)], "part": [pack(keys=keys[used], doc=own.astype(np.uint32), start=start[o], n=n[o])]})
 
 
 def _settle(buckets: int):
     def settle(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x = unpack_all([p for rows in batches for p in rows["part"]])
-        ids = x["ids"][x["doc"]]
-        least, _ = group_least(x["reach"], ids)
-        repeated = ids > least
-        out = [(0, repeated, x["start"], x["n"])]
+        parts = [p for rows in batches for p in rows["part"]]
+        doc, known, keys = unpack_all(parts, "doc", "ids", "keys")
+        ids = known[doc]
+        (reach,) = unpack_all(parts, "reach")
+        repeated = ids > group_least(reach, ids)[0]
+        del reach
+        start, n = unpack_all(parts, "start", "n")
+        rows = np.flatnonzero(repeated)
+        if len(rows):
+            yield from _dealt(0, buckets, keys, doc[rows], start[rows], n[rows])
         # First documents of a reach: single strings matter where another document shares the longer stretch.
         first = np.flatnonzero(~repeated)
-        start, n, back = x["start"][first].astype(np.int64), x["n"][first].astype(np.int64), x["back"][first].astype(np.int64)
-        near = np.clip(SPLIT + 1 - (back - n + 1), 0, n)  # strings that start at most SPLIT before the place
-        for value, low, count in ((x["longer"][first], start + n - near, near), (x["before"][first], start, n - near)):
-            least, most = group_least(value, ids[first])
-            need = (count > 0) & (least < most)
-            out.append((1, first[need], low[need].astype(np.uint32), count[need].astype(np.uint8)))
-        for kind, rows, low, count in out:
-            if kind == 0:
-                rows = np.flatnonzero(rows)
-                low, count = low[rows], count[rows]
-            if len(rows):
-                yield from _dealt(kind, buckets, x["keys"], x["doc"][rows], low, count)
+        doc, ids, start, n = doc[first], ids[first], start[first], n[first].astype(np.int64)
+        (back,) = unpack_all(parts, "back")
+        near = np.clip(SPLIT + n - back[first].astype(np.int64), 0, n)  # strings that start at most SPLIT before the place
+        for name, low, count in (("longer", start + (n - near).astype(np.uint32), near), ("before", start, n - near)):
+            (value,) = unpack_all(parts, name)
+            least, most = group_least(value[first], ids)
+            need = np.flatnonzero((count > 0) & (least < most))
+            if len(need):
+                yield from _dealt(1, buckets, keys, doc[need], low[need], count[need].astype(np.uint8))
 
     return settle
 
 
-def _by_document(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, dict[bytes, tuple[int, int]]]:
+def _by_document(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, dict[int, tuple[int, int]]]:
     """Runs sorted by document and start, and each document's stretch of them."""
-    x = unpack_all(parts)
-    names, own = np.unique(x["keys"], return_inverse=True)
-    doc = own[x["doc"]]
-    order = np.lexsort((x["start"], doc))
+    doc, start, n, keys = unpack_all(parts, "doc", "start", "n", "keys")
+    names, own = np.unique(keys, return_inverse=True)
+    doc = own[doc]
+    order = np.lexsort((start, doc))
     at = np.searchsorted(doc[order], np.arange(len(names) + 1))
-    return x["start"][order].astype(np.int64), x["n"][order].astype(np.int64), {k: (a, b) for k, a, b in zip(names.tolist(), at[:-1], at[1:], strict=True)}
+    return start[order].astype(np.int64), n[order].astype(np.int64), {k: (a, b) for k, a, b in zip(names.tolist(), at[:-1], at[1:], strict=True)}
 
 
-def _key(key: bytes) -> bytes:
-    return key[:16].rstrip(b"\0")  # as numpy holds it
+def _key(key: bytes) -> int:
+    """What tells a document from others of its bucket."""
+    return int.from_bytes(key[:8], "big")
 
 
 def _single_strings(buckets: int):
@@ -237,8 +262,10 @@ def _single_strings(buckets: int):
         start, n, at = _by_document(list(runs["part"]))
         docs = docs.drop_duplicates("key")  # equal rows have equal strings
         docs = docs[[_key(k) in at for k in docs["key"]]]
+        if not len(docs):
+            return pd.DataFrame({"bucket": pd.Series(dtype="int32"), "part": pd.Series(dtype=object)})
         found = []
-        for _, texts, ids, keys in _rows([docs]):
+        for texts, ids, keys in _rows([docs]):
             spans = [at[_key(k)] for k in docs["key"]]
             for letters, doc, offset, firsts, ends in segments(texts):
                 one, two = Hashes(letters, 1), Hashes(letters, 2)
@@ -257,7 +284,7 @@ def _single_strings(buckets: int):
             for b in np.unique(bucket):
                 o = order[cut[b] : cut[b + 1]]
                 used, own = np.unique(doc[o], return_inverse=True)
-                made.append((int(b), pack(ids=ids[used], keys=keys[used], doc=own.astype(np.uint32), start=s[o].astype(np.uint32), h=h[o], g=(g[o] >> np.uint64(32)).astype(np.uint32))))
+                made.append((int(b), pack(ids=ids[used], keys=keys[used], doc=own.astype(np.uint32), start=s[o].astype(np.uint32), h=h[o], g=(g[o] >> np.uint64(48)).astype(np.uint16))))
             return pd.DataFrame(made, columns=["bucket", "part"])
 
     return strings
@@ -265,17 +292,18 @@ def _single_strings(buckets: int):
 
 def _settle_strings(buckets: int):
     def settle(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x = unpack_all([p for rows in batches for p in rows["part"]])
-        ids = x["ids"][x["doc"]]
-        order = np.lexsort((x["g"], x["h"]))
-        same = np.zeros(len(order), dtype=np.int64)
-        same[1:] = np.cumsum((np.diff(x["h"][order]) != 0) | (np.diff(x["g"][order]) != 0))
+        parts = [p for rows in batches for p in rows["part"]]
+        doc, known, keys = unpack_all(parts, "doc", "ids", "keys")
+        h, g = unpack_all(parts, "h", "g")
+        order = np.lexsort((g, h))
         group = np.empty(len(order), dtype=np.int64)
-        group[order] = same
-        least, _ = group_least(group, ids)
-        rows = np.flatnonzero(ids > least)
+        group[order] = np.cumsum(np.append(0, (np.diff(h[order]) != 0) | (np.diff(g[order]) != 0)))
+        del h, g, order
+        ids = known[doc]
+        rows = np.flatnonzero(ids > group_least(group, ids)[0])
         if len(rows):
-            yield from _dealt(0, buckets, x["keys"], x["doc"][rows], x["start"][rows], np.ones(len(rows), dtype=np.uint8))
+            (start,) = unpack_all(parts, "start")
+            yield from _dealt(0, buckets, keys, doc[rows], start[rows], np.ones(len(rows), dtype=np.uint8))
 
     return settle
 
@@ -290,8 +318,8 @@ def removed_spans(starts: np.ndarray, counts: np.ndarray) -> list[tuple[int, int
 def _cleaned(key: tuple, docs: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
     start, n, at = _by_document(list(runs["part"])) if len(runs) else (None, None, {})
     rows = []
-    for doc_id, k, text in zip(docs["doc_id"], docs["key"], docs["text"], strict=True):
-        raw = text.encode()
+    for doc_id, k, packed in zip(docs["doc_id"], docs["key"], docs["raw"], strict=True):
+        raw = zstandard.decompress(packed)
         low, high = at.get(_key(k), (0, 0))
         spans = removed_spans(start[low:high], n[low:high]) if high > low else []
         kept, done = hashlib.sha256(), 0
@@ -303,25 +331,33 @@ def _cleaned(key: tuple, docs: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame
     return pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
+def _dealt_texts(buckets: int):
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            bucket = [(_key(k) >> 32) % buckets for k in rows["key"]]
+            yield pd.DataFrame({"bucket": bucket, "doc_id": rows["doc_id"], "key": rows["key"], "raw": [zstandard.compress(x.encode(), 3) for x in rows["text"]]})
+
+    return deal
+
+
 def find_repeats(docs: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) of every row; spans lists starts and ends.
 
     Buckets are as many as keep a task's share near ``task_bytes`` of text. Texts are shuffled once,
-    by bucket of their document, and used twice.
+    compressed, by bucket of their document, and used twice.
     """
-    rows = keyed(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)))
+    rows = keyed(docs)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(-(-size // task_bytes), 2 * docs.sparkSession.sparkContext.defaultParallelism)
     tuples = rows.select("doc_id", "key", "text").mapInPandas(_tuples(buckets), PACKED)
     runs = "kind int, bucket int, part binary"
     settled = materialise(tuples.groupBy("bucket").applyInPandas(_settle(buckets), runs), "suffixes")
-    dealt = rows.withColumn("bucket", F.expr(f"cast(conv(substring(hex(key), 1, 8), 16, 10) as long) % {buckets}").cast("int"))
-    dealt = dealt.select("bucket", "doc_id", "key", "text").groupBy("bucket")
+    dealt = rows.select("doc_id", "key", "text").mapInPandas(_dealt_texts(buckets), "bucket int, doc_id long, key binary, raw binary").groupBy("bucket")
     open_runs, done = settled.filter("kind = 1").select("bucket", "part"), settled.filter("kind = 0").select("bucket", "part")
     strings = dealt.cogroup(open_runs.groupBy("bucket")).applyInPandas(_single_strings(buckets), PACKED)
     more = strings.groupBy("bucket").applyInPandas(_settle_strings(buckets), runs).select("bucket", "part")
     cleaned = dealt.cogroup(done.unionByName(more).groupBy("bucket")).applyInPandas(_cleaned, f"{RESULT}, spans array<long>")
-    return cleaned.withColumn("doc_id", F.nullif("doc_id", F.lit(LAST_ID)))
+    return null_ids(cleaned)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
