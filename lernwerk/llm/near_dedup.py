@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_and_text, materialise, null_ids, table
+from .common import id_and_text, known_id, materialise, null_ids, table
 from .shingles import shingle_ids
 
 SIMILARITY, WIDTH = 0.8, 5
@@ -218,21 +218,30 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"classes didn't settle in {rounds} rounds")
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
-    """(doc_id, node, class_id) of every row: class_id is the smallest doc_id of its class."""
+def rooted(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
+    """(doc_id, node, root) of every row: root is the smallest node of its class; a missing doc_id is LAST_ID."""
     weights = slot_weights(docs, width)
     signed = materialise(signatures(docs, weights, width), "signatures")
     roots = components(links(signed, weights, similarity))
-    rows = signed.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return signed.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
+    """(doc_id, node, class_id) of every row: class_id is the smallest doc_id of its class."""
+    rows = rooted(docs, similarity, width)
     least = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return null_ids(rows.join(least, "root").select("doc_id", "node", "class_id"), "doc_id", "class_id")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
-    """The row with the smallest doc_id of each class, with all its columns."""
-    best = classes(docs, similarity, width).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("node").alias("_lw_node"))
-    rows = docs.withColumns({"_lw_id": F.col("doc_id").cast("long"), "_lw_text": F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))})
-    kept = rows.join(best, F.col("_lw_id").eqNullSafe(F.col("class_id")) & (F.col("_lw_text") == F.col("_lw_node")), "left_semi")
+    """The row with the smallest doc_id of each class, with all its columns.
+
+    Classes are told apart by their root: missing and repeated ids don't join different texts.
+    """
+    first = F.min(F.struct("doc_id", "node")).alias("first")
+    best = rooted(docs, similarity, width).groupBy("root").agg(first).select(F.col("first.doc_id").alias("_lw_id"), F.col("first.node").alias("_lw_text"))
+    rows = docs.withColumns({"_lw_id": known_id(), "_lw_text": F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))})
+    kept = rows.join(best, ["_lw_id", "_lw_text"], "left_semi")
     return kept.dropDuplicates(["_lw_id", "_lw_text"]).select(*docs.columns)
 
 

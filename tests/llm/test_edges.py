@@ -90,3 +90,15 @@ def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", None, 9), (2, "u", "", 9), (None, None, "<p>a&amp;b <b>c", 9), (3, "u", "<article><p>x</p></article>", 9), (3, "u", "<article><p>x</p></article>", 9)], "page_id long, url string, html string, n_chars int")
     assert sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in html_extract.extract(pages).collect()) == [("1", "", 0), ("2", "", 0), ("3", "x", 1), ("3", "x", 1), ("None", "a&b c", 5)]
     assert html_extract.extract(pages.limit(0)).collect() == []
+
+
+def test_rows_without_or_with_equal_ids_are_told_apart(spark):
+    texts = ["one text about rivers and the towns beside them", "another text about mountains and their snow", "a third one of ships that sail at night"]
+    docs = spark.createDataFrame([(i, t) for i in (None, 7) for t in texts] + [(None, texts[0])], "doc_id long, text string")
+    only_null = docs.filter("doc_id is null")
+    assert sorted(r["text"] for r in near_dedup.keep_one(only_null).collect()) == sorted(texts)
+    assert sorted((r["doc_id"], r["text"]) for r in near_dedup.keep_one(docs).collect()) == sorted((7, t) for t in texts)
+    bench = spark.createDataFrame([(1, texts[1])], "item_id long, text string")
+    left = decontaminate.drop_leaks(docs, bench)
+    assert left.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in left.collect()) == sorted([("7", texts[0]), ("7", texts[2]), ("None", texts[0]), ("None", texts[0]), ("None", texts[2])])
