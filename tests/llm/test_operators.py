@@ -236,6 +236,22 @@ def test_paraphrases_are_found(spark):
     assert [(r["doc_id"], r["item_id"]) for r in found.collect()] == [(999, 7)]
 
 
+@pytest.mark.parametrize("spread", [0.01, 0.05, 0.12, 0.3, 0.6, 1.0])
+def test_edited_items_are_found_however_many_documents_hold_them(spark, spread):
+    random.seed(3)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    item = [f"item{i}" for i in range(40)]
+    edited = [f"new{i}" if i % 10 == 4 else w for i, w in enumerate(item)]
+    rows = [(i, random.choices(vocabulary, k=150)) for i in range(300)]
+    leaking = set(range(int(300 * spread)))
+    for i in leaking:
+        at = random.randrange(150)
+        rows[i][1][at:at] = edited
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    found = decontaminate.find_leaks(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(i, 7) for i in leaking}
+
+
 @given(st.lists(st.sampled_from("abcd"), max_size=30), st.lists(st.sampled_from("abcd"), max_size=30))
 def test_longest_common_subsequence(a, b):
     table = np.zeros((len(a) + 1, len(b) + 1), dtype=int)
