@@ -11,7 +11,9 @@
 4. In each band's bucket, every text is paired with one leader: the member that meets the most other
    texts over all its bands, so the centre of a group leads it. Pairs are verified by the weighted
    Jaccard similarity of their whole shingle sets.
-5. Verified links join texts into classes (smallest label, with pointer jumps).
+5. Verified links join texts into classes (smallest label, with pointer jumps). Texts that share a
+   bucket and are in different classes then are all compared with each other, and the classes are
+   made anew with these links.
 
 Cases: null texts count as empty; texts without words are alike only if equal; equal texts share a
 class; texts of the same words share a class; a null doc_id is kept and never names a class unless
@@ -41,6 +43,8 @@ SPREAD, FLOOR = 0.25, 1e-3
 DRAWS = 1 << 16
 SEED = 20_240_229
 CHUNK = 1 << 16
+#: Texts of a bucket that meet each other in one task.
+SIDE = 512
 
 
 def nodes(docs: DataFrame) -> DataFrame:
@@ -168,19 +172,52 @@ def weighted_jaccard(a: bytes, b: bytes, weight: np.ndarray) -> float:
     return float(w @ np.minimum(left, right) / (w @ np.maximum(left, right)))
 
 
-def candidate_pairs(signed: DataFrame) -> DataFrame:
-    """(node, leader) of different texts that share a band; each node with its bands' leaders only."""
+def shared_bands(signed: DataFrame) -> DataFrame:
+    """(band, node, size) of the buckets with more than one text."""
     members = signed.select("node", F.explode("bands").alias("band")).distinct()
     sizes = members.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
-    shared = materialise(members.join(sizes, "band"), "bands")
+    return materialise(members.join(sizes, "band"), "bands")
+
+
+def candidate_pairs(shared: DataFrame) -> DataFrame:
+    """(node, leader) of different texts that share a band; each node with its bands' leaders only."""
     met = shared.groupBy("node").agg(F.sum("size").alias("met"))
     ranked = shared.join(met, "node").groupBy("band").agg(F.min(F.struct(-F.col("met"), "node")).alias("first"))
     leaders = ranked.select("band", F.col("first.node").alias("leader"))
     return shared.select("band", "node").join(leaders, "band").filter("node <> leader").select("node", "leader").distinct()
 
 
-def links(signed: DataFrame, weights: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, leader, similarity) of the candidate pairs that are similar enough.
+def open_pairs(shared: DataFrame, roots: DataFrame, total: DataFrame, similarity: float = SIMILARITY, side: int = SIDE) -> DataFrame:
+    """(node, leader) of all texts that share a band but no class yet, each pair once.
+
+    A bucket is dealt into parts of about ``side`` texts by a hash and every two parts meet under a
+    key of their own, so no task gets the square of a large bucket. Pairs whose total weights differ
+    by more than the similarity allows can't reach it and are left out.
+    """
+    rows = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(total, "node")
+    unsettled = rows.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band")
+    rows = rows.join(unsettled, "band").withColumn("parts", F.ceil(F.col("size") / side).cast("int")).withColumn("part", F.expr("cast(pmod(xxhash64(node, band), parts) as int)"))
+    meet = rows.withColumn("with", F.explode(F.expr("sequence(0, parts - 1)")))
+    left = meet.filter("part <= with").select("band", F.col("part").alias("i"), F.col("with").alias("j"), "node", "root", "total")
+    right = meet.filter("with <= part").select("band", F.col("with").alias("i"), F.col("part").alias("j"), F.col("node").alias("leader"), F.col("root").alias("other"), F.col("total").alias("weight"))
+    met = left.join(right, ["band", "i", "j"]).filter("root <> other and (i <> j or node < leader)")
+    near = F.least("total", "weight") >= (similarity - 1e-6) * F.greatest("total", "weight")
+    return met.filter(near).select(F.least("node", "leader").alias("node"), F.greatest("node", "leader").alias("leader")).distinct()
+
+
+def total_weights(signed: DataFrame, weights: np.ndarray) -> DataFrame:
+    """(node, total): summed weights of each text's shingles."""
+    sent = signed.sparkSession.sparkContext.broadcast(weights)
+
+    @F.pandas_udf(T.DoubleType())
+    def total(ids: pd.Series) -> pd.Series:
+        return pd.Series([float(sent.value[np.frombuffer(x, dtype=np.uint32) % SLOTS].sum(dtype=np.float64)) for x in ids], dtype="float64")
+
+    return signed.groupBy("node").agg(F.first("ids").alias("ids")).select("node", total("ids").alias("total"))
+
+
+def verified(pairs: DataFrame, signed: DataFrame, weights: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, leader, similarity) of the pairs that are similar enough.
 
     Both sides' sets come from one table dealt by node; a leader of very many nodes is a skewed key
     of the second join, which is split at run time.
@@ -192,12 +229,24 @@ def links(signed: DataFrame, weights: np.ndarray, similarity: float = SIMILARITY
         return pd.Series([weighted_jaccard(x, y, sent.value) for x, y in zip(a, b, strict=True)], dtype="float64")
 
     sets = signed.groupBy("node").agg(F.first("ids").alias("ids"))
-    pairs = candidate_pairs(signed).join(sets, "node")
     other = sets.select(F.col("node").alias("leader"), F.col("ids").alias("leader_ids"))
-    pairs = pairs.join(other, "leader").select("node", "leader", compare("ids", "leader_ids").alias("similarity"))
+    pairs = pairs.join(sets, "node").join(other, "leader").select("node", "leader", compare("ids", "leader_ids").alias("similarity"))
     return pairs.filter(F.col("similarity") >= similarity)
 
 
+def class_roots(signed: DataFrame, weights: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, root) of the texts in classes of more than one text.
+
+    Leaders join most of each class at one comparison a text; what shares a bucket and is then still
+    in different classes is compared pair by pair, so no link between bucket members is missed.
+    """
+    shared = shared_bands(signed)
+    led = materialise(verified(candidate_pairs(shared), signed, weights, similarity).select("node", "leader"), "led")
+    rest = materialise(open_pairs(shared, components(led), total_weights(signed, weights), similarity), "open")
+    more = materialise(verified(rest, signed, weights, similarity).select("node", "leader"), "more")
+    return components(led.unionByName(more))
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, root): the smallest node of each connected group, for the nodes that have edges.
 
@@ -222,7 +271,7 @@ def rooted(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH)
     """(doc_id, node, root) of every row: root is the smallest node of its class; a missing doc_id is LAST_ID."""
     weights = slot_weights(docs, width)
     signed = materialise(signatures(docs, weights, width), "signatures")
-    roots = components(links(signed, weights, similarity))
+    roots = class_roots(signed, weights, similarity)
     return signed.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 

@@ -111,6 +111,46 @@ def test_near_dedup_against_brute_force(docs, texts):
                 assert best > 0.75 or texts[i] in [texts[j] for j in members if j != i]
 
 
+def test_near_dedup_links_all_that_share_a_bucket(spark):
+    random.seed(4)
+    base = [f"w{i}" for i in range(400)]
+
+    def edit(words: list[str], k: int) -> list[str]:
+        words = list(words)
+        for at in random.sample([i for i in range(5, 395, 5) if words[i] == base[i]], k):
+            words[at] = f"e{random.randrange(10**9)}"
+        return words
+
+    rows = [" ".join(edit(base, 1)) for _ in range(30)]  # the hub and its near copies
+    for _ in range(150):  # edge members, two of a kind each: near each other, but not near the hub
+        edge = edit(base, 6)
+        rows += [" ".join(edit(edge, 3)), " ".join(edit(edge, 3))]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    weights = near_dedup.slot_weights(docs)
+    signed = near_dedup.signatures(docs, weights).collect()
+    root = list(range(len(rows)))
+    for a, x in enumerate(signed):
+        for b, y in enumerate(signed[:a]):
+            if set(x["bands"]) & set(y["bands"]) and near_dedup.weighted_jaccard(x["ids"], y["ids"], weights) >= near_dedup.SIMILARITY and root[a] != root[b]:
+                root = [root[b] if r == root[a] else r for r in root]
+    expected = {frozenset(signed[i]["doc_id"] for i, r in enumerate(root) if r == own) for own in set(root)}
+    found: dict[int, set[int]] = {}
+    for r in near_dedup.classes(docs).collect():
+        found.setdefault(r["class_id"], set()).add(r["doc_id"])
+    assert {frozenset(x) for x in found.values()} == expected
+
+
+def test_open_pairs_in_parts_are_all_pairs(spark):
+    node = lambda i: i.to_bytes(2, "big")
+    shared = spark.createDataFrame([(b, node(i), 40) for b in (1, 2) for i in range(40)], "band long, node binary, size long")
+    roots = spark.createDataFrame([(node(i), node(i % 4)) for i in range(30)], "node binary, root binary")
+    total = spark.createDataFrame([(node(i), 10.0) for i in range(40)], "node binary, total double")
+    of = [i % 4 if i < 30 else i for i in range(40)]
+    expected = {(node(a), node(b)) for a in range(40) for b in range(a + 1, 40) if of[a] != of[b]}
+    got = near_dedup.open_pairs(shared, roots, total, side=7).collect()
+    assert len(got) == len(expected) and {(bytes(r[0]), bytes(r[1])) for r in got} == expected
+
+
 def test_samples_collide_as_the_weighted_similarity():
     random_ = np.random.default_rng(1)
     a, b = random_.choice(1 << 32, 400, replace=False).astype(np.uint32), random_.choice(1 << 32, 400, replace=False).astype(np.uint32)
