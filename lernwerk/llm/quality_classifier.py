@@ -5,7 +5,9 @@ each; the difference of the two sizes per byte tells which dictionary knows the
 logistic curve, fitted on labelled texts that are in neither dictionary, turns it into a score.
 
 Bounds (parameters): at most ``per_class`` labelled rows of each class, chosen by a hash of doc_id,
-none longer than ``longest`` characters; a third of them calibrates. Everything else sees all rows.
+none longer than ``longest`` characters; a third of them calibrates. A dictionary takes whole texts
+of the others, in the order of the hash, until its ``size`` in bytes is full. Everything else sees
+all rows.
 
 Cases: a null text counts as empty; an empty text has difference 0 and gets the curve's value there;
 without labelled rows of both classes every score is the share of good ones (0.5 without any);
@@ -62,11 +64,13 @@ def difference(text: bytes, good: zstandard.ZstdCompressor, bad: zstandard.ZstdC
 
 
 def build_dictionary(texts: list[bytes], size: int) -> bytes:
-    """Content of a dictionary: an equal share of every text, whole while they fit."""
-    if not texts:
-        return b""
-    share = max(256, size // len(texts))
-    return b"\n".join(x[:share] for x in texts)[-size:]
+    """Content of a dictionary: whole texts in the sample's order; a text that no longer fits is passed over."""
+    taken, used = [], 0
+    for text in texts:
+        if used + len(text) + bool(taken) <= size:
+            used += len(text) + bool(taken)
+            taken.append(text)
+    return b"\n".join(taken)
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:

@@ -226,6 +226,14 @@ def test_classifier_on_held_out_rows(spark, docs):
     assert scored["score"].between(0, 1).all()
 
 
+def test_dictionaries_hold_whole_texts_however_many_there_are():
+    texts = [f"{i} ".encode() + b"x" * 1500 + b" sign at the end %d" % i for i in range(2000)]
+    made = quality_classifier.build_dictionary(texts, 1 << 20)
+    assert (1 << 20) - 2000 < len(made) <= 1 << 20
+    assert made.split(b"\n") == texts[: made.count(b"\n") + 1]
+    assert quality_classifier.build_dictionary([], 100) == b"" and quality_classifier.build_dictionary([b"a" * 200, b"b", b"c"], 100) == b"b\nc"
+
+
 @pytest.mark.parametrize(("text", "rpn"), [
     ("MIT", ["mit"]), ("MIT OR Apache-2.0 AND BSD-3-Clause", ["mit", "apache-2.0", "bsd-3-clause", "and", "or"]), ("(MIT OR GPL-2.0) AND ISC", ["mit", "gpl-2.0", "or", "isc", "and"]),
     ("GPL-2.0 WITH Classpath-exception-2.0", ["gpl-2.0", "classpath-exception-2.0", "with"]), ("OR MIT", None), ("(MIT", None), ("MIT AND", None), ("", None), ("MIT */", ["mit"]),
