@@ -11,7 +11,7 @@ ones) is taken, if the gain is positive.
 
 Cases: a null text counts as empty: no words, base_failed. Strata without enough labels, and rows
 whose language has none, have the base rules only. Without labels nothing but the base rules holds.
-At most ``MAX_STRATA`` languages, those with most labels, get thresholds. Labels of a doc_id that
+Every language with labels takes part and counts in the correction. Labels of a doc_id that
 disagree are left out. Equal rows each give a row; a null doc_id is kept.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table
 
-RISK, DOUBT, PRICE, MAX_STRATA = 0.03, 0.05, 5.0, 64
+RISK, DOUBT, PRICE = 0.03, 0.05, 5.0
 #: Signal of each rule (a measure and what it is divided by), and its candidate cutoffs from loose to tight.
 RULES = {
     "symbols": ("n_symbols", "word_chars", [0.5, 0.3, 0.2, 0.15, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02, 0.01]),
@@ -104,8 +104,8 @@ def binomial_tail(k: str, n: str, p: float) -> Column:
     return F.when(kc >= nc * p, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.exp(top) * total))
 
 
-def thresholds(measures: DataFrame, labels: DataFrame, risk: float = RISK, doubt: float = DOUBT, price: float = PRICE, max_strata: int = MAX_STRATA) -> DataFrame:
-    """(stratum, cutoffs map<rule, double>): at most ``max_strata`` rows.
+def thresholds(measures: DataFrame, labels: DataFrame, risk: float = RISK, doubt: float = DOUBT, price: float = PRICE) -> DataFrame:
+    """(stratum, cutoffs map<rule, double>): at most one row of each stratum.
 
     Rows are counted by the number of cutoffs each signal exceeds before anything is compared.
     """
@@ -116,11 +116,11 @@ def thresholds(measures: DataFrame, labels: DataFrame, risk: float = RISK, doubt
     counts = seen.groupBy("stratum", "quality", "x.rule", "x.above", "x.steps").agg(F.count("*").alias("rows"))
     rows = lambda q: F.sum(F.when(F.col("quality") == q, F.col("rows")).otherwise(0))
     size = counts.groupBy("stratum", "rule").agg(rows(1).alias("good"), rows(0).alias("bad"))
-    strata = size.groupBy("stratum").agg(F.max(F.col("good") + F.col("bad")).alias("n")).orderBy(F.desc("n"), "stratum").limit(max_strata)
+    strata = size.agg(F.countDistinct("stratum").alias("n_strata"))
     # A signal exceeds the tightest cutoffs first, which are the last steps.
     cut = counts.filter("above > 0").select("stratum", "quality", "rule", "rows", F.explode(F.expr("sequence(steps - above + 1, steps)")).alias("step"))
     cut = cut.groupBy("stratum", "rule", "step").agg(rows(1).alias("good_lost"), rows(0).alias("bad_lost"))
-    grid = size.join(F.broadcast(strata.select("stratum", F.count("*").over(W.partitionBy()).alias("n_strata"))), "stratum")
+    grid = size.crossJoin(F.broadcast(strata))  # one row
     every = F.create_map(*(x for rule, (_, _, cuts) in RULES.items() for x in (F.lit(rule), F.array(*map(F.lit, cuts)))))
     grid = grid.select("*", F.posexplode(every[F.col("rule")]).alias("at", "cutoff")).withColumn("step", F.col("at") + 1)
     grid = grid.join(cut, ["stratum", "rule", "step"], "left").na.fill(0, ["good_lost", "bad_lost"])
@@ -139,8 +139,8 @@ def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **ris
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), "text")
     rows = measure(rows, ["doc_id", "stratum"]).withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words"))
     rows = materialise(rows, "measures")
-    limits = thresholds(rows, labels, **risks).withColumnRenamed("stratum", "_stratum")
-    rows = rows.join(F.broadcast(limits), F.col("stratum") == F.col("_stratum"), "left")
+    limits = materialise(thresholds(rows, labels, **risks).withColumnRenamed("stratum", "_stratum"), "limits")  # its size decides how it is joined
+    rows = rows.join(limits, F.col("stratum") == F.col("_stratum"), "left")
     broken = F.array_compact(F.array(*(
         F.when(signal(rule) > F.col("cutoffs")[rule], F.lit(rule)) for rule in RULES
     )))

@@ -189,6 +189,14 @@ def test_rules_find_a_bad_signal_and_spare_good_texts(spark):
     assert few.filter("not kept").count() == 0  # too few labels for any guarantee
 
 
+def test_every_language_gets_thresholds(spark):
+    rows = spark.range(70 * 500).selectExpr("id as doc_id", "cast(id % 70 as string) as stratum", "id div 70 < 400 as good")
+    measures = rows.selectExpr("doc_id", "stratum", "good", "false as base_failed", "100L as n_words", "400L as word_chars", "if(good, 0L, 300L) as n_symbols",
+                               "0L as n_dup_lines", "10L as n_lines", "0L as n_repeat_words", "0L as n_capitals", "0L as n_exclamations")
+    found = quality_rules.thresholds(measures.drop("good"), measures.selectExpr("doc_id", "cast(good as int) as quality"), risk=0.3).collect()
+    assert {r["stratum"] for r in found} == {str(i) for i in range(70)} and all("symbols" in r["cutoffs"] for r in found)
+
+
 def test_pii_against_plain_patterns(spark, docs, texts):
     patterns = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
     cases = {**texts, -1: "a@b.c@d.e x@y 1.2.3.4.5.6.7.8 256.1.1.1 1.2.3.0004 4111-1111-1111-1111 +1 (212) 555-0000. +1234", -2: "a@@b.cc ..a@x-y.zz 12345.1.1.1.1"}
