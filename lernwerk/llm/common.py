@@ -43,7 +43,14 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/lernwerk-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    rows = spark.read.schema(df.schema).parquet(path)
+    rows._lernwerk_path = path
+    return rows
+
+
+def release(rows: DataFrame) -> None:
+    """Delete a table that ``materialise`` has written and nothing reads any more."""
+    _remove(rows.sparkSession, rows._lernwerk_path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,9 +11,11 @@
 4. In each band's bucket, every text is paired with one leader: the member that meets the most other
    texts over all its bands, so the centre of a group leads it. Pairs are verified by the weighted
    Jaccard similarity of their whole shingle sets.
-5. Verified links join texts into classes (smallest label, with pointer jumps). Texts that share a
-   bucket and are in different classes then are all compared with each other, and the classes are
-   made anew with these links.
+5. Verified links join texts into classes (smallest label, with pointer jumps). A text that isn't
+   similar to its leader can only be similar to a text that differs from the leader in like ways;
+   texts of different classes with enough such changes in common are compared too, and the classes
+   are made anew with these links. So all similar members of a bucket are found without comparing
+   all its pairs.
 
 Cases: null texts count as empty; texts without words are alike only if equal; equal texts share a
 class; texts of the same words share a class; a null doc_id is kept and never names a class unless
@@ -29,10 +31,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_and_text, known_id, materialise, null_ids, table
+from .common import id_and_text, known_id, materialise, null_ids, release, table
 from .shingles import shingle_ids
 
 SIMILARITY, WIDTH = 0.8, 5
@@ -43,8 +46,6 @@ SPREAD, FLOOR = 0.25, 1e-3
 DRAWS = 1 << 16
 SEED = 20_240_229
 CHUNK = 1 << 16
-#: Texts of a bucket that meet each other in one task.
-SIDE = 512
 
 
 def nodes(docs: DataFrame) -> DataFrame:
@@ -187,84 +188,144 @@ def candidate_pairs(shared: DataFrame) -> DataFrame:
     return shared.select("band", "node").join(leaders, "band").filter("node <> leader").select("node", "leader").distinct()
 
 
-def open_pairs(shared: DataFrame, roots: DataFrame, total: DataFrame, similarity: float = SIMILARITY, side: int = SIDE) -> DataFrame:
-    """(node, leader) of all texts that share a band but no class yet, each pair once.
+def led_members(pairs: DataFrame, signed: DataFrame, weights: np.ndarray) -> DataFrame:
+    """(leader, node, own, base, apart, similarity) of every pair: total weights of the node (own) and its leader (base), and the sum of their differences (apart)."""
+    sent = signed.sparkSession.sparkContext.broadcast(weights)
+
+    @F.pandas_udf("own double, base double, apart double, similarity double")
+    def compare(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x, y in zip(a, b, strict=True):
+            _, change, w = differences(x, y, sent.value)
+            own, base = total_weight(x, sent.value), total_weight(y, sent.value)
+            apart = float(w @ np.abs(change))
+            rows.append((own, base, apart, (own + base - apart) / max(own + base + apart, 1e-30)))
+        return pd.DataFrame(rows, columns=["own", "base", "apart", "similarity"], dtype="float64")
+
+    return with_sets(pairs, signed).select("leader", "node", compare("ids", "leader_ids").alias("x")).select("leader", "node", "x.*")
 
-    A bucket is dealt into parts of about ``side`` texts by a hash and every two parts meet under a
-    key of their own, so no task gets the square of a large bucket. Pairs whose total weights differ
-    by more than the similarity allows can't reach it and are left out.
+
+def changes(members: DataFrame, signed: DataFrame, weights: np.ndarray) -> DataFrame:
+    """Members' rows, one for each shingle whose count differs from the leader's: (..., change, mass).
+
+    ``change`` is the shingle with the sign of the difference, ``mass`` its weight times the difference.
     """
-    rows = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(total, "node")
-    unsettled = rows.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band")
-    rows = rows.join(unsettled, "band").withColumn("parts", F.ceil(F.col("size") / side).cast("int")).withColumn("part", F.expr("cast(pmod(xxhash64(node, band), parts) as int)"))
-    meet = rows.withColumn("with", F.explode(F.expr("sequence(0, parts - 1)")))
-    left = meet.filter("part <= with").select("band", F.col("part").alias("i"), F.col("with").alias("j"), "node", "root", "total")
-    right = meet.filter("with <= part").select("band", F.col("with").alias("i"), F.col("part").alias("j"), F.col("node").alias("leader"), F.col("root").alias("other"), F.col("total").alias("weight"))
-    met = left.join(right, ["band", "i", "j"]).filter("root <> other and (i <> j or node < leader)")
-    near = F.least("total", "weight") >= (similarity - 1e-6) * F.greatest("total", "weight")
-    return met.filter(near).select(F.least("node", "leader").alias("node"), F.greatest("node", "leader").alias("leader")).distinct()
-
-
-def total_weights(signed: DataFrame, weights: np.ndarray) -> DataFrame:
-    """(node, total): summed weights of each text's shingles."""
     sent = signed.sparkSession.sparkContext.broadcast(weights)
 
-    @F.pandas_udf(T.DoubleType())
-    def total(ids: pd.Series) -> pd.Series:
-        return pd.Series([float(sent.value[np.frombuffer(x, dtype=np.uint32) % SLOTS].sum(dtype=np.float64)) for x in ids], dtype="float64")
+    @F.pandas_udf("array<struct<change: long, mass: double>>")
+    def listed(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            keys, change, w = differences(x, y, sent.value)
+            at = np.flatnonzero(change)
+            signs = 2 * keys[at].astype(np.int64) + (change[at] > 0)
+            out.append([{"change": c, "mass": m} for c, m in zip(signs.tolist(), (w[at] * np.abs(change[at])).tolist(), strict=True)])
+        return pd.Series(out, dtype=object)
 
-    return signed.groupBy("node").agg(F.first("ids").alias("ids")).select("node", total("ids").alias("total"))
+    kept = [c for c in members.columns if c not in ("leader", "node")]
+    rows = with_sets(members, signed).select("leader", "node", *kept, F.explode(listed("ids", "leader_ids")).alias("x"))
+    return rows.select("leader", "node", *kept, "x.change", "x.mass")
 
 
-def verified(pairs: DataFrame, signed: DataFrame, weights: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, leader, similarity) of the pairs that are similar enough.
+def open_pairs(members: DataFrame, roots: DataFrame, signed: DataFrame, weights: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, leader) of texts with one leader that may be similar though one of them isn't similar to the leader.
+
+    Two texts are similar if the sum of their differences is at most ``slack`` times their total
+    weight. If x is not similar to its leader, then y is similar to x only if both differ from the
+    leader in the same way by a mass of at least
+
+        (apart(x) + apart(y) - slack * (own(x) + own(y))) / 2 > (apart(y) + slack * (base - own(y))) / 2,
+
+    so the rarest changes of y that are too heavy to be left out hold one that x has too. Texts are
+    paired on these changes only; a change that no other text has pairs nothing. What can still be
+    common from the paired change on bounds the pair once more. No similar pair is lost.
+    """
+    slack = (1 - similarity) / (1 + similarity)
+    rows = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("open", F.col("similarity") < similarity)
+    # Two classes at least beside the leader, one text of them open; others have nothing to compare.
+    unsettled = rows.groupBy("leader").agg(F.max("open").alias("any"), F.min("root").alias("low"), F.max("root").alias("high")).filter("any and low <> high").select("leader")
+    listed = materialise(changes(rows.join(unsettled, "leader").drop("similarity"), signed, weights), "changes")
+    often = listed.groupBy("leader", "change").agg(F.count("*").alias("often"), F.max("open").alias("any")).filter("often > 1 and any")
+    common = listed.join(often, ["leader", "change"])
+    # Changes that nobody shares come first in the order; only their mass matters.
+    shared = W.partitionBy("leader", "node").orderBy(F.desc("often"), F.desc("change")).rowsBetween(W.unboundedPreceding, 0)
+    common = common.withColumn("rest", F.sum("mass").over(shared))
+    least = (F.col("apart") + slack * (F.col("base") - F.col("own"))) / 2
+    x = common.filter("open").select("leader", "change", "node", "root", "own", "apart", "rest")
+    y = common.filter(F.col("rest") >= (1 - 1e-6) * least).select("leader", "change", *(F.col(c).alias(f"{c}_y") for c in ("node", "root", "own", "apart", "rest")))
+    needed = (F.col("apart") + F.col("apart_y") - slack * (F.col("own") + F.col("own_y"))) / 2
+    near = F.least("own", "own_y") >= (similarity - 1e-6) * F.greatest("own", "own_y")
+    pairs = x.join(y, ["leader", "change"]).filter((F.col("root") != F.col("root_y")) & near & (F.least("rest", "rest_y") >= needed - 1e-6 * F.col("own")))
+    return pairs.select(F.least("node", "node_y").alias("node"), F.greatest("node", "node_y").alias("leader")).distinct()
+
+
+def total_weight(ids: bytes, weight: np.ndarray) -> float:
+    return float(weight[np.frombuffer(ids, dtype=np.uint32) % SLOTS].sum(dtype=np.float64))
+
+
+def differences(a: bytes, b: bytes, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles of two sets of sorted ids, how much oftener each is in the first, and their weights."""
+    ids = np.concatenate([np.frombuffer(a, dtype=np.uint32), np.frombuffer(b, dtype=np.uint32)])
+    keys, at = np.unique(ids, return_inverse=True)
+    n = len(a) // 4
+    change = np.bincount(at[:n], minlength=len(keys)) - np.bincount(at[n:], minlength=len(keys))
+    return keys, change, weight[keys % SLOTS].astype(np.float64)
+
+
+def with_sets(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """The pairs with both texts' sets (ids, leader_ids).
 
     Both sides' sets come from one table dealt by node; a leader of very many nodes is a skewed key
     of the second join, which is split at run time.
     """
+    sets = signed.groupBy("node").agg(F.first("ids").alias("ids"))
+    other = sets.select(F.col("node").alias("leader"), F.col("ids").alias("leader_ids"))
+    return pairs.join(sets, "node").join(other, "leader")
+
+
+def verified(pairs: DataFrame, signed: DataFrame, weights: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, leader, similarity) of the pairs that are similar enough."""
     sent = signed.sparkSession.sparkContext.broadcast(weights)
 
     @F.pandas_udf(T.DoubleType())
     def compare(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([weighted_jaccard(x, y, sent.value) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    sets = signed.groupBy("node").agg(F.first("ids").alias("ids"))
-    other = sets.select(F.col("node").alias("leader"), F.col("ids").alias("leader_ids"))
-    pairs = pairs.join(sets, "node").join(other, "leader").select("node", "leader", compare("ids", "leader_ids").alias("similarity"))
+    pairs = with_sets(pairs, signed).select("node", "leader", compare("ids", "leader_ids").alias("similarity"))
     return pairs.filter(F.col("similarity") >= similarity)
 
 
 def class_roots(signed: DataFrame, weights: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
     """(node, root) of the texts in classes of more than one text.
 
-    Leaders join most of each class at one comparison a text; what shares a bucket and is then still
-    in different classes is compared pair by pair, so no link between bucket members is missed.
+    Leaders join most of each class at one comparison a text; what shares a leader and may still be
+    similar is compared after, so no link between bucket members is missed.
     """
-    shared = shared_bands(signed)
-    led = materialise(verified(candidate_pairs(shared), signed, weights, similarity).select("node", "leader"), "led")
-    rest = materialise(open_pairs(shared, components(led), total_weights(signed, weights), similarity), "open")
+    members = materialise(led_members(candidate_pairs(shared_bands(signed)), signed, weights), "led")
+    led = members.filter(F.col("similarity") >= similarity).select("node", "leader")
+    rest = open_pairs(members, components(led), signed, weights, similarity)
     more = materialise(verified(rest, signed, weights, similarity).select("node", "leader"), "more")
     return components(led.unionByName(more))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each connected group, for the nodes that have edges.
 
-    Every round a node takes the least label among its neighbours', then its label's label; rounds
-    needed grow with the logarithm of a group's diameter. Each round is written as a table.
+    Every round a node takes the least label among its neighbours', then its label's label, until no
+    label changes; rounds needed grow with the logarithm of a group's diameter. Each round is written
+    as a table, which replaces the one before.
     """
     both = materialise(edges.select("node", "leader").unionByName(edges.select(F.col("leader").alias("node"), F.col("node").alias("leader"))).distinct(), "edges")
-    labels = materialise(both.groupBy("node").agg(F.min("leader").alias("least")).select("node", F.least("node", "least").alias("root")), "labels")
-    for _ in range(rounds):
+    moved = materialise(both.groupBy("node").agg(F.min("leader").alias("least")).select("node", F.least("node", "least").alias("next"), F.col("node").alias("root")), "labels")
+    while not moved.filter("next <> root").isEmpty():
+        before, labels = moved, moved.select("node", F.col("next").alias("root"))
         near = both.join(labels.withColumnRenamed("node", "leader"), "leader").groupBy("node").agg(F.min("root").alias("near"))
         moved = labels.join(near, "node").select("node", F.least("root", "near").alias("next"), "root")
         jump = moved.select(F.col("node").alias("next"), F.col("next").alias("further"))
-        moved = moved.join(jump, "next").select("node", F.least("next", "further").alias("next"), "root")
-        moved = materialise(moved, "labels")
-        labels = moved.select("node", F.col("next").alias("root"))
-        if moved.filter("next <> root").isEmpty():
-            return labels
-    raise RuntimeError(f"classes didn't settle in {rounds} rounds")
+        moved = materialise(moved.join(jump, "next").select("node", F.least("next", "further").alias("next"), "root"), "labels")
+        release(before)
+    release(both)
+    return moved.select("node", F.col("next").alias("root"))
 
 
 def rooted(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:

@@ -140,15 +140,34 @@ def test_near_dedup_links_all_that_share_a_bucket(spark):
     assert {frozenset(x) for x in found.values()} == expected
 
 
-def test_open_pairs_in_parts_are_all_pairs(spark):
-    node = lambda i: i.to_bytes(2, "big")
-    shared = spark.createDataFrame([(b, node(i), 40) for b in (1, 2) for i in range(40)], "band long, node binary, size long")
-    roots = spark.createDataFrame([(node(i), node(i % 4)) for i in range(30)], "node binary, root binary")
-    total = spark.createDataFrame([(node(i), 10.0) for i in range(40)], "node binary, total double")
-    of = [i % 4 if i < 30 else i for i in range(40)]
-    expected = {(node(a), node(b)) for a in range(40) for b in range(a + 1, 40) if of[a] != of[b]}
-    got = near_dedup.open_pairs(shared, roots, total, side=7).collect()
-    assert len(got) == len(expected) and {(bytes(r[0]), bytes(r[1])) for r in got} == expected
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_open_pairs_hold_all_similar_pairs_of_one_leader(spark, seed):
+    random.seed(seed)
+    base = [f"w{i}" for i in range(200)]
+
+    def edit(words: list[str], k: int) -> list[str]:
+        words = list(words)
+        for _ in range(k):
+            at = random.randrange(len(words))
+            words[at : at + random.choice([0, 1, 2])] = random.choice([[], ["again"], [f"e{random.randrange(40)}"], [f"e{random.randrange(10**9)}"]])
+        return words
+
+    centres = [edit(base, random.choice([4, 6, 8])) for _ in range(8)]
+    rows = [base] + [edit(random.choice(centres), random.randrange(5)) for _ in range(120)] + [edit(base, random.randrange(16)) for _ in range(120)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    weights = near_dedup.slot_weights(docs)
+    signed = near_dedup.signatures(docs, weights)
+    ids = {bytes(r["node"]): r["ids"] for r in signed.collect()}
+    hub = next(bytes(r["node"]) for r in signed.filter("doc_id = 0").collect())
+    alike = lambda a, b: near_dedup.weighted_jaccard(ids[a], ids[b], weights)
+    others = [n for n in ids if n != hub]
+    members = near_dedup.led_members(spark.createDataFrame([(n, hub) for n in others], "node binary, leader binary"), signed, weights)
+    near = {bytes(r["node"]) for r in members.filter("similarity >= 0.8").collect()}
+    assert near == {n for n in others if alike(n, hub) >= 0.8}
+    roots = spark.createDataFrame([(n, min(near | {hub})) for n in near | {hub}], "node binary, root binary")
+    got = {(bytes(r["node"]), bytes(r["leader"])) for r in near_dedup.open_pairs(members, roots, signed, weights).collect()}
+    wanted = {(a, b) for a in others for b in others if a < b and not {a, b} <= near and alike(a, b) >= 0.8}
+    assert wanted <= got and len(wanted) > 20 and len(got) < len(others) ** 2 / 8
 
 
 def test_samples_collide_as_the_weighted_similarity():
