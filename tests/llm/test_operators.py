@@ -368,6 +368,62 @@ def test_page_without_an_article():
     assert text.startswith("Long paragraph number 0") and "Home" not in text and "Imprint" not in text
 
 
+def test_runs_against_brute_force():
+    random.seed(8)
+    for _ in range(300):
+        lengths = [random.choice([0, 0, 0, 3, 8, 15, 30, 70, 200]) for _ in range(random.randrange(1, 40))]
+        window, threshold, dive = random.choice([1, 2, 3, 5]), random.choice([1, 40, 80, 300]), random.choice([1, 20, 60])
+        block = [sum(lengths[i : i + window]) for i in range(len(lengths))]
+        expected, start = [], None
+        for i in range(len(lengths) + 1):
+            dives = i == len(lengths) or (lengths[i] == 0 and block[i] < min(dive, threshold))
+            if start is not None and dives:
+                expected.append((start, i))
+                start = None
+            if start is None and i < len(lengths) and block[i] >= threshold:
+                start = i
+        got = html_extract.runs(np.array(lengths), np.array(lengths) == 0, window, threshold, dive)
+        assert got == expected, (lengths, window, threshold, dive)
+
+
+PARAGRAPH = "A paragraph of the article, number %d, with enough words in it to carry the distribution."
+LAYOUTS = {
+    "divs": ('<div class="a1"><div>Home</div></div><div class="a1"><div>News</div></div><div class="a1"><div>Contact</div></div><div class="a2">%s</div><div class="a3"><div>Imprint</div></div><div class="a3"><div>Help</div></div>', "<div><p>%s</p></div>"),
+    "table": ("<table><tr><td>Home<td>News</tr></table><table><tr><td>%s</td></tr></table><table><tr><td>Links</td></tr><tr><td>c 2020</td></tr></table>", "<p>%s</p>"),
+    "sections": ("<section><ul><li>Home</li><li>News</li></ul></section><section>%s</section><section><div><p>Terms</p></div></section>", "%s<br>"),
+    "lines": ("<div><span>Home</span></div>" + "<div></div>" * 10 + "<div>%s</div>" + "<div></div>" * 10 + "<div>Some notice at the end</div>", "<p>%s"),
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_line_blocks_decide_without_article_or_telling_names(layout):
+    frame, block = LAYOUTS[layout]
+    body = [PARAGRAPH % i for i in range(5)] + ["A last and shorter line."]
+    page = f"<html><body>{frame % ('<h2>Title</h2>' + ''.join(block % x for x in body))}</body></html>"
+    assert html_extract.main_text(page) == " ".join(["Title", *body])
+    assert html_extract.main_text(page, window=9, threshold=1, dive=0) != html_extract.main_text(page)  # nothing dives
+    assert html_extract.main_text(page, threshold=10**9, share=1) != html_extract.main_text(page, threshold=1, dive=0, share=0)
+
+
+def test_parts_of_a_cut_text_and_the_longest_article():
+    part = "".join(f"<p>{PARAGRAPH % i}</p>" for i in range(4))
+    wide = "<div><div><div>Buy now</div></div></div>"
+    cut = html_extract.main_text(f"<body><div>{part}</div>{wide}<div>{part}</div><div><div><div>Some reader wrote that this is a good text, and so it is in his view too.</div></div></div></body>")
+    assert cut.count("number 0") == cut.count("number 3") == 2 and "Buy" not in cut and "reader" not in cut
+    teaser = "<article><h3>Other news</h3><p>Click here for more.</p></article>"
+    assert html_extract.main_text(f"{teaser}<article>{part}</article>{teaser}") == " ".join(PARAGRAPH % i for i in range(4))
+    assert html_extract.main_text(f"<main><div>{part}</div></main><div>{part * 3}</div>") == " ".join(PARAGRAPH % i for i in range(4))
+    assert html_extract.main_text("<p>one <span class='advert'>buy <b>this</b></span>two</p>") == "one two"
+
+
+def test_long_and_broken_pages():
+    long = "<div><p>" + "word " * 200_000 + "</p></div>"
+    assert len(html_extract.main_text(long)) == 999_999
+    assert html_extract.main_text("<div><p>cut <b>off <a href='x") == "cut off"
+    assert html_extract.main_text("</div></p>" * 1000 + "<p>text</i></div>") == "text"
+    assert html_extract.main_text("<div>" * 3000 + "deep") == "deep"
+
+
 def test_pages_of_the_table(spark):
     for r in spark.read.parquet(f"{SF}/pages.parquet").limit(100).collect():
         inside = re.search(r"<article>(.*?)(?:</article>|\Z)", r["html"], re.S)[1]
