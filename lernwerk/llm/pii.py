@@ -1,15 +1,18 @@
 """Personal data: base patterns, and terms that disclose a protected entity.
 
-A protected entity is a value found by a base pattern. A term near its mentions discloses it if
-pointwise mutual information, estimated from document counts of the whole corpus, reaches
-``THRESHOLD`` of the entity's own information:
+A protected entity is a value found by a base pattern, or a secret that is assigned to a name such
+as ``token``. A term (a word) discloses it if pointwise mutual information, estimated from document
+counts of the whole corpus, reaches ``THRESHOLD`` of the entity's own information:
 
     log2(df(term, entity) * N / (df(term) * df(entity))) >= THRESHOLD * log2(N / df(entity))
 
-The pair must stand in at least ``SUPPORT`` different contexts, so copies of one text are no
-evidence, and terms seen once are not. Terms that stand with nothing else (a share of 1) are
-removed, others are generalised to a placeholder. Only mentions near the entity are touched, so a
-text without base matches stays as it is.
+df(term, entity) counts the documents that hold both, wherever in their texts. Copies are no evidence:
+the pair must stand in at least ``SUPPORT`` texts whose words beside the term differ, and these must
+be at least ``DIVERSE`` of all texts with the pair, which edited copies of one text don't reach.
+
+In every text that holds the entity, each occurrence of a disclosing term is a span. ``sanitise``
+generalises it to its first letters if the class of all words that begin with them doesn't disclose
+the entity, and removes it otherwise. A text without an entity stays as it is.
 
 Cases: a null text counts as empty: no spans. Equal rows each give a row; a null doc_id is kept;
 other columns are ignored (detection) or kept (``sanitise``). Offsets count code points.
@@ -29,8 +32,11 @@ from pyspark.sql import types as T
 
 from .common import id_and_text, known_id, materialise, null_ids, table
 
-KINDS = ("email", "ip", "card", "phone", "term")
-THRESHOLD, SUPPORT, NEAR_WORDS, NEAR_CHARS = 0.9, 3, 6, 120
+KINDS = ("email", "ip", "card", "phone", "secret", "term")
+BASE, SECRET, TERM = 4, 4, 5  # base kinds are those below BASE
+THRESHOLD, SUPPORT, DIVERSE = 0.9, 3, 0.5
+#: Letters that a generalised term keeps, and words on either side that tell the places of a term apart.
+LETTERS, BESIDE = 3, 2
 FLUSH = 300_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -39,10 +45,12 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_SECRET = re.compile(r"(?<![A-Za-z0-9])(?:token|secret|passwd|password|api[_-]?key|access[_-]?key)[\"']?[\x20\t]*[:=][\x20\t]*[\"']?((?=[^\s\"',;]*[0-9])[^\s\"',;]{8,})", re.I)
 _TERM = re.compile(r"[^\W\d_]{2,}")
 _NO_DIGIT = re.compile(r"[^0-9]+")
 
-FOUND = "doc_id long, key binary, spans array<struct<kind: int, start: int, end: int, entity: long>>, near array<struct<entity: long, context: long, term: long, start: int, end: int>>"
+FOUND = "doc_id long, key binary, spans array<struct<kind: int, start: int, end: int, entity: long>>, text string"
+PAIR = "entity long, term long, context long, copies long"
 
 
 def luhn(digits: str) -> bool:
@@ -89,28 +97,41 @@ def entity_of(kind: int, value: str) -> int:
     return _hash(f"{kind} {value.lower() if kind < 2 else _NO_DIGIT.sub('', value)}")
 
 
-def near_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """(entity, context, term, start, end) of up to NEAR_WORDS words on either side of each match."""
-    out = []
-    for start, kind, end in spans:
-        low = max(0, start - NEAR_CHARS)
-        words = list(_TERM.finditer(text, low, start))[-NEAR_WORDS:] + list(_TERM.finditer(text, end, end + NEAR_CHARS))[:NEAR_WORDS]
-        words = [m for m in words if not any(a < m.end() and m.start() < b for a, _, b in spans)]
-        entity, context = entity_of(kind, text[start:end]), _hash(" ".join(m[0].lower() for m in words))
-        out += [(entity, context, _hash(m[0].lower()), m.start(), m.end()) for m in words]
+def secret_spans(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of assigned secrets that overlap no base match."""
+    if "=" not in text and ":" not in text:
+        return []
+    found = (m.span(1) for m in _SECRET.finditer(text))
+    return [(a, SECRET, b) for a, b in found if not any(x < b and a < y for x, _, y in spans)]
+
+
+def term_places(text: str, spans: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+    """(lower-cased term, start, end) of all terms outside the spans."""
+    held, at, out = sorted(spans), 0, []
+    for m in _TERM.finditer(text):
+        while at < len(held) and held[at][1] <= m.start():
+            at += 1
+        if at == len(held) or held[at][0] >= m.end():
+            out.append((m[0].lower(), m.start(), m.end()))
     return out
 
 
+def kin(term: str) -> str:
+    """The class of words that a term is generalised to."""
+    return f"{term[:LETTERS]}*"
+
+
 def find_base(docs: DataFrame) -> DataFrame:
-    """Base spans and the terms around them, for every row; one pass without a shuffle."""
+    """Base spans and secrets of every row, and the text of those that have any; one pass without a shuffle."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             spans = [base_spans(x) for x in batch["text"]]
+            spans = [sorted(s + secret_spans(x, s)) for x, s in zip(batch["text"], spans, strict=True)]
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"].astype("Int64"), "key": batch["key"],
                 "spans": [[{"kind": k, "start": a, "end": b, "entity": entity_of(k, x[a:b])} for a, k, b in s] for x, s in zip(batch["text"], spans, strict=True)],
-                "near": [[dict(zip(("entity", "context", "term", "start", "end"), t, strict=True)) for t in near_terms(x, s)] if s else [] for x, s in zip(batch["text"], spans, strict=True)],
+                "text": [x if s else None for x, s in zip(batch["text"], spans, strict=True)],
             })
 
     return keyed(docs).mapInPandas(rows, FOUND)
@@ -123,7 +144,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def term_frequencies(docs: DataFrame) -> DataFrame:
-    """(term, df): number of documents with each term, over all documents.
+    """(term, df): number of documents with each term, and with each class of terms, over all documents.
 
     Each task adds up its terms before they are shuffled, with at most FLUSH counters at once.
     """
@@ -138,7 +159,9 @@ def term_frequencies(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text in batch["text"]:
-                counts.update(set(_TERM.findall(text.lower())))
+                terms = {x.lower() for x in set(_TERM.findall(text))}
+                counts.update(terms)
+                counts.update({kin(x) for x in terms})
                 if len(counts) > FLUSH:
                     yield out()
         yield out()
@@ -147,33 +170,81 @@ def term_frequencies(docs: DataFrame) -> DataFrame:
     return texts.mapInPandas(rows, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def disclosing(found: DataFrame, terms: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
-    """(entity, term, share): pairs whose term discloses the entity."""
-    near = found.select("key", F.explode("near").alias("x")).select("key", "x.entity", "x.term", "x.context")
-    pairs = near.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("key").alias("together")).filter(F.col("contexts") >= support)
-    entities = found.select("key", F.explode("spans.entity").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
-    n = found.agg(F.count("*").alias("n"))
-    scored = pairs.join(entities, "entity").join(terms, "term").join(F.broadcast(n))
-    own = F.log2(F.col("n") / F.col("with_entity"))
-    share = F.when(own > 0, F.log2(F.col("together") * F.col("n") / (F.col("df") * F.col("with_entity"))) / own)
+def cooccurring(texts: DataFrame) -> DataFrame:
+    """(entity, term, context, copies) of every entity and term, or class of terms, of every text.
+
+    ``texts`` has different texts with their spans, the entities to look at (wanted) and the number of
+    rows with each text (copies). The context is a hash of the words beside the term's first place.
+    """
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for text, spans, wanted, copies in zip(batch["text"], batch["spans"], batch["wanted"], batch["copies"], strict=True):
+                places = term_places(text, [(x["start"], x["end"]) for x in spans])
+                first: dict[str, int] = {}
+                for i, (term, _, _) in enumerate(places):
+                    first.setdefault(term, i)
+                    first.setdefault(kin(term), i)
+                for term, i in first.items():
+                    beside = [x for x, _, _ in places[max(0, i - BESIDE) : i + BESIDE + 1]]
+                    context = _hash(" ".join(beside))
+                    out += [(int(e), _hash(term), context, copies) for e in wanted]
+            yield pd.DataFrame(out, columns=["entity", "term", "context", "copies"])
+
+    return texts.select("text", "spans", "wanted", "copies").mapInPandas(rows, PAIR)
+
+
+def disclosing(texts: DataFrame, terms: DataFrame, n: int, threshold: float = THRESHOLD, support: int = SUPPORT, diverse: float = DIVERSE) -> DataFrame:
+    """(entity, term, share): pairs whose term, or class of terms, discloses the entity.
+
+    Only entities of at least ``support`` different texts can have such terms, so only their texts are
+    taken apart. Rows are added up by pair before they are shuffled.
+    """
+    held = texts.select("copy", "copies", F.explode(F.array_distinct("spans.entity")).alias("entity"))
+    entities = held.groupBy("entity").agg(F.sum("copies").alias("with_entity"), F.count("*").alias("in_texts")).filter(F.col("in_texts") >= support)
+    wanted = held.join(entities, "entity").groupBy("copy").agg(F.collect_list("entity").alias("wanted"))  # the entities of one text
+    seen = cooccurring(texts.join(wanted, "copy")).groupBy("entity", "term", "context").agg(F.sum("copies").alias("copies"), F.count("*").alias("texts"))
+    pairs = seen.groupBy("entity", "term").agg(F.sum("copies").alias("together"), F.sum("texts").alias("texts"), F.count("*").alias("contexts"))
+    pairs = pairs.filter((F.col("contexts") >= support) & (F.col("contexts") >= diverse * F.col("texts")))
+    scored = pairs.join(entities, "entity").join(terms, "term")
+    own = F.log2(F.lit(n) / F.col("with_entity"))
+    share = F.when(own > 0, F.log2(F.col("together") * F.lit(n) / (F.col("df") * F.col("with_entity"))) / own)
     return scored.select("entity", "term", share.alias("share")).filter(F.col("share") >= threshold)
 
 
-def find_spans(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
-    """(doc_id, key, spans, added) of every row: base spans, and the spans of disclosing terms."""
-    found = materialise(find_base(docs), "personal")
-    pairs = disclosing(found, term_frequencies(docs), threshold, support)
-    near = found.select("key", F.explode("near").alias("x")).select("key", "x.entity", "x.term", "x.start", "x.end")
-    added = near.join(pairs, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("share").alias("share"))
-    added = added.groupBy("key").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "share")).alias("added"))
-    return null_ids(found.select("doc_id", "key", "spans").join(added, "key", "left"))
+def spans_of_terms(texts: DataFrame) -> DataFrame:
+    """(copy, added): spans of the given terms of each text, and what each is generalised to ('' if it is removed)."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for text, own, found in zip(batch["text"], batch["spans"], batch["terms"], strict=True):
+                known = set(found)
+                places = term_places(text, [(x["start"], x["end"]) for x in own])
+                out.append([{"start": a, "end": b, "mark": "" if _hash(kin(t)) in known else kin(text[a:b])} for t, a, b in places if _hash(t) in known])
+            yield pd.DataFrame({"copy": batch["copy"], "added": out})
+
+    return texts.select("copy", "text", "spans", "terms").mapInPandas(rows, "copy binary, added array<struct<start: int, end: int, mark: string>>")
+
+
+def find_spans(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT, diverse: float = DIVERSE) -> DataFrame:
+    """(doc_id, key, spans, added) of every row: base spans and secrets, and the spans of disclosing terms."""
+    found = materialise(find_base(docs).withColumn("copy", F.unhex(F.md5(F.col("text").cast("binary")))), "personal")
+    n = found.count()
+    texts = found.filter("text is not null").groupBy("copy").agg(F.count("*").alias("copies"), F.first("text").alias("text"), F.first("spans").alias("spans"))
+    pairs = materialise(disclosing(texts, term_frequencies(docs), n, threshold, support, diverse), "disclosing")
+    held = texts.select("copy", F.explode(F.array_distinct("spans.entity")).alias("entity"))
+    terms = held.join(pairs, "entity").groupBy("copy").agg(F.collect_set("term").alias("terms"))  # of one text
+    added = spans_of_terms(texts.join(terms, "copy")).filter("size(added) > 0")
+    return null_ids(found.join(added, "copy", "left").select("doc_id", "key", "spans", "added"))
 
 
 def sanitise(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
     """The rows with personal data replaced in the text: base matches and disclosing terms.
 
-    Matches become a placeholder of their kind. A term that stands with the entity alone is removed,
-    another becomes a general placeholder. All columns are kept; a null text stays null.
+    Matches become a placeholder of their kind; terms are generalised or removed. All columns are
+    kept; a null text stays null.
     """
 
     @F.pandas_udf(T.StringType())
@@ -184,7 +255,7 @@ def sanitise(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPO
                 out.append(text)
                 continue
             spans = [(x["start"], x["end"], f"[{KINDS[x['kind']].upper()}]") for x in (own if own is not None else [])]
-            spans += [(x["start"], x["end"], "" if x["share"] >= 1 else "[TERM]") for x in (more if more is not None else [])]
+            spans += [(x["start"], x["end"], x["mark"]) for x in (more if more is not None else [])]
             parts, at = [], 0
             for start, end, mark in sorted(spans):
                 if start >= at:
@@ -211,9 +282,10 @@ def digest(found: DataFrame) -> DataFrame:
         return f"array_join(transform({listed}, x -> concat(element_at(array({', '.join(map(repr, KINDS))}), x.kind + 1), ':', x.start, ':', x.end)), ',')"
 
     count = lambda kind: F.expr(f"cast(size(filter(spans, x -> x.kind = {kind})) as long)")
-    every = "concat(transform(spans, x -> struct(x.start as start, x.kind as kind, x.end as end)), coalesce(transform(added, x -> struct(x.start as start, x.kind as kind, x.end as end)), array()))"
-    return found.select("doc_id", *(count(i).alias(f"n_{kind}") for i, kind in enumerate(KINDS[:4])), F.sha2(F.expr(written("spans")).cast("binary"), 256).alias("base_sha256"),
-                        F.expr(written(every)).alias("spans"), F.expr("cast(coalesce(size(added), 0) as long)").alias("n_term"))
+    base = f"filter(spans, x -> x.kind < {BASE})"
+    every = f"concat(transform(spans, x -> struct(x.start as start, x.kind as kind, x.end as end)), coalesce(transform(added, x -> struct(x.start as start, {TERM} as kind, x.end as end)), array()))"
+    return found.select("doc_id", *(count(i).alias(f"n_{kind}") for i, kind in enumerate(KINDS[:BASE])), F.sha2(F.expr(written(base)).cast("binary"), 256).alias("base_sha256"),
+                        F.expr(written(every)).alias("spans"), count(SECRET).alias("n_secret"), F.expr("cast(coalesce(size(added), 0) as long)").alias("n_term"))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -235,15 +235,55 @@ def test_pii_against_plain_patterns(spark, docs, texts):
         assert r["base_sha256"] == hashlib.sha256(plain(cases[r["doc_id"]]).encode()).hexdigest(), cases[r["doc_id"]][:80]
 
 
-def test_disclosing_terms_are_removed_near_the_entity_only(spark):
+def planted_disclosure() -> list[tuple[int, str]]:
     random.seed(1)
-    word = lambda: random.choice(["blue", "green", "river", "stone", "cloud", "paper"])
-    rows = [(i, f"{word()} {word()} Quorvane {word()} ann@mail.example.com {word()} {word()}") for i in range(5)]
-    rows += [(100 + i, " ".join(word() for _ in range(12))) for i in range(200)]
+    word = lambda: random.choice(WORDS)
+    line = lambda n: " ".join(word() for _ in range(n))
+    rows = [(i, f"Quorvane {line(9)}.\n{line(40)}\n{line(5)} ann@mail.example.com {line(20)} the Telkar") for i in range(5)]
+    rows += [(20 + i, f"{line(4)} Quorne or Quorte {line(9)} Quorvo {line(3)}") for i in range(9)]  # words that begin alike
+    rows += [(40 + i, f"{line(30)} bob{i}@mail.example.com Ostrane {line(20)}") for i in range(6)]  # of many entities
+    edited = line(60).split()
+    for i in range(12):  # edited copies of one text
+        copy = list(edited)
+        copy[random.randrange(60)] = "Zzemil"
+        rows.append((60 + i, f"{' '.join(copy[:30])} Maurique {' '.join(copy[30:])} 10.20.30.40"))
+    rows += [(90, 'x token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" y')]
+    return rows + [(100 + i, line(40)) for i in range(200)] + [(400, rows[0][1]), (401, "the Telkar again Quorvane")]
+
+
+WORDS = ["blue", "green", "river", "stone", "cloud", "paper", "house", "the"]
+
+
+def test_disclosing_terms_of_whole_documents(spark):
+    rows = planted_disclosure()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
-    assert all("Quorvane" not in clean[i] and "[EMAIL]" in clean[i] for i in range(5))
-    assert all(clean[100 + i] == dict(rows)[100 + i] for i in range(200))
+    assert all("Quorvane" not in clean[i] and "Quo*" in clean[i] and "Telkar" not in clean[i] and "[EMAIL]" in clean[i] for i in [*range(5), 400])
+    assert "Tel*" not in clean[0]  # no other word begins so, so it would tell as much
+    assert all("Ostrane" in clean[40 + i] for i in range(6)) and all("Maurique" in clean[60 + i] for i in range(12))
+    assert "[SECRET]" in clean[90] and all(clean[i] == t for i, t in rows if i >= 100 and i != 400 or 20 <= i < 40)
+
+
+def test_added_spans_against_brute_force(spark):
+    rows = planted_disclosure()
+    n, spans, tokens, df, together, contexts, of = len(rows), {}, {}, Counter(), Counter(), {}, Counter()
+    for i, text in rows:
+        base = [(m.start(), m.end(), m[0].lower()) for p in (r"[\w.]+@[\w-]+(?:\.[\w-]+)+", r"\d+\.\d+\.\d+\.\d+", r'(?<=token = ")\w+') for m in re.finditer(p, text)]
+        spans[i] = base
+        tokens[i] = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[^\W\d_]{2,}", text) if not any(a < m.end() and m.start() < b for a, b, _ in base)]
+        df.update({m.lower() for m in re.findall(r"[^\W\d_]{2,}", text)})
+        of.update({e for _, _, e in base})
+    for i, text in rows:
+        for e in {e for _, _, e in spans[i]}:
+            words = [t for t, _, _ in tokens[i]]
+            for t in set(words):
+                together[e, t] += 1
+                contexts.setdefault((e, t), {}).setdefault(text, tuple(words[max(0, words.index(t) - 2) : words.index(t) + 3]))
+    told = {(e, t) for (e, t), k in together.items() if len(c := set(contexts[e, t].values())) >= 3 and 2 * len(c) >= len(contexts[e, t]) and math.log2(k * n / df[t] / of[e]) >= 0.9 * math.log2(n / of[e])}
+    expected = {i: sorted((a, b) for t, a, b in tokens[i] if any((e, t) in told for _, _, e in spans[i])) for i, _ in rows}
+    assert sum(map(len, expected.values())) >= 12
+    found = pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: sorted((x["start"], x["end"]) for x in r["added"] or []) for r in found} == expected
 
 
 def test_classifier_on_held_out_rows(spark, docs):
