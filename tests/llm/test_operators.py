@@ -313,8 +313,59 @@ def test_licence_words_and_values():
     found = licenses.scan_text("Released under the MIT License.\nmit license MIT-LICENSE\n# SPDX-License-Identifier: (Apache-2.0 OR MIT) AND ISC\nGeneral Public\nLicense")
     assert (found["n_base"], found["first_word"], found["last_word"], found["base_labels"]) == (4, 3, 19, "gpl,mit")
     assert found["labels"] == "apache-2.0,gpl,isc,mit" and 0 < found["score"] <= 1
-    assert licenses.evaluate_expression(licenses.parse_expression("MIT OR GPL-2.0 AND ISC"), {"gpl-2.0", "isc"})
-    assert not licenses.evaluate_expression(licenses.parse_expression("(MIT OR GPL-2.0) AND ISC"), {"mit"})
+
+
+@pytest.mark.parametrize(("text", "expressions", "allowed"), [
+    ("Dual licensed under the MIT License or the General Public License, version 2", ["mit gpl or"], True),
+    ("the MIT License and the GNU General Public License", ["mit gpl and"], False),
+    ("General Public License version 2 with Classpath exception", ["gpl classpath-exception with"], False),
+    ("the Apache License 2.0 with LLVM exceptions or the Lesser General Public License", ["apache llvm-exception with lgpl or"], True),
+    ("the MIT License, and we thank all who helped us. Apache License", ["mit", "apache"], True),
+    ("Classpath exception of nothing", [], None),
+    ("MIT License. All rights reserved.", ["mit", "proprietary"], False),
+    ("SPDX-License-Identifier: (GPL-3.0-or-later OR BSD-3-Clause) AND CC-BY-4.0", ["gpl-3.0-or-later bsd-3-clause or cc-by-4.0 and"], True),
+    ("SPDX-License-Identifier: CC-BY-NC-SA-4.0\nPackageLicenseDeclared: MIT", ["cc-by-nc-sa-4.0", "mit"], False),
+    ("The MIT License\nSPDX-License-Identifier: ISC OR CC-BY-NC-4.0\nApache License", ["mit", "apache", "isc cc-by-nc-4.0 or"], True),
+    ("SPDX-License-Identifier: LicenseRef-Own OR ((MIT)", [], None),
+    ("SPDX-License-Identifier: LicenseRef-Own", ["licenseref-own"], False),
+])
+def test_expressions_are_evaluated(text, expressions, allowed):
+    found = licenses.scan_text(text)
+    assert (found["expressions"], found["allowed"]) == (expressions, allowed)
+
+
+@given(st.recursive(st.sampled_from(["MIT", "GPL-2.0", "ISC", "LGPL-2.1+", "X-1"]), lambda x: st.tuples(x, st.sampled_from(["AND", "OR"]), x), max_leaves=12))
+def test_expression_values_against_plain_evaluation(tree):
+    def text(t) -> str:
+        return t if isinstance(t, str) else f"({text(t[0])} {t[1]} {text(t[2])})"
+
+    def value(t) -> bool:
+        if isinstance(t, str):
+            return t in ("MIT", "ISC")
+        return (value(t[0]) and value(t[2])) if t[1] == "AND" else (value(t[0]) or value(t[2]))
+
+    assert licenses.evaluate_expression(licenses.parse_expression(text(tree))) == value(tree)
+    flat = re.sub("[()]", "", text(tree))  # Python's and, or have the same precedence
+    plain = " ".join({"AND": "and", "OR": "or"}.get(x, str(x in ("MIT", "ISC"))) for x in flat.split())
+    assert licenses.evaluate_expression(licenses.parse_expression(flat)) == eval(plain)
+
+
+def test_licence_labels_and_score_against_plain_search(spark, texts):
+    random.seed(6)
+    phrases = {**licenses.BASE, **licenses.NOTICES}
+    rows = dict(list(texts.items())[:100])
+    for i in range(100):
+        picked = random.sample(sorted(phrases), random.randrange(4))
+        tag = random.choice(["", "\nSPDX-License-Identifier: MPL-2.0 AND (MIT OR BSD-2-Clause)"])
+        rows[10**6 + i] = " foo, ".join(["begin", *(x.title().replace(" ", random.choice([" ", "-", "\n"])) for x in picked), "end"]) + tag
+    for r in licenses.scan(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect():
+        t = rows[r["doc_id"]]
+        line = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t))) + " "
+        base = {v for k, v in licenses.BASE.items() if f" {k} " in line}
+        notices = {v for k, v in licenses.NOTICES.items() if f" {k} " in line}
+        tags = {"mpl-2.0", "mit", "bsd-2-clause"} if "SPDX" in t else set()
+        assert r["labels"] == ",".join(sorted(base | notices | tags))
+        assert r["score"] == pytest.approx(1 - 0.1 ** len(base) * 0.4 ** len(notices - base) * 0.05 ** len(tags))
 
 
 def test_licences_against_plain_words(docs, texts):
