@@ -402,6 +402,31 @@ def test_paraphrases_are_found(spark):
     assert [(r["doc_id"], r["item_id"]) for r in found.collect()] == [(999, 7)]
 
 
+def test_edited_items_are_found_with_a_space_fitted_on_few_texts(spark, texts):
+    random.seed(5)
+    items = {r["item_id"]: r["text"].split() for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    pool = [t.split() for t in texts.values() if 80 < len(t.split()) < 500][:150]
+    words = [w for t in pool for w in t]
+    edits = {
+        "dropped": lambda w: [x for x in w if random.random() > 0.2],
+        "swapped": lambda w: [x for i in range(0, len(w), 2) for x in (w[i : i + 2][::-1] if random.random() < 0.2 else w[i : i + 2])],
+        "replaced": lambda w: [random.choice(words) if random.random() < 0.2 else x for x in w],
+        "widened": lambda w: [y for x in w for y in ([x, random.choice(words)] if random.random() < 0.2 else [x])],
+    }
+    rows, planted = [], {}
+    for k, edit in enumerate(edits.values()):
+        for i in range(40):
+            item, text = random.choice(list(items)), list(random.choice(pool))
+            at = random.randrange(len(text))
+            text[at:at] = edit(items[item])
+            rows.append((10**6 + 100 * k + i, " ".join(text)))
+            planted[rows[-1][0]] = item
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, spark.read.parquet(f"{SF}/benchmark.parquet"), sample=300).collect()}
+    for k in range(len(edits)):
+        assert sum((d, i) in found for d, i in planted.items() if (d - 10**6) // 100 == k) >= 36  # nine tenths
+
+
 @pytest.mark.parametrize("spread", [0.01, 0.05, 0.12, 0.3, 0.6, 1.0])
 def test_edited_items_are_found_however_many_documents_hold_them(spark, spread):
     random.seed(3)
