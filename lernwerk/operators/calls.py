@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import json
+import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 from ..sources.views import Registry
 
 R = Registry()
+REMINDER = "Answer with one JSON object and nothing else."
 
 
 def render_prompts(rows: DataFrame, template: Column, variables: dict[str, Column], into: str = "prompt") -> DataFrame:
@@ -22,29 +26,52 @@ def render_prompts(rows: DataFrame, template: Column, variables: dict[str, Colum
     return rows.withColumn(into, out)
 
 
-def llm_map(rows: DataFrame, client: Callable[[list[str]], list[str]], key: str, prompt: str = "prompt", attempts: int = 3, wait: float = 1.0, batch: int = 16) -> DataFrame:
-    """(key, response, success, retries, latency_ms) of every row through a client for batches of prompts.
+def holds_json(answer: str | None) -> bool:
+    """Whether an answer holds an object, as ``parse_llm_json`` reads it."""
+    bare = re.sub(r"```(?:json)?", "", answer or "")
+    inner = re.search(r"\{.*\}", bare, re.S)
+    for text in (inner[0], re.sub(r",\s*([}\]])", r"\1", inner[0])) if inner else ():
+        with contextlib.suppress(ValueError):
+            return isinstance(json.loads(text), dict)
+    return False
 
-    A failing batch is tried again after 1, 2, ... seconds, at most 8; then its rows are logged as failed.
+
+def llm_map(rows: DataFrame, client: Callable[[list[str]], list[str]], key: str, prompt: str = "prompt", attempts: int = 3, wait: float = 1.0, batch: int = 16, as_json: bool = False, asks: int = 2) -> DataFrame:
+    """(key, response, success, retries, asked_again, latency_ms) of every row through a client for batches of prompts.
+
+    A failing batch is tried again after 1, 2, ... seconds, at most 8; then its rows are logged as
+    failed. With ``as_json``, prompts whose answers hold no object are asked up to ``asks`` times more,
+    with a reminder; what then still holds none is no success.
     """
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def answers_to(prompts: list[str]) -> tuple[list[str | None], int]:
+            for tries in range(attempts):
+                try:
+                    return client(prompts), tries
+                except Exception:
+                    if tries + 1 < attempts:
+                        time.sleep(min(8.0, wait * 2**tries))
+            return [None] * len(prompts), attempts
+
         for part in batches:
             for at in range(0, len(part), batch):
-                some = part.iloc[at : at + batch]
-                began, answers, tries = time.monotonic(), None, 0
-                while answers is None and tries < attempts:
-                    try:
-                        answers = client(some["prompt"].tolist())
-                    except Exception:
-                        tries += 1
-                        if tries < attempts:
-                            time.sleep(min(8.0, wait * 2 ** (tries - 1)))
-                took = int((time.monotonic() - began) * 1000)
-                yield pd.DataFrame({"key": some["key"], "response": answers if answers is not None else [None] * len(some), "success": int(answers is not None), "retries": tries, "latency_ms": took})
+                some, began = part.iloc[at : at + batch], time.monotonic()
+                prompts = some["prompt"].tolist()
+                found, retries = answers_to(prompts)
+                again = [0] * len(found)
+                for _ in range(asks if as_json else 0):
+                    open_ = [i for i, x in enumerate(found) if x is not None and not holds_json(x)]
+                    if open_:
+                        more, tries = answers_to([f"{prompts[i]}\n\n{REMINDER}" for i in open_])
+                        retries += tries
+                        for i, x in zip(open_, more, strict=True):
+                            found[i], again[i] = x if x is not None else found[i], again[i] + 1
+                success = [int(x is not None and (not as_json or holds_json(x))) for x in found]
+                yield pd.DataFrame({"key": some["key"], "response": found, "success": success, "retries": retries, "asked_again": again, "latency_ms": int((time.monotonic() - began) * 1000)})
 
     asked = rows.select(F.col(key).alias("key"), F.col(prompt).alias("prompt"))
-    return asked.mapInPandas(call, "key long, response string, success int, retries int, latency_ms long").withColumnRenamed("key", key)
+    return asked.mapInPandas(call, "key long, response string, success int, retries int, asked_again int, latency_ms long").withColumnRenamed("key", key)
 
 
 def parse_llm_json(text: Column) -> Column:
@@ -65,12 +92,27 @@ def _answers(s) -> DataFrame:
     return s["part"].select(F.col("p_partkey").alias("id"), text.alias("answer"))
 
 
-def _echo(prompts: list[str]) -> list[str]:
-    return [p.upper() for p in prompts]
+def _offline_client() -> Callable[[list[str]], list[str]]:
+    """A stand-in model: each task's first call fails; some prompts need one reminder, some two, some never give JSON."""
+    calls = 0
+
+    def client(prompts: list[str]) -> list[str]:
+        nonlocal calls
+        calls += 1
+        if calls == 1:
+            raise ConnectionError("not yet")
+        out = []
+        for p in prompts:
+            kind, reminders = int(p.split(" ", 1)[0]) % 5, p.count(REMINDER)
+            name = json.dumps(p.split("\n", 1)[0].split(" ", 1)[1].upper())
+            out.append(f'```json\n{{"name": {name}}}\n```' if kind < 2 or kind == 2 and reminders else f'{{"name": {name},}}' if kind == 3 else "I can't")
+        return out
+
+    return client
 
 
 R.add("render_prompts", lambda s: render_prompts(s["part"], F.lit("About {name} ({size}): {other}"), {"name": F.col("p_name"), "size": F.col("p_size")}).select("p_partkey", "prompt"),
       "SELECT p_partkey, concat('About ', p_name, ' (', p_size, '): ', chr(123), 'other', chr(125)) AS prompt FROM {part}")
-R.add("llm_map", lambda s: llm_map(s["part"].select("p_partkey", F.col("p_name").alias("prompt")), _echo, "p_partkey").select("p_partkey", "response", "success", "retries"),
-      "SELECT p_partkey, upper(p_name) AS response, 1 AS success, 0 AS retries FROM {part}")
+R.add("llm_map", lambda s: llm_map(s["part"].select("p_partkey", F.concat_ws(" ", "p_partkey", "p_name").alias("prompt")), _offline_client(), "p_partkey", wait=0.01, as_json=True).select("p_partkey", F.try_variant_get(parse_llm_json(F.col("response")), "$.name", "string").alias("name"), "success", "asked_again"),
+      "SELECT p_partkey, CASE WHEN p_partkey % 5 < 4 THEN upper(p_name) END AS name, CASE WHEN p_partkey % 5 < 4 THEN 1 ELSE 0 END AS success, CASE p_partkey % 5 WHEN 2 THEN 1 WHEN 4 THEN 2 ELSE 0 END AS asked_again FROM {part}")
 R.add("parse_llm_json", lambda s: _answers(s).select("id", F.try_variant_get(parse_llm_json(F.col("answer")), "$.n", "int").alias("n")), "SELECT p_partkey AS id, CASE WHEN p_partkey % 6 < 4 THEN CAST(p_size AS INT) END AS n FROM {part}")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources import corpus
+from ..sources.shared import new_path
 from ..sources.views import Registry, union_all
 
 R = Registry()
@@ -46,27 +47,31 @@ def purge_orphans(index: DataFrame, chunks: DataFrame) -> DataFrame:
     return index.join(chunks.select("pk"), "pk", "left_semi")
 
 
-#: What goes with a row: (table, its column, the table above, that table's column).
+#: What goes with a row: (table, the table above, their columns in both). No row is left that points to a removed one.
 CASCADES = {
-    "kb": [("question", "kb_id", "kb", "kb_id"), ("question_tag", "question_id", "question", "question_id"), ("option", "question_id", "question", "question_id"), ("paper_item", "question_id", "question", "question_id"), ("answer", "question_id", "question", "question_id"), ("exam", "kb_id", "kb", "kb_id"), ("answer", "exam_id", "exam", "exam_id"),
-           ("mistake", "kb_id", "kb", "kb_id"), ("chunk", "kb_id", "kb", "kb_id"), ("tag", "kb_id", "kb", "kb_id"), ("chunk_tag", "kb_id", "kb", "kb_id")],
-    "document": [("chunk", "doc_id", "document", "doc_id"), ("chunk_tag", "chunk_id", "chunk", "chunk_id")],
-    "tag": [("tag", "parent_id", "tag", "tag_id"), ("tag", "parent_id", "tag", "tag_id"), ("chunk_tag", "tag_id", "tag", "tag_id"), ("question_tag", "tag_id", "tag", "tag_id")],
-    "interview": [("turn", "interview_id", "interview", "interview_id")],
-    "resume": [("interview", "resume_id", "resume", "resume_id"), ("turn", "interview_id", "interview", "interview_id")],
-    "paper": [("paper_item", "paper_id", "paper", "paper_id")],
+    "kb": [("exam", "kb", {"kb_id": "kb_id"}), ("answer", "exam", {"exam_id": "exam_id"}), ("mistake", "kb", {"kb_id": "kb_id"}), ("review_log", "mistake", {"user_id": "user_id", "question_id": "question_id"}), ("question", "kb", {"kb_id": "kb_id"}), ("option", "question", {"question_id": "question_id"}),
+           ("question_tag", "question", {"question_id": "question_id"}), ("answer", "question", {"question_id": "question_id"}), ("paper", "kb", {"kb_id": "kb_id"}), ("paper_item", "paper", {"paper_id": "paper_id"}), ("paper_item", "question", {"question_id": "question_id"}),
+           ("document", "kb", {"kb_id": "kb_id"}), ("chunk", "kb", {"kb_id": "kb_id"}), ("chunk_tag", "kb", {"kb_id": "kb_id"}), ("tag", "kb", {"kb_id": "kb_id"})],
+    "document": [("chunk", "document", {"doc_id": "doc_id"}), ("chunk_tag", "chunk", {"chunk_id": "chunk_id"})],
+    "tag": [("tag", "tag", {"parent_id": "tag_id"}), ("tag", "tag", {"parent_id": "tag_id"}), ("chunk_tag", "tag", {"tag_id": "tag_id"}), ("question_tag", "tag", {"tag_id": "tag_id"})],
+    "interview": [("turn", "interview", {"interview_id": "interview_id"})],
+    "resume": [("interview", "resume", {"resume_id": "resume_id"}), ("turn", "interview", {"interview_id": "interview_id"})],
+    "paper": [("paper_item", "paper", {"paper_id": "paper_id"})],
+    "paper_with_questions": [("paper_item", "paper", {"paper_id": "paper_id"}), ("question", "paper_item", {"question_id": "question_id"}), ("option", "question", {"question_id": "question_id"}), ("question_tag", "question", {"question_id": "question_id"}), ("paper_item", "question", {"question_id": "question_id"})],
 }
+KEYS = ("option_key", "seq", "sort_order", "reviewed_at")
 
 
 def cascade_delete(tables: dict[str, DataFrame], kind: str, key: str, gone: DataFrame) -> dict[str, DataFrame]:
     """Tables after rows of one kind and all their dependents are deleted (A11): gone(key)."""
-    removed = {kind: tables[kind].join(gone, key, "left_semi")} if kind in tables else {kind: gone}
-    for table, column, above, above_key in CASCADES[kind]:
+    top = kind.partition("_with_")[0]
+    removed = {top: tables[top].join(gone, key, "left_semi") if top in tables else gone}
+    for table, above, columns in CASCADES[kind]:
         if table in tables and above in removed:
-            keys = removed[above].select(F.col(above_key).alias(column)).distinct()
-            more = tables[table].join(keys, column, "left_semi")
+            keys = removed[above].select(*(F.col(theirs).alias(own) for own, theirs in columns.items())).distinct()
+            more = tables[table].join(keys, list(columns), "left_semi")
             removed[table] = removed[table].unionByName(more).distinct() if table in removed else more
-    keep = {name: [c for c in rows.columns if c.endswith("_id") or c in ("option_key", "seq")] for name, rows in tables.items()}
+    keep = {name: [c for c in rows.columns if c.endswith("_id") or c in KEYS] for name, rows in tables.items()}
     return {name: rows.join(removed[name].select(*keep[name]).distinct(), keep[name], "left_anti") if name in removed else rows for name, rows in tables.items()}
 
 
@@ -89,6 +94,20 @@ def merge_partial(existing: DataFrame, changes: DataFrame, keys: list[str]) -> D
     return rows.withColumns({c: F.coalesce(f"_{c}", c) for c in given}).select(*existing.columns)
 
 
+def snapshot_and_restore(s) -> DataFrame:
+    """A snapshot of some tables, changes to them, and what a restore leaves: rows, sum of ids and whether each table was in it."""
+    path, target = new_path(s.spark, "snapshot"), new_path(s.spark, "restored")
+    saved = {"question": s["v_question"], "tag": s["v_tag"], "option": s["v_option"]}
+    manifest = corpus.snapshot_tables(saved, path)
+    changed = {"question": s["v_question"].filter("kb_id < 2"), "tag": s["v_tag"].withColumn("name", F.lit("")), "option": s["v_option"].limit(0), "chunk_tag": s["v_chunk_tag"]}
+    for name, rows in changed.items():
+        rows.write.parquet(f"{target}/{name}")
+    report = corpus.restore_tables(s.spark, path, target, list(changed))
+    left = union_all([s.spark.read.parquet(f"{target}/{n}").agg(F.lit(n).alias("table"), F.count("*").alias("left_rows"), F.sum(k).alias("ids")) for n, k in (("question", "question_id"), ("tag", "tag_id"), ("option", "question_id"), ("chunk_tag", "tag_id"))])
+    left = left.join(manifest.select("table", "version"), "table", "left")
+    return left.join(report, "table").select(F.col("table").alias("table_name"), "left_rows", "ids", "restored", "version")
+
+
 INDEX = "SELECT CASE WHEN chunk_id % 97 = 0 THEN -chunk_id - 1 ELSE chunk_id END AS pk, concat('kb_', CAST(CASE WHEN chunk_id % 89 = 0 THEN kb_id + 1 ELSE kb_id END AS STRING)) AS partition FROM {v_chunk}"
 STATUS = f"""SELECT coalesce(c.chunk_id, i.pk) AS pk, CASE WHEN c.chunk_id IS NULL THEN 'orphan' WHEN i.pk IS NULL THEN 'missing' WHEN i.partition <> concat('kb_', c.kb_id) THEN 'misplaced' ELSE 'ok' END AS status FROM {{v_chunk}} c FULL JOIN ({INDEX}) i ON i.pk = c.chunk_id"""
 
@@ -102,7 +121,7 @@ def _exported(s) -> DataFrame:
 
 
 def _cascade(s, kind: str, key: str, gone: DataFrame) -> DataFrame:
-    names = {"question": "v_question", "option": "v_option", "question_tag": "v_question_tag", "tag": "v_tag", "chunk": "v_chunk", "chunk_tag": "v_chunk_tag", "exam": "v_exam", "answer": "v_answer"}
+    names = {"question": "v_question", "option": "v_option", "question_tag": "v_question_tag", "tag": "v_tag", "chunk": "v_chunk", "chunk_tag": "v_chunk_tag", "exam": "v_exam", "answer": "v_answer", "mistake": "v_mistake", "review_log": "v_review_log", "paper": "v_paper", "paper_item": "v_paper_item", "document": "v_doc"}
     left = cascade_delete({n: s[v] for n, v in names.items()}, kind, key, gone)
     return union_all([rows.agg(F.lit(n).alias("table_name"), F.count("*").alias("rows")) for n, rows in left.items()])
 
@@ -123,10 +142,16 @@ R.add("reconcile_index", lambda s: reconcile_index(_chunks(s), s.sql(INDEX)), ST
 R.add("reconcile_report", lambda s: reconcile_report(reconcile_index(_chunks(s), s.sql(INDEX))),
       f"SELECT count(*) AS total, count(*) FILTER (WHERE status = 'orphan') AS orphan, count(*) FILTER (WHERE status = 'missing') AS missing, count(*) FILTER (WHERE status = 'misplaced') AS misplaced, count(*) FILTER (WHERE status <> 'ok') = 0 AS healthy FROM ({STATUS}) x")
 R.add("purge_orphans", lambda s: purge_orphans(s.sql(INDEX), _chunks(s)), f"SELECT * FROM ({INDEX}) i WHERE pk IN (SELECT chunk_id FROM {{v_chunk}})")
+PLAIN = ("tag", "chunk", "chunk_tag", "exam", "mistake", "paper", "document")
+LEFT = " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS rows FROM {{v_{'doc' if n == 'document' else n}}} WHERE kb_id >= 2" for n in PLAIN)
 R.add("cascade_delete", lambda s: _cascade(s, "kb", "kb_id", s["v_kb"].filter("kb_id < 2").select("kb_id")),
-      """WITH q AS (SELECT * FROM {v_question} WHERE kb_id >= 2) SELECT 'question' AS table_name, count(*) AS rows FROM q UNION ALL SELECT 'option', count(*) FROM {v_option} WHERE question_id IN (SELECT question_id FROM q) UNION ALL SELECT 'question_tag', count(*) FROM {v_question_tag} WHERE question_id IN (SELECT question_id FROM q)
-      UNION ALL SELECT 'tag', count(*) FROM {v_tag} WHERE kb_id >= 2 UNION ALL SELECT 'chunk', count(*) FROM {v_chunk} WHERE kb_id >= 2 UNION ALL SELECT 'chunk_tag', count(*) FROM {v_chunk_tag} WHERE kb_id >= 2 UNION ALL SELECT 'exam', count(*) FROM {v_exam} WHERE kb_id >= 2
-      UNION ALL SELECT 'answer', count(*) FROM {v_answer} WHERE question_id IN (SELECT question_id FROM q) AND exam_id IN (SELECT exam_id FROM {v_exam} WHERE kb_id >= 2)""")
+      f"""WITH q AS (SELECT * FROM {{v_question}} WHERE kb_id >= 2) {LEFT} UNION ALL SELECT 'question', count(*) FROM q UNION ALL SELECT 'option', count(*) FROM {{v_option}} WHERE question_id IN (SELECT question_id FROM q) UNION ALL SELECT 'question_tag', count(*) FROM {{v_question_tag}} WHERE question_id IN (SELECT question_id FROM q)
+      UNION ALL SELECT 'answer', count(*) FROM {{v_answer}} WHERE question_id IN (SELECT question_id FROM q) AND exam_id IN (SELECT exam_id FROM {{v_exam}} WHERE kb_id >= 2)
+      UNION ALL SELECT 'paper_item', count(*) FROM {{v_paper_item}} WHERE question_id IN (SELECT question_id FROM q) AND paper_id IN (SELECT paper_id FROM {{v_paper}} WHERE kb_id >= 2)
+      UNION ALL SELECT 'review_log', count(*) FROM {{v_review_log}} l WHERE NOT EXISTS (SELECT 1 FROM {{v_mistake}} m WHERE m.user_id = l.user_id AND m.question_id = l.question_id AND m.kb_id < 2)""")
+R.add("cascade_delete_paper", lambda s: _cascade(s, "paper_with_questions", "paper_id", s["v_paper"].filter("paper_id % 50 = 0").select("paper_id")).filter("table_name in ('paper', 'paper_item', 'question', 'option', 'question_tag')"),
+      """WITH g AS (SELECT DISTINCT question_id FROM {v_paper_item} WHERE paper_id % 50 = 0) SELECT 'paper' AS table_name, count(*) AS rows FROM {v_paper} WHERE paper_id % 50 <> 0 UNION ALL SELECT 'paper_item', count(*) FROM {v_paper_item} WHERE paper_id % 50 <> 0 AND question_id NOT IN (SELECT question_id FROM g WHERE question_id IN (SELECT question_id FROM {v_question}))
+      UNION ALL SELECT 'question', count(*) FROM {v_question} WHERE question_id NOT IN (SELECT question_id FROM g) UNION ALL SELECT 'option', count(*) FROM {v_option} WHERE question_id NOT IN (SELECT question_id FROM g) UNION ALL SELECT 'question_tag', count(*) FROM {v_question_tag} WHERE question_id NOT IN (SELECT question_id FROM g)""")
 R.add("cascade_delete_tag", lambda s: _cascade(s, "tag", "tag_id", s["v_tag"].filter("level = 1 and tag_id % 2 = 0").select("tag_id")).filter("table_name in ('tag', 'chunk_tag', 'question_tag')"),
       """WITH RECURSIVE g AS (SELECT tag_id FROM {v_tag} WHERE level = 1 AND tag_id % 2 = 0 UNION ALL SELECT t.tag_id FROM {v_tag} t JOIN g ON t.parent_id = g.tag_id) SELECT 'tag' AS table_name, count(*) AS rows FROM {v_tag} WHERE tag_id NOT IN (SELECT tag_id FROM g)
       UNION ALL SELECT 'chunk_tag', count(*) FROM {v_chunk_tag} WHERE tag_id NOT IN (SELECT tag_id FROM g) UNION ALL SELECT 'question_tag', count(*) FROM {v_question_tag} WHERE tag_id NOT IN (SELECT tag_id FROM g)""")
@@ -134,3 +159,5 @@ PRICES_OLD, PRICES_NEW = "SELECT question_id AS id, stem AS name, difficulty AS
 R.add("merge_ignore", lambda s: merge_ignore(s.sql(PRICES_OLD), s.sql(PRICES_NEW), ["id"]), f"SELECT * FROM ({PRICES_OLD}) o UNION ALL SELECT * FROM ({PRICES_NEW}) n WHERE id % 2 <> 0")
 R.add("merge_upsert", lambda s: merge_replace(s.sql(PRICES_OLD), s.sql(PRICES_NEW), ["id"], "id"), f"SELECT * FROM ({PRICES_NEW}) n UNION ALL SELECT * FROM ({PRICES_OLD}) o WHERE id % 3 <> 0")
 R.add("merge_partial", lambda s: merge_partial(s.sql(PRICES_OLD), s.sql(PRICES_NEW), ["id"]), f"SELECT o.id, coalesce(n.name, o.name) AS name, coalesce(n.level, o.level) AS level FROM ({PRICES_OLD}) o LEFT JOIN ({PRICES_NEW}) n ON n.id = o.id")
+R.add("snapshot_restore", snapshot_and_restore,
+      " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS left_rows, CAST(sum({k}) AS BIGINT) AS ids, {r} AS restored, {v} AS version FROM {{v_{n}}}" for n, k, r, v in (("question", "question_id", "true", "'1'"), ("tag", "tag_id", "true", "'1'"), ("option", "question_id", "true", "'1'"), ("chunk_tag", "tag_id", "false", "NULL"))))

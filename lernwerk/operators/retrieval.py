@@ -135,11 +135,22 @@ def enrich_hits(hits: DataFrame, chunks: DataFrame, documents: DataFrame) -> Dat
     return rows.join(documents.select("doc_id", "file_name"), "doc_id", "left")
 
 
-def hybrid_search(queries: DataFrame, vectors: DataFrame, texts: DataFrame | None, top: int = TOP, recall: int = RECALL) -> DataFrame:
-    """Dense and BM25 lists fused; dense alone if there are no texts (C7). ``source`` says which."""
+def hybrid_search(queries: DataFrame, vectors: DataFrame, texts: DataFrame | None, chunks: DataFrame, documents: DataFrame, top: int = TOP, recall: int = RECALL, doc_ids: list[int] | None = None, tag_ids: list[int] | None = None) -> DataFrame:
+    """Chunks are filtered (C4), ranked by vectors and by words (C2, C3), fused (C5) and given their documents.
+
+    chunks(chunk_id, doc_id, chunk_index, tag_ids) names what may be found; without texts the dense
+    list stands alone. ``source`` says which.
+    """
+    allowed = retrieval_filter(chunks, doc_ids, tag_ids)
+    if doc_ids is not None or tag_ids is not None:
+        may = allowed.select(F.col("chunk_id").alias("pk")).distinct()
+        vectors = vectors.join(may, "pk", "left_semi")
+        texts = None if texts is None else texts.join(may, "pk", "left_semi")
     if texts is None:
-        return dense_topk(queries, vectors, top).withColumn("source", F.lit("dense"))
-    return rrf_fuse(dense_topk(queries, vectors, recall), bm25_topk(queries, texts, recall), top).withColumn("source", F.lit("hybrid"))
+        hits = dense_topk(queries, vectors, top).withColumn("source", F.lit("dense"))
+    else:
+        hits = rrf_fuse(dense_topk(queries, vectors, recall), bm25_topk(queries, texts, recall), top).withColumn("source", F.lit("hybrid"))
+    return enrich_hits(hits, chunks, documents).select("query_id", "rank", "pk", "score", "source", "doc_id", "chunk_index", "file_name")
 
 
 QUERIES_TEXT = "SELECT CAST(b.item_id AS BIGINT) AS query_id, k.kb_id, b.text FROM {benchmark} b CROSS JOIN {v_kb} k WHERE b.item_id % 5 = k.kb_id"
@@ -171,11 +182,17 @@ R.add("enrich_hits", lambda s: enrich_hits(_bm25(s, TOP), s["v_chunk"], s["v_doc
       f"WITH {BM25} SELECT r.query_id, r.rank, r.pk, c.doc_id, c.chunk_index, d.file_name FROM ranked r LEFT JOIN {{v_chunk}} c ON c.chunk_id = r.pk LEFT JOIN {{v_doc}} d ON d.doc_id = c.doc_id WHERE r.rank <= 8")
 
 
-def _hybrid(s) -> DataFrame:
+def _hybrid(s, texts: bool = True, **filters) -> DataFrame:
     """Queries with both a vector and a text: every benchmark item with the vector of its number."""
     both = s.sql(QUERIES_TEXT).join(s["v_chunk_vector"].select(F.col("pk").alias("query_id"), "vector"), "query_id")
-    return hybrid_search(both, s["v_chunk_vector"], s.sql(CHUNK_TEXTS))
+    chunks = s["v_chunk"].withColumn("tag_ids", F.expr("array(chunk_id % 3, 10 + chunk_id % 4)"))
+    return hybrid_search(both, s["v_chunk_vector"], s.sql(CHUNK_TEXTS) if texts else None, chunks, s["v_doc"], **filters)
 
 
+ENRICHED = "x.query_id, x.rank, x.pk, x.score, x.source, c.doc_id, c.chunk_index, d.file_name FROM ({0}) x LEFT JOIN {v_chunk} c ON c.chunk_id = x.pk LEFT JOIN {v_doc} d ON d.doc_id = c.doc_id"
+MAY = "c.doc_id % 50 < 20 AND (c.chunk_id % 3 = 1 OR c.chunk_id % 4 = 2)"
 HYBRID = FUSED.replace("{v_query_vector} q", "(SELECT x.query_id, x.kb_id, v.vector FROM (" + QUERIES_TEXT + ") x JOIN {v_chunk_vector} v ON v.pk = x.query_id) q")
-R.add("hybrid_search", _hybrid, HYBRID + " SELECT query_id, rank, pk, score, 'hybrid' AS source FROM top WHERE rank <= 8")
+R.add("hybrid_search", _hybrid, HYBRID + " SELECT " + ENRICHED.replace("{0}", "SELECT query_id, rank, pk, score, 'hybrid' AS source FROM top WHERE rank <= 8"))
+FILTERED = HYBRID.replace("JOIN {v_chunk_vector} c ON", "JOIN (SELECT v.* FROM {v_chunk_vector} v JOIN {v_chunk} c ON c.chunk_id = v.pk WHERE " + MAY + ") c ON").replace("(" + CHUNK_TEXTS + ") c", "(SELECT chunk_id AS pk, kb_id, content AS text FROM {v_chunk} c WHERE " + MAY + ") c")
+R.add("hybrid_search_filtered", lambda s: _hybrid(s, doc_ids=list(range(20)), tag_ids=[1, 12]), FILTERED + " SELECT " + ENRICHED.replace("{0}", "SELECT query_id, rank, pk, score, 'hybrid' AS source FROM top WHERE rank <= 8"))
+R.add("hybrid_search_dense", lambda s: _hybrid(s, texts=False).withColumn("score", F.round("score", 5)), "SELECT " + ENRICHED.replace("{0}", "SELECT query_id, rank, pk, round(score, 5) AS score, 'dense' AS source FROM (" + DENSE.replace("{v_query_vector} q", "(SELECT x.query_id, x.kb_id, v.vector FROM (" + QUERIES_TEXT + ") x JOIN {v_chunk_vector} v ON v.pk = x.query_id) q") + ") d WHERE rank <= 8"))

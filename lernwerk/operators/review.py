@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_path
 from ..sources.views import AS_OF, Registry
+from ..streaming.review_stream import sm2_stream
 
 R = Registry()
 PASS, MASTERED_STREAK, MASTERED_INTERVAL = 0.8, 4, 30
@@ -148,3 +150,26 @@ R.add("review_calendar", lambda s: review_calendar(s["v_mistake"], s["v_attempt"
 R.add("due_by_kb", lambda s: due_by_kb(_due(s)),
       f"""SELECT kb_id, count(*) AS items, count(*) FILTER (WHERE overdue_days > 0) AS overdue, string_agg(CAST(question_id AS VARCHAR), ',' ORDER BY n) FILTER (WHERE n <= 8) AS first_items
       FROM (SELECT *, row_number() OVER (PARTITION BY kb_id ORDER BY next_review_at, user_id, question_id) AS n FROM ({DUE}) d) x GROUP BY kb_id""")
+
+
+def _streamed(s) -> DataFrame:
+    """The fold as a stream: half of the attempts arrive as files and are folded, then the others with the same state."""
+    spark, rows = s.spark, s["v_attempt"]
+    arriving, state, out = (new_path(spark, x) for x in ("attempts", "review-state", "reviews"))
+    middle = rows.agg(F.percentile_approx(F.unix_timestamp("ts"), 0.5)).first()[0] or 0
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for step, part in enumerate((F.unix_timestamp("ts") < middle, F.unix_timestamp("ts") >= middle)):
+            rows.filter(part).write.mode("append").parquet(arriving)
+            updates = sm2_stream(spark.readStream.schema(rows.schema).parquet(arriving))
+            write = lambda part, no, step=step: part.withColumn("step", F.lit(step)).write.mode("append").parquet(out)
+            updates.writeStream.outputMode("update").option("checkpointLocation", state).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    last = F.row_number().over(W.partitionBy("user_id", "question_id").orderBy(F.desc("step")))
+    return spark.read.parquet(out).filter("not late").withColumn("_n", last).filter("_n = 1").drop("_n", "step")
+
+
+R.add("sm2_stream", lambda s: _text(_streamed(s), "last_wrong_at", "next_review_at").select("user_id", "question_id", "wrong_count", "right_streak", "ease_factor", "interval_days", "repetitions", "last_wrong_at", "next_review_at", "mastered"), R.oracles["sm2_fold"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -27,6 +28,7 @@ CLASSES = {
     "SCENARIO": ["如果", "假设", "线上", "故障", "怎么设计", "如何设计", "方案"],
     "REVERSE": ["你有什么想问", "反问", "想问我们"],
 }
+LATIN = r"[A-Za-z][A-Za-z0-9+#.\-]*"
 EDGE = r"[，。！？、；：…—·～~,.!?;:\"'“”‘’（）()【】{}《》<>\s]"
 
 
@@ -147,47 +149,56 @@ def hotword_dictionary(tags: DataFrame, builtin: DataFrame, limit: int = 300) ->
     return words.groupBy("kb_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.length("word")).alias("n"), "word"))), lambda x: x["word"]).alias("words"))
 
 
+def edit_distance(a: str, b: str) -> int:
+    """Insertions, deletions and replacements between two short texts."""
+    row = range(len(b) + 1)
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def closest(part: Callable[[str], str], words: list[str]) -> tuple[str, float]:
+    """The word with the least edit distance to what the text has in its place, and their similarity; the longer, then the first of equal ones."""
+    scored = [(1 - edit_distance(part(w), w) / len(w), len(w), -i, w) for i, w in enumerate(words) if len(part(w)) == len(w)]
+    return max(scored)[3::-3] if scored else ("", 0.0)
+
+
+def correct_han(text: str, words: list[str], least: float) -> tuple[str, list[tuple[str, str, float]]]:
+    """Chinese terms, from left to right: where one begins it is left, else the closest one of the same length replaces what stands there."""
+    if not words:
+        return text, []
+    by_start = {c: sorted((w for w in words if w[0] == c), key=lambda w: (-len(w), w)) for c in {w[0] for w in words}}
+    begins, out, fixes, done = re.compile("[" + "".join(map(re.escape, by_start)) + "]"), [], [], 0
+    while m := begins.search(text, done):
+        at, here = m.start(), by_start[m[0]]
+        out.append(text[done:at])
+        word = next((w for w in here if text.startswith(w, at)), None)
+        if word is None:
+            word, score = closest(lambda w: text[at : at + len(w)], here)
+            if score >= least:
+                fixes.append((text[at : at + len(word)], word, round(score, 2)))
+            else:
+                word = m[0]
+        out.append(word)
+        done = at + len(word)
+    return "".join([*out, text[done:]]), fixes
+
+
 def correct_text(text: str, words: list[str], han: float = 0.75, latin: float = 0.78) -> tuple[str, list[tuple[str, str, float]]]:
-    """Terms that a transcript misspells: a left-to-right scan for Chinese terms, then Latin words."""
-    cjk = sorted((w for w in words if re.search("[一-鿿]", w)), key=lambda w: (-len(w), w))
-    starts: dict[str, list[str]] = {}
-    for w in cjk:
-        starts.setdefault(w[0], []).append(w)
-    out, fixes, i = [], [], 0
-    while i < len(text):
-        near = starts.get(text[i], [])
-        exact = next((w for w in near if text.startswith(w, i)), None)
-        if exact:
-            out.append(exact)
-            i += len(exact)
-            continue
-        best, score = None, 0.0
-        for w in near:
-            part = text[i : i + len(w)]
-            if len(part) == len(w):
-                alike = 1 - sum(a != b for a, b in zip(part, w, strict=True)) / len(w)
-                if alike > score:
-                    best, score = w, alike
-        if best and score >= han:
-            fixes.append((text[i : i + len(best)], best, round(score, 2)))
-            out.append(best)
-            i += len(best)
-        else:
-            out.append(text[i])
-            i += 1
-    known = {w.lower(): w for w in words if re.fullmatch(r"[A-Za-z][A-Za-z0-9+#.\-]*", w)}
-
-    def fix(m) -> str:
-        word = m[0]
-        if word.lower() in known:
-            return word
-        found = difflib.get_close_matches(word.lower(), known, 1, latin)
-        if not found:
-            return word
-        fixes.append((word, known[found[0]], round(difflib.SequenceMatcher(None, word.lower(), found[0]).ratio(), 2)))
-        return known[found[0]]
-
-    return re.sub(r"[A-Za-z][A-Za-z0-9+#.\-]{3,}", fix, "".join(out)), fixes
+    """A transcript with its misspelt terms corrected, Chinese ones first, and what was replaced."""
+    text, fixes = correct_han(text, [w for w in words if re.search("[一-鿿]", w)], han)
+    known = {w.lower(): w for w in words if re.fullmatch(LATIN, w)}
+    parts = re.split(f"({LATIN[:-1]}{{3,}})", text)  # odd places hold words of at least four characters
+    for i in range(1, len(parts), 2):
+        low = parts[i].lower()
+        near = [] if low in known else difflib.get_close_matches(low, known, 1, latin)
+        for found in near:
+            fixes.append((parts[i], known[found], round(difflib.SequenceMatcher(None, low, found).ratio(), 2)))
+            parts[i] = known[found]
+    return "".join(parts), fixes
 
 
 def correct_terms(rows: DataFrame, dictionary: DataFrame) -> DataFrame:

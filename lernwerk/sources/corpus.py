@@ -99,7 +99,18 @@ def snapshot_tables(tables: dict[str, DataFrame], path: str, version: str = "1")
     return manifest.sparkSession.read.parquet(f"{path}/_manifest_")
 
 
-def restore_tables(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
-    """The listed tables of a snapshot; those it lacks are left out."""
-    have = {r["table"] for r in spark.read.parquet(f"{path}/_manifest_").select("table").collect()}  # one row per table
-    return {n: spark.read.parquet(f"{path}/{n}") for n in names if n in have}
+def restore_tables(spark: SparkSession, path: str, target: str, names: list[str]) -> DataFrame:
+    """Replace all rows of the listed tables under ``target`` by those of a snapshot; returns (table, rows, restored).
+
+    Tables that the snapshot lacks stay as they are. A table whose rows are fewer or more than the
+    manifest says isn't touched: its snapshot is broken.
+    """
+    manifest = {r["table"]: r["rows"] for r in spark.read.parquet(f"{path}/_manifest_").collect()}  # one row per table
+    done = []
+    for name in names:
+        rows = spark.read.parquet(f"{path}/{name}") if name in manifest else None
+        whole = rows is not None and rows.count() == manifest[name]
+        if whole:
+            rows.write.mode("overwrite").parquet(f"{target}/{name}")
+        done.append((name, manifest.get(name), whole))
+    return spark.createDataFrame(done, "table string, rows long, restored boolean")

@@ -46,6 +46,8 @@ VIEWS = {
     "v_chunk": """SELECT CAST(doc_id AS BIGINT) AS chunk_id, CAST(doc_id % 50 AS BIGINT) AS doc_id, CAST(doc_id % 5 AS BIGINT) AS kb_id, CAST(floor(doc_id / 50) AS INT) AS chunk_index, text AS content, CAST(n_chars AS INT) AS n_chars FROM {documents}""",
     "v_chunk_tag": """SELECT c.chunk_id, t.tag_id, t.kb_id FROM {v_chunk} c JOIN {v_tag} t ON c.kb_id = t.kb_id AND (c.chunk_id + t.sort_order) % 7 = 0 WHERE t.level = 2""",
     "v_paper_item": "SELECT CAST(l_orderkey AS BIGINT) AS paper_id, question_id, CAST(sort_order AS INT) AS sort_order FROM (SELECT l_orderkey, CAST(l_partkey AS BIGINT) AS question_id, min(l_linenumber) AS sort_order FROM {lineitem} GROUP BY l_orderkey, l_partkey) x",
+    "v_paper": "SELECT CAST(o_orderkey AS BIGINT) AS paper_id, CAST(o_orderkey % 5 AS BIGINT) AS kb_id FROM {orders}",
+    "v_review_log": "SELECT user_id, question_id, exam_id, ts AS reviewed_at, rate AS score_rate FROM {v_attempt} WHERE rate >= 0.8",
     "v_query_vector": "SELECT CAST(vec_id AS BIGINT) AS query_id, embedding AS vector, CAST(vec_id % 5 AS BIGINT) AS kb_id FROM {embeddings} WHERE vec_id % 20 = 0",
     "v_chunk_vector": "SELECT CAST(vec_id AS BIGINT) AS pk, embedding AS vector, CAST(vec_id % 5 AS BIGINT) AS kb_id, CAST(label AS BIGINT) AS tag_id FROM {embeddings}",
 }
