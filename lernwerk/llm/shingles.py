@@ -27,9 +27,12 @@ with np.errstate(over="ignore"):
 
 def _hash_segment(raw: bytes) -> np.ndarray:
     letters = np.frombuffer(raw, dtype=np.uint8)
-    edges = np.flatnonzero(np.diff(letters != 0x20, prepend=False, append=False))
+    inside = np.zeros(len(letters) + 2, dtype=np.bool_)
+    np.not_equal(letters, 0x20, out=inside[1:-1])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(letters * _POWER[: len(letters)])])
+    sums = np.zeros(len(letters) + 1, dtype=np.uint64)
+    np.cumsum(letters * _POWER[: len(letters)], out=sums[1:])
     found = (sums[ends] - sums[starts]) * _INVERSE[starts]
     found ^= found >> np.uint64(29)
     return found * _MIX
