@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import xxhash
 
@@ -26,6 +28,11 @@ with np.errstate(over="ignore"):
 
 
 def _hash_segment(raw: bytes) -> np.ndarray:
+    return _hash_and_starts(raw)[0]
+
+
+def _hash_and_starts(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words between blanks, and where they start."""
     letters = np.frombuffer(raw, dtype=np.uint8)
     inside = np.zeros(len(letters) + 2, dtype=np.bool_)
     np.not_equal(letters, 0x20, out=inside[1:-1])
@@ -35,7 +42,7 @@ def _hash_segment(raw: bytes) -> np.ndarray:
     np.cumsum(letters * _POWER[: len(letters)], out=sums[1:])
     found = (sums[ends] - sums[starts]) * _INVERSE[starts]
     found ^= found >> np.uint64(29)
-    return found * _MIX
+    return found * _MIX, starts
 
 
 def hashed_words(text: str, breaks: bytes = FOLD) -> np.ndarray:
@@ -59,6 +66,30 @@ def hashed_words(text: str, breaks: bytes = FOLD) -> np.ndarray:
     return np.concatenate(parts)
 
 
+def hashed_texts(texts: Iterable[str]) -> Iterator[np.ndarray]:
+    """``hashed_words`` of each text in turn; short texts are hashed together."""
+    held: list[bytes] = []
+    size = 0
+
+    def out() -> Iterator[np.ndarray]:
+        found, starts = _hash_and_starts(b" ".join(held))
+        ends = np.cumsum([len(x) + 1 for x in held])
+        yield from np.split(found, np.searchsorted(starts, ends[:-1]))
+
+    for text in texts:
+        raw = text.encode().lower().translate(FOLD)
+        if held and size + len(raw) + 1 > _SEGMENT:
+            yield from out()
+            held, size = [], 0
+        if len(raw) >= _SEGMENT:
+            yield hashed_words(text)
+        else:
+            held.append(raw)
+            size += len(raw) + 1
+    if held:
+        yield from out()
+
+
 def shingle_ids(text: str, width: int = 5) -> np.ndarray:
     """Ids of all runs of ``width`` lower-cased words, in order; a shorter text with words is one run."""
     words = hashed_words(text.lower(), BLANKS)

@@ -452,8 +452,12 @@ def test_longest_common_subsequence(a, b):
     places: dict[int, int] = {}
     for i, x in enumerate(a):
         places[ord(x)] = places.get(ord(x), 0) | 1 << i
-    item = decontaminate.Item(1, places, len(a), frozenset())
+    item = decontaminate.Item(1, places, np.unique(np.array([ord(x) for x in a], dtype=np.uint64)), len(a), frozenset())
     assert decontaminate.longest_common_subsequence(item, [ord(y) for y in b]) == table[-1, -1]
+    if a:
+        common = decontaminate.in_item(item, np.array([ord(y) for y in b], dtype=np.uint64))
+        assert common.tolist() == [ord(y) for y in b if y in a]
+        assert decontaminate.most_common(item, np.array([ord(y) for y in b], dtype=np.uint64)) >= table[-1, -1]
 
 
 @settings(max_examples=50)
@@ -464,6 +468,13 @@ def test_hashed_words_tell_words_apart(text):
     assert len(hashes) == len(words) and len(set(hashes)) == len(set(words))
 
 
+@settings(max_examples=30)
+@given(st.lists(st.one_of(st.text(alphabet="ab \n.é", max_size=30), st.sampled_from(["", "   ", "x y " * 9000, "long " * 20_000])), max_size=12))
+def test_hashed_texts_are_hashed_alike(several):
+    found = list(shingles.hashed_texts(several))
+    assert [x.tolist() for x in found] == [shingles.hashed_words(t).tolist() for t in several]
+
+
 def test_hashed_words_of_long_texts():
     text = " ".join(f"word{i}" for i in range(30_000))
     hashes = shingles.hashed_words(text + " " + "y" * 200_000 + " word1").tolist()
