@@ -16,17 +16,21 @@ TYPES = {"SINGLE": "SINGLE", "单选": "SINGLE", "MULTI": "MULTI", "多选": "MU
 DIFFICULTIES = {"EASY": "EASY", "易": "EASY", "MEDIUM": "MEDIUM", "中": "MEDIUM", "HARD": "HARD", "难": "HARD"}
 TYPE_CODES = {"SINGLE": 1, "MULTI": 2, "JUDGE": 3, "BLANK": 4, "TERM": 5, "SHORT": 6, "ESSAY": 7, "CODE": 8, "COMPARE": 9}
 WITH_RUBRIC = (5, 6, 7, 9)
+#: Sentences whose digest is below this, four in ten, may become false statements.
+FALSE_BELOW = "66"
 
 
 def select_materials(requests: DataFrame, chunks: DataFrame, chunk_tags: DataFrame, documents: DataFrame, limit: int = 400, least: int = 40) -> DataFrame:
     """Chunks for each request(request_id, kb_id, tag_ids) in document order; all of the base if no tag hits."""
     rows = chunks.filter(F.length("content") > least)
+    slim, asked = rows.select("chunk_id", "kb_id", "doc_id", "chunk_index"), requests.select("request_id", "kb_id")
     wanted = requests.select("request_id", F.explode("tag_ids").alias("tag_id")).join(chunk_tags.select("tag_id", "chunk_id"), "tag_id").select("request_id", "chunk_id").distinct()
-    tagged = requests.select("request_id", "kb_id").join(rows, "kb_id").join(wanted, ["request_id", "chunk_id"], "left_semi")
-    missed = requests.select("request_id", "kb_id").join(tagged.select("request_id").distinct(), "request_id", "left_anti")
-    every = tagged.unionByName(missed.join(rows, "kb_id").select(*tagged.columns))
+    tagged = wanted.join(slim, "chunk_id").join(asked, ["request_id", "kb_id"])
+    # Only requests without a hit need their whole base; of either no more than ``limit`` chunks meet the texts.
+    missed = asked.join(tagged.select("request_id").distinct(), "request_id", "left_anti").join(slim, "kb_id")
     order = W.partitionBy("request_id").orderBy("doc_id", "chunk_index", "chunk_id")
-    return every.withColumn("seq", F.row_number().over(order)).filter(F.col("seq") <= limit).join(documents.select("doc_id", "file_name"), "doc_id", "left")
+    chosen = tagged.unionByName(missed.select(*tagged.columns)).withColumn("seq", F.row_number().over(order)).filter(F.col("seq") <= limit)
+    return chosen.select("request_id", "seq", "chunk_id").join(rows, "chunk_id").join(documents.select("doc_id", "file_name"), "doc_id", "left")
 
 
 def even_sample(rows: DataFrame, group: str, order: str, n: int = 60) -> DataFrame:
@@ -89,13 +93,13 @@ def make_judge_items(pool: DataFrame) -> DataFrame:
     latin = F.filter(X.terms(F.col("sentence"), 6), lambda t: ~t.rlike(r"[^\x00-\x7f]") & (F.length(t) >= 3))
     rows = pool.withColumn("_l", latin)
     swapped = X.replace_first(F.col("sentence"), F.try_element_at("_l", F.lit(1)), F.try_element_at("_l", F.lit(2)))
-    wrong = (F.pmod(F.xxhash64("sentence"), F.lit(10)) < 4) & (F.size("_l") >= 2) & (swapped != F.col("sentence"))
+    wrong = (F.md5("sentence") < FALSE_BELOW) & (F.size("_l") >= 2) & (swapped != F.col("sentence"))
     return rows.select("doc_id", "pos", F.concat(F.lit("判断："), F.when(wrong, swapped).otherwise(F.col("sentence"))).alias("stem"), F.when(wrong, "错误").otherwise("正确").alias("answer"))
 
 
 def _with_distractors(pool: DataFrame, n: int, cut: int) -> DataFrame:
     """Each sentence with the next n of its document's ring, ordered by hash."""
-    order, every = W.partitionBy("doc_id").orderBy(F.xxhash64("sentence"), "pos"), W.partitionBy("doc_id")
+    order, every = W.partitionBy("doc_id").orderBy(F.md5("sentence"), "pos"), W.partitionBy("doc_id")
     rows = pool.withColumns({"_i": F.row_number().over(order) - 1, "_n": F.count("*").over(every)})
     ahead = pool.select("doc_id", "sentence", (F.row_number().over(order) - 1).alias("_j"))
     wanted = rows.select("doc_id", "pos", "_i", "_n", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("k")).withColumn("_j", ((F.col("_i") + F.col("k")) % F.col("_n")).cast("int")).filter(F.col("_j") != F.col("_i"))
@@ -105,7 +109,7 @@ def _with_distractors(pool: DataFrame, n: int, cut: int) -> DataFrame:
 
 def _lettered(right: Column, wrong: Column) -> Column:
     """Options in the order of a hash, with letters."""
-    both = F.concat(F.transform(wrong, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("content"), F.lit(0).alias("is_correct"))), F.transform(right, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("content"), F.lit(1).alias("is_correct"))))
+    both = F.concat(F.transform(wrong, lambda x: F.struct(F.md5(x).alias("h"), x.alias("content"), F.lit(0).alias("is_correct"))), F.transform(right, lambda x: F.struct(F.md5(x).alias("h"), x.alias("content"), F.lit(1).alias("is_correct"))))
     return F.transform(F.array_sort(both), lambda x, i: F.struct(F.char(i + 65).alias("option_key"), x["content"].alias("content"), x["is_correct"].alias("is_correct")))
 
 
@@ -130,7 +134,7 @@ def make_multi_items(pool: DataFrame) -> DataFrame:
 
 def make_short_items(pool: DataFrame) -> DataFrame:
     """Long sentences give up to three points of 10 / n, the last with what is left; others one point."""
-    parts = F.filter(F.transform(F.split("sentence", "[，,；;]"), F.trim), lambda p: F.length(p) > 6)
+    parts = F.filter(F.transform(F.split("sentence", "[，,；;]"), lambda p: F.trim(p)), lambda p: F.length(p) > 6)
     rows = pool.withColumn("_p", F.when(F.length("sentence") > 70, F.slice(parts, 1, 3)).otherwise(F.array().cast("array<string>")))
     rows = rows.withColumn("_p", F.when(F.size("_p") > 0, F.col("_p")).otherwise(F.array("sentence")))
     n = F.size("_p")
@@ -263,7 +267,41 @@ def _materials(s) -> DataFrame:
 
 
 def _pool(s) -> DataFrame:
-    return sentence_pool(s["v_doc"])
+    return sentence_pool(s["v_note"])
+
+
+def _option_text(items: DataFrame) -> DataFrame:
+    shown = F.transform("options", lambda o: F.concat(o["option_key"], F.lit("."), o["content"], F.when(o["is_correct"] == 1, "*").otherwise("")))
+    return items.select("doc_id", "pos", "stem", "answer", F.array_join(shown, "|").alias("options"))
+
+
+def terms_sql(c: str, n: int) -> str:
+    stop = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+    pattern = X.TERM.replace("一-鿿", r"\x{4e00}-\x{9fff}")
+    return f"(list_filter(regexp_extract_all({c}, '{pattern}'), lambda x, i: list_position(regexp_extract_all({c}, '{pattern}'), x) = i AND x NOT IN ({stop})))[1:{n}]"
+
+
+def shorten_sql(c: str, n: int) -> str:
+    bare = f"regexp_replace(trim(regexp_replace({c}, '\\s+', ' ', 'g')), '^[`*#> \\-]+|[`*#> \\-]+$', '', 'g')"
+    return f"CASE WHEN length({bare}) > {n} THEN concat(substring({bare}, 1, {n}), '…') ELSE {bare} END"
+
+
+def first_replaced_sql(text: str, old: str, new: str) -> str:
+    return f"CASE WHEN length({old}) > 0 AND strpos({text}, {old}) > 0 THEN concat(substring({text}, 1, strpos({text}, {old}) - 1), {new}, substring({text}, strpos({text}, {old}) + length({old}))) ELSE {text} END"
+
+
+def choice_sql(n: int, cut: int, right: str) -> str:
+    """Each sentence with the next n of its ring; ``right`` lists the right contents. Columns as in ``_option_text``."""
+    return f"""{POOL}, ring AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY md5(sentence), pos) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n, {shorten_sql("sentence", cut)} AS own, {terms_sql("sentence", 2)} AS two FROM pool),
+    near AS (SELECT a.doc_id, a.pos, b.own AS content, min(k.k) AS k FROM ring a CROSS JOIN range(1, {n + 1}) k(k) JOIN ring b ON b.doc_id = a.doc_id AND b.i = (a.i + k.k) % a.n AND b.i <> a.i WHERE b.own <> a.own GROUP BY ALL),
+    wrong AS (SELECT doc_id, pos, list(content ORDER BY k) AS w FROM near GROUP BY doc_id, pos),
+    every AS (SELECT r.doc_id, r.pos, r.sentence, r.two, unnest(list_concat(list_transform(list_concat(coalesce(w, CAST([] AS VARCHAR[])), [{", ".join(f"'以上说法均不成立（{i}）'" for i in range(1, n + 1))}])[1:{n}], lambda x: {{'content': x, 'right': 0}}), list_transform({right}, lambda x: {{'content': x, 'right': 1}}))) AS o FROM ring r LEFT JOIN wrong v ON v.doc_id = r.doc_id AND v.pos = r.pos),
+    lettered AS (SELECT *, chr(CAST(64 + row_number() OVER (PARTITION BY doc_id, pos ORDER BY md5(o.content), o.content, o.right) AS INT)) AS letter FROM every)
+    SELECT doc_id, pos, concat('下列说法与原文一致的是？（', coalesce(any_value(two)[1], substring(any_value(sentence), 1, 12)), '）') AS stem, string_agg(letter, '' ORDER BY letter) FILTER (WHERE o.right = 1) AS answer, string_agg(concat(letter, '.', o.content, CASE WHEN o.right = 1 THEN '*' ELSE '' END), '|' ORDER BY letter) AS options FROM lettered GROUP BY doc_id, pos"""
+
+
+POOL = r"""WITH cut AS (SELECT doc_id, i - 1 AS pos, trim(regexp_replace(ps[i], '\s+', ' ', 'g')) AS sentence FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '([。！？!?；;.\n])', concat('\1', chr(1)), 'g'), chr(1)) AS ps FROM {v_note}) a) b),
+    pool AS (SELECT * FROM cut WHERE length(sentence) BETWEEN 12 AND 220 AND (length(sentence) - length(regexp_replace(sentence, '[\x{4e00}-\x{9fff}]', '', 'g')) >= 8 OR NOT regexp_matches(sentence, '[^\x00-\x7f]') AND length(sentence) - length(regexp_replace(sentence, '[`{}]', '', 'g')) <= 2))"""
 
 
 MATERIALS = """WITH base AS (SELECT * FROM {v_chunk} WHERE length(content) > 40), hit AS (SELECT DISTINCT r.kb_id AS request_id, c.chunk_id FROM {v_kb} r JOIN {v_chunk_tag} c ON c.tag_id IN (100000 + r.kb_id, 100003 + r.kb_id * 7)),
@@ -277,14 +315,19 @@ R.add("expand_ratio", lambda s: s["v_question"].select("question_id", F.array_jo
 R.add("assign_slot_materials", lambda s: assign_slots(s.sql(REQUESTS).withColumn("count", F.lit(12)), _materials(s)),
       MATERIALS + """, sized AS (SELECT request_id, count(*) AS n FROM material GROUP BY 1), slots AS (SELECT request_id, r.i AS round, j.j AS j, (((r.i * 5) % n) + j.j) % n + 1 AS seq FROM sized CROSS JOIN range(0, 3) r(i) CROSS JOIN range(0, 6) j(j) WHERE j.j < least(n, greatest(3, least(n, least(5, 12 - r.i * 5) + 1))))
       SELECT s.request_id, s.round, s.j, m.chunk_id FROM slots s JOIN material m ON m.request_id = s.request_id AND m.seq = s.seq""")
-R.add("sentence_pool", _pool)
+R.add("sentence_pool", _pool, POOL + " SELECT doc_id, pos, sentence FROM pool")
 R.add("extract_terms", lambda s: extract_terms(s["v_question"], "stem", 8).select("question_id", F.array_join("terms", ",").alias("terms")),
       r"""SELECT question_id, array_to_string(list_transform(list_filter(list_zip(t, range(1, len(t) + 1)), lambda z: list_position(t, z[1]) = z[2]), lambda z: z[1])[1:8], ',') AS terms FROM (SELECT question_id, regexp_extract_all(stem, '[A-Za-z][A-Za-z0-9+#.\-]{1,17}|[\x{4e00}-\x{9fff}]{2,10}') AS t FROM {v_question}) x""")
-R.add("make_blank_items", lambda s: make_blank_items(_pool(s)))
-R.add("make_judge_items", lambda s: make_judge_items(_pool(s)))
-R.add("make_single_items", lambda s: make_single_items(_pool(s)).select("doc_id", "pos", "stem", "answer", F.to_json("options").alias("options")))
-R.add("make_multi_items", lambda s: make_multi_items(_pool(s)).select("doc_id", "pos", "stem", "answer", F.to_json("options").alias("options")))
-R.add("make_short_items", lambda s: make_short_items(_pool(s)).select("doc_id", "pos", "topic", "answer", F.to_json("rubric").alias("rubric")))
+R.add("make_blank_items", lambda s: make_blank_items(_pool(s)),
+      f"{POOL}, t AS (SELECT *, coalesce({terms_sql('sentence', 3)}[1], '') AS t FROM pool) SELECT doc_id, pos, concat('填空：', {first_replaced_sql('sentence', 't', repr('______'))}) AS stem, CASE WHEN t <> '' THEN t ELSE substring(sentence, 1, 20) END AS answer FROM t")
+R.add("make_judge_items", lambda s: make_judge_items(_pool(s)),
+      f"""{POOL}, t AS (SELECT *, list_filter({terms_sql("sentence", 6)}, lambda x: NOT regexp_matches(x, '[^\\x00-\\x7f]') AND length(x) >= 3) AS t FROM pool), w AS (SELECT *, {first_replaced_sql("sentence", "t[1]", "t[2]")} AS swapped FROM t), f AS (SELECT *, coalesce(md5(sentence) < '{FALSE_BELOW}' AND len(t) >= 2 AND swapped <> sentence, false) AS wrong FROM w)
+      SELECT doc_id, pos, concat('判断：', CASE WHEN wrong THEN swapped ELSE sentence END) AS stem, CASE WHEN wrong THEN '错误' ELSE '正确' END AS answer FROM f""")
+R.add("make_single_items", lambda s: _option_text(make_single_items(_pool(s))), choice_sql(3, 90, f"[{shorten_sql('r.sentence', 90)}]"))
+R.add("make_multi_items", lambda s: _option_text(make_multi_items(_pool(s))), choice_sql(2, 80, f"CASE WHEN r.two[2] IS NULL THEN [{shorten_sql('r.sentence', 80)}] ELSE [{shorten_sql('r.sentence', 80)}, concat('原文提到了「', r.two[2], '」')] END"))
+R.add("make_short_items", lambda s: make_short_items(_pool(s)).select("doc_id", "pos", "topic", "answer", F.array_join(F.transform("rubric", lambda p: F.concat(p["point"], F.lit("="), p["score"].cast("string"))), "|").alias("rubric")),
+      f"""{POOL}, t AS (SELECT *, coalesce({terms_sql("sentence", 1)}[1], substring(sentence, 1, 12)) AS topic, CASE WHEN length(sentence) > 70 THEN list_filter(list_transform(regexp_split_to_array(sentence, '[，,；;]'), lambda x: trim(x)), lambda x: length(x) > 6)[1:3] ELSE [] END AS p0 FROM pool), p AS (SELECT *, CASE WHEN len(p0) > 0 THEN p0 ELSE [sentence] END AS p FROM t),
+      r AS (SELECT *, len(p) AS n, round_even(10.0::DOUBLE / len(p), 1) AS each FROM p) SELECT doc_id, pos, topic, sentence AS answer, array_to_string(list_transform(p, lambda x, i: concat(substring(x, 1, 60), '=', CAST(CASE WHEN i = n THEN round_even(10.0::DOUBLE - each * (n - 1), 1) ELSE each END AS VARCHAR))), '|') AS rubric FROM r""")
 QUESTIONS = """SELECT question_id, kb_id, CASE WHEN question_id % 50 = 0 THEN 12 ELSE q_type END AS q_type, CASE WHEN question_id % 4 = 0 THEN NULL ELSE difficulty + question_id % 3 END AS difficulty, CASE WHEN question_id % 17 = 0 THEN ' ' ELSE stem END AS stem,
     CASE WHEN q_type IN (1, 2) THEN CASE WHEN question_id % 11 = 0 THEN 'AX' ELSE 'AB' END ELSE answer END AS answer, analysis, question_id % 6 AS n_options, CASE WHEN question_id % 5 = 0 THEN 0 ELSE 1 END AS n_points FROM {v_question}"""
 

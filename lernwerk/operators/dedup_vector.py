@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
 from ..sources.views import Registry
 from .retrieval import unit_vector
 from .tags import blocks
@@ -43,9 +44,11 @@ def similar_pairs(candidates: DataFrame, items: DataFrame, least: float = SIMILA
 def dedup_vector(candidates: DataFrame, existing: DataFrame, least: float = SIMILAR) -> DataFrame:
     """(pos) of candidates kept in order: like no existing item and no earlier kept candidate.
 
-    Within the batch: an undecided row without a smaller undecided neighbour is kept and its
-    neighbours are dropped, until none is left. That is the sequential result, in as many rounds as
-    the longest chain of similar candidates. Each round is checkpointed.
+    The candidates are a batch that meets all items in blocks. Within the batch, an undecided row
+    without a smaller undecided neighbour is kept and its neighbours are dropped, until none is left.
+    That is the sequential result. A round decides all rows that wait for none, so a chain in which
+    each candidate is like the next takes as many rounds as half its length: a batch sorted that way
+    is better split. Each round is checkpointed.
     """
     taken = similar_pairs(candidates, existing.select(F.col("id").alias("other"), "vector"), least).select("pos").distinct()
     left = candidates.join(taken, "pos", "left_anti")
@@ -63,12 +66,17 @@ def dedup_vector(candidates: DataFrame, existing: DataFrame, least: float = SIMI
 
 
 def _query(s) -> DataFrame:
+    """A batch of candidates, every vector whose id is divisible by 20, against all others."""
     rows = s["v_chunk_vector"]
-    if not s.spark.conf.get("spark.checkpoint.dir", None) and not s.spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        s.spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lernwerk-"))
-    return dedup_vector(rows.filter("pk % 4 <> 0").selectExpr("pk as pos", "vector"), rows.filter("pk % 4 = 0").selectExpr("pk as id", "vector"), 0.4)
-
-
-R.add("dedup_vector", _query)
+    shared_folder(s.spark)
+    return dedup_vector(rows.filter("pk % 20 = 0").selectExpr("pk as pos", "vector"), rows.filter("pk % 20 <> 0").selectExpr("pk as id", "vector"), ALIKE)
+
+
+#: Vectors of the test tables are random, so fewer are alike.
+ALIKE = 0.4
+#: Candidates are taken one after the other; ``near`` lists the earlier ones that are like each.
+GREEDY = f"""WITH RECURSIVE v AS (SELECT pk, CAST(vector AS DOUBLE[]) AS v FROM {{v_chunk_vector}}), c AS (SELECT pk AS pos, v FROM v WHERE pk % 20 = 0), free AS (SELECT *, row_number() OVER (ORDER BY pos) AS i FROM c WHERE NOT EXISTS (SELECT 1 FROM v WHERE pk % 20 <> 0 AND list_cosine_similarity(v.v, c.v) >= {ALIKE})),
+    n AS (SELECT a.i, a.pos, coalesce(list(b.pos) FILTER (WHERE b.pos IS NOT NULL), CAST([] AS BIGINT[])) AS near FROM free a LEFT JOIN free b ON b.pos < a.pos AND list_cosine_similarity(a.v, b.v) >= {ALIKE} GROUP BY a.i, a.pos),
+    k AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS kept UNION ALL SELECT n.i, CASE WHEN list_has_any(k.kept, n.near) THEN k.kept ELSE list_append(k.kept, n.pos) END FROM k JOIN n ON n.i = k.i + 1)
+    SELECT unnest(kept) AS pos FROM (SELECT kept FROM k ORDER BY i DESC LIMIT 1) x"""
+R.add("dedup_vector", _query, GREEDY)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -105,55 +102,53 @@ def split_units(blocks: DataFrame, target: int = TARGET) -> DataFrame:
     return rows.select("doc_id", F.row_number().over(W.partitionBy("doc_id").orderBy("pos", "i")).alias("unit"), "section_path", "text", X.estimate_tokens(F.col("text")).alias("tokens"))
 
 
-def pack_ranges(units: list[tuple[int, str]], target: int = TARGET, overlap: int = OVERLAP) -> list[tuple[int, int]]:
-    """Ranges [first, last] of unit positions of every chunk, from each unit's (tokens, path).
+def pack_ranges(units: Column, target: int = TARGET, overlap: int = OVERLAP) -> Column:
+    """Ranges (first, last) of the chunks of a document, as array; units: array of (total, path), where total sums the tokens up to the unit.
 
     A chunk is full at the target, or at half of it when the path changes; the next starts with the
-    longest tail of units whose tokens fit the overlap.
+    longest tail of units whose tokens fit the overlap. Positions count from 1.
     """
-    target, overlap = max(120, target), min(max(0, overlap), max(120, target) // 2)
-    out: list[tuple[int, int]] = []
-    first, held = 0, 0
-
-    def carry(last: int) -> tuple[int, int]:
-        total, start = 0, last + 1
-        while start > first and total + units[start - 1][0] <= overlap:
-            start -= 1
-            total += units[start][0]
-        return start, total
-
-    for i, (tokens, path) in enumerate(units):
-        if i > first and path and units[i - 1][1] and path != units[i - 1][1] and held >= target / 2:
-            out.append((first, i - 1))
-            first, held = carry(i - 1)
-        held += tokens
-        if held >= target:
-            out.append((first, i))
-            first, held = carry(i)
-    if first < len(units) and (not out or (first, len(units) - 1) != out[-1]):
-        out.append((first, len(units) - 1))
-    return out
+    target = max(120, target)
+    overlap = min(max(0, overlap), target // 2)
+    total = lambda i: F.when(i < 1, 0).otherwise(F.try_element_at(units, i)["total"])
+    path = lambda i: F.try_element_at(units, i)["path"]
+    span = lambda a, b: F.array(F.struct(a.alias("first"), b.alias("last")))
+
+    def close(s: Column, last: Column) -> Column:
+        starts = F.filter(F.sequence(s["first"], last + 1), lambda at: total(last) - total(at - 1) <= overlap)
+        return F.struct(F.element_at(starts, 1).alias("first"), F.concat(s["out"], span(s["first"], last)).alias("out"))
+
+    def step(s: Column, i: Column) -> Column:
+        turns = (i > s["first"]) & (path(i) != "") & (path(i - 1) != "") & (path(i) != path(i - 1)) & (total(i - 1) - total(s["first"] - 1) >= target / 2)
+        return F.when(turns, close(s, i - 1)).otherwise(s)
+
+    start = F.struct(F.lit(1).alias("first"), F.array().cast("array<struct<first: int, last: int>>").alias("out"))
+    full = lambda s, i: F.when(total(i) - total(s["first"] - 1) >= target, close(s, i)).otherwise(s)
+    # Either step may close a chunk: one element for each unit and step.
+    steps = F.flatten(F.transform(F.sequence(F.lit(1), F.size(units)), lambda i: F.array(i, -i)))
+    n = F.size(units)
+
+    def rest(s: Column) -> Column:
+        open_ = (s["first"] <= n) & ((F.size(s["out"]) == 0) | (F.try_element_at(s["out"], F.lit(-1)) != F.struct(s["first"].alias("first"), n.alias("last"))))
+        return F.when(open_, F.concat(s["out"], span(s["first"], n))).otherwise(s["out"])
+
+    return F.aggregate(steps, start, lambda s, i: F.when(i > 0, step(s, i)).otherwise(full(s, -i)), rest)
 
 
 def pack_chunks(units: DataFrame, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
     """Chunks of units(doc_id, unit, section_path, text, tokens): (doc_id, chunk_index, text, section_path, n_units, tokens).
 
-    The fold sees numbers and path digests only; texts are joined to its ranges afterwards.
+    One shuffle by document; a group holds one document's units, and the fold sees their numbers only.
     """
-
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("unit")
-        ranges = pack_ranges(list(zip(rows["tokens"].tolist(), rows["path"].tolist(), strict=True)), target, overlap)
-        at = rows["unit"].tolist()
-        return pd.DataFrame([(key[0], i, at[a], at[b]) for i, (a, b) in enumerate(ranges)], columns=["doc_id", "chunk_index", "first", "last"])
-
-    slim = units.select("doc_id", "unit", "tokens", F.when(F.coalesce("section_path", F.lit("")) != "", F.md5("section_path")).otherwise("").alias("path"))
-    ranges = slim.groupBy("doc_id").applyInPandas(fold, "doc_id long, chunk_index int, first int, last int")
-    members = ranges.select("doc_id", "chunk_index", F.explode(F.sequence("first", "last")).alias("unit")).join(units, ["doc_id", "unit"])
-    listed = F.array_sort(F.collect_list(F.struct("unit", "text", "section_path")))
-    chunks = members.groupBy("doc_id", "chunk_index").agg(listed.alias("u"), F.sum("tokens").alias("tokens"))
-    path = F.coalesce(F.nullif(F.element_at("u", 1)["section_path"], F.lit("")), F.element_at("u", -1)["section_path"])
-    return chunks.select("doc_id", "chunk_index", F.array_join(F.transform("u", lambda x: x["text"]), "\n").alias("text"), path.alias("section_path"), F.size("u").alias("n_units"), "tokens")
+    total = F.sum("tokens").over(W.partitionBy("doc_id").orderBy("unit"))
+    rows = units.select("doc_id", "unit", "tokens", F.coalesce("section_path", F.lit("")).alias("path"), "text", total.alias("total"))
+    rows = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("unit", "tokens", "total", "path", "text"))).alias("u"))
+    rows = rows.withColumn("s", F.transform("u", lambda x: F.struct(x["total"].alias("total"), x["path"].alias("path"))))
+    rows = rows.select("doc_id", "u", F.posexplode(pack_ranges(F.col("s"), target, overlap)).alias("chunk_index", "r"))
+    rows = rows.select("doc_id", "chunk_index", F.slice("u", F.col("r.first"), F.col("r.last") - F.col("r.first") + 1).alias("u"))
+    path = F.coalesce(F.nullif(F.element_at("u", 1)["path"], F.lit("")), F.element_at("u", -1)["path"])
+    tokens = F.aggregate("u", F.lit(0).cast("long"), lambda t, x: t + x["tokens"])
+    return rows.select("doc_id", "chunk_index", F.array_join(F.transform("u", lambda x: x["text"]), "\n").alias("text"), path.alias("section_path"), F.size("u").alias("n_units"), tokens.alias("tokens"))
 
 
 def document_stats(chunks: DataFrame, documents: DataFrame) -> DataFrame:
@@ -181,7 +176,7 @@ def list_chunks(chunks: DataFrame, doc_id: int, page: int = 1, size: int = 20) -
 
 
 def _blocks(s) -> DataFrame:
-    return section_path(split_paragraphs(s["v_doc"]))
+    return section_path(split_paragraphs(s["v_book"]))
 
 
 def _chunks(s) -> DataFrame:
@@ -190,10 +185,41 @@ def _chunks(s) -> DataFrame:
 
 PARAGRAPHS = r"""p AS (SELECT doc_id, i - 1 AS pos, trim(regexp_replace(array_to_string(list_filter(list_transform(string_split(ps[i], chr(10)), lambda x: trim(x)), lambda x: x <> ''), ' '), '\s+', ' ', 'g')) AS text
     FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '\n\s*\n') AS ps FROM {v_doc}) a) b)"""
+LEVELS = f"""l AS (SELECT *, CASE WHEN m > 0 THEN m WHEN numbered AND regexp_matches(text, '^\\d+(\\.\\d+)+\\s') THEN least(6, length(text) - length(replace(text, '.', '')) + 1) WHEN numbered THEN 1 END AS level, CASE WHEN m > 0 THEN trim(regexp_extract(text, '{HEADING}', 2)) ELSE text END AS title
+    FROM (SELECT *, length(regexp_extract(text, '{HEADING}', 1)) AS m, length(text) <= 60 AND regexp_matches(text, '{NUMBERED}') AS numbered FROM p WHERE text <> '') x),
+    h AS (SELECT doc_id, pos, text, level, {", ".join(f"coalesce(max(CASE WHEN level = {n} THEN pos END) OVER w, -1) AS p{n}, last_value(CASE WHEN level = {n} THEN title END IGNORE NULLS) OVER w AS t{n}" for n in range(1, 7))} FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    b AS (SELECT doc_id, pos, text, concat_ws(' > ', {", ".join(f"CASE WHEN p{n} > greatest(-1{''.join(f', p{k}' for k in range(1, n))}) THEN t{n} END" for n in range(1, 7))}) AS section_path FROM h WHERE level IS NULL)"""
+BLOCKS = PARAGRAPHS.replace("{v_doc}", "{v_book}") + ", " + LEVELS
+
+
+def tokens_sql(c: str) -> str:
+    wide = f"(length({c}) - length(regexp_replace({c}, '[\\x{{4e00}}-\\x{{9fff}}\\x{{3000}}-\\x{{303f}}\\x{{ff00}}-\\x{{ffef}}]', '', 'g')))"
+    return f"CASE WHEN {c} = '' THEN 0 ELSE CAST({wide} + greatest(1, floor((length({c}) - {wide}) / 4)) AS INT) END"
+
+
+def units_sql(target: int) -> str:
+    long, size = LONG * target, max(80, target)
+    cuts = f"CASE WHEN {tokens_sql('y')} > {long} THEN list_transform(range(0, CAST(ceil(length(y) / {size}) AS BIGINT)), lambda i: substring(y, i * {size} + 1, {size})) ELSE [y] END"
+    ends = "list_filter(string_split(regexp_replace(text, '([。！？；!?;])', concat('\\1', chr(1)), 'g'), chr(1)), lambda z: trim(z) <> '')"
+    lists = f"SELECT doc_id, pos, section_path, CASE WHEN {tokens_sql('text')} <= {long} THEN [text] ELSE flatten(list_transform({ends}, lambda y: {cuts})) END AS us FROM b"
+    return f"""us AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos, i) AS INT) AS unit, section_path, us[i] AS text FROM (SELECT *, unnest(range(1, len(us) + 1)) AS i FROM ({lists}) x) y),
+    unit AS (SELECT *, {tokens_sql('text')} AS tokens FROM us)"""
+
+
+#: The fold as a recursion: at unit i, a chunk may end before it (a) and with it (b).
+PACKED = f"""WITH RECURSIVE {BLOCKS}, {units_sql(TARGET)}, t AS (SELECT doc_id, list_prepend(0, list(total ORDER BY unit)) AS c, list(section_path ORDER BY unit) AS ps, count(*) AS n FROM (SELECT *, CAST(sum(tokens) OVER (PARTITION BY doc_id ORDER BY unit) AS BIGINT) AS total FROM unit) x GROUP BY doc_id),
+    f AS (SELECT doc_id, c, ps, n, CAST(0 AS BIGINT) AS i, CAST(1 AS BIGINT) AS f0, CAST(NULL AS BIGINT) AS fa, CAST(1 AS BIGINT) AS f1, CAST(NULL AS BIGINT) AS fb, CAST(1 AS BIGINT) AS f2 FROM t
+    UNION ALL SELECT doc_id, c, ps, n, i, f0, fa, f1, CASE WHEN c[i + 1] - c[f1] >= {TARGET} THEN f1 END AS fb, CASE WHEN c[i + 1] - c[f1] >= {TARGET} THEN list_filter(range(f1, i + 2), lambda s: c[i + 1] - c[s] <= {OVERLAP})[1] ELSE f1 END AS f2
+    FROM (SELECT *, CASE WHEN turns THEN f0 END AS fa, CASE WHEN turns THEN list_filter(range(f0, i + 1), lambda s: c[i] - c[s] <= {OVERLAP})[1] ELSE f0 END AS f1
+    FROM (SELECT doc_id, c, ps, n, i + 1 AS i, f2 AS f0, i + 1 > f2 AND ps[i + 1] <> '' AND ps[i] <> '' AND ps[i + 1] <> ps[i] AND c[i + 1] - c[f2] >= {TARGET / 2} AS turns FROM f WHERE i < n) y) z),
+    r AS (SELECT doc_id, fa AS first, i - 1 AS last FROM f WHERE fa IS NOT NULL UNION ALL SELECT doc_id, fb, i FROM f WHERE fb IS NOT NULL),
+    e AS (SELECT doc_id, first, last FROM r UNION SELECT doc_id, f2, n FROM f WHERE i = n AND f2 <= n),
+    k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first, last) - 1 AS chunk_index FROM e)
+    SELECT k.doc_id, k.chunk_index, string_agg(u.text, chr(10) ORDER BY u.unit) AS text, coalesce(nullif(min_by(u.section_path, u.unit), ''), max_by(u.section_path, u.unit)) AS section_path, count(*) AS n_units, CAST(sum(u.tokens) AS BIGINT) AS tokens FROM k JOIN unit u ON u.doc_id = k.doc_id AND u.unit BETWEEN k.first AND k.last GROUP BY k.doc_id, k.chunk_index"""
 CELLS = "SELECT CAST(l_orderkey AS BIGINT) AS doc_id, CAST(l_suppkey % 3 AS INT) AS table_no, CAST(l_linenumber AS INT) AS row_no, k.i AS col_no, CASE k.i WHEN 0 THEN l_returnflag WHEN 1 THEN l_linestatus ELSE CAST(l_partkey AS STRING) END AS text FROM {lineitem} CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2) k WHERE l_partkey >= 0"
 MARKS = "SELECT tag_id AS seq, kb_id AS doc_id, level, name AS title, CAST(tag_id % 40 + 1 AS INT) AS page FROM {v_tag}"
 R.add("split_paragraphs", lambda s: split_paragraphs(s["v_doc"]), f"WITH {PARAGRAPHS} SELECT doc_id, pos, text FROM p WHERE text <> ''")
-R.add("section_path", _blocks)
+R.add("section_path", _blocks, f"WITH {BLOCKS} SELECT doc_id, pos, text, section_path FROM b")
 R.add("toc_forward_fill", lambda s: toc_forward_fill(s.sql(MARKS)),
       f"""WITH m AS ({MARKS}), h AS (SELECT *, max(CASE WHEN level = 1 THEN seq END) OVER w AS a, max(CASE WHEN level = 2 THEN seq END) OVER w AS b, max(CASE WHEN level = 3 THEN seq END) OVER w AS c FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY seq)),
       t AS (SELECT h.doc_id, h.seq, h.page, concat_ws(' > ', m1.title, CASE WHEN h.b > coalesce(h.a, -1) THEN m2.title END, CASE WHEN h.c > greatest(coalesce(h.a, -1), coalesce(h.b, -1)) THEN m3.title END) AS path FROM h LEFT JOIN m m1 ON m1.seq = h.a LEFT JOIN m m2 ON m2.seq = h.b LEFT JOIN m m3 ON m3.seq = h.c),
@@ -209,11 +235,13 @@ R.add("char_offsets", lambda s: char_offsets(split_paragraphs(s["v_doc"])).selec
       f"WITH {PARAGRAPHS} SELECT doc_id, pos, CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS char_start, CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(text) AS BIGINT) AS char_end FROM p WHERE text <> ''")
 R.add("estimate_tokens", lambda s: s["v_doc"].select("doc_id", X.estimate_tokens(F.col("text")).alias("tokens")),
       r"SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE CAST(w + greatest(1, floor((length(text) - w) / 4)) AS INT) END AS tokens FROM (SELECT doc_id, text, length(text) - length(regexp_replace(text, '[\x{4e00}-\x{9fff}\x{3000}-\x{303f}\x{ff00}-\x{ffef}]', '', 'g')) AS w FROM {v_doc}) x")
-R.add("split_units", lambda s: split_units(_blocks(s), 120))
-R.add("pack_chunks", _chunks)
+R.add("split_units", lambda s: split_units(_blocks(s), 120), f"WITH {BLOCKS}, {units_sql(120)} SELECT doc_id, unit, section_path, text, tokens FROM unit")
+R.add("pack_chunks", _chunks, PACKED)
 R.add("document_stats", lambda s: document_stats(split_paragraphs(s["v_doc"]), s["v_doc"]),
       f"WITH {PARAGRAPHS} SELECT d.doc_id, coalesce(n, 0) AS chunk_count, coalesce(c, 0) AS char_count, CASE WHEN coalesce(c, 0) < 10 THEN 'failed' ELSE 'ready' END AS status FROM {{v_doc}} d LEFT JOIN (SELECT doc_id, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS c FROM p WHERE text <> '' GROUP BY doc_id) x ON x.doc_id = d.doc_id")
-R.add("outline_sample", lambda s: outline_sample(_blocks(s)))
+R.add("outline_sample", lambda s: outline_sample(_blocks(s), 60, 3000),
+      f"""WITH {BLOCKS}, first AS (SELECT doc_id, section_path, min(pos) AS pos FROM b WHERE section_path <> '' GROUP BY ALL), paths AS (SELECT doc_id, string_agg(section_path, chr(10) ORDER BY pos) AS p FROM first GROUP BY doc_id), body AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY pos) AS t FROM b GROUP BY doc_id)
+      SELECT doc_id, substring(CASE WHEN length(coalesce(p, '')) >= 60 THEN p ELSE concat(coalesce(p, ''), chr(10), t) END, 1, 3000) AS outline FROM body LEFT JOIN paths USING (doc_id)""")
 R.add("replace_document_chunks", lambda s: replace_chunks(s["v_chunk"].select("doc_id", "chunk_index", "content"), s["v_chunk"].filter("doc_id % 3 = 0 and chunk_index < 2").selectExpr("doc_id", "chunk_index", "concat(content, '!') as content")).select("doc_id", "chunk_index", F.length("content").alias("n")),
       "SELECT doc_id, chunk_index, length(CASE WHEN doc_id % 3 = 0 THEN concat(content, '!') ELSE content END) AS n FROM {v_chunk} WHERE doc_id % 3 <> 0 OR chunk_index < 2")
 R.add("list_chunks", lambda s: list_chunks(s["v_chunk"], 7, 1, 15).select("doc_id", "chunk_index", "chunk_id"), "SELECT doc_id, chunk_index, chunk_id FROM {v_chunk} WHERE doc_id = 7 ORDER BY chunk_index LIMIT 15")

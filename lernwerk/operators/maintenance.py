@@ -137,7 +137,12 @@ R.add("export_questions_json", lambda s: _exported(s).select("question_id", F.ar
 R.add("export_questions_csv", lambda s: corpus.export_questions_csv(_exported(s)).select("id", "type", "difficulty", "options"),
       """SELECT q.question_id AS id, ['单选题', '多选题', '判断题', '填空题', '名词解释', '简答题', '论述题', '代码题', '对比题'][q.q_type] AS type, ['易', '中', '难'][q.difficulty] AS difficulty, coalesce(o.k, '') AS options FROM {v_question} q
       LEFT JOIN (SELECT question_id, string_agg(concat(option_key, '.', content, CASE WHEN is_correct = 1 THEN '(√)' ELSE '' END), ' | ' ORDER BY sort_order) AS k FROM {v_option} GROUP BY 1) o ON o.question_id = q.question_id""")
-R.add("export_anki", lambda s: corpus.export_anki(_exported(s)))
+CARD = lambda c: f"replace(regexp_replace(coalesce({c}, ''), '\\r\\n|[\\r\\n]', '<br>', 'g'), chr(9), '    ')"
+ODD = "SELECT * EXCLUDE (stem, analysis), CASE WHEN question_id % 3 = 0 THEN concat(stem, chr(13), chr(10), 'second', chr(9), 'part') ELSE stem END AS stem, CASE WHEN question_id % 5 = 0 THEN NULL ELSE analysis END AS analysis FROM {v_question}"
+R.add("export_anki", lambda s: corpus.export_anki(corpus.export_questions_json(s.sql(ODD.replace("EXCLUDE", "EXCEPT")), s["v_option"], s["v_question_tag"], s["v_tag"].withColumn("name", F.concat("name", F.lit(", x"))))),
+      f"""SELECT q.question_id AS id, concat_ws(chr(9), {CARD("concat_ws(chr(10), q.stem, o.k)")}, {CARD("concat_ws(chr(10), '答案：' || q.answer, '解析：' || q.analysis)")}, trim(concat_ws(' ', ['单选题', '多选题', '判断题', '填空题', '名词解释', '简答题', '论述题', '代码题', '对比题'][q.q_type], ['易', '中', '难'][q.difficulty], t.t))) AS value FROM ({ODD}) q
+      LEFT JOIN (SELECT question_id, string_agg(concat(option_key, '. ', content), chr(10) ORDER BY sort_order) AS k FROM {{v_option}} GROUP BY 1) o ON o.question_id = q.question_id
+      LEFT JOIN (SELECT question_id, string_agg(regexp_replace(concat(t.name, ', x'), '[\\s,，]', '_', 'g'), ' ' ORDER BY t.tag_id) AS t FROM {{v_question_tag}} x JOIN {{v_tag}} t ON t.tag_id = x.tag_id GROUP BY 1) t ON t.question_id = q.question_id""")
 R.add("reconcile_index", lambda s: reconcile_index(_chunks(s), s.sql(INDEX)), STATUS)
 R.add("reconcile_report", lambda s: reconcile_report(reconcile_index(_chunks(s), s.sql(INDEX))),
       f"SELECT count(*) AS total, count(*) FILTER (WHERE status = 'orphan') AS orphan, count(*) FILTER (WHERE status = 'missing') AS missing, count(*) FILTER (WHERE status = 'misplaced') AS misplaced, count(*) FILTER (WHERE status <> 'ok') = 0 AS healthy FROM ({STATUS}) x")

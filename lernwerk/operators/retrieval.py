@@ -28,15 +28,13 @@ def unit_vector(v) -> np.ndarray:
 
 def hashed_encoder(dimension: int = 64) -> Callable[[list[str]], np.ndarray]:
     """Offline encoder: hashed letter trigrams with signs. Any other encoder of texts may take its place."""
-    import zlib
 
     def encode(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dimension))
         for row, text in zip(out, texts, strict=True):
-            folded = f" {text.lower()} "
-            for i in range(len(folded) - 2):
-                h = zlib.crc32(folded[i : i + 3].encode())
-                row[h % dimension] += 1 if h & 0x8000_0000 else -1
+            c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+            h = 961 * c[:-2] + 31 * c[1:-1] + c[2:]
+            row += np.bincount(h % dimension, weights=1 - 2 * (h // dimension % 2), minlength=dimension)
         return out
 
     return encode
@@ -61,6 +59,21 @@ def retrieval_filter(chunks: DataFrame, doc_ids: list[int] | None = None, tag_id
     return rows if tag_ids is None else rows.filter(F.arrays_overlap("tag_ids", F.array(*(F.lit(t).cast("long") for t in tag_ids))))
 
 
+def top_of(cos: np.ndarray, pk: np.ndarray, held: tuple[np.ndarray, np.ndarray, np.ndarray] | None, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, pk, score) of the k best of each row of cos and of what is held already; ties to the smaller pk."""
+    if cos.shape[1] > k:
+        rows, at = np.nonzero(cos >= np.partition(cos, -k, axis=1)[:, -k:][:, :1])  # with all ties
+    else:
+        rows, at = np.divmod(np.arange(cos.size), max(1, cos.shape[1]))
+    keys, scores = pk[at], cos[rows, at]
+    if held is not None:
+        rows, keys, scores = (np.concatenate(x) for x in zip(held, (rows, keys, scores), strict=True))
+    order = np.lexsort((keys, -scores, rows))
+    rows = rows[order]
+    kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[kept], keys[order][kept], scores[order][kept]
+
+
 def dense_topk(queries: DataFrame, chunks: DataFrame, k: int = RECALL) -> DataFrame:
     """Exact cosine top-k of every query(query_id, kb_id, vector) among chunks(pk, kb_id, vector) of its base.
 
@@ -74,19 +87,15 @@ def dense_topk(queries: DataFrame, chunks: DataFrame, k: int = RECALL) -> DataFr
         sent = chunks.sparkSession.sparkContext.broadcast({kb: (np.array([r["query_id"] for r in rows]), np.array([unit_vector(r["vector"]) for r in rows])) for kb, rows in _by_kb(block).items()})
 
         def score(batches: Iterator[pd.DataFrame], known=sent) -> Iterator[pd.DataFrame]:
-            best: dict[int, pd.DataFrame] = {}
+            best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # of each base: query, pk and score of its hits so far
             for rows in batches:
                 for kb, part in rows.groupby("kb_id"):
                     ids, matrix = known.value.get(kb, (None, None))
-                    if ids is None:
-                        continue
-                    cos = matrix @ np.stack([unit_vector(v) for v in part["vector"]]).T
-                    pk = part["pk"].to_numpy()
-                    for i, q in enumerate(ids):
-                        found = pd.DataFrame({"query_id": q, "pk": pk, "score": cos[i]})
-                        best[q] = pd.concat([best[q], found] if q in best else [found]).sort_values(["score", "pk"], ascending=[False, True]).head(k)
-            if best:
-                yield pd.concat(best.values())
+                    if ids is not None:
+                        cos = matrix @ np.stack([unit_vector(v) for v in part["vector"]]).T
+                        best[kb] = top_of(cos, part["pk"].to_numpy(), best.get(kb), k)
+            for kb, (q, pk, found) in best.items():
+                yield pd.DataFrame({"query_id": known.value[kb][0][q], "pk": pk, "score": found})
 
         out.append(chunks.select("pk", "kb_id", "vector").mapInPandas(score, "query_id long, pk long, score double"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "pk"))
@@ -169,8 +178,10 @@ def _bm25(s, k: int = RECALL) -> DataFrame:
     return bm25_topk(s.sql(QUERIES_TEXT), s.sql(CHUNK_TEXTS), k)
 
 
-R.add("embed_texts", lambda s: embed_texts(s["v_chunk"], hashed_encoder()).select("chunk_id", F.size("vector").alias("dimension"), F.round(F.aggregate("vector", F.lit(0.0), lambda t, x: t + x * x), 4).alias("norm")),
-      "SELECT chunk_id, 64 AS dimension, 1.0 AS norm FROM {v_chunk}")
+R.add("embed_texts", lambda s: embed_texts(s["v_chunk"], hashed_encoder()).select("chunk_id", F.size("vector").alias("dimension"), F.array_join(F.transform("vector", lambda x: F.round(x * 1000, 0).cast("int").cast("string")), ",").alias("thousandths")),
+      """WITH c AS (SELECT chunk_id, string_split(concat(' ', lower(content), ' '), '') AS l FROM {v_chunk}), p AS (SELECT chunk_id, unnest(list_transform(l, lambda x: unicode(x))) AS c, unnest(range(1, len(l) + 1)) AS i FROM c),
+      t AS (SELECT chunk_id, 961 * c + 31 * lead(c, 1) OVER w + lead(c, 2) OVER w AS h FROM p WINDOW w AS (PARTITION BY chunk_id ORDER BY i)), d AS (SELECT chunk_id, h % 64 AS slot, sum(1 - 2 * ((h // 64) % 2)) AS v FROM t WHERE h IS NOT NULL GROUP BY ALL),
+      n AS (SELECT chunk_id, sqrt(sum(v * v)) AS n FROM d GROUP BY 1) SELECT n.chunk_id, 64 AS dimension, string_agg(CAST(CAST(round(CAST(coalesce(v, 0) / greatest(n, 1e-30) AS FLOAT) * 1000, 0) AS INT) AS VARCHAR), ',' ORDER BY s.s) AS thousandths FROM n CROSS JOIN range(0, 64) s(s) LEFT JOIN d ON d.chunk_id = n.chunk_id AND d.slot = s.s GROUP BY n.chunk_id""")
 R.add("dense_topk", lambda s: dense_topk(s["v_query_vector"], s["v_chunk_vector"]).select("query_id", "rank", "pk", F.round("score", 5).alias("score")), f"SELECT query_id, rank, pk, round(score, 5) AS score FROM ({DENSE}) d WHERE rank <= 30")
 R.add("bm25_topk", lambda s: _bm25(s).select("query_id", "rank", "pk", F.round("score", 5).alias("score")), f"WITH {BM25} SELECT query_id, rank, pk, round(score, 5) AS score FROM ranked WHERE rank <= 30")
 R.add("retrieval_filter", lambda s: retrieval_filter(s["v_chunk_vector"].selectExpr("pk", "pk % 10 as doc_id", "array(tag_id) as tag_ids"), [1, 2, 3], [0, 2, 4]).select("pk", "doc_id"),

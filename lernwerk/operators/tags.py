@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -127,17 +128,65 @@ def low_confidence(scored: DataFrame, chunks: DataFrame, low: float = LOW, limit
     return rows.withColumn("n", F.row_number().over(W.partitionBy("doc_id").orderBy("chunk_index", "pk"))).filter(F.col("n") <= limit)
 
 
+class Names:
+    """Tag names of one knowledge base, to be sought in texts all at once."""
+
+    def __init__(self, rows: list):
+        self.ids = np.array([r["tag_id"] for r in rows])
+        self.of: dict[str, list[int]] = {}
+        for i, r in enumerate(rows):
+            if r["name"]:
+                self.of.setdefault(r["name"], []).append(i)
+        self.finder = ahocorasick.Automaton()
+        for name in self.of:
+            self.finder.add_word(name, name)
+        self.finder.make_automaton()
+        self.letters = {c: i for i, c in enumerate(sorted({c for name in self.of for c in name}))}
+        self.holds = np.zeros((len(rows), len(self.letters)), dtype=np.float32)  # of names with two letters or more
+        for name, at in self.of.items():
+            if len(name) >= 2:
+                self.holds[np.ix_(at, [self.letters[c] for c in set(name)])] = 1
+
+    def scores(self, text: str) -> np.ndarray:
+        """Occurrences of each name that don't overlap, else 1 if the text has all its letters."""
+        missing = np.ones(len(self.letters), dtype=np.float32)
+        missing[[self.letters[c] for c in set(text) & self.letters.keys()]] = 0
+        found = ((self.holds.any(axis=1)) & (self.holds @ missing == 0)).astype(np.int64)
+        n: dict[str, int] = {}
+        done: dict[str, int] = {}
+        for end, name in self.finder.iter(text) if self.of else ():
+            if end - len(name) >= done.get(name, -1):
+                n[name], done[name] = n.get(name, 0) + 1, end
+        for name, count in n.items():
+            found[self.of[name]] = count
+        return found
+
+
 def tag_lexical(chunks: DataFrame, tags: DataFrame, best: int = BEST) -> DataFrame:
     """Per chunk(chunk_id, kb_id, content) the best tags by occurrences of the name.
 
-    A name that doesn't occur scores 1 if it has two characters or more and all of them do. Ties to the higher id.
+    A name that doesn't occur scores 1 if it has two characters or more and all of them do. Ties to the
+    higher id. Tags go to the tasks in blocks of bounded size, where one pass over a text finds all of
+    them; each block leaves at most ``best`` rows per chunk.
     """
-    pairs = chunks.select("chunk_id", "kb_id", "content").join(tags.select("kb_id", "tag_id", "name"), "kb_id")
-    n = ((F.length("content") - F.length(F.replace("content", "name"))) / F.length("name")).cast("int")
-    all_in = (F.length("name") >= 2) & F.forall(F.split("name", ""), lambda c: F.col("content").contains(c))
-    pairs = pairs.withColumn("score", F.when(n > 0, n).when(all_in, 1).otherwise(0)).filter("score > 0")
+    out = None
+    for block in blocks(tags.select("kb_id", "tag_id", "name"), TAG_BLOCK):
+        sent = chunks.sparkSession.sparkContext.broadcast(_by_kb(block))
+
+        def seek(batches: Iterator[pd.DataFrame], known=sent) -> Iterator[pd.DataFrame]:
+            names = {kb: Names(rows) for kb, rows in known.value.items()}
+            for rows in batches:
+                found = []
+                for chunk_id, kb, text in zip(rows["chunk_id"], rows["kb_id"], rows["content"], strict=True):
+                    if kb in names and text:
+                        scores = names[kb].scores(text)
+                        found += [(chunk_id, int(names[kb].ids[i]), int(scores[i])) for i in np.lexsort((-names[kb].ids, -scores))[:best] if scores[i] > 0]
+                yield pd.DataFrame(found, columns=["chunk_id", "tag_id", "score"])
+
+        part = chunks.select("chunk_id", "kb_id", "content").mapInPandas(seek, "chunk_id long, tag_id long, score int")
+        out = part if out is None else out.unionByName(part)
     rank = F.row_number().over(W.partitionBy("chunk_id").orderBy(F.desc("score"), F.desc("tag_id")))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= best).select("chunk_id", "rank", "tag_id", "score")
+    return out.withColumn("rank", rank).filter(F.col("rank") <= best).select("chunk_id", "rank", "tag_id", "score")
 
 
 def tag_briefs(links: DataFrame, tags: DataFrame, key: str) -> DataFrame:
@@ -171,13 +220,25 @@ R.add("tag_descendants", lambda s: tag_descendants(s["v_tag"].filter("level < 3"
 R.add("tag_forest", lambda s: flat_forest(s["v_tag"]),
       """WITH p AS (SELECT t.kb_id, t.tag_id, t.level, coalesce(g.sort_order, p.sort_order, t.sort_order) AS a, coalesce(g.tag_id, p.tag_id, t.tag_id) AS b, CASE t.level WHEN 3 THEN p.sort_order WHEN 2 THEN t.sort_order ELSE -1 END AS c, CASE t.level WHEN 3 THEN p.tag_id WHEN 2 THEN t.tag_id ELSE -1 END AS d,
       CASE t.level WHEN 3 THEN t.sort_order ELSE -1 END AS e FROM {v_tag} t LEFT JOIN {v_tag} p ON p.tag_id = t.parent_id LEFT JOIN {v_tag} g ON g.tag_id = p.parent_id) SELECT kb_id, row_number() OVER (PARTITION BY kb_id ORDER BY a, b, c, d, e) AS position, tag_id, level FROM p""")
-R.add("tag_tree", lambda s: tag_forest(s["v_tag"]).select("kb_id", F.size("tree").alias("roots"), F.to_json("tree").alias("tree")))
+NODE = "concat('[', {0}.sort_order, ',', {0}.tag_id, ',', {0}.name, ',(', coalesce({1}, ''), ')]')"
+
+
+def _tree_text(tree: Column) -> Column:
+    """A nested tree as text: [order,id,name,(children)]."""
+    node = lambda t, inner: F.concat(F.lit("["), t["sort_order"].cast("string"), F.lit(","), t["tag_id"].cast("string"), F.lit(","), t["name"], F.lit(",("), inner, F.lit(")]"))
+    each = lambda c, f: F.coalesce(F.array_join(F.transform(c, f), ""), F.lit(""))
+    return each(tree, lambda a: node(a, each(a["children"], lambda b: node(b, each(b["children"], lambda c: node(c, F.lit("")))))))
+
+
+R.add("tag_tree", lambda s: tag_forest(s["v_tag"]).select("kb_id", F.size("tree").alias("roots"), _tree_text(F.col("tree")).alias("tree")),
+      f"""WITH l3 AS (SELECT parent_id, string_agg({NODE.format("t", "''")}, '' ORDER BY t.sort_order, t.tag_id) AS c FROM {{v_tag}} t WHERE level = 3 GROUP BY parent_id), l2 AS (SELECT t.parent_id, string_agg({NODE.format("t", "l3.c")}, '' ORDER BY t.sort_order, t.tag_id) AS c FROM {{v_tag}} t LEFT JOIN l3 ON l3.parent_id = t.tag_id WHERE t.level = 2 GROUP BY t.parent_id)
+      SELECT t.kb_id, count(*) AS roots, string_agg({NODE.format("t", "l2.c")}, '' ORDER BY t.sort_order, t.tag_id) AS tree FROM {{v_tag}} t LEFT JOIN l2 ON l2.parent_id = t.tag_id WHERE t.level = 1 GROUP BY t.kb_id""")
 TAG_VECTORS = "SELECT pk AS tag_id, kb_id, vector FROM {v_chunk_vector} WHERE pk % 10 = 0"
 R.add("tag_chunks_by_vector", lambda s: tag_by_vector(s["v_chunk_vector"], s.sql(TAG_VECTORS), least=0.1).select("pk", "rank", "tag_id", F.round("score", 5).alias("score")),
       f"""SELECT * FROM (SELECT pk, row_number() OVER (PARTITION BY pk ORDER BY s DESC, tag_id DESC) AS rank, tag_id, round(s, 5) AS score FROM (SELECT c.pk, t.tag_id, list_cosine_similarity(CAST(c.vector AS DOUBLE[]), CAST(t.vector AS DOUBLE[])) AS s FROM {{v_chunk_vector}} c JOIN ({TAG_VECTORS}) t ON t.kb_id = c.kb_id) x) y WHERE rank <= 3 AND score >= 0.1""")
 R.add("low_confidence_chunks", lambda s: low_confidence(tag_by_vector(s["v_chunk_vector"], s.sql(TAG_VECTORS), least=-1.0), s["v_chunk_vector"].selectExpr("pk", "pk % 7 as doc_id", "pk as chunk_index"), 0.3).select("pk", "n"),
       f"""SELECT * FROM (SELECT pk, row_number() OVER (PARTITION BY pk % 7 ORDER BY pk) AS n FROM (SELECT c.pk, max(list_cosine_similarity(CAST(c.vector AS DOUBLE[]), CAST(t.vector AS DOUBLE[]))) AS s FROM {{v_chunk_vector}} c LEFT JOIN ({TAG_VECTORS}) t ON t.kb_id = c.kb_id GROUP BY c.pk) x WHERE coalesce(s, 0) < 0.3) y WHERE n <= 40""")
-WORDS = "SELECT tag_id, kb_id, CASE tag_id % 4 WHEN 0 THEN 'the' WHEN 1 THEN 'and' WHEN 2 THEN 'zqx' ELSE 'tion' END AS name FROM {v_tag} WHERE level = 1"
+WORDS = "SELECT tag_id, kb_id, CASE tag_id % 7 WHEN 0 THEN 'the' WHEN 1 THEN 'and' WHEN 2 THEN 'zqx' WHEN 3 THEN 'tion' WHEN 4 THEN 'e' WHEN 5 THEN 'ee' ELSE name END AS name FROM {v_tag} WHERE level < 3"
 R.add("tag_chunks_lexical", lambda s: tag_lexical(s["v_chunk"], s.sql(WORDS)),
       f"""SELECT * FROM (SELECT chunk_id, row_number() OVER (PARTITION BY chunk_id ORDER BY score DESC, tag_id DESC) AS rank, tag_id, score FROM (SELECT c.chunk_id, t.tag_id, CASE WHEN contains(c.content, t.name) THEN CAST((length(c.content) - length(replace(c.content, t.name, ''))) / length(t.name) AS INT)
       WHEN len(list_filter(string_split(t.name, ''), lambda k: NOT contains(c.content, k))) = 0 THEN 1 ELSE 0 END AS score FROM {{v_chunk}} c JOIN ({WORDS}) t ON t.kb_id = c.kb_id) x WHERE score > 0) y WHERE rank <= 3""")

@@ -237,14 +237,36 @@ PIECES = "SELECT conv_id, CAST(floor(n / 3) AS BIGINT) AS block, n AS piece, tex
 R.add("allocate_times", lambda s: allocate_times(_rows(s).selectExpr("conv_id", "cast(floor(seq / 3) as bigint) as block", "seq as piece", "text", "1000L as start_ms", "9000L as end_ms")).drop("text"),
       f"""WITH {KEPT}, p AS ({PIECES}), d AS (SELECT *, CAST(floor(8000 * length(text) / sum(length(text)) OVER (PARTITION BY conv_id, block)) AS BIGINT) AS d FROM p) SELECT conv_id, block, piece, CAST(1000 + coalesce(sum(d) OVER w, 0) AS BIGINT) AS start_ms, CAST(1000 + coalesce(sum(d) OVER w, 0) + d AS BIGINT) AS end_ms FROM d
       WINDOW w AS (PARTITION BY conv_id, block ORDER BY piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
-R.add("segmentation_guard", lambda s: segmentation_guard(_rows(s).selectExpr("conv_id", "seq as block", "text"), _rows(s).selectExpr("conv_id", "seq as block", "1 as piece", "role", "if(seq % 2 = 0, substring(text, 1, 10), text) as text")).select("conv_id", "block", "piece", "role", F.length("text").alias("n")))
-R.add("clean_speech", lambda s: clean_speech(_rows(s)).select("conv_id", "seq", "clean_text", F.array_join("removed_words", ",").alias("removed")))
-R.add("classify_questions", lambda s: classify_questions(_rows(s)).select("conv_id", "seq", "question_type"),
-      f"WITH {KEPT} SELECT conv_id, n AS seq, CASE WHEN role = 1 THEN CASE WHEN rtrim(text) LIKE '%?' THEN 'TECH' ELSE 'OTHER' END END AS question_type FROM u")
-R.add("polish_guard", lambda s: polish_guard(_rows(s).withColumn("clean_text", F.col("text")), _rows(s).filter("seq % 2 = 0").selectExpr("conv_id", "seq", "if(seq % 4 = 0, '', substring(text, 1, 12)) as rewrite")).select("conv_id", "seq", F.length("clean_text").alias("n")),
-      f"WITH {KEPT} SELECT conv_id, n AS seq, length(CASE WHEN n % 4 = 0 THEN '' WHEN n % 2 = 0 AND length(trim(substring(text, 1, 12))) >= greatest(2, floor(length(text) / 4)) THEN trim(substring(text, 1, 12)) ELSE text END) AS n FROM u")
-R.add("drop_and_renumber", lambda s: drop_and_renumber(_rows(s).withColumn("clean_text", F.expr("if(seq % 3 = 0, ' ', text)"))).select("conv_id", "seq", F.length("text").alias("n")),
-      f"WITH {KEPT} SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY n) AS seq, length(text) AS n FROM u WHERE n % 3 <> 0")
+#: Two pieces of each utterance: its first half, and of the other half a share that differs.
+GUARDED = "SELECT conv_id, n AS block, text, CAST(floor(length(text) / 2) AS INT) AS h, CAST(floor(length(text) * (n % 11) / 20) AS INT) AS k, role FROM u"
+BARE = "lower(regexp_replace({0}, '" + X.UNCOUNTED.replace("'", "''") + "', '', 'g'))"
+R.add("segmentation_guard", lambda s: (lambda u: segmentation_guard(u.select("conv_id", "block", "text"), u.selectExpr("conv_id", "block", "1 as piece", "role", "substring(text, 1, h) as text").unionByName(u.selectExpr("conv_id", "block", "2 as piece", "3 - role as role", "substring(text, h + 1, k) as text"))))(_rows(s).selectExpr("conv_id", "seq as block", "role", "text", "cast(floor(length(text) / 2) as int) as h", "cast(floor(length(text) * (seq % 11) / 20) as int) as k")).select("conv_id", "block", "piece", "role", "text"),
+      f"""WITH {KEPT}, g AS ({GUARDED}), s AS (SELECT *, length({BARE.format("substring(text, 1, h + k)")}) / greatest(length({BARE.format("text")}), 1) >= 0.75 AS alike FROM g)
+      SELECT conv_id, block, 1 AS piece, role, substring(text, 1, h) AS text FROM s WHERE alike UNION ALL SELECT conv_id, block, 2, 3 - role, substring(text, h + 1, k) FROM s WHERE alike UNION ALL SELECT conv_id, block, 0, 2, text FROM s WHERE NOT alike""")
+
+
+def spoken_sql() -> str:
+    """Cleaning as SQL without look-around and back references: letters and words of the view are listed, and fillers are whole parts between edges."""
+    letters, fillers = "我就应个是啊嗯哈这", ", ".join(f"'{x}'" for x in FILLERS)
+    nested = lambda c, pairs: reduce(lambda x, y: f"regexp_replace({x}, '{y[0]}', '{y[1]}', 'g')", pairs, c)
+    thrice, twice = [(f"{x}{{3,}}", x) for x in letters], [(f"({x}){{2,}}", x) for x in STUTTERS]
+    every = lambda pairs: "|".join(x for x, _ in pairs)
+    edge = EDGE.replace("'", "''")
+    parts = f"string_split(regexp_replace(c, '({edge})', concat(chr(1), '\\1', chr(1)), 'g'), chr(1))"
+    last = nested("array_to_string(list_filter(p, lambda x: x NOT IN (" + fillers + ")), '')", [*((f"{x}{{2,}}", x) for x in "，。！？、；："), (r"[ \t　]{2,}", " "), (r"^[，。、；：！？…—～·\s]+", ""), (r"\s+$", "")])
+    words = f"list_concat(list_concat(regexp_extract_all(a, '{every(thrice)}'), regexp_extract_all(b, '{every(twice)}')), list_filter(p, lambda x: x IN ({fillers})))"
+    return f"""v AS (SELECT conv_id, seq, text AS a, {nested("text", thrice)} AS b FROM {{v_speech}}), w AS (SELECT *, {nested("b", twice)} AS c FROM v), x AS (SELECT *, {parts} AS p FROM w), y AS (SELECT conv_id, seq, {last} AS clean_text, {words} AS r FROM x),
+    z AS (SELECT conv_id, seq, clean_text, array_to_string(list_filter(r, lambda x, i: list_position(r, x) = i), ',') AS removed FROM y)"""
+
+
+QUESTION = "(regexp_matches(rtrim(text), '[？?]$') OR " + " OR ".join(f"contains(text, '{m}')" for m in MARKERS) + ")"
+CLASSED = "CASE " + " ".join(f"WHEN {' OR '.join(f"contains(text, '{k}')" for k in ks)} THEN '{label}'" for label, ks in CLASSES.items()) + f" WHEN {QUESTION} THEN 'TECH' ELSE 'OTHER' END"
+R.add("clean_speech", lambda s: clean_speech(s["v_speech"]).select("conv_id", "seq", "clean_text", F.array_join("removed_words", ",").alias("removed")), f"WITH {spoken_sql()} SELECT * FROM z")
+R.add("classify_questions", lambda s: classify_questions(s["v_speech"]).select("conv_id", "seq", "question_type"), f"SELECT conv_id, seq, CASE WHEN role = 1 THEN {CLASSED} END AS question_type FROM {{v_speech}}")
+R.add("polish_guard", lambda s: polish_guard(_rows(s).withColumn("clean_text", F.col("text")), _rows(s).filter("seq % 2 = 0").selectExpr("conv_id", "seq", "if(seq % 4 = 0, ' ', concat(' ', substring(text, 1, cast(seq * 9 as int)), ' ')) as rewrite")).select("conv_id", "seq", "clean_text"),
+      f"WITH {KEPT} SELECT conv_id, n AS seq, CASE WHEN n % 4 = 0 THEN '' WHEN n % 2 = 0 AND length(trim(substring(text, 1, CAST(n * 9 AS INT)))) >= greatest(2, floor(length(text) / 4)) THEN trim(substring(text, 1, CAST(n * 9 AS INT))) ELSE text END AS clean_text FROM u")
+R.add("drop_and_renumber", lambda s: drop_and_renumber(_rows(s).withColumn("clean_text", F.expr("case when seq % 3 = 0 then ' ' when seq % 7 = 5 then null else text end"))).select("conv_id", "seq", "text"),
+      f"WITH {KEPT} SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY n) AS seq, text FROM u WHERE n % 3 <> 0 AND n % 7 <> 5")
 R.add("build_timed_transcript", lambda s: timed_transcript(_rows(s)),
       f"""WITH {KEPT}, t AS (SELECT conv_id, string_agg(concat(printf('[%02d:%02d] ', CAST(floor(CAST(start_ms AS BIGINT) / 60000) AS BIGINT), CAST(floor(CAST(start_ms AS BIGINT) / 1000) AS BIGINT) % 60), CASE WHEN role = 1 THEN '面试官' ELSE '候选人' END, '：', text), chr(10) ORDER BY n) AS t FROM u GROUP BY conv_id)
       SELECT conv_id, CASE WHEN length(t) > 24000 THEN concat(substring(t, 1, 24000), chr(10), '…（后文已截断）') ELSE t END AS transcript FROM t""")

@@ -56,6 +56,33 @@ def test_is_question(spark):
     assert {r["text"]: r["q"] for r in rows.collect()} == dict(QUESTIONS)
 
 
+def plain_distance(a: str, b: str) -> int:
+    return max(len(a), len(b)) if not a or not b else min(plain_distance(a[1:], b) + 1, plain_distance(a, b[1:]) + 1, plain_distance(a[1:], b[1:]) + (a[0] != b[0]))
+
+
+@given(st.text("缓存穿透", max_size=5), st.text("缓存穿透", max_size=5))
+def test_edit_distance(a, b):
+    assert transcripts.edit_distance(a, b) == plain_distance(a, b)
+
+
+def test_a_dropped_and_an_added_character_are_two_edits():
+    assert transcripts.correct_text("讲讲分布系统一致性呢。", ["分布式系统一致性"]) == ("讲讲分布式系统一致性。", [("分布系统一致性呢", "分布式系统一致性", 0.75)])
+
+
+@given(st.text("缓存穿透击雪崩x，", max_size=14))
+def test_han_terms_against_a_plain_scan(text):
+    words, at, out = ["缓存穿透", "缓存击穿", "存雪崩", "透x"], 0, ""
+    while at < len(text):
+        here = [w for w in words if w[0] == text[at]]
+        exact = max((w for w in here if text[at:].startswith(w)), key=len, default=None)
+        alike = [(1 - plain_distance(text[at : at + len(w)], w) / len(w), w) for w in here if at + len(w) <= len(text)]
+        best = max(alike, default=(0, ""), key=lambda x: x[0])
+        word = exact or (best[1] if best[0] >= 0.75 else text[at])
+        out += word
+        at += len(word)
+    assert transcripts.correct_text(text, words)[0] == out
+
+
 @pytest.mark.parametrize(("text", "expected"), TERMS)
 def test_correct_text(text, expected):
     assert transcripts.correct_text(text, WORDS)[0] == (expected or text)
@@ -96,15 +123,32 @@ def test_section_path(spark):
     assert found == {"one": "A", "two": "A > B", "three": "A > B > C", "four": "A > D", "five": "E", "six": "第一章 开始", "seven": "第一章 开始 > 1.2 细节"}
 
 
-@given(st.lists(st.tuples(st.integers(1, 400), st.sampled_from(["", "a", "b"])), max_size=60))
-def test_pack_ranges_cover_units_in_order(units):
-    ranges = documents.pack_ranges(units, 300, 100)
-    covered = sorted({i for a, b in ranges for i in range(a, b + 1)})
-    assert covered == list(range(len(units)))
-    assert all(a <= b for a, b in ranges)
-    assert all(x < y for (_, x), (_, y) in zip(ranges, ranges[1:], strict=False)) or len(ranges) < 2 or ranges[-1][1] == ranges[-2][1]
-    for (_, b), (a, _) in zip(ranges, ranges[1:], strict=False):
-        assert sum(t for t, _ in units[a : b + 1]) <= 100
+def plain_ranges(units: list[tuple[int, str]], target: int, overlap: int) -> list[tuple[int, int]]:
+    """A chunk is full at the target, or at half of it when the path changes; the longest tail that fits the overlap goes on."""
+    out, first = [], 0
+    tail = lambda first, last: next(s for s in range(first, last + 2) if sum(t for t, _ in units[s : last + 1]) <= overlap)
+    for i, (_, path) in enumerate(units):
+        before = units[i - 1][1]
+        if i > first and path and before and path != before and sum(t for t, _ in units[first:i]) >= target / 2:
+            out.append((first, i - 1))
+            first = tail(first, i - 1)
+        if sum(t for t, _ in units[first : i + 1]) >= target:
+            out.append((first, i))
+            first = tail(first, i)
+    return out + [(first, len(units) - 1)] * (first < len(units) and out[-1:] != [(first, len(units) - 1)])
+
+
+def test_chunks_against_a_plain_fold(spark):
+    random.seed(9)
+    docs = {d: [(random.choice([1, 20, 60, 150, 399]), random.choice(["", "a", "b"])) for _ in range(random.randrange(1, 40))] for d in range(150)}
+    rows = [(d, i + 1, p, f"t{i}", t) for d, units in docs.items() for i, (t, p) in enumerate(units)]
+    found = documents.pack_chunks(spark.createDataFrame(rows, "doc_id long, unit int, section_path string, text string, tokens int"), 300, 100).collect()
+    got = {(r["doc_id"], r["chunk_index"]): (r["text"], r["n_units"], r["tokens"], r["section_path"]) for r in found}
+    expected = {}
+    for d, units in docs.items():
+        for i, (a, b) in enumerate(plain_ranges(units, 300, 100)):
+            expected[d, i] = ("\n".join(f"t{k}" for k in range(a, b + 1)), b - a + 1, sum(t for t, _ in units[a : b + 1]), units[a][1] or units[b][1])
+    assert got == expected
 
 
 def test_dedup_vector_is_the_sequential_result(spark):
@@ -156,6 +200,13 @@ def test_llm_map_retries_and_logs(spark):
     assert {(r["success"], r["retries"]) for r in calls.llm_map(rows, failing, "id", wait=0.0).collect()} == {(0, 3)}
 
 
+@pytest.mark.parametrize(("answer", "holds"), [('{"a": 1}', True), ('```json\n{"a": [1,],}\n```', True), ('Sure: {"a": {"b": 2}} ok', True), ("[1, 2]", False), ("no", False), ("{a}", False), (None, False), ("", False)])
+def test_holds_json_as_it_is_parsed(spark, answer, holds):
+    assert calls.holds_json(answer) == holds
+    parsed = spark.createDataFrame([(answer,)], "t string").select(calls.parse_llm_json(F.col("t")).isNotNull().alias("p")).first()["p"]
+    assert parsed == holds
+
+
 def test_text_corpus_and_snapshots(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("缓存穿透".encode())
     (tmp_path / "b.txt").write_bytes("缓存雪崩".encode("gb18030"))
@@ -163,7 +214,12 @@ def test_text_corpus_and_snapshots(spark, tmp_path):
     assert found == {"缓存穿透", "缓存雪崩"}
     manifest = corpus.snapshot_tables({"t": spark.range(3), "u": spark.range(2)}, str(tmp_path / "snap"))
     assert {(r["table"], r["rows"]) for r in manifest.collect()} == {("t", 3), ("u", 2)}
-    back = corpus.restore_tables(spark, str(tmp_path / "snap"), ["t", "missing"])
-    assert list(back) == ["t"] and back["t"].count() == 3
+    spark.range(9).write.parquet(str(tmp_path / "now" / "t"))
+    spark.range(9).write.parquet(str(tmp_path / "now" / "missing"))
+    done = corpus.restore_tables(spark, str(tmp_path / "snap"), str(tmp_path / "now"), ["t", "missing"])
+    assert {tuple(r) for r in done.collect()} == {("t", 3, True), ("missing", None, False)}
+    assert [spark.read.parquet(str(tmp_path / "now" / n)).count() for n in ("t", "missing")] == [3, 9]
+    spark.range(5).write.mode("append").parquet(str(tmp_path / "snap" / "u"))  # not what the manifest says
+    assert not corpus.restore_tables(spark, str(tmp_path / "snap"), str(tmp_path / "now"), ["u"]).first()["restored"]
     corpus.write_csv(spark.createDataFrame([(1, 'say "hi", you')], "id int, t string"), str(tmp_path / "csv"), bom=True)
     assert spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv")).first()[1] == 'say "hi", you'
