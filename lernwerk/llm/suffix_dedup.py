@@ -7,6 +7,8 @@ wherever it stands, so equal strings can be told apart by their samples alone.
 1. Each sampled suffix becomes a tuple: a digest of all strings sampled by it together (its reach),
    digests of the longer common prefixes and common suffixes that a shared string implies, its
    document and place. Tuples are dealt by digest of the sampled gram and sorted in tasks.
+   Before, each task settles what its own tuples tell: of a string that many of its documents share,
+   two tuples are enough for the others, so no bucket grows with a common line.
 2. Tuples with equal reach induce the answer for all their strings at once: those of later documents
    are repeated. What is left of a reach's first document is settled if no other document shares a
    prefix or suffix long enough. Otherwise its single strings are digested, dealt and sorted.
@@ -41,8 +43,11 @@ REACH = LENGTH - GRAM  # how far before its sampled place a string may start
 SPLIT = REACH // 2  # strings that start nearer are told by a longer prefix, others by a longer suffix
 #: Bytes of text that one task of the sorts works on, bytes hashed at once, and tuples gathered before they are dealt.
 TASK_BYTES, SEGMENT, FLUSH = 1 << 24, 1 << 18, 1 << 18
-PACKED = "bucket int, part binary"
+#: kind 0: runs of repeated strings, 1: runs to be settled string by string, 2: tuples.
+PACKED = "kind int, bucket int, part binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+#: Tuples of one task that may share a digest before only two of them are dealt.
+SHARED_BY = 4
 _STEP, _MIX, _MIX2 = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9FB21C651E98DF25)
 _PLACE = np.uint64((1 << 20) - 1)
 
@@ -158,15 +163,62 @@ def _rows(batches) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
         yield texts, rows["doc_id"].to_numpy(dtype=np.int64), np.array([_key(x) for x in rows["key"]], dtype=np.uint64)
 
 
+def spread(values: np.ndarray, ids: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows whose value many documents share here, and of these all but one of the least and one of the greatest id.
+
+    Only rows where ``live`` holds count. The two make known elsewhere that the value is shared.
+    """
+    out, shared = np.zeros(len(values), dtype=bool), np.zeros(len(values), dtype=bool)
+    at = np.flatnonzero(live)
+    if len(at):
+        order = at[np.lexsort((ids[at], values[at]))]
+        v, i = values[order], ids[order]
+        first = np.append(True, v[1:] != v[:-1])
+        start = np.flatnonzero(first)
+        size = np.diff(np.append(start, len(v)))
+        last = start + size - 1
+        inner = ~first
+        inner[last] = False
+        many = np.repeat((size > SHARED_BY) & (i[start] < i[last]), size)
+        shared[order[many]] = True
+        out[order[inner & many]] = True
+    return shared, out
+
+
+def _near(n: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """How many of the strings of each tuple start at most SPLIT before its place."""
+    return np.clip(SPLIT + n.astype(np.int64) - back.astype(np.int64), 0, n.astype(np.int64))
+
+
 def _tuples(buckets: int):
+    """Tuples by bucket of their gram (kind 2), and runs that are settled (0) or open (1) without meeting others.
+
+    What a task can tell by itself isn't dealt, so a line that very many documents share sends a few
+    tuples of each task to its bucket.
+    """
+
     def deal(found: list, ids: np.ndarray, keys: np.ndarray) -> Iterator[pd.DataFrame]:
         doc, start, n, back, reach, longer, before, bucket = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(bucket, kind="stable")
-        at = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for b in np.unique(bucket):
-            o = order[at[b] : at[b + 1]]
-            used, own = np.unique(doc[o], return_inverse=True)
-            yield pd.DataFrame({"bucket": [int(b)], "part": [pack(ids=ids[used], keys=keys[used], doc=own.astype(np.uint32), start=start[o], n=n[o], back=back[o], reach=reach[o], longer=longer[o], before=before[o])]})
+        own = ids[doc]
+        repeated = own > group_least(reach, own)[0]
+        near = _near(n, back)
+        both, right = spread(longer, own, ~repeated & (near > 0))
+        some, left = spread(before, own, ~repeated & (near < n))
+        for kind, rows, low, count in ((0, repeated, start, n), (1, right, start + (n - near).astype(np.uint32), near.astype(np.uint8)), (1, left, start, (n - near).astype(np.uint8))):
+            at = np.flatnonzero(rows)
+            if len(at):
+                yield from _dealt(kind, buckets, keys, doc[at], low[at], count[at])
+        # A tuple that is open on one side is dealt for the other one alone.
+        keep = ~repeated & ((near > 0) & ~right | (near < n) & ~left)
+        at = np.flatnonzero(keep)
+        skip = (right[at] + 2 * left[at] + 4 * both[at] + 8 * some[at]).astype(np.uint8)
+        order = at[np.argsort(bucket[at], kind="stable")]
+        skip = skip[np.argsort(bucket[at], kind="stable")]
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        for b in np.unique(bucket[at]):
+            o, k = order[cuts[b] : cuts[b + 1]], skip[cuts[b] : cuts[b + 1]]
+            used, of = np.unique(doc[o], return_inverse=True)
+            yield pd.DataFrame({"kind": [2], "bucket": [int(b)], "part": [pack(ids=ids[used], keys=keys[used], doc=of.astype(np.uint32), start=start[o], n=n[o], back=back[o], reach=reach[o], longer=longer[o], before=before[o], skip=k)]})
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for texts, ids, keys in _rows(batches):
@@ -213,9 +265,21 @@ def _dealt(kind: int, buckets: int, keys: np.ndarray, doc: np.ndarray, start: np
         yield pd.DataFrame({"kind": [kind], "bucket": [int(b)], "part": [pack(keys=keys[used], doc=own.astype(np.uint32), start=start[o], n=n[o])]})
 
 
+def _passed_on(batches: Iterator[pd.DataFrame], parts: list[bytes]) -> Iterator[pd.DataFrame]:
+    """Runs go on as they are; the parts of tuples are gathered."""
+    for rows in batches:
+        runs = rows[rows["kind"] < 2]
+        if len(runs):
+            yield runs
+        parts += rows.loc[rows["kind"] == 2, "part"].tolist()
+
+
 def _settle(buckets: int):
     def settle(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [p for rows in batches for p in rows["part"]]
+        parts: list[bytes] = []
+        yield from _passed_on(batches, parts)
+        if not parts:
+            return
         doc, known, keys = unpack_all(parts, "doc", "ids", "keys")
         ids = known[doc]
         (reach,) = unpack_all(parts, "reach")
@@ -227,13 +291,14 @@ def _settle(buckets: int):
             yield from _dealt(0, buckets, keys, doc[rows], start[rows], n[rows])
         # First documents of a reach: single strings matter where another document shares the longer stretch.
         first = np.flatnonzero(~repeated)
-        doc, ids, start, n = doc[first], ids[first], start[first], n[first].astype(np.int64)
-        (back,) = unpack_all(parts, "back")
-        near = np.clip(SPLIT + n - back[first].astype(np.int64), 0, n)  # strings that start at most SPLIT before the place
-        for name, low, count in (("longer", start + (n - near).astype(np.uint32), near), ("before", start, n - near)):
+        doc, ids, start, n = doc[first], ids[first], start[first], n[first]
+        back, skip = unpack_all(parts, "back", "skip")
+        near, n = _near(n, back[first]), n.astype(np.int64)
+        for name, low, count, done, known_shared in (("longer", start + (n - near).astype(np.uint32), near, 1, 4), ("before", start, n - near, 2, 8)):
             (value,) = unpack_all(parts, name)
+            shared = np.isin(value[first], value[skip & known_shared > 0])
             least, most = group_least(value[first], ids)
-            need = np.flatnonzero((count > 0) & (least < most))
+            need = np.flatnonzero((count > 0) & (shared | (least < most)) & (skip[first] & done == 0))
             if len(need):
                 yield from _dealt(1, buckets, keys, doc[need], low[need], count[need].astype(np.uint8))
 
@@ -258,12 +323,12 @@ def _key(key: bytes) -> int:
 def _single_strings(buckets: int):
     def strings(key: tuple, docs: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
         if not len(runs) or not len(docs):
-            return pd.DataFrame({"bucket": pd.Series(dtype="int32"), "part": pd.Series(dtype=object)})
+            return pd.DataFrame(columns=["kind", "bucket", "part"])
         start, n, at = _by_document(list(runs["part"]))
         docs = docs.drop_duplicates("key")  # equal rows have equal strings
         docs = docs[[_key(k) in at for k in docs["key"]]]
         if not len(docs):
-            return pd.DataFrame({"bucket": pd.Series(dtype="int32"), "part": pd.Series(dtype=object)})
+            return pd.DataFrame(columns=["kind", "bucket", "part"])
         found = []
         for texts, ids, keys in _rows([docs]):
             spans = [at[_key(k)] for k in docs["key"]]
@@ -277,30 +342,43 @@ def _single_strings(buckets: int):
                     where = s - off + a
                     found.append((np.full(len(s), d), s, one.of(where, where + LENGTH), two.of(where, where + LENGTH)))
             doc, s, h, g = (np.concatenate(v) for v in zip(*found, strict=True))
+            g = (g >> np.uint64(48)).astype(np.uint16)
+            # A string that other documents here have too is settled here; the least id of each is dealt.
+            own = ids[doc]
+            least = group_least(_numbered(h, g), own)[0]
+            gone = np.flatnonzero(own > least)
+            made = [(0, *x[["bucket", "part"]].iloc[0]) for x in _dealt(0, buckets, keys, doc[gone], s[gone].astype(np.uint32), np.ones(len(gone), dtype=np.uint8))] if len(gone) else []
+            kept = np.flatnonzero(own == least)
+            doc, s, h, g = doc[kept], s[kept], h[kept], g[kept]
             bucket = (h >> np.uint64(40)).astype(np.int64) % buckets
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            made = []
             for b in np.unique(bucket):
                 o = order[cut[b] : cut[b + 1]]
                 used, own = np.unique(doc[o], return_inverse=True)
-                made.append((int(b), pack(ids=ids[used], keys=keys[used], doc=own.astype(np.uint32), start=s[o].astype(np.uint32), h=h[o], g=(g[o] >> np.uint64(48)).astype(np.uint16))))
-            return pd.DataFrame(made, columns=["bucket", "part"])
+                made.append((2, int(b), pack(ids=ids[used], keys=keys[used], doc=own.astype(np.uint32), start=s[o].astype(np.uint32), h=h[o], g=g[o])))
+            return pd.DataFrame(made, columns=["kind", "bucket", "part"])
 
     return strings
 
 
+def _numbered(h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """A number for each different pair of digests."""
+    order = np.lexsort((g, h))
+    group = np.empty(len(order), dtype=np.int64)
+    group[order] = np.cumsum(np.append(0, (np.diff(h[order]) != 0) | (np.diff(g[order]) != 0)))[: len(order)]
+    return group
+
+
 def _settle_strings(buckets: int):
     def settle(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [p for rows in batches for p in rows["part"]]
+        parts: list[bytes] = []
+        yield from _passed_on(batches, parts)
+        if not parts:
+            return
         doc, known, keys = unpack_all(parts, "doc", "ids", "keys")
-        h, g = unpack_all(parts, "h", "g")
-        order = np.lexsort((g, h))
-        group = np.empty(len(order), dtype=np.int64)
-        group[order] = np.cumsum(np.append(0, (np.diff(h[order]) != 0) | (np.diff(g[order]) != 0)))
-        del h, g, order
         ids = known[doc]
-        rows = np.flatnonzero(ids > group_least(group, ids)[0])
+        rows = np.flatnonzero(ids > group_least(_numbered(*unpack_all(parts, "h", "g")), ids)[0])
         if len(rows):
             (start,) = unpack_all(parts, "start")
             yield from _dealt(0, buckets, keys, doc[rows], start[rows], np.ones(len(rows), dtype=np.uint8))
@@ -350,12 +428,11 @@ def find_repeats(docs: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(-(-size // task_bytes), 2 * docs.sparkSession.sparkContext.defaultParallelism)
     tuples = rows.select("doc_id", "key", "text").mapInPandas(_tuples(buckets), PACKED)
-    runs = "kind int, bucket int, part binary"
-    settled = materialise(tuples.groupBy("bucket").applyInPandas(_settle(buckets), runs), "suffixes")
+    settled = materialise(tuples.groupBy("bucket").applyInPandas(_settle(buckets), PACKED), "suffixes")
     dealt = rows.select("doc_id", "key", "text").mapInPandas(_dealt_texts(buckets), "bucket int, doc_id long, key binary, raw binary").groupBy("bucket")
     open_runs, done = settled.filter("kind = 1").select("bucket", "part"), settled.filter("kind = 0").select("bucket", "part")
     strings = dealt.cogroup(open_runs.groupBy("bucket")).applyInPandas(_single_strings(buckets), PACKED)
-    more = strings.groupBy("bucket").applyInPandas(_settle_strings(buckets), runs).select("bucket", "part")
+    more = strings.groupBy("bucket").applyInPandas(_settle_strings(buckets), PACKED).select("bucket", "part")
     cleaned = dealt.cogroup(done.unionByName(more).groupBy("bucket")).applyInPandas(_cleaned, f"{RESULT}, spans array<long>")
     return null_ids(cleaned)
 

@@ -87,6 +87,27 @@ def test_suffix_dedup_of_dense_repeats(spark):
     assert {r["doc_id"]: r["n_removed"] for r in found.collect()} == expected
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_suffix_dedup_of_common_lines_over_many_tasks(spark, seed):
+    """A line and parts of it in nearly all texts, ids in no order over the tasks: every task must settle what it can and tell the rest."""
+    random.seed(seed)
+    word = lambda k: "".join(random.choices("abcdefgh ", k=k))
+    line, other = word(90), word(75)
+    pieces = [line, line[10:], line[:70], line[5:60] + other[:30], other, other[3:], line + other]
+    rows = [(i, word(random.randrange(60)) + random.choice(pieces) + word(random.choice([0, 3, 40])) + random.choice(pieces) + word(9)) for i in range(90)]
+    random.shuffle(rows)
+    first: dict[bytes, int] = {}
+    expected = {}
+    for i, text in sorted(rows):
+        gone = set()
+        for k in range(len(text) - 49):
+            if first.setdefault(text[k : k + 50].encode(), i) < i:
+                gone.update(range(k, k + 50))
+        expected[i] = len(gone)
+    found = suffix_dedup.find_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert {r["doc_id"]: r["n_removed"] for r in found.collect()} == expected
+
+
 def test_near_dedup_against_brute_force(docs, texts):
     sets = {i: Counter(shingles.shingle_ids(t).tolist()) for i, t in texts.items()}
     found = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs).collect()}
