@@ -2,57 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialise, release, shared_folder
+
+__all__ = ["LAST_ID", "gathered", "id_and_text", "known_id", "materialise", "null_ids", "release", "shared_folder", "table"]
 #: Stands in for a missing doc_id where ids are compared: it sorts after every other id.
 LAST_ID = 2**63 - 1
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Only where that setting is missing (tests, one machine) a temporary folder is used.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="lernwerk-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session has ended; the folder's owner clears it
-        pass
-
-
-def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back.
-
-    The table cuts the lineage and survives lost executors; it is removed when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/lernwerk-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    rows = spark.read.schema(df.schema).parquet(path)
-    rows._lernwerk_path = path
-    return rows
-
-
-def release(rows: DataFrame) -> None:
-    """Delete a table that ``materialise`` has written and nothing reads any more."""
-    _remove(rows.sparkSession, rows._lernwerk_path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -3,8 +3,8 @@
 A flat token file is a run of little-endian unsigned 16-bit ids with an end-of-document id after
 each document and no index. It is held as a table of equal blocks (file, block, data), which are cut
 without regard to documents. Every block is searched for separators with one vectorised comparison;
-a prefix scan over the blocks of a file (tokens, separators, last separator so far) gives each block
-its place, so that a document that spans blocks is measured from the separator before it.
+a prefix scan over the blocks of a file (tokens, separators, last separator so far), in two levels, gives
+each block its place, so that a document that spans blocks is measured from the separator before it.
 
 Cases: a null text counts as empty and has 0 tokens; empty documents are two separators in a row; a
 file whose last document has no separator reports it as unterminated; an empty file has no documents.
@@ -28,6 +28,8 @@ from .common import id_and_text, materialise, null_ids, table
 VOCABULARY, SEPARATOR = public_tokenizers.path("byte_bpe_50k.tiktoken"), 50_256
 #: Tokens of a block.
 BLOCK = 1 << 18
+#: Blocks of a file whose prefix scan is one group.
+SPAN = 1 << 10
 FLAT = "file int, block int, data binary, doc_ids array<long>"
 
 
@@ -72,26 +74,50 @@ def write_flat(docs: DataFrame, vocabulary: str = VOCABULARY, separator: int = S
     return id_and_text(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(rows, FLAT)
 
 
-def scan(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:
-    """(file, document, start, n_tokens, terminated) of every document in flat token files."""
+def scanned(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:
+    """(file, block, tokens, found): places of the separators in every block, written as a table."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             flat = [np.frombuffer(x, dtype="<u2") for x in rows["data"]]
             yield pd.DataFrame({"file": rows["file"], "block": rows["block"], "tokens": [len(x) for x in flat], "found": [np.flatnonzero(x == separator) for x in flat]})
 
-    found = blocks.select("file", "block", "data").mapInPandas(find, "file int, block int, tokens long, found array<long>")
-    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    found = found.withColumns({"base": F.coalesce(F.sum("tokens").over(before), F.lit(0)), "first": F.coalesce(F.sum(F.size("found")).over(before), F.lit(0))})
-    found = found.withColumn("last", F.when(F.size("found") > 0, F.col("base") + F.element_at("found", -1)))
-    found = found.withColumn("previous", F.coalesce(F.max("last").over(before), F.lit(-1)))
-    found = found.withColumn("end", F.lead("block").over(W.partitionBy("file").orderBy("block")).isNull())
+    return materialise(blocks.select("file", "block", "data").mapInPandas(find, "file int, block int, tokens long, found array<long>"), "separators")
+
+
+def prefix(rows: DataFrame, into: str, kind: str, column: str, start: int) -> DataFrame:
+    """``into``: the sum or max of a column over all blocks of the file before each one, from ``start`` on.
+
+    The scan has two levels, so a task has SPAN blocks of a file or one row for each SPAN of them.
+    """
+    merge = {"sum": F.sum, "max": F.max}[kind]
+    combine = (lambda a, b: a + b) if kind == "sum" else F.greatest
+    before = lambda keys, order: W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("_span", F.floor(F.col("block") / SPAN))
+    spans = rows.groupBy("file", "_span").agg(merge(column).alias("_v"))
+    spans = spans.select("file", "_span", F.coalesce(merge("_v").over(before(["file"], "_span")), F.lit(start)).alias("_far"))
+    near = F.coalesce(merge(column).over(before(["file", "_span"], "block")), F.lit(start))
+    return rows.withColumn("_near", near).join(spans, ["file", "_span"]).withColumn(into, combine(F.col("_far"), F.col("_near"))).drop("_span", "_near", "_far")
+
+
+def scan(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:
+    """(file, document, start, n_tokens, terminated) of every document in flat token files.
+
+    Only counts and last places of the blocks take part in the prefix scan; the places of the
+    separators are joined to its result.
+    """
+    found = scanned(blocks, separator)
+    slim = found.select("file", "block", "tokens", F.size("found").cast("long").alias("n"), F.try_element_at("found", F.lit(-1)).alias("last"))
+    slim = prefix(prefix(slim, "base", "sum", "tokens", 0), "first", "sum", "n", 0)
+    slim = prefix(slim.withColumn("last", F.coalesce(F.col("base") + F.col("last"), F.lit(-1))), "previous", "max", "last", -1)
+    ends = slim.groupBy("file").agg(F.max("block").alias("end"))
+    slim = slim.join(ends, "file").withColumn("end", F.col("block") == F.col("end"))
+    found = found.select("file", "block", "found").join(slim, ["file", "block"])
     at = F.expr("transform(found, x -> x + base)")
     # What is left after the last separator of a file is a document without one.
-    tail = F.when(F.col("end") & (F.col("base") + F.col("tokens") > F.coalesce("last", "previous") + 1), F.array(F.col("base") + F.col("tokens"))).otherwise(F.array().cast("array<long>"))
-    found = found.select("file", "first", "previous", F.size("found").alias("n"), F.concat(at, tail).alias("at"))
+    tail = F.when(F.col("end") & (F.col("base") + F.col("tokens") > F.greatest("last", "previous") + 1), F.array(F.col("base") + F.col("tokens"))).otherwise(F.array().cast("array<long>"))
     pairs = F.expr("transform(at, (x, i) -> struct(if(i = 0, previous, at[i - 1]) as before, x as at))")
-    rows = found.select("file", "first", "n", "previous", "at").withColumn("pair", pairs)
+    rows = found.select("file", "first", "previous", "n", F.concat(at, tail).alias("at")).withColumn("pair", pairs)
     rows = rows.select("file", "first", "n", F.posexplode("pair").alias("i", "p"))
     rows = rows.select("file", (F.col("first") + F.col("i")).alias("document"), (F.col("p.before") + 1).alias("start"), F.col("p.at").alias("stop"), (F.col("i") < F.col("n")).alias("terminated"))
     return rows.select("file", "document", "start", (F.col("stop") - F.col("start")).alias("n_tokens"), "terminated")
@@ -99,8 +125,8 @@ def scan(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:
 
 def names(blocks: DataFrame) -> DataFrame:
     """(file, document, doc_id): the documents' order in each file."""
-    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    lists = blocks.select("file", "block", "doc_ids").withColumn("first", F.coalesce(F.sum(F.size("doc_ids")).over(before), F.lit(0)))
+    slim = prefix(blocks.select("file", "block", F.size("doc_ids").cast("long").alias("n")), "first", "sum", "n", 0)
+    lists = blocks.select("file", "block", "doc_ids").join(slim, ["file", "block"])
     return lists.select("file", "first", F.posexplode("doc_ids").alias("i", "doc_id")).select("file", (F.col("first") + F.col("i")).alias("document"), "doc_id")
 
 

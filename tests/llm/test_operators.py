@@ -56,6 +56,23 @@ def test_scan_joins_blocks(spark):
     assert sorted(tuple(r) for r in found.collect()) == [(0, 0, 0, 1, True), (0, 1, 2, 0, True), (0, 2, 3, 3, False), (1, 0, 0, 0, True)]
 
 
+def test_scan_of_long_files_against_a_plain_loop(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "SPAN", 4)
+    random.seed(2)
+    rows, expected = [], []
+    for file in range(3):
+        flat = [random.choice([7, 8, token_counts.SEPARATOR]) if file else 7 for _ in range(160)] + ([] if file == 1 else [token_counts.SEPARATOR] * file)
+        rows += [(file, i, np.array(flat[5 * i : 5 * i + 5], dtype="<u2").tobytes()) for i in range(-(-len(flat) // 5))]
+        start = no = 0
+        for i, x in enumerate([*flat, None]):
+            if x == token_counts.SEPARATOR or x is None and i > start:
+                expected.append((file, no, start, i - start, x is not None))
+                start, no = i + 1, no + 1
+    random.shuffle(rows)
+    found = token_counts.scan(spark.createDataFrame(rows, "file int, block int, data binary"))
+    assert sorted(tuple(r) for r in found.collect()) == expected
+
+
 def test_suffix_dedup_against_brute_force(spark, docs, texts):
     first: dict[bytes, int] = {}
     expected = {}
