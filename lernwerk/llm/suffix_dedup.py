@@ -14,9 +14,11 @@ wherever it stands, so equal strings can be told apart by their samples alone.
    prefix or suffix long enough. Otherwise its single strings are digested, dealt and sorted.
 3. The repeated strings of each document are joined and removed.
 
-The method named for this operator, external induced sorting with priority queues on disk, appears
-here as Spark's sort and shuffle of the sampled tuples, with the common-prefix digests carried along;
-see the README for why it isn't a recursion over one shard.
+The method named for this operator, external induced sorting with priority queues on disk, is a
+sequential recursion over one shard; written so (tests/llm/induced_sorting.py, which this operator is
+tested against) it is far too slow in Python tasks, and a shard sees no strings of others. Only its
+idea is kept: few suffixes are compared, with what they have in common carried along, and the rest
+is induced. The README has the figures.
 
 Cases: null texts count as empty; texts under LENGTH bytes lose nothing; rows with equal doc_id never
 remove each other's bytes; a null doc_id comes after every other one; equal rows each give a row;
@@ -42,7 +44,7 @@ LENGTH, GRAM = 50, 14
 REACH = LENGTH - GRAM  # how far before its sampled place a string may start
 SPLIT = REACH // 2  # strings that start nearer are told by a longer prefix, others by a longer suffix
 #: Bytes of text that one task of the sorts works on, bytes hashed at once, and tuples gathered before they are dealt.
-TASK_BYTES, SEGMENT, FLUSH = 1 << 24, 1 << 18, 1 << 18
+TASK_BYTES, SEGMENT, FLUSH = 1 << 23, 1 << 18, 1 << 18
 #: kind 0: runs of repeated strings, 1: runs to be settled string by string, 2: tuples.
 PACKED = "kind int, bucket int, part binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -163,13 +165,28 @@ def _rows(batches) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
         yield texts, rows["doc_id"].to_numpy(dtype=np.int64), np.array([_key(x) for x in rows["key"]], dtype=np.uint64)
 
 
+def crowded(values: np.ndarray, more_than: int) -> np.ndarray:
+    """Rows whose value may stand more often than that: all that do, and a few others."""
+    slot = (values & values.dtype.type((1 << 20) - 1)).astype(np.int64)
+    return np.bincount(slot, minlength=1 << 20)[slot] > more_than
+
+
+def repeated_here(values: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Rows for whose value another row has a smaller id."""
+    at = np.flatnonzero(crowded(values, 1))
+    out = np.zeros(len(values), dtype=bool)
+    if len(at):
+        out[at] = ids[at] > group_least(values[at], ids[at])[0]
+    return out
+
+
 def spread(values: np.ndarray, ids: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows whose value many documents share here, and of these all but one of the least and one of the greatest id.
 
     Only rows where ``live`` holds count. The two make known elsewhere that the value is shared.
     """
     out, shared = np.zeros(len(values), dtype=bool), np.zeros(len(values), dtype=bool)
-    at = np.flatnonzero(live)
+    at = np.flatnonzero(live & crowded(values, SHARED_BY))
     if len(at):
         order = at[np.lexsort((ids[at], values[at]))]
         v, i = values[order], ids[order]
@@ -200,7 +217,7 @@ def _tuples(buckets: int):
     def deal(found: list, ids: np.ndarray, keys: np.ndarray) -> Iterator[pd.DataFrame]:
         doc, start, n, back, reach, longer, before, bucket = (np.concatenate(x) for x in zip(*found, strict=True))
         own = ids[doc]
-        repeated = own > group_least(reach, own)[0]
+        repeated = repeated_here(reach, own)
         near = _near(n, back)
         both, right = spread(longer, own, ~repeated & (near > 0))
         some, left = spread(before, own, ~repeated & (near < n))
@@ -283,7 +300,7 @@ def _settle(buckets: int):
         doc, known, keys = unpack_all(parts, "doc", "ids", "keys")
         ids = known[doc]
         (reach,) = unpack_all(parts, "reach")
-        repeated = ids > group_least(reach, ids)[0]
+        repeated = repeated_here(reach, ids)
         del reach
         start, n = unpack_all(parts, "start", "n")
         rows = np.flatnonzero(repeated)
@@ -345,10 +362,10 @@ def _single_strings(buckets: int):
             g = (g >> np.uint64(48)).astype(np.uint16)
             # A string that other documents here have too is settled here; the least id of each is dealt.
             own = ids[doc]
-            least = group_least(_numbered(h, g), own)[0]
-            gone = np.flatnonzero(own > least)
+            elsewhere = _repeated_strings(h, g, own)
+            gone = np.flatnonzero(elsewhere)
             made = [(0, *x[["bucket", "part"]].iloc[0]) for x in _dealt(0, buckets, keys, doc[gone], s[gone].astype(np.uint32), np.ones(len(gone), dtype=np.uint8))] if len(gone) else []
-            kept = np.flatnonzero(own == least)
+            kept = np.flatnonzero(~elsewhere)
             doc, s, h, g = doc[kept], s[kept], h[kept], g[kept]
             bucket = (h >> np.uint64(40)).astype(np.int64) % buckets
             order = np.argsort(bucket, kind="stable")
@@ -362,12 +379,15 @@ def _single_strings(buckets: int):
     return strings
 
 
-def _numbered(h: np.ndarray, g: np.ndarray) -> np.ndarray:
-    """A number for each different pair of digests."""
-    order = np.lexsort((g, h))
-    group = np.empty(len(order), dtype=np.int64)
-    group[order] = np.cumsum(np.append(0, (np.diff(h[order]) != 0) | (np.diff(g[order]) != 0)))[: len(order)]
-    return group
+def _repeated_strings(h: np.ndarray, g: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Rows for whose pair of digests another row has a smaller id."""
+    at = np.flatnonzero(crowded(h >> np.uint64(32), 1))
+    out = np.zeros(len(h), dtype=bool)
+    if len(at):
+        order = at[np.lexsort((g[at], h[at]))]
+        new = np.append(0, (np.diff(h[order]) != 0) | (np.diff(g[order]) != 0))
+        out[order] = ids[order] > group_least(np.cumsum(new), ids[order])[0]
+    return out
 
 
 def _settle_strings(buckets: int):
@@ -378,7 +398,7 @@ def _settle_strings(buckets: int):
             return
         doc, known, keys = unpack_all(parts, "doc", "ids", "keys")
         ids = known[doc]
-        rows = np.flatnonzero(ids > group_least(_numbered(*unpack_all(parts, "h", "g")), ids)[0])
+        rows = np.flatnonzero(_repeated_strings(*unpack_all(parts, "h", "g"), ids))
         if len(rows):
             (start,) = unpack_all(parts, "start")
             yield from _dealt(0, buckets, keys, doc[rows], start[rows], np.ones(len(rows), dtype=np.uint8))

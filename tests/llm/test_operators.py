@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from lernwerk.llm import bpe, decontaminate, html_extract, licenses, near_dedup, pii, quality_classifier, quality_rules, shingles, suffix_dedup, token_counts
 
+import induced_sorting  # beside this file
+
 SF = "/root/testdata/sf0.01"
 
 
@@ -125,6 +127,23 @@ def test_suffix_dedup_of_common_lines_over_many_tasks(spark, seed):
     assert {r["doc_id"]: r["n_removed"] for r in found.collect()} == expected
 
 
+def test_induced_sorting_against_plain_order():
+    random.seed(1)
+    for _ in range(200):
+        text = [random.randrange(1, random.choice([3, 4, 7])) for _ in range(random.randrange(40))] + [0]
+        got, order = induced_sorting.suffix_order(text, 5), sorted(range(len(text)), key=lambda i: text[i:])
+        assert got == [(i, induced_sorting.shared(text, order[k - 1], i, 5) if k else 0) for k, i in enumerate(order)]
+
+
+def test_suffix_dedup_against_external_induced_sorting(spark, texts):
+    some = [(i, texts[i]) for i in sorted(texts) if len(texts[i]) < 1500][:60]
+    some += [(10**6 + i, t[: len(t) // 2] + " and on") for i, t in some[:10]]
+    plain = induced_sorting.removed_bytes([(i, t.encode()) for i, t in some])
+    assert sum(plain.values()) > 1000
+    found = suffix_dedup.find_repeats(spark.createDataFrame(some, "doc_id long, text string"))
+    assert {r["doc_id"]: r["n_removed"] for r in found.collect()} == plain
+
+
 def test_near_dedup_against_brute_force(docs, texts):
     sets = {i: Counter(shingles.shingle_ids(t).tolist()) for i, t in texts.items()}
     found = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs).collect()}
