@@ -1,13 +1,14 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
 Every text gets its base measures and, from them, one signal per rule (higher is worse). Labelled
-rows decide the cutoffs: for each stratum (language) and rule the candidate cutoffs are tried from
-loose to tight. A cutoff passes if the exact binomial probability of seeing so few rejected good
-texts, were the true share of rejected good texts ``risk / rules``, is at most
-``doubt / (strata * rules)``; the first that fails ends the sequence. So with probability
-1 - ``doubt`` no stratum loses more than ``risk`` of its good texts to the rules. Among the passing
-cutoffs the one with the best gain (share of bad texts rejected less ``price`` times that of good
-ones) is taken, if the gain is positive.
+rows decide the cutoffs of each stratum (language). A path is one rule or all of them together; its
+steps tighten the cutoffs of its rules at once, in a fixed order, and a text is rejected at the first
+step at which one of its signals exceeds the cutoff. Steps are tested from loose to tight: one passes
+if the exact binomial probability of seeing so few rejected good texts, were the true share of
+rejected good texts ``risk``, is at most ``doubt / (strata * paths)``; the first that fails ends the
+path. So with probability 1 - ``doubt`` no passing step of any path rejects more than ``risk`` of the
+good texts of its stratum, whichever is chosen. The one with the best gain (share of bad texts
+rejected less ``price`` times that of good ones) is taken, if the gain is positive.
 
 Cases: a null text counts as empty: no words, base_failed. Strata without enough labels, and rows
 whose language has none, have the base rules only. Without labels nothing but the base rules holds.
@@ -35,6 +36,8 @@ RULES = {
     "exclamations": ("n_exclamations", "n_words", [1.0, 0.8, 0.6, 0.4, 0.3, 0.2, 0.1, 0.05]),
     "shortness": ("1", "n_words", [1 / 22, 1 / 25, 1 / 30, 1 / 35, 1 / 40, 1 / 50]),
 }
+#: One path for each rule and one for all of them.
+PATHS = {**{rule: (rule,) for rule in RULES}, "all": tuple(RULES)}
 BREAKS = r"[\\x20\\x09-\\x0D]"
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -107,28 +110,31 @@ def binomial_tail(k: str, n: str, p: float) -> Column:
 def thresholds(measures: DataFrame, labels: DataFrame, risk: float = RISK, doubt: float = DOUBT, price: float = PRICE) -> DataFrame:
     """(stratum, cutoffs map<rule, double>): at most one row of each stratum.
 
-    Rows are counted by the number of cutoffs each signal exceeds before anything is compared.
+    Rows are counted by the step at which each path rejects them before anything is compared.
     """
     good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)")
     good = good.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("quality").alias("_least")).filter("quality = _least").drop("_least")
-    exceeded = F.array(*(F.struct(F.lit(rule).alias("rule"), _n_exceeded(rule).alias("above"), F.lit(len(RULES[rule][2])).alias("steps")) for rule in RULES))
-    seen = measures.filter("not base_failed and stratum is not null").select("doc_id", "stratum", F.explode(exceeded).alias("x")).join(good, "doc_id")
-    counts = seen.groupBy("stratum", "quality", "x.rule", "x.above", "x.steps").agg(F.count("*").alias("rows"))
+    # A signal exceeds the tightest cutoffs first, which are the last steps.
+    first = {rule: F.when(_n_exceeded(rule) > 0, F.lit(len(RULES[rule][2]) + 1) - _n_exceeded(rule)) for rule in RULES}
+    rejected = F.array(*(F.struct(F.lit(path).alias("path"), F.array_min(F.array(*(first[r] for r in rules))).alias("step")) for path, rules in PATHS.items()))
+    seen = measures.filter("not base_failed and stratum is not null").select("doc_id", "stratum", F.explode(rejected).alias("x")).join(good, "doc_id")
+    counts = seen.groupBy("stratum", "quality", "x.path", "x.step").agg(F.count("*").alias("rows"))
     rows = lambda q: F.sum(F.when(F.col("quality") == q, F.col("rows")).otherwise(0))
-    size = counts.groupBy("stratum", "rule").agg(rows(1).alias("good"), rows(0).alias("bad"))
+    size = counts.groupBy("stratum", "path").agg(rows(1).alias("good"), rows(0).alias("bad"))
     strata = size.agg(F.countDistinct("stratum").alias("n_strata"))
-    # A signal exceeds the tightest cutoffs first, which are the last steps.
-    cut = counts.filter("above > 0").select("stratum", "quality", "rule", "rows", F.explode(F.expr("sequence(steps - above + 1, steps)")).alias("step"))
-    cut = cut.groupBy("stratum", "rule", "step").agg(rows(1).alias("good_lost"), rows(0).alias("bad_lost"))
+    at_step = counts.filter("step is not null").groupBy("stratum", "path", "step").agg(rows(1).alias("good_here"), rows(0).alias("bad_here"))
+    steps = F.create_map(*(x for path, rules in PATHS.items() for x in (F.lit(path), F.lit(max(len(RULES[r][2]) for r in rules)))))
     grid = size.crossJoin(F.broadcast(strata))  # one row
-    every = F.create_map(*(x for rule, (_, _, cuts) in RULES.items() for x in (F.lit(rule), F.array(*map(F.lit, cuts)))))
-    grid = grid.select("*", F.posexplode(every[F.col("rule")]).alias("at", "cutoff")).withColumn("step", F.col("at") + 1)
-    grid = grid.join(cut, ["stratum", "rule", "step"], "left").na.fill(0, ["good_lost", "bad_lost"])
-    passes = binomial_tail("good_lost", "good", risk / len(RULES)) <= F.lit(doubt) / (F.col("n_strata") * len(RULES))
-    grid = grid.withColumn("fails", F.sum(F.when(passes, 0).otherwise(1)).over(W.partitionBy("stratum", "rule").orderBy("step")))
+    grid = grid.select("*", F.explode(F.sequence(F.lit(1), steps[F.col("path")])).alias("step")).join(at_step, ["stratum", "path", "step"], "left").na.fill(0, ["good_here", "bad_here"])
+    along = W.partitionBy("stratum", "path").orderBy("step")
+    grid = grid.withColumns({"good_lost": F.sum("good_here").over(along), "bad_lost": F.sum("bad_here").over(along)})
+    passes = binomial_tail("good_lost", "good", risk) <= F.lit(doubt) / (F.col("n_strata") * len(PATHS))
+    grid = grid.withColumn("fails", F.sum(F.when(passes, 0).otherwise(1)).over(along))
     gain = F.try_divide("bad_lost", "bad") - price * F.try_divide("good_lost", "good")
-    best = grid.filter("fails = 0").withColumn("gain", gain).filter("gain > 0").groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct("gain", "cutoff")).alias("cutoff"))
-    return best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
+    # Of equal gains the looser step, then the first path by name.
+    best = grid.filter("fails = 0").withColumn("gain", gain).filter("gain > 0").groupBy("stratum").agg(F.min(F.struct(-F.col("gain"), "step", "path")).alias("x")).select("stratum", "x.path", "x.step")
+    chosen = F.array(*(F.when(F.array_contains(F.array(*(F.lit(p) for p, rules in PATHS.items() if rule in rules)), F.col("path")), F.struct(F.lit(rule).alias("rule"), F.element_at(F.array(*map(F.lit, cuts)), F.least("step", F.lit(len(cuts)))).alias("cutoff"))) for rule, (_, _, cuts) in RULES.items()))
+    return best.select("stratum", F.map_from_entries(F.array_compact(chosen)).alias("cutoffs"))
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **risks: float) -> DataFrame:

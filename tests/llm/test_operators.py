@@ -265,6 +265,49 @@ def test_rules_find_a_bad_signal_and_spare_good_texts(spark):
     assert few.filter("not kept").count() == 0  # too few labels for any guarantee
 
 
+def plain_cutoffs(rows: list, labels: dict[int, int]) -> dict[str, dict[str, float]]:
+    """Cutoffs of each stratum, by trying every step of every path in a loop."""
+    strata: dict[str, list] = {}
+    for r in rows:
+        if not r["base_failed"] and r["stratum"] is not None and r["doc_id"] in labels:
+            strata.setdefault(r["stratum"], []).append(r)
+    value = lambda r, x: 1 if x == "1" else r[x]
+    signal = lambda r, rule: value(r, quality_rules.RULES[rule][0]) / value(r, quality_rules.RULES[rule][1]) if value(r, quality_rules.RULES[rule][1]) else -1
+    out = {}
+    for stratum, own in strata.items():
+        good, bad = ([r for r in own if labels[r["doc_id"]] == q] for q in (1, 0))
+        best = (0.0, 0, None)
+        for path, rules in sorted(quality_rules.PATHS.items()):
+            for step in range(max(len(quality_rules.RULES[r][2]) for r in rules)):
+                cuts = {r: quality_rules.RULES[r][2][min(step, len(quality_rules.RULES[r][2]) - 1)] for r in rules}
+                lost = [sum(any(signal(r, k) > c for k, c in cuts.items()) for r in side) for side in (good, bad)]
+                n, k, p = len(good), lost[0], quality_rules.RISK
+                tail = sum(math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log1p(-p)) for j in range(k + 1))
+                if tail > quality_rules.DOUBT / (len(strata) * len(quality_rules.PATHS)):
+                    break
+                gain = (lost[1] / len(bad) if bad else -1) - quality_rules.PRICE * lost[0] / n
+                if (gain, -step) > (best[0], -best[1]):
+                    best = (gain, step, cuts)
+        if best[2]:
+            out[stratum] = best[2]
+    return out
+
+
+def test_verdicts_against_a_plain_search(spark):
+    folder = "/root/testdata/sf0.1"  # the smaller tables have too few labels for any guarantee
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    known = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    rows = quality_rules.measure(docs.select("doc_id", F.col("lang").alias("stratum"), "text"), ["doc_id", "stratum"]).withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words")).collect()
+    cutoffs = plain_cutoffs(rows, known)
+    assert len(cutoffs) > 1
+    expected = {}
+    for r in rows:
+        value = lambda x, r=r: 1 if x == "1" else r[x]
+        over = any(value(quality_rules.RULES[k][1]) and value(quality_rules.RULES[k][0]) / value(quality_rules.RULES[k][1]) > c for k, c in cutoffs.get(r["stratum"], {}).items())
+        expected[r["doc_id"]] = not r["base_failed"] and not over
+    assert {r["doc_id"]: r["kept"] for r in quality_rules.apply_rules(docs, labels).collect()} == expected
+
+
 def test_every_language_gets_thresholds(spark):
     rows = spark.range(70 * 500).selectExpr("id as doc_id", "cast(id % 70 as string) as stratum", "id div 70 < 400 as good")
     measures = rows.selectExpr("doc_id", "stratum", "good", "false as base_failed", "100L as n_words", "400L as word_chars", "if(good, 0L, 300L) as n_symbols",
