@@ -44,12 +44,12 @@ LENGTH, GRAM = 50, 14
 REACH = LENGTH - GRAM  # how far before its sampled place a string may start
 SPLIT = REACH // 2  # strings that start nearer are told by a longer prefix, others by a longer suffix
 #: Bytes of text that one task of the sorts works on, bytes hashed at once, and tuples gathered before they are dealt.
-TASK_BYTES, SEGMENT, FLUSH = 1 << 23, 1 << 18, 1 << 18
+TASK_BYTES, SEGMENT, FLUSH = 1 << 24, 1 << 18, 1 << 18
 #: kind 0: runs of repeated strings, 1: runs to be settled string by string, 2: tuples.
 PACKED = "kind int, bucket int, part binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-#: Tuples of one task that may share a digest before only two of them are dealt.
-SHARED_BY = 4
+#: Tuples of one task that may share a digest before only two of them are dealt, and the size of the table that finds such digests.
+SHARED_BY, SLOT_BITS = 4, 18
 _STEP, _MIX, _MIX2 = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9FB21C651E98DF25)
 _PLACE = np.uint64((1 << 20) - 1)
 
@@ -167,13 +167,13 @@ def _rows(batches) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
 
 def crowded(values: np.ndarray, more_than: int) -> np.ndarray:
     """Rows whose value may stand more often than that: all that do, and a few others."""
-    slot = (values & values.dtype.type((1 << 20) - 1)).astype(np.int64)
-    return np.bincount(slot, minlength=1 << 20)[slot] > more_than
+    slot = (values & values.dtype.type((1 << SLOT_BITS) - 1)).astype(np.int64)
+    return np.bincount(slot, minlength=1 << SLOT_BITS)[slot] > more_than
 
 
 def repeated_here(values: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Rows for whose value another row has a smaller id."""
-    at = np.flatnonzero(crowded(values, 1))
+    """Rows for whose value another row has a smaller id; values that few rows have are left out."""
+    at = np.flatnonzero(crowded(values, SHARED_BY))
     out = np.zeros(len(values), dtype=bool)
     if len(at):
         out[at] = ids[at] > group_least(values[at], ids[at])[0]
@@ -300,7 +300,7 @@ def _settle(buckets: int):
         doc, known, keys = unpack_all(parts, "doc", "ids", "keys")
         ids = known[doc]
         (reach,) = unpack_all(parts, "reach")
-        repeated = repeated_here(reach, ids)
+        repeated = ids > group_least(reach, ids)[0]
         del reach
         start, n = unpack_all(parts, "start", "n")
         rows = np.flatnonzero(repeated)
