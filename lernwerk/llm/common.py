@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import materialise, release, shared_folder
 
-__all__ = ["LAST_ID", "gathered", "id_and_text", "known_id", "materialise", "null_ids", "release", "shared_folder", "table"]
+__all__ = ["LAST_ID", "fresh", "gathered", "id_and_text", "known_id", "materialise", "null_ids", "release", "shared_folder", "table"]
 #: Stands in for a missing doc_id where ids are compared: it sorts after every other id.
 LAST_ID = 2**63 - 1
 
@@ -16,6 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(rows: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores after it until no column of the rows is called so."""
+    taken, out = {c.lower() for c in rows.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def known_id(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(LAST_ID))
 

@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_and_text, known_id, materialise, null_ids, release, table
+from .common import fresh, id_and_text, known_id, materialise, null_ids, release, table
 from .shingles import shingle_ids
 
 SIMILARITY, WIDTH = 0.8, 5
@@ -348,11 +348,11 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH
 
     Classes are told apart by their root: missing and repeated ids don't join different texts.
     """
+    own = fresh(docs, "_lw_id", "_lw_text")
     first = F.min(F.struct("doc_id", "node")).alias("first")
-    best = rooted(docs, similarity, width).groupBy("root").agg(first).select(F.col("first.doc_id").alias("_lw_id"), F.col("first.node").alias("_lw_text"))
-    rows = docs.withColumns({"_lw_id": known_id(), "_lw_text": F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))})
-    kept = rows.join(best, ["_lw_id", "_lw_text"], "left_semi")
-    return kept.dropDuplicates(["_lw_id", "_lw_text"]).select(*docs.columns)
+    best = rooted(docs, similarity, width).groupBy("root").agg(first).select(F.col("first.doc_id").alias(own[0]), F.col("first.node").alias(own[1]))
+    rows = docs.withColumns({own[0]: known_id(), own[1]: F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))})
+    return rows.join(best, own, "left_semi").dropDuplicates(own).select(*docs.columns)
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_and_text, known_id, materialise, null_ids, table
+from .common import fresh, id_and_text, known_id, materialise, null_ids, table
 
 KINDS = ("email", "ip", "card", "phone", "secret", "term")
 BASE, SECRET, TERM = 4, 4, 5  # base kinds are those below BASE
@@ -267,11 +267,12 @@ def sanitise(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPO
         return pd.Series(out, dtype=object)
 
     spans = find_spans(docs, threshold, support).filter("size(spans) > 0 or added is not null").dropDuplicates(["key"])
-    spans = spans.select(F.col("key").alias("_lw_key"), F.col("spans").alias("_lw_spans"), F.col("added").alias("_lw_added"))
+    key, own, more = fresh(docs, "_lw_key", "_lw_spans", "_lw_added")
+    spans = spans.select(F.col("key").alias(key), F.col("spans").alias(own), F.col("added").alias(more))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    key = F.unhex(F.md5(F.concat_ws(" ", known_id().cast("string"), text).cast("binary")))
-    rows = docs.withColumn("_lw_row", key).join(spans, F.col("_lw_row") == F.col("_lw_key"), "left")
-    return rows.withColumn("text", rewrite(F.col("text").cast("string"), "_lw_spans", "_lw_added")).select(*docs.columns)
+    digest_of = F.unhex(F.md5(F.concat_ws(" ", known_id().cast("string"), text).cast("binary")))
+    rows = docs.withColumn(key, digest_of).join(spans, key, "left")
+    return rows.withColumn("text", rewrite(F.col("text").cast("string"), own, more)).select(*docs.columns)
 
 
 def digest(found: DataFrame) -> DataFrame:

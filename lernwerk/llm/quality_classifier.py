@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_and_text, table
+from .common import fresh, id_and_text, table
 
 PER_CLASS, LONGEST, DICTIONARY, LEVEL = 3_000, 20_000, 1 << 20, 9
 
@@ -149,7 +149,8 @@ def score(docs: DataFrame, model: Model, level: int = LEVEL) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows with a score of at least one half, with all their columns."""
     scores = score_column(docs.sparkSession, fit(docs, labels))
-    return docs.withColumn("_lw_score", scores(F.col("text").cast("string"))).filter("_lw_score >= 0.5").drop("_lw_score")
+    (name,) = fresh(docs, "_lw_score")
+    return docs.withColumn(name, scores(F.col("text").cast("string"))).filter(F.col(name) >= 0.5).drop(name)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

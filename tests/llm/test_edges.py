@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from lernwerk.llm import bpe, decontaminate, html_extract, licenses, near_dedup, pii, quality_classifier, quality_rules, suffix_dedup, token_counts
 
@@ -102,3 +103,27 @@ def test_rows_without_or_with_equal_ids_are_told_apart(spark):
     left = decontaminate.drop_leaks(docs, bench)
     assert left.columns == docs.columns
     assert sorted((str(r["doc_id"]), r["text"]) for r in left.collect()) == sorted([("7", texts[0]), ("7", texts[2]), ("None", texts[0]), ("None", texts[0]), ("None", texts[2])])
+
+
+def test_filters_keep_columns_named_like_their_own(spark):
+    names = ["_lw_score", "_lw_id", "_lw_text", "_lw_key", "_LW_SPANS", "_lw_added", "_lw_leak"]
+    rows = [(i, f"text number {i} with some words, mail a{i}@b.example.com" if i % 2 else "the same words in this text", *(f"{n}{i}" for n in names)) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], LABELS)
+    bench = spark.createDataFrame([(1, "text number 3 with some words, mail a3@b.example.com")], "item_id long, text string")
+    for kept in (quality_classifier.keep_good(docs, labels), near_dedup.keep_one(docs), decontaminate.drop_leaks(docs, bench), pii.sanitise(docs)):
+        assert kept.columns == docs.columns
+        for r in kept.collect():
+            assert [r[n] for n in names] == [f"{n}{r['doc_id']}" for n in names]
+    assert 3 not in {r["doc_id"] for r in decontaminate.drop_leaks(docs, bench).collect()}
+
+
+def test_ties(spark):
+    """Equal rows and equal values get equal results, whatever their order."""
+    docs = spark.createDataFrame([(i, "equal text of a few words that stands here many times over") for i in range(40)], "doc_id long, text string").withColumn("lang", F.lit("en"))
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    assert len({r["score"] for r in quality_classifier.score(docs, quality_classifier.fit(docs, labels)).collect()}) == 1
+    assert len({r["kept"] for r in quality_rules.apply_rules(docs, labels).collect()}) == 1
+    bench = spark.createDataFrame([(2, "equal text of a few words that stands here"), (1, "equal text of a few words that stands here")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()} == {(i, k) for i in range(40) for k in (1, 2)}
+    assert {r["class_id"] for r in near_dedup.classes(docs).collect()} == {0}
