@@ -110,13 +110,15 @@ def grade_answers(rows: DataFrame) -> DataFrame:
     rows(answer_id, q_type, full_score, reference, user_answer, rubric). method is 1 for rules, 2 for
     a blank left to the rubric, 3 for the rubric.
     """
-    graded = grade_rubric(rows.withColumn("rubric", F.coalesce("rubric", F.expr("array(struct(reference as point, full_score as score))"))))
     full, expected, actual = F.col("full_score"), F.col("reference"), F.col("user_answer")
     by_rule = F.when(F.col("q_type").isin(1, 3), exact_score(full, expected, actual)).when(F.col("q_type") == 2, multi_score(full, expected, actual)).when(F.col("q_type") == 4, blank_score(full, expected, actual))
     blank = F.trim(F.coalesce(actual, F.lit(""))) == ""
-    score = F.when(blank, 0.0).otherwise(F.coalesce(by_rule, "score"))
-    method = F.when(blank | by_rule.isNotNull(), 1).when(F.col("q_type") == 4, 2).otherwise(3)
-    return graded.withColumns({"score": clamp(score, full), "method": method})
+    rows = rows.withColumn("_rule", F.when(blank, 0.0).otherwise(by_rule))
+    # Only answers that no rule settles are held against a rubric.
+    rubric = F.coalesce("rubric", F.expr("array(struct(reference as point, full_score as score))"))
+    graded = grade_rubric(rows.withColumn("rubric", F.when(F.col("_rule").isNull(), rubric)))
+    method = F.when(F.col("_rule").isNotNull(), 1).when(F.col("q_type") == 4, 2).otherwise(3)
+    return graded.withColumns({"score": clamp(F.coalesce("_rule", "score"), full), "method": method}).drop("_rule")
 
 
 def clamp(score: Column, full: Column) -> Column:
