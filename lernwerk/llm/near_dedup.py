@@ -339,7 +339,8 @@ def rooted(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH)
 def classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
     """(doc_id, node, class_id) of every row: class_id is the smallest doc_id of its class."""
     rows = rooted(docs, similarity, width)
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    # As a table of its own its size is known, and the rows of a very large class can be split when they meet it.
+    least = materialise(rows.groupBy("root").agg(F.min("doc_id").alias("class_id")), "class_ids")
     return null_ids(rows.join(least, "root").select("doc_id", "node", "class_id"), "doc_id", "class_id")
 
 
