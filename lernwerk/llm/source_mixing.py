@@ -38,13 +38,13 @@ from .token_alignment import mixed
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, MOST, SEED = (1, 2, 3), 3, 11
 #: Words of a block; blocks of a shard; documents of a source numbered by one task, about.
-BLOCK, SHARD, BUCKET = 128, 4_096, 10_000
+BLOCK, SHARD, BUCKET = 128, 4_096, 1_000
 #: Shards whose draws are summed together; bins of sources at most.
 STRIDE, BINS = 1_024, 4_096
 
 
-def permuted(index: np.ndarray, size: np.ndarray, *seeds: np.ndarray | int) -> np.ndarray:
-    """The place of each index under a pseudorandom permutation of 0 .. size - 1 that the seeds choose.
+def permuted(index: np.ndarray, size: np.ndarray, *seeds: np.ndarray | int, back: bool = False) -> np.ndarray:
+    """The place of each index under a pseudorandom permutation of 0 .. size - 1 that the seeds choose; ``back``: the index of each place.
 
     Four rounds of a Feistel network over the least even number of bits; places beyond the size are permuted on.
     """
@@ -59,7 +59,10 @@ def permuted(index: np.ndarray, size: np.ndarray, *seeds: np.ndarray | int) -> n
         h, m, k = half[left], mask[left], key[left]
         high, low = out[left] >> h, out[left] & m
         for turn in range(4):
-            high, low = low, high ^ (mixed(low ^ k, turn + 1) & m)
+            if back:
+                high, low = low ^ (mixed(high ^ k, 4 - turn) & m), high
+            else:
+                high, low = low, high ^ (mixed(low ^ k, turn + 1) & m)
         out[left] = high << h | low
         left = left[out[left] >= size[left]]
     return out.astype(np.int64)
@@ -116,7 +119,7 @@ def _slots(seed: int, block: int):
             short = n * block - size  # what the last block lacks
             many = -(-rest // block)
             # the short block's place in the last round: among the draws it may call for one more
-            place = inverse(np.maximum(n - 1, 0), np.maximum(n, 1), seed, rows["no"].to_numpy(), rounds)
+            place = permuted(np.maximum(n - 1, 0), np.maximum(n, 1), seed, rows["no"].to_numpy(), rounds, back=True)
             words = many * block - np.where(place < many, short, 0)
             many += (words < rest) & (rest > 0)
             words = many * block - np.where(place < many, short, 0)
@@ -126,20 +129,6 @@ def _slots(seed: int, block: int):
     return plan
 
 
-def inverse(value: np.ndarray, size: np.ndarray, *seeds: np.ndarray | int) -> np.ndarray:
-    """The index whose place under ``permuted`` is the value: the permutation's cycle is followed around."""
-    out = np.asarray(value).copy()
-    size = np.asarray(size)
-    at = permuted(out, size, *seeds)
-    left = np.flatnonzero(at != value)
-    while len(left):
-        out[left] = at[left]
-        own = [s[left] if isinstance(s, np.ndarray) else s for s in seeds]
-        at[left] = permuted(out[left], size[left], *own)
-        left = left[at[left] != value[left]]
-    return out
-
-
 def draws(plan: DataFrame, seed: int = SEED, shard: int = SHARD) -> tuple[DataFrame, int]:
     """(shard, no, n): multinomial counts of every shard, with the probabilities slots / all slots; and the number of shards."""
     spark = plan.sparkSession
