@@ -41,10 +41,10 @@ def new_path(spark: SparkSession, what: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, what: str) -> DataFrame:
+def materialise(df: DataFrame, what: str, codec: str = "snappy") -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     rows = df.sparkSession.read.schema(df.schema).parquet(path)
     rows._lernwerk_path = path
     return rows
