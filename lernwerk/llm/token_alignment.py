@@ -31,10 +31,11 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import sentencepiece
 import tiktoken
@@ -44,15 +45,14 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import materialise, table
-from .source_divergence import _slices as slices
+from .source_divergence import packed, slices, unpacked
 
 A_FILE, B_FILE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-BLOCK_BYTES, SHARDS, FAN = 16 << 20, 128, 16
-#: Pieces whose encodings a Python worker remembers, and their longest length.
-REMEMBERED, LONGEST = 200_000, 48
-#: (document, pair) entries sorted at once; products of a group above which equal ids are joined first.
-ENTRIES, WIDE = 4_000_000, 4_096
-ODD_SPACE = re.compile(r"(?:^|\s) ")
+BLOCK_BYTES, SHARDS, FAN = 12 << 20, 128, 16
+#: (document, link) entries listed at once; products of a group above which equal ids are joined first; pieces encoded together.
+ENTRIES, WIDE, TOGETHER = 4_000_000, 4_096, 1_000
+#: A space at the start or after white space (what Python's isspace tells), where a text isn't cut.
+ODD_SPACE = r"(?:^|[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]) "
 CUT = re.compile(r"(?<=\S) ")
 
 _ROW = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("ids", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("n_pieces", "pieces", "n_a", "n_b", "a", "b"))])
@@ -71,8 +71,7 @@ class Pair:
         byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(printable))}
         ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary["model"]["vocab"].items() if token not in special}
         self.fast = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.slow = Tokenizer.from_file(a_file)
-        self.slow.encode_special_tokens = True
+        self.a_file = a_file
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_file)
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any(re.search("[^▁]▁", x) for x in names):
@@ -83,7 +82,6 @@ class Pair:
         self.a_length = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
         self.a_length[list(ranks.values())] = [len(x) for x in ranks]
         self.b_length = np.array([len(x) for x in self.b_bytes])
-        self.known: dict[str, tuple[bytes, bytes, bool]] = {}
 
     def encode_a(self, text: str) -> list[int]:
         try:
@@ -91,22 +89,41 @@ class Pair:
         except BaseException as problem:  # its pattern overflows the stack on long white space
             if type(problem).__name__ != "PanicException":
                 raise
-            return self.slow.encode(text, add_special_tokens=False).ids
-
-    def encode(self, pieces: list[str]) -> list[tuple[bytes, bytes, bool]]:
-        """For each piece, which stands for a space and itself: ids under A, under B, whether B gives its bytes back."""
-        known = self.known
-        new = [x for x in pieces if x not in known]
-        fresh = {}
-        for x, b in zip(new, self.b.encode(new, num_threads=1), strict=True):
-            b = b or [self.space]
-            whole = b"".join([self.b_bytes[i] for i in b]) == b" " + x.encode()
-            fresh[x] = (np.array(self.encode_a(" " + x), dtype="<u4").tobytes(), np.array(b, dtype="<u4").tobytes(), whole)
-        out = [known[x] if x in known else fresh[x] for x in pieces]
-        if len(known) + len(fresh) > REMEMBERED:
-            known.clear()
-        known.update({k: v for k, v in fresh.items() if len(k) <= LONGEST} if len(fresh) <= REMEMBERED else {})
-        return out
+            slow = Tokenizer.from_file(self.a_file)
+            slow.encode_special_tokens = True
+            return slow.encode(text, add_special_tokens=False).ids
+
+    def encode(self, piece: str) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Ids under A and under B of a space and the piece; whether B gives its bytes back."""
+        b = self.b.encode(piece) if piece else [self.space]
+        whole = b"".join([self.b_bytes[i] for i in b]) == b" " + piece.encode()
+        return np.array(self.encode_a(" " + piece), dtype="<u4"), np.array(b, dtype="<u4"), whole
+
+    def encode_all(self, pieces: list[str]) -> dict[str, np.ndarray]:
+        """Ids of every piece under both, and whether B gives it back; pieces that end in no white space are encoded together."""
+        out: dict[str, list] = {"order": [], "n_a": [], "n_b": [], "a": [], "b": [], "whole": []}
+        odd = [k for k, x in enumerate(pieces) if not x or x[-1].isspace()]
+        even = [k for k, x in enumerate(pieces) if x and not x[-1].isspace()]
+        for at in range(0, len(even), TOGETHER):
+            part = even[at : at + TOGETHER]
+            text = " ".join([pieces[k] for k in part])
+            ends = np.cumsum([len(pieces[k].encode()) + 1 for k in part])
+            b = self.b.encode(text)
+            if b"".join([self.b_bytes[i] for i in b]) != b" " + text.encode():
+                odd += part
+                continue
+            for c, ids, length in (("a", self.encode_a(" " + text), self.a_length), ("b", b, self.b_length)):
+                ids = np.array(ids, dtype="<u4")
+                out[c].append(ids)
+                out[f"n_{c}"].append(np.diff(np.searchsorted(np.cumsum(length[ids]), ends, "right"), prepend=0))
+            out["order"].append(np.array(part))
+            out["whole"].append(np.ones(len(part), dtype=bool))
+        for k in odd:
+            a, b, whole = self.encode(pieces[k])
+            for c, x in (("order", [k]), ("n_a", [len(a) * whole]), ("n_b", [len(b) * whole]), ("a", a[: len(a) * whole]), ("b", b[: len(b) * whole]), ("whole", [whole])):
+                out[c].append(np.array(x))
+        kinds = {"whole": bool, "a": np.uint32, "b": np.uint32}
+        return {c: np.concatenate([np.zeros(0, dtype=kinds.get(c, np.int64)), *x]).astype(kinds.get(c, np.int64)) for c, x in out.items()}
 
 
 @lru_cache(maxsize=2)
@@ -114,29 +131,36 @@ def pair(a_file: str, b_file: str) -> Pair:
     return Pair(a_file, b_file)
 
 
-def cut(text: str) -> list[str]:
-    """Pieces of a text, each for a space and itself; a cut falls before a space after a non-space character."""
-    return CUT.split(text) if ODD_SPACE.search(text) else text.split(" ")
-
+def encode_block(rows: pa.Table, tokens: Pair) -> tuple[list[int | None], dict[str, np.ndarray]]:
+    """Ids of the documents, the pieces of each by number, and the token ids of each distinct piece.
 
-def encode_block(texts: list[str | None], tokens: Pair) -> dict[str, np.ndarray]:
-    """Pieces of every document by number, and the ids of each distinct piece. Texts that B changes have no pieces."""
-    number: dict[str, int] = {}
-    of = [[number.setdefault(p, len(number)) for p in cut(t)] if t else [] for t in texts]
-    found = tokens.encode(list(number))
-    bad = np.array([not x[2] for x in found], dtype=bool)
-    if bad.any():
-        for k, pieces in enumerate(of):
-            if pieces and bad[pieces].any():
-                whole = tokens.encode([texts[k]])[0]
-                of[k] = [len(found)] if whole[2] else []
-                found += [whole] if whole[2] else []
-        found = [(b"", b"", True) if not x[2] else x for x in found]
-    return {
-        "n_pieces": np.array([len(x) for x in of], dtype=np.int64), "pieces": np.fromiter(chain.from_iterable(of), dtype=np.int32),
-        "n_a": np.array([len(x[0]) // 4 for x in found], dtype=np.int32), "n_b": np.array([len(x[1]) // 4 for x in found], dtype=np.int32),
-        "a": np.frombuffer(b"".join(x[0] for x in found), dtype="<u4"), "b": np.frombuffer(b"".join(x[1] for x in found), dtype="<u4"),
-    }
+    A piece stands for a space and itself: texts are cut before spaces after a non-space character.
+    Texts that B changes have no pieces.
+    """
+    texts = rows["text"].combine_chunks()
+    texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
+    odd = np.asarray(pc.match_substring_regex(texts, ODD_SPACE), dtype=bool)
+    empty = np.asarray(pc.equal(texts, ""), dtype=bool)
+    order = [np.flatnonzero(x) for x in (~odd & ~empty, odd & ~empty, empty)]
+    lists = pc.split_pattern(texts.take(pa.array(order[0])), " ")
+    lists = pa.concat_arrays([lists.cast(pa.list_(pa.string())), pa.array([CUT.split(texts[k].as_py()) for k in order[1].tolist()], pa.list_(pa.string()))])
+    found = lists.flatten().dictionary_encode()
+    pieces, n_pieces = found.indices.to_numpy().astype(np.int64), np.append(np.diff(lists.offsets.to_numpy()), np.zeros(len(order[2]), dtype=np.int64))
+    order = np.concatenate(order)
+    block = tokens.encode_all(found.dictionary.to_pylist())
+    number = np.empty(len(block["order"]), dtype=np.int64)
+    number[block["order"]] = np.arange(len(number))
+    pieces = number[pieces]
+    if not block["whole"].all():
+        of = np.split(pieces, np.cumsum(n_pieces)[:-1])
+        for k in np.flatnonzero([not block["whole"][x].all() for x in of]):
+            a, b, whole = tokens.encode(texts[int(order[k])].as_py())
+            of[k] = np.array([len(block["n_a"])] if whole else [], dtype=np.int64)
+            if whole:
+                block |= {c: np.append(block[c], x) for c, x in (("n_a", len(a)), ("n_b", len(b)), ("a", a), ("b", b))}
+        pieces, n_pieces = np.concatenate(of), np.array([len(x) for x in of])
+    ids = rows["doc_id"].to_pylist()
+    return [ids[k] for k in order.tolist()], {"n_pieces": n_pieces, "pieces": pieces} | {c: block[c] for c in ("n_a", "n_b", "a", "b")}
 
 
 def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +170,7 @@ def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def align(block: dict[str, np.ndarray], tokens: Pair) -> dict[str, np.ndarray]:
-    """Groups of all distinct pieces, one after the other, and their links: (piece, key, times)."""
+    """Groups of all distinct pieces, one after the other, and their links by piece: (piece, key, times)."""
     a, b = block["a"].astype(np.int64), block["b"].astype(np.int64)
     a_end, b_end = np.cumsum(tokens.a_length[a]), np.cumsum(tokens.b_length[b])
     ends = np.intersect1d(a_end, b_end, assume_unique=True)
@@ -163,29 +187,28 @@ def align(block: dict[str, np.ndarray], tokens: Pair) -> dict[str, np.ndarray]:
         (x, x_times), (y, y_times) = (np.unique(v[at[g] : at[g + 1]], return_counts=True) for v, at in ((a, a_at), (b, b_at)))
         links.append((np.full(len(x) * len(y), piece_of[g]), (x[:, None] * tokens.size_b + y).ravel(), np.outer(x_times, y_times).ravel()))
     piece, keys, times = (np.concatenate(x) for x in zip(*links, strict=True))
+    order = np.argsort(piece, kind="stable") if len(wide) else slice(None)
+    piece, keys, times = piece[order], keys[order], times[order]
     return {"a_at": a_at, "b_at": b_at, "piece_of": piece_of, "piece": piece, "keys": keys, "times": times}
 
 
 def block_pairs(block: dict[str, np.ndarray], found: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs of a block, sorted, and in how many of its documents each is linked."""
-    keys, number = np.unique(found["keys"], return_inverse=True)
-    order = np.unique(found["piece"] * max(1, len(keys)) + number)  # piece, then its distinct pairs
-    many = np.bincount(order // max(1, len(keys)), minlength=len(block["n_a"]))
-    first, own = np.cumsum(many) - many, order % max(1, len(keys))
-    docs = np.repeat(np.arange(len(block["n_pieces"])), block["n_pieces"])
-    held = np.unique(docs * max(1, len(many)) + block["pieces"])  # document, then its distinct pieces
-    docs, pieces = held // max(1, len(many)), held % max(1, len(many))
+    """Distinct pairs of a block, and in how many of its documents each is linked."""
+    number, keys = pd.factorize(found["keys"])
+    many = np.bincount(found["piece"], minlength=len(block["n_a"]))
+    first = np.cumsum(many) - many
     counts = np.zeros(len(keys), dtype=np.int64)
-    size = np.cumsum(many[pieces])
+    ends = np.cumsum(block["n_pieces"])
+    size = np.append(0, np.cumsum(many[block["pieces"]]))[ends]  # links up to each document's end
     at = 0
-    while at < len(docs):
+    while at < len(ends):
+        begin = int(ends[at - 1]) if at else 0
         end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + ENTRIES, "right")))
-        if end < len(docs):  # a document's pieces stay together
-            begin = int(np.searchsorted(docs, docs[end]))
-            end = begin if begin > at else int(np.searchsorted(docs, docs[end], "right"))
-        row, place = spread(many[pieces[at:end]])
-        entries = (docs[at:end][row] - docs[at]) * len(keys) + own[first[pieces[at:end]][row] + place]
-        counts += np.bincount(np.unique(entries) % len(keys), minlength=len(keys))
+        pieces = block["pieces"][begin : ends[end - 1]]
+        row, place = spread(many[pieces])
+        links = number[first[pieces][row] + place]
+        for own in np.split(links, size[at : end - 1] - (size[at - 1] if at else 0)):
+            counts[own] += 1  # an index that repeats is counted once
         at = end
     return keys, counts
 
@@ -248,11 +271,11 @@ class MinimalHash:
         out[self.index(keys)] = keys
         return out
 
-    def packed(self) -> dict[str, bytes]:
+    def columns(self) -> dict[str, bytes]:
         return {"sizes": self.sizes.tobytes(), "bits": np.packbits(self.bits).tobytes(), "rest": self.rest.astype(np.int64).tobytes()}
 
     @classmethod
-    def unpacked(cls, row: dict[str, bytes]) -> MinimalHash:
+    def read(cls, row: dict[str, bytes]) -> MinimalHash:
         sizes = np.frombuffer(row["sizes"], dtype=np.int64)
         bits = np.unpackbits(np.frombuffer(row["bits"], dtype=np.uint8), count=int(sizes.sum())).astype(bool)
         return cls(sizes, bits, np.frombuffer(row["rest"], dtype=np.int64))
@@ -269,8 +292,8 @@ def encoded_blocks(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE,
         tokens = pair(a_file, b_file)
         for k, part in enumerate(slices(batches, block_bytes)):
             own = {"block": TaskContext.get().partitionId() << 32 | k}
-            block = encode_block(part["text"].to_pylist(), tokens)
-            yield pa.RecordBatch.from_pylist([own | {"ids": part["doc_id"].to_pylist()} | {c: x.tobytes() for c, x in block.items()}], schema=_ROW)
+            ids, block = encode_block(part, tokens)
+            yield pa.RecordBatch.from_pylist([own | {"ids": ids} | {c: packed(x) for c, x in block.items()}], schema=_ROW)
             keys, counts = block_pairs(block, align(block, tokens))
             shard = shard_of(keys // tokens.size_b, shards).astype(np.int32)
             order = np.argsort(shard, kind="stable")
@@ -306,12 +329,12 @@ def pair_counts(partial: DataFrame, nodes: int, size_b: int) -> DataFrame:
     def hashed(part: pa.Table) -> pa.Table:
         keys = _long(part["keys"][0].as_py())
         found = MinimalHash.of(keys)
-        row = {"shard": part["shard"][0].as_py(), **found.packed(), "keys": found.in_order(keys).tobytes()}
+        row = {"shard": part["shard"][0].as_py(), **found.columns(), "keys": found.in_order(keys).tobytes()}
         return pa.Table.from_pylist([row], schema=pa.schema([("shard", pa.int32()), *((c, pa.binary()) for c in ("sizes", "bits", "rest", "keys"))]))
 
     def dense(part: pa.Table, table: pa.Table) -> pa.Table:
         row = table.to_pylist()[0]
-        found, keys = MinimalHash.unpacked(row), _long(row["keys"])
+        found, keys = MinimalHash.read(row), _long(row["keys"])
         vector = np.zeros(len(keys), dtype=np.int64)
         for own, counts in zip(part["keys"].to_pylist(), part["counts"].to_pylist(), strict=True):
             at = found.index(_long(own))
@@ -353,7 +376,7 @@ def looked_up(partial: DataFrame, counts: DataFrame, nodes: int) -> DataFrame:
         out = []
         if len(part):
             row = table.to_pylist()[0]
-            found, keys, counts, best = MinimalHash.unpacked(row), _long(row["keys"]), _long(row["counts"]), np.frombuffer(row["best"], dtype=bool)
+            found, keys, counts, best = MinimalHash.read(row), _long(row["keys"]), _long(row["counts"]), np.frombuffer(row["best"], dtype=bool)
             for block, own in zip(part["block"].to_pylist(), part["keys"].to_pylist(), strict=True):
                 at = found.index(_long(own))
                 if not np.array_equal(keys[at], _long(own)):
@@ -378,8 +401,7 @@ def _documents(block: dict, pairs: pa.Table, tokens: Pair) -> Iterator[dict]:
         ends = np.searchsorted(piece, np.arange(n), "right")
         return total[ends] - total[np.append(0, ends[:-1])] if n else total[:0]
 
-    by_piece = np.argsort(found["piece"], kind="stable")
-    piece, times, at = found["piece"][by_piece], found["times"][by_piece], at[by_piece]
+    piece, times = found["piece"], found["times"]
     numbers = {"n_a": block["n_a"], "n_b": block["n_b"], "n_groups": np.bincount(found["piece_of"], minlength=n), "n_links": summed(times), "n_best": summed(times * best[at]), "count_sum": summed(times * counts[at])}
     a, b = (list(map(str, block[c].tolist())) for c in ("a", "b"))
     a_at, b_at = found["a_at"].tolist(), found["b_at"].tolist()
@@ -401,8 +423,8 @@ def alignment(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE, block
 
     def documents(block: pa.Table, pairs: pa.Table) -> pa.Table:
         tokens, row = pair(a_file, b_file), block.to_pylist()[0]
-        kinds = {"n_pieces": np.int64, "pieces": np.int32, "n_a": np.int32, "n_b": np.int32, "a": np.uint32, "b": np.uint32}
-        return pa.Table.from_pylist(list(_documents({"ids": row["ids"]} | {c: np.frombuffer(row[c], dtype=kind) for c, kind in kinds.items()}, pairs, tokens)), schema=schema)
+        block = {"ids": row["ids"]} | {c: unpacked(row[c]) for c in ("n_pieces", "pieces", "n_a", "n_b", "a", "b")}
+        return pa.Table.from_pylist(list(_documents(block, pairs, tokens)), schema=schema)
 
     rows = materialise(encoded_blocks(docs, a_file, b_file, block_bytes, shards), "blocks")
     whole = rows.filter("shard is null")
