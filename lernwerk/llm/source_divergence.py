@@ -26,6 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -40,15 +41,18 @@ LEAST_DOCS, SMOOTHING, PARTS = 30, 5, 1_000_000_000
 TOP_TERMS = 50
 #: Bytes of text in a block; cells of a dense block of sources and terms.
 BLOCK_BYTES, BLOCK_CELLS = 32 << 20, 1 << 20
+#: Chunks in a row of a block.
+PART = 1 << 14
 
+_ARRAYS = ("starts", "docs", "counts", "groups", "langs")
 _BLOCK = pa.schema([
-    ("block", pa.int64()), ("no", pa.int32()), ("chunk", pa.string()),
-    ("starts", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary()), ("groups", pa.binary()), ("langs", pa.list_(pa.string())), ("sources", pa.list_(pa.string())),
+    ("block", pa.int64()), ("first", pa.int32()), ("chunks", pa.list_(pa.string())), ("n_docs", pa.list_(pa.int32())),
+    *((c, pa.binary()) for c in _ARRAYS),
 ])
-_COUNTED = "lang string, term string, n_docs long, sources array<string>, counts array<long>"
+_KINDS = "block long, first int, chunks array<string>, n_docs array<int>, starts binary, docs binary, counts binary, groups binary, langs binary"
 
 
-def _slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+def slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
     """Rows in order, in tables of about ``most`` bytes of text."""
     held, size = [], 0
     for batch in batches:
@@ -67,14 +71,15 @@ def _slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _numbered(values: np.ndarray | pa.Array) -> tuple[np.ndarray, list]:
+def _numbered(values: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """A number for each value, and the distinct values by number."""
     found = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
     found = found.dictionary_encode()
     found = found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
     return found.indices.to_numpy(zero_copy_only=False), found.dictionary
 
 
-def _packed(rows: pa.Table) -> tuple[pa.Array, dict]:
+def block_of(rows: pa.Table) -> tuple[pa.Array, dict]:
     """Distinct chunks of a block and its arrays: for each chunk, the documents that hold it and how often."""
     lists = pc.ascii_split_whitespace(rows["text"]).combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
@@ -86,88 +91,130 @@ def _packed(rows: pa.Table) -> tuple[pa.Array, dict]:
         ids, docs = ids[real], docs[real]
     keys, counts = np.unique(ids.astype(np.int64) * len(lists) + docs, return_counts=True)
     starts = np.searchsorted(keys // len(lists), np.arange(len(chunks) + 1))
-    pairs = pa.StructArray.from_arrays([rows["lang"].combine_chunks(), rows["source"].combine_chunks()], ["l", "s"]).to_pylist()
-    of = {}
-    groups = np.array([of.setdefault((p["l"], p["s"]), len(of)) for p in pairs], dtype=np.int32)
-    return chunks, {
-        "starts": starts.astype(np.int32).tobytes(), "docs": (keys % len(lists)).astype(np.int32).tobytes(), "counts": counts.astype(np.int32).tobytes(),
-        "groups": groups.tobytes(), "langs": [x[0] for x in of], "sources": [x[1] for x in of],
-    }
+    arrays = {"starts": starts, "docs": keys % len(lists), "counts": counts, "groups": rows["group"].to_numpy(), "langs": rows["lang_no"].to_numpy()}
+    return chunks, np.diff(starts), {c: packed(x) for c, x in arrays.items()}
 
 
-def chunk_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Rows of two kinds: (block, no, chunk) for each distinct chunk of a block, and one with the block's arrays."""
+def packed(values: np.ndarray) -> bytes:
+    """Non-negative integers in as few bytes as the largest needs, packed; the first byte tells how many."""
+    kind = np.min_scalar_type(int(values.max(initial=0)))
+    return bytes([kind.itemsize]) + zstandard.compress(values.astype(kind).tobytes(), 1)
+
+
+def unpacked(values: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(values[1:]), dtype=f"<u{values[0]}").astype(np.int64)
+
+
+def numbers_in(values: np.ndarray, row: np.ndarray, rows: int) -> pa.Array:
+    """Binary of each row with its values, 7 bits a byte, low ones first; the high bit says that more follow. Values come by row."""
+    n_bytes = np.ones(len(values), dtype=np.int64)
+    for k in range(1, 9):
+        n_bytes += values >= 1 << 7 * k
+    first = np.cumsum(n_bytes) - n_bytes
+    out = np.zeros(int(n_bytes.sum()), dtype=np.uint8)
+    for k in range(int(n_bytes.max(initial=0))):
+        has = n_bytes > k
+        out[first[has] + k] = values[has] >> 7 * k & 127 | np.where(n_bytes[has] > k + 1, 128, 0)
+    ends = np.append(0, np.cumsum(np.bincount(row, weights=n_bytes, minlength=rows))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(out.tobytes())])
+
+
+def numbers_of(cells: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values and the row of each, as ``numbers_in`` wrote them."""
+    sizes = np.asarray(pc.binary_length(cells)).astype(np.int64)
+    data = np.frombuffer(b"".join(cells.to_pylist()), dtype=np.uint8)
+    last = np.flatnonzero(data < 128)
+    first = np.append(0, last[:-1] + 1)[: len(last)]
+    shift = np.arange(len(data)) - np.repeat(first, last - first + 1)
+    values = np.add.reduceat((data & 127).astype(np.int64) << 7 * shift, first) if len(last) else np.zeros(0, dtype=np.int64)
+    return values, np.searchsorted(np.cumsum(sizes), last, "right")
+
+
+def numbered_groups(docs: DataFrame) -> DataFrame:
+    """(lang, source, group, lang_no): all groups and languages that occur, numbered from 0."""
+    groups = docs.select("lang", "source").distinct()
+    lang = groups.select("lang").distinct().withColumn("lang_no", F.row_number().over(W.orderBy("lang")) - 1)
+    ranged = materialise(groups.join(lang, "lang").repartitionByRange("lang", "source").withColumn("part", F.spark_partition_id()), "groups")
+    before = ranged.groupBy("part").count().withColumn("before", F.coalesce(F.sum("count").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    inside = F.row_number().over(W.partitionBy("part").orderBy("lang", "source")) - 1
+    return materialise(ranged.withColumn("at", inside).join(before, "part").select("lang", "source", (F.col("before") + F.col("at")).cast("int").alias("group"), "lang_no"), "groups")
+
+
+def chunk_blocks(texts: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows of two kinds from (group, lang_no, text): a block's distinct chunks from number ``first`` on with their documents, and one with its arrays."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, rows in enumerate(_slices(batches, block_bytes)):
+        for k, rows in enumerate(slices(batches, block_bytes)):
             block = TaskContext.get().partitionId() << 32 | k
-            chunks, arrays = _packed(rows)
+            chunks, n_docs, arrays = block_of(rows)
             yield pa.RecordBatch.from_pylist([{"block": block} | arrays], schema=_BLOCK)
-            for at in range(0, len(chunks), 1 << 16):
-                part = chunks.slice(at, 1 << 16)
-                columns = {"block": pa.array(np.full(len(part), block)), "no": pa.array(np.arange(at, at + len(part), dtype=np.int32)), "chunk": part}
-                yield pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(len(part), f.type)) for f in _BLOCK], schema=_BLOCK)
+            edges = pa.array(np.append(np.arange(0, len(chunks), PART), len(chunks)).astype(np.int32))
+            n = len(edges) - 1
+            columns = {
+                "block": pa.array(np.full(n, block)), "first": edges.slice(0, n), "chunks": pa.ListArray.from_arrays(edges, chunks.cast(pa.string())),
+                "n_docs": pa.ListArray.from_arrays(edges, pa.array(n_docs.astype(np.int32))),
+            }
+            yield pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in _BLOCK], schema=_BLOCK)
 
-    texts = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    kinds = "block long, no int, chunk string, starts binary, docs binary, counts binary, groups binary, langs array<string>, sources array<string>"
-    return texts.mapInArrow(blocks, kinds)
+    return texts.mapInArrow(blocks, _KINDS)
 
 
-def chunk_terms(blocks: DataFrame) -> DataFrame:
-    """(chunk, terms): every globally distinct chunk that has terms, taken apart once; a term that repeats in it repeats."""
-    chunks = blocks.filter("chunk <> ''").select("chunk").distinct()
-    return chunks.select("chunk", F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), F.lit(0)).alias("terms")).filter(F.size("terms") > 0)
+def chunk_terms(chunks: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """(chunk, term): every globally distinct chunk taken apart once; a term that repeats in it repeats.
 
+    Terms whose chunks together stand in too few documents are left out, since they can't be kept.
+    """
+    once = chunks.groupBy("chunk").agg(F.sum(F.when(F.col("block").isNotNull(), F.col("n_docs"))).alias("n_docs"))  # on the rows that the join reads too
+    terms = once.select("chunk", "n_docs", F.explode(F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), F.lit(0))).alias("term"))
+    return terms.withColumn("most", F.sum("n_docs").over(W.partitionBy("term"))).filter(F.col("most") >= least_docs).select("chunk", "term")
 
-def _merged(arrays: pa.Table, found: pa.Table) -> pa.Table:
+
+def _merged(arrays: pa.Table, found: pa.Table, groups: int) -> pa.Table:
     """Adds up one block: rows of ``found`` are (no, term); documents of a term's chunks count once."""
-    get = {c: np.frombuffer(arrays[c][0].as_py(), dtype=np.int32) for c in ("starts", "docs", "counts", "groups")}
-    langs, sources = arrays["langs"][0].as_py(), arrays["sources"][0].as_py()
-    lang_of, lang_names = pd.factorize(np.array(langs, dtype=object))
+    get = {c: unpacked(arrays[c][0].as_py()) for c in _ARRAYS}
     terms, names = _numbered(found["term"])
     no = found["no"].to_numpy()
-    first = get["starts"][no].astype(np.int64)
+    first = get["starts"][no]
     many = get["starts"][no + 1] - first
     at = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
     n_docs = len(get["groups"])
     keys = np.repeat(terms.astype(np.int64), many) * n_docs + get["docs"][at]
     order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], get["counts"][at][order].astype(np.int64)
+    keys, counts = keys[order], get["counts"][at][order]
     new = np.flatnonzero(np.diff(keys, prepend=-1))  # one for each term and document
-    counts, keys = np.add.reduceat(counts, new) if len(new) else counts, keys[new]
-    cell = keys // n_docs * len(langs) + get["groups"][keys % n_docs]  # term and group
-    order = np.lexsort((cell % len(langs), lang_of[cell % len(langs)], cell // len(langs)))
-    cell, counts = cell[order], counts[order]
-    new = np.flatnonzero(np.diff(cell, prepend=-1))
-    n, docs, cell = np.add.reduceat(counts, new), np.diff(np.append(new, len(cell))), cell[new]
-    row = cell // len(langs) * len(lang_names) + lang_of[cell % len(langs)]  # term and language
-    new = np.flatnonzero(np.diff(row, prepend=-1))
-    offsets = pa.array(np.append(new, len(row)).astype(np.int32))
-    return pa.table({
-        "lang": pa.array(lang_names[row[new] % len(lang_names)], pa.string()), "term": names.take(pa.array(row[new] // len(lang_names))),
-        "n_docs": pa.array(np.add.reduceat(docs, new)),
-        "sources": pa.ListArray.from_arrays(offsets, pa.array(sources, pa.string()).take(pa.array(cell % len(langs)))),
-        "counts": pa.ListArray.from_arrays(offsets, pa.array(n)),
-    })
-
-
-def _empty() -> pa.Table:
-    lists = {"sources": pa.list_(pa.string()), "counts": pa.list_(pa.int64())}
-    return pa.table({c: pa.array([], lists.get(c, pa.int64() if c == "n_docs" else pa.string())) for c in ("lang", "term", "n_docs", "sources", "counts")})
-
-
-def term_counts(blocks: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """(lang, term, source, n): occurrences of every kept term in every source that has it."""
+    counts, keys = np.add.reduceat(counts, new), keys[new]
+    lang, group = get["langs"][keys % n_docs], get["groups"][keys % n_docs]
+    order = np.lexsort((group, lang, keys // n_docs))
+    term, lang, group, counts = keys[order] // n_docs, lang[order], group[order], counts[order]
+    new = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(group, prepend=-1) != 0))
+    n, docs, term, lang, group = np.add.reduceat(counts, new), np.diff(np.append(new, len(term))), term[new], lang[new], group[new]
+    new = (np.diff(term, prepend=-1) != 0) | (np.diff(lang, prepend=-1) != 0)  # term and language
+    row = np.cumsum(new) - 1
+    new = np.flatnonzero(new)
+    return pa.table({"lang_no": pa.array(lang[new].astype(np.int32)), "term": names.take(pa.array(term[new])), "n_docs": pa.array(np.add.reduceat(docs, new)), "cells": numbers_in(n * groups + group, row, len(new))})
+
+
+def term_counts(blocks: DataFrame, groups: int, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """(lang_no, term, group, n): occurrences of every kept term in every group that has it; groups are numbers under ``groups``."""
+    empty = pa.schema([("lang_no", pa.int32()), ("term", pa.string()), ("n_docs", pa.int64()), ("cells", pa.binary())]).empty_table()
 
     def merge(arrays: pa.Table, found: pa.Table) -> pa.Table:
-        return _merged(arrays, found) if len(found) else _empty()
+        return _merged(arrays, found, groups) if len(found) else empty
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            values, row = numbers_of(rows.column("cells"))
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([rows.column("lang_no").take(at), rows.column("term").take(at), pa.array((values % groups).astype(np.int32)), pa.array(values // groups)], names=["lang_no", "term", "group", "n"])
 
-    found = blocks.filter("chunk is not null").select("block", "no", "chunk").join(chunk_terms(blocks), "chunk").select("block", "no", F.explode("terms").alias("term"))
-    arrays = blocks.filter("starts is not null").select(F.col("block").alias("own"), "starts", "docs", "counts", "groups", "langs", "sources")
-    counted = arrays.groupBy("own").cogroup(found.groupBy("block")).applyInArrow(merge, _COUNTED)
-    kept = counted.withColumn("n_docs", F.sum("n_docs").over(W.partitionBy("lang", "term"))).filter(F.col("n_docs") >= least_docs)
-    cells = kept.select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("c"))
-    return cells.groupBy("lang", "term", F.col("c.sources").alias("source")).agg(F.sum("c.counts").alias("n"))
+    chunks = blocks.select("block", "first", F.posexplode(F.arrays_zip("chunks", "n_docs")).alias("place", "c"))
+    chunks = chunks.select("block", (F.col("first") + F.col("place")).alias("no"), F.col("c.chunks").alias("chunk"), F.col("c.n_docs").alias("n_docs")).repartition("chunk")
+    found = chunks.join(chunk_terms(chunks, least_docs), "chunk").select("block", "no", "term")
+    arrays = blocks.filter("starts is not null").select(F.col("block").alias("own"), *_ARRAYS)
+    counted = arrays.groupBy("own").cogroup(found.groupBy("block")).applyInArrow(merge, "lang_no int, term string, n_docs long, cells binary")
+    kept = counted.withColumn("n_docs", F.sum("n_docs").over(W.partitionBy("lang_no", "term"))).filter(F.col("n_docs") >= least_docs)
+    found = kept.select("lang_no", "term", "cells").mapInArrow(cells, "lang_no int, term string, group int, n long")
+    return found.groupBy("lang_no", "term", "group").agg(F.sum("n").alias("n"))
 
 
 def share(n: Column, total: Column, kept: Column) -> Column:
@@ -194,9 +241,13 @@ def _distances(rows: pd.DataFrame) -> pd.DataFrame:
 
 def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP_TERMS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(lang, source, part, item, value, rank): distances of each source to the others, and its most overused terms."""
-    blocks = materialise(chunk_blocks(docs, block_bytes), "chunks")
-    cells = materialise(term_counts(blocks, least_docs), "cells")
-    groups = blocks.filter("starts is not null").select(F.explode(F.arrays_zip("langs", "sources")).alias("g")).select("g.langs", "g.sources").distinct().toDF("lang", "source")
+    texts = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
+    numbered = numbered_groups(texts)
+    blocks = materialise(chunk_blocks(texts.join(numbered, ["lang", "source"]).select("group", "lang_no", "text"), block_bytes), "chunks", "zstd")
+    counted = materialise(term_counts(blocks, max(1, numbered.count()), least_docs), "cells")
+    release(blocks)
+    cells = counted.join(numbered.drop("lang_no"), "group").select("lang", "term", "source", "n")
+    groups = numbered.select("lang", "source")
     kept = cells.groupBy("lang").agg(F.countDistinct("term").alias("kept"), F.sum("n").alias("lang_total"))
     totals = cells.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = groups.join(totals, ["lang", "source"], "left").join(kept, "lang", "left").na.fill(0, ["total", "kept", "lang_total"])
