@@ -48,7 +48,7 @@ from .common import materialise, table
 from .source_divergence import packed, slices, unpacked
 
 A_FILE, B_FILE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-BLOCK_BYTES, SHARDS, FAN = 12 << 20, 128, 16
+BLOCK_BYTES, SHARDS, FAN = 4 << 20, 128, 16
 #: (document, link) entries listed at once; products of a group above which equal ids are joined first; pieces encoded together.
 ENTRIES, WIDE, TOGETHER = 4_000_000, 4_096, 1_000
 #: A space at the start or after white space (what Python's isspace tells), where a text isn't cut.
