@@ -91,18 +91,19 @@ def block_of(rows: pa.Table) -> tuple[pa.Array, dict]:
         ids, docs = ids[real], docs[real]
     keys, counts = np.unique(ids.astype(np.int64) * len(lists) + docs, return_counts=True)
     starts = np.searchsorted(keys // len(lists), np.arange(len(chunks) + 1))
-    arrays = {"starts": starts, "docs": keys % len(lists), "counts": counts, "groups": rows["group"].to_numpy(), "langs": rows["lang_no"].to_numpy()}
+    arrays = {"starts": starts, "docs": np.diff(keys, prepend=0), "counts": counts, "groups": rows["group"].to_numpy(), "langs": rows["lang_no"].to_numpy()}
     return chunks, np.diff(starts), {c: packed(x) for c, x in arrays.items()}
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Non-negative integers in as few bytes as the largest needs, packed; the first byte tells how many."""
-    kind = np.min_scalar_type(int(values.max(initial=0)))
-    return bytes([kind.itemsize]) + zstandard.compress(values.astype(kind).tobytes(), 1)
+    """Non-negative integers in as few bytes as the largest needs, all lowest bytes first, packed; the first byte tells how many."""
+    kind = np.min_scalar_type(int(values.max(initial=0))).newbyteorder("<")
+    return bytes([kind.itemsize]) + zstandard.compress(np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T).tobytes(), 1)
 
 
 def unpacked(values: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(values[1:]), dtype=f"<u{values[0]}").astype(np.int64)
+    planes = np.frombuffer(zstandard.decompress(values[1:]), dtype=np.uint8).reshape(values[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{values[0]}").ravel().astype(np.int64)
 
 
 def numbers_in(values: np.ndarray, row: np.ndarray, rows: int) -> pa.Array:
@@ -164,7 +165,7 @@ def chunk_terms(chunks: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
 
     Terms whose chunks together stand in too few documents are left out, since they can't be kept.
     """
-    once = chunks.groupBy("chunk").agg(F.sum(F.when(F.col("block").isNotNull(), F.col("n_docs"))).alias("n_docs"))  # on the rows that the join reads too
+    once = chunks.groupBy("chunk").agg(F.sum(F.when(F.col("block").isNotNull(), F.col("at").bitwiseAND(F.lit(2**32 - 1)))).alias("n_docs"))
     terms = once.select("chunk", "n_docs", F.explode(F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), F.lit(0))).alias("term"))
     return terms.withColumn("most", F.sum("n_docs").over(W.partitionBy("term"))).filter(F.col("most") >= least_docs).select("chunk", "term")
 
@@ -174,6 +175,7 @@ def _merged(arrays: pa.Table, found: pa.Table, groups: int) -> pa.Table:
     get = {c: unpacked(arrays[c][0].as_py()) for c in _ARRAYS}
     terms, names = _numbered(found["term"])
     no = found["no"].to_numpy()
+    get["docs"] = np.cumsum(get["docs"]) % len(get["groups"])
     first = get["starts"][no]
     many = get["starts"][no + 1] - first
     at = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
@@ -208,8 +210,9 @@ def term_counts(blocks: DataFrame, groups: int, least_docs: int = LEAST_DOCS) ->
             yield pa.RecordBatch.from_arrays([rows.column("lang_no").take(at), rows.column("term").take(at), pa.array((values % groups).astype(np.int32)), pa.array(values // groups)], names=["lang_no", "term", "group", "n"])
 
     chunks = blocks.select("block", "first", F.posexplode(F.arrays_zip("chunks", "n_docs")).alias("place", "c"))
-    chunks = chunks.select("block", (F.col("first") + F.col("place")).alias("no"), F.col("c.chunks").alias("chunk"), F.col("c.n_docs").alias("n_docs")).repartition("chunk")
-    found = chunks.join(chunk_terms(chunks, least_docs), "chunk").select("block", "no", "term")
+    at = F.shiftleft((F.col("first") + F.col("place")).cast("long"), 32) + F.col("c.n_docs")  # both in one, so that count and join read one exchange
+    chunks = chunks.select("block", at.alias("at"), F.col("c.chunks").alias("chunk")).filter("chunk is not null").repartition("chunk")
+    found = chunks.join(chunk_terms(chunks, least_docs), "chunk").select("block", F.shiftright("at", 32).cast("int").alias("no"), "term")
     arrays = blocks.filter("starts is not null").select(F.col("block").alias("own"), *_ARRAYS)
     counted = arrays.groupBy("own").cogroup(found.groupBy("block")).applyInArrow(merge, "lang_no int, term string, n_docs long, cells binary")
     kept = counted.withColumn("n_docs", F.sum("n_docs").over(W.partitionBy("lang_no", "term"))).filter(F.col("n_docs") >= least_docs)
