@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,13 +11,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.views import Registry
+from . import lexical_index, vector_index
 
 R = Registry()
 RECALL, TOP, RRF_K = 30, 8, 60
-K1, B = 1.2, 0.75
-#: Queries sent to the tasks at once.
-QUERY_BLOCK = 4_096
-TOKEN = r"[\p{L}\p{N}]+"
 
 
 def unit_vector(v) -> np.ndarray:
@@ -59,74 +55,21 @@ def retrieval_filter(chunks: DataFrame, doc_ids: list[int] | None = None, tag_id
     return rows if tag_ids is None else rows.filter(F.arrays_overlap("tag_ids", F.array(*(F.lit(t).cast("long") for t in tag_ids))))
 
 
-def top_of(cos: np.ndarray, pk: np.ndarray, held: tuple[np.ndarray, np.ndarray, np.ndarray] | None, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, pk, score) of the k best of each row of cos and of what is held already; ties to the smaller pk."""
-    if cos.shape[1] > k:
-        rows, at = np.nonzero(cos >= np.partition(cos, -k, axis=1)[:, -k:][:, :1])  # with all ties
-    else:
-        rows, at = np.divmod(np.arange(cos.size), max(1, cos.shape[1]))
-    keys, scores = pk[at], cos[rows, at]
-    if held is not None:
-        rows, keys, scores = (np.concatenate(x) for x in zip(held, (rows, keys, scores), strict=True))
-    order = np.lexsort((keys, -scores, rows))
-    rows = rows[order]
-    kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
-    return rows[kept], keys[order][kept], scores[order][kept]
-
+def dense_topk(queries: DataFrame, chunks: DataFrame, k: int = RECALL, probes: int | None = None) -> DataFrame:
+    """Cosine top-k of every query(query_id, kb_id, vector) among chunks(pk, kb_id, vector) of its base.
 
-def dense_topk(queries: DataFrame, chunks: DataFrame, k: int = RECALL) -> DataFrame:
-    """Exact cosine top-k of every query(query_id, kb_id, vector) among chunks(pk, kb_id, vector) of its base.
-
-    Queries are the stated query set and go out in blocks; each task leaves at most k rows per query,
-    so what is shuffled grows with tasks times queries, not with pairs.
+    Builds the index of the chunks and searches it, exactly unless ``probes`` limits the cells that
+    are read; ``vector_index`` stores one for many searches.
     """
-    from .tags import _by_kb, blocks
-
-    out = []
-    for block in blocks(queries.select("query_id", "kb_id", "vector"), QUERY_BLOCK):
-        sent = chunks.sparkSession.sparkContext.broadcast({kb: (np.array([r["query_id"] for r in rows]), np.array([unit_vector(r["vector"]) for r in rows])) for kb, rows in _by_kb(block).items()})
-
-        def score(batches: Iterator[pd.DataFrame], known=sent) -> Iterator[pd.DataFrame]:
-            best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # of each base: query, pk and score of its hits so far
-            for rows in batches:
-                for kb, part in rows.groupby("kb_id"):
-                    ids, matrix = known.value.get(kb, (None, None))
-                    if ids is not None:
-                        cos = matrix @ np.stack([unit_vector(v) for v in part["vector"]]).T
-                        best[kb] = top_of(cos, part["pk"].to_numpy(), best.get(kb), k)
-            for kb, (q, pk, found) in best.items():
-                yield pd.DataFrame({"query_id": known.value[kb][0][q], "pk": pk, "score": found})
-
-        out.append(chunks.select("pk", "kb_id", "vector").mapInPandas(score, "query_id long, pk long, score double"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "pk"))
-    return reduce(DataFrame.unionByName, out).withColumn("rank", rank).filter(F.col("rank") <= k)
-
-
-def postings(chunks: DataFrame) -> DataFrame:
-    """(kb_id, pk, term, tf, dl): words in lower case of chunks(pk, kb_id, text); dl is the chunk's number of words."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))
-    rows = chunks.select("kb_id", "pk", words.alias("w")).withColumn("dl", F.size("w"))
-    return rows.select("kb_id", "pk", "dl", F.explode("w").alias("term")).groupBy("kb_id", "pk", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    return vector_index.search(queries, vector_index.build(chunks), k, probes)
 
 
 def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = RECALL) -> DataFrame:
     """BM25 top-k of every query(query_id, kb_id, text) in its base (C3); N, df and mean length are per base.
 
-    Postings are cut to the queries' terms before they are counted or joined.
+    Builds the index of chunks(kb_id, pk, text) and searches it; ``lexical_index`` stores one for many searches.
     """
-    asked = queries.select("query_id", "kb_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0)))).alias("term"))
-    words = F.size(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0)))
-    base = chunks.select("kb_id", words.alias("dl")).groupBy("kb_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    found = postings(chunks).join(asked.select("kb_id", "term").distinct(), ["kb_id", "term"], "left_semi")
-    df = found.groupBy("kb_id", "term").agg(F.count("*").alias("df"))
-    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = found.join(df, ["kb_id", "term"]).join(F.broadcast(base), "kb_id").select("kb_id", "term", "pk", weight.alias("w"))
-    hits = asked.join(scored, ["kb_id", "term"]).groupBy("query_id", "pk").agg(F.sum("w").alias("score"))
-    # Sums of the same parts in another order differ in the last bits; ranks use nine decimals.
-    hits = hits.withColumn("score", F.round("score", 9))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "pk"))
-    return hits.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return lexical_index.search(queries, lexical_index.build(chunks), k)
 
 
 def rrf_fuse(first: DataFrame, second: DataFrame, top: int = TOP, k: int = RRF_K) -> DataFrame:
@@ -165,7 +108,7 @@ def hybrid_search(queries: DataFrame, vectors: DataFrame, texts: DataFrame | Non
 QUERIES_TEXT = "SELECT CAST(b.item_id AS BIGINT) AS query_id, k.kb_id, b.text FROM {benchmark} b CROSS JOIN {v_kb} k WHERE b.item_id % 5 = k.kb_id"
 CHUNK_TEXTS = "SELECT chunk_id AS pk, kb_id, content AS text, doc_id FROM {v_chunk}"
 DENSE = """SELECT * FROM (SELECT query_id, pk, s AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, pk) AS rank FROM (SELECT q.query_id, c.pk, list_cosine_similarity(CAST(q.vector AS DOUBLE[]), CAST(c.vector AS DOUBLE[])) AS s FROM {v_query_vector} q JOIN {v_chunk_vector} c ON c.kb_id = q.kb_id) x) y"""
-WORDS = r"regexp_extract_all(lower({0}), '[\p{L}\p{N}]+')"
+WORDS = r"regexp_extract_all(regexp_replace(lower({0}), '([㐀-䶿一-鿿豈-﫿])', ' \1 ', 'g'), '[\p{L}\p{N}]+')"
 BM25 = f"""w AS (SELECT kb_id, pk, {WORDS.replace("{0}", "text")} AS ws FROM ({CHUNK_TEXTS}) c), base AS (SELECT kb_id, count(*) AS n, avg(len(ws)) AS avgdl FROM w GROUP BY kb_id),
     tf AS (SELECT kb_id, pk, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT kb_id, pk, len(ws) AS dl, unnest(ws) AS term FROM w) x GROUP BY kb_id, pk, term), df AS (SELECT kb_id, term, count(*) AS df FROM tf GROUP BY kb_id, term),
     asked AS (SELECT DISTINCT query_id, kb_id, unnest({WORDS.replace("{0}", "text")}) AS term FROM ({QUERIES_TEXT}) q),
@@ -184,6 +127,11 @@ R.add("embed_texts", lambda s: embed_texts(s["v_chunk"], hashed_encoder()).selec
       n AS (SELECT chunk_id, sqrt(sum(v * v)) AS n FROM d GROUP BY 1) SELECT n.chunk_id, 64 AS dimension, string_agg(CAST(CAST(round(CAST(coalesce(v, 0) / greatest(n, 1e-30) AS FLOAT) * 1000, 0) AS INT) AS VARCHAR), ',' ORDER BY s.s) AS thousandths FROM n CROSS JOIN range(0, 64) s(s) LEFT JOIN d ON d.chunk_id = n.chunk_id AND d.slot = s.s GROUP BY n.chunk_id""")
 R.add("dense_topk", lambda s: dense_topk(s["v_query_vector"], s["v_chunk_vector"]).select("query_id", "rank", "pk", F.round("score", 5).alias("score")), f"SELECT query_id, rank, pk, round(score, 5) AS score FROM ({DENSE}) d WHERE rank <= 30")
 R.add("bm25_topk", lambda s: _bm25(s).select("query_id", "rank", "pk", F.round("score", 5).alias("score")), f"WITH {BM25} SELECT query_id, rank, pk, round(score, 5) AS score FROM ranked WHERE rank <= 30")
+#: Chinese questions, one for each twentieth note, against notes that hold Chinese sentences.
+HAN_QUERIES = "SELECT doc_id AS query_id, kb_id, concat('分布式缓存的吞吐量 src', doc_id % 20, ' 第', doc_id, '次') AS text FROM {v_note} WHERE doc_id % 20 = 0"
+HAN_TEXTS = "SELECT doc_id AS pk, kb_id, text FROM {v_note}"
+R.add("bm25_topk_chinese", lambda s: bm25_topk(s.sql(HAN_QUERIES), s.sql(HAN_TEXTS)).select("query_id", "rank", "pk", F.round("score", 5).alias("score")),
+      f"WITH {BM25.replace(CHUNK_TEXTS, HAN_TEXTS).replace(QUERIES_TEXT, HAN_QUERIES)} SELECT query_id, rank, pk, round(score, 5) AS score FROM ranked WHERE rank <= 30")
 R.add("retrieval_filter", lambda s: retrieval_filter(s["v_chunk_vector"].selectExpr("pk", "pk % 10 as doc_id", "array(tag_id) as tag_ids"), [1, 2, 3], [0, 2, 4]).select("pk", "doc_id"),
       "SELECT pk, pk % 10 AS doc_id FROM {v_chunk_vector} WHERE pk % 10 IN (1, 2, 3) AND tag_id IN (0, 2, 4)")
 FUSED = f"""WITH {BM25}, a AS (SELECT query_id, pk, rank FROM ({DENSE}) d WHERE rank <= 30), b AS (SELECT query_id, pk, rank FROM ranked WHERE rank <= 30), f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.pk, b.pk) AS pk, round(coalesce(1 / (60 + a.rank), 0.0) + coalesce(1 / (60 + b.rank), 0.0), 12) AS score FROM a FULL JOIN b ON a.query_id = b.query_id AND a.pk = b.pk),
