@@ -4,71 +4,104 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_folder
+from ..sources.shared import materialise, release
 from ..sources.views import Registry
-from .retrieval import unit_vector
-from .tags import blocks
+from . import vector_index
 
 R = Registry()
 SIMILAR = 0.92
-#: Candidates sent to the tasks at once.
-CANDIDATE_BLOCK = 4_096
+#: Pairs that one task decides in order, about.
+TURN = 200_000
 
 
 def similar_pairs(candidates: DataFrame, items: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """(pos, other) of candidates(pos, vector) and items(other, vector) with a dot product of at least ``least``.
+    """(pos, other) of candidates(pos, vector) and items(other, vector) with a cosine of at least ``least``.
 
-    Candidates go out in blocks of bounded size and are held against all items in one pass each;
-    only pairs that reach the bound leave a task.
+    A metric join: items lie in the cells of their nearest pivots, a candidate goes to the cells
+    that its radius reaches (``vector_index.within``).
     """
-    out = None
-    for block in blocks(candidates.select("pos", "vector"), CANDIDATE_BLOCK):
-        sent = candidates.sparkSession.sparkContext.broadcast((np.array([r["pos"] for r in block]), np.array([unit_vector(r["vector"]) for r in block])))
+    index = vector_index.build(items.select(F.col("other").alias("pk"), F.lit(0).cast("long").alias("kb_id"), "vector"))
+    asked = candidates.select(F.col("pos").alias("query_id"), F.lit(0).cast("long").alias("kb_id"), "vector")
+    return vector_index.within(asked, index, least).select(F.col("query_id").alias("pos"), F.col("pk").alias("other"))
 
-        def match(batches: Iterator[pd.DataFrame], known=sent) -> Iterator[pd.DataFrame]:
-            pos, matrix = known.value
-            for rows in batches:
-                i, j = np.nonzero(np.stack([unit_vector(v) for v in rows["vector"]]) @ matrix.T >= least)
-                yield pd.DataFrame({"pos": pos[j], "other": rows["other"].to_numpy()[i]})
 
-        part = items.select("other", "vector").mapInPandas(match, "pos long, other long")
-        out = part if out is None else out.unionByName(part)
-    return out
+def in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Decides the candidates of one range of positions from (pos, other), sorted by pos; ``other`` is an earlier open one that is like it.
+
+    One that waits for a candidate of another range stays open, unless a kept one of this range drops it.
+    """
+    known: dict[int, bool | None] = {}
+    now, dropped, waits = None, False, False
+
+    def state() -> bool | None:
+        return False if dropped else None if waits else True
+
+    for rows in batches:
+        done = []
+        for p, other in zip(rows["pos"].tolist(), rows["other"].astype("Int64"), strict=True):
+            if p != now:
+                if now is not None:
+                    known[now] = state()
+                    done.append(now)
+                now, dropped, waits = p, False, False
+            if other is not pd.NA:
+                dropped |= known.get(other) is True
+                waits |= known.get(other) is None
+        yield pd.DataFrame([(p, known[p]) for p in done if known[p] is not None], columns=["pos", "kept"]).astype({"pos": "int64", "kept": bool})
+    if now is not None and state() is not None:
+        yield pd.DataFrame({"pos": [now], "kept": [state()]})
+
+
+def greedy(pairs: DataFrame, turn: int = TURN) -> tuple[DataFrame, int]:
+    """(pos, kept) for every pos of pairs(pos, other), other < pos, which has rows of its own, or null: kept if no earlier kept one is like it; and the rounds it took.
+
+    Each round cuts the open candidates into ranges of neighbouring positions; a task decides what
+    its range tells by itself. A chain of neighbours is thus decided a range at a time, and
+    candidates that wait for none, or whose earlier ones are dropped, in any case.
+    """
+    done, open_, rounds = None, materialise(pairs.select("pos", "other"), "open"), 0
+    while not open_.isEmpty():
+        rounds += 1
+        decided = open_.repartitionByRange(max(1, -(-open_.count() // turn)), "pos").sortWithinPartitions("pos").mapInPandas(in_order, "pos long, kept boolean")
+        decided = materialise(decided, "decided")
+        rest = open_.join(decided, "pos", "left_anti").join(decided.withColumnRenamed("pos", "other"), "other", "left")
+        rest = materialise(rest.select("pos", "other", "kept"), "rest")
+        gone = materialise(rest.filter("kept").select("pos", F.lit(False).alias("kept")).distinct(), "gone")
+        done = decided.unionByName(gone) if done is None else done.unionByName(decided).unionByName(gone)
+        if decided.isEmpty():
+            raise ValueError("candidates wait for one that has no row")
+        release(open_)
+        # of those left, what is dropped no longer counts; one without any other to wait for keeps a row
+        alive = rest.select("pos", F.when(F.col("kept").isNull(), F.col("other")).alias("other")).join(gone, "pos", "left_anti")
+        alive = alive.join(gone.select(F.col("pos").alias("other"), F.lit(True).alias("lost")), "other", "left")
+        open_ = materialise(alive.select("pos", F.when(F.col("lost").isNull(), F.col("other")).alias("other")).distinct(), "open")
+        release(rest)
+    return (pairs.select("pos", F.lit(True).alias("kept")).limit(0) if done is None else done), rounds
 
 
 def dedup_vector(candidates: DataFrame, existing: DataFrame, least: float = SIMILAR) -> DataFrame:
     """(pos) of candidates kept in order: like no existing item and no earlier kept candidate.
 
-    The candidates are a batch that meets all items in blocks. Within the batch, an undecided row
-    without a smaller undecided neighbour is kept and its neighbours are dropped, until none is left.
-    That is the sequential result. A round decides all rows that wait for none, so a chain in which
-    each candidate is like the next takes as many rounds as half its length: a batch sorted that way
-    is better split. Each round is checkpointed.
+    Equal vectors are first taken together: of them only the earliest can be kept, since what is
+    like it is like all. That is the sequential result.
     """
-    taken = similar_pairs(candidates, existing.select(F.col("id").alias("other"), "vector"), least).select("pos").distinct()
-    left = candidates.join(taken, "pos", "left_anti")
-    pairs = similar_pairs(left, left.select(F.col("pos").alias("other"), "vector"), least).filter("pos <> other").checkpoint()
-    undecided, kept = left.select("pos").checkpoint(), None
-    while True:
-        waiting = pairs.filter("other < pos").select("pos").distinct()
-        now = undecided.join(waiting, "pos", "left_anti").checkpoint()
-        kept = now if kept is None else kept.unionByName(now)
-        if pairs.isEmpty():
-            return kept
-        gone = now.unionByName(pairs.join(now.withColumnRenamed("pos", "other"), "other", "left_semi").select("pos")).distinct()
-        undecided = undecided.join(gone, "pos", "left_anti").checkpoint()
-        pairs = pairs.join(undecided, "pos", "left_semi").join(undecided.withColumnRenamed("pos", "other"), "other", "left_semi").checkpoint()
+    once = materialise(candidates.groupBy("vector").agg(F.min("pos").alias("pos")), "once")
+    taken = similar_pairs(once, existing.select(F.col("id").alias("other"), "vector"), least).select("pos").distinct()
+    left = materialise(once.join(taken, "pos", "left_anti"), "left")
+    pairs = materialise(similar_pairs(left, left.select(F.col("pos").alias("other"), "vector"), least).filter("other < pos"), "pairs")
+    # those that no earlier one is like wait for none
+    every = left.select("pos").join(pairs, "pos", "left")
+    kept, _ = greedy(every)
+    return kept.filter("kept").select("pos")
 
 
 def _query(s) -> DataFrame:
     """A batch of candidates, every vector whose id is divisible by 20, against all others."""
     rows = s["v_chunk_vector"]
-    shared_folder(s.spark)
     return dedup_vector(rows.filter("pk % 20 = 0").selectExpr("pk as pos", "vector"), rows.filter("pk % 20 <> 0").selectExpr("pk as id", "vector"), ALIKE)
 
 
