@@ -12,7 +12,8 @@ from ..sources.views import Registry
 R = Registry()
 TARGET, OVERLAP, LONG = 700, 105, 1.6
 HEADING = r"^(#{1,6})\s+(.+)$"
-NUMBERED = r"^(第[一二三四五六七八九十百零\d]+[章节篇讲部分]|\d+(\.\d+){0,3}\s+\S|[一二三四五六七八九十]+、)"
+# Fixed value: what a numbered heading of at most 60 characters starts with.
+NUMBERED = r"^(第[一二三四五六七八九十百零\d]+[章节部分]|[一二三四五六七八九十]+、|\d+(\.\d+){1,2}\s+\S)"
 SENTENCE_END = r"(?<=[。！？；!?;])"
 
 
@@ -28,11 +29,11 @@ def section_path(paragraphs: DataFrame) -> DataFrame:
     """(doc_id, pos, text, section_path): headings are taken out and name the path of what follows (B2).
 
     A level's heading holds while no heading of a higher level has come since; so each level is one
-    forward fill, valid if it stands after the last heading above it.
+    forward fill, valid if it stands after the last heading above it. Levels beyond six count as six.
     """
     marks = F.length(F.regexp_extract("text", HEADING, 1))
     numbered = (F.length("text") <= 60) & F.col("text").rlike(NUMBERED)
-    dotted = F.col("text").rlike(r"^\d+(\.\d+)+\s")
+    dotted = F.col("text").rlike(r"^\d")
     level = F.when(marks > 0, marks).when(numbered & dotted, F.regexp_count("text", F.lit(r"\.")) + 1).when(numbered, 1)
     title = F.when(marks > 0, F.trim(F.regexp_extract("text", HEADING, 2))).otherwise(F.col("text"))
     rows = paragraphs.withColumns({"_level": F.when(level.isNotNull(), F.least(level, F.lit(6))), "_title": title})
@@ -185,8 +186,8 @@ def _chunks(s) -> DataFrame:
 
 PARAGRAPHS = r"""p AS (SELECT doc_id, i - 1 AS pos, trim(regexp_replace(array_to_string(list_filter(list_transform(string_split(ps[i], chr(10)), lambda x: trim(x)), lambda x: x <> ''), ' '), '\s+', ' ', 'g')) AS text
     FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '\n\s*\n') AS ps FROM {v_doc}) a) b)"""
-LEVELS = f"""l AS (SELECT *, CASE WHEN m > 0 THEN m WHEN numbered AND regexp_matches(text, '^\\d+(\\.\\d+)+\\s') THEN least(6, length(text) - length(replace(text, '.', '')) + 1) WHEN numbered THEN 1 END AS level, CASE WHEN m > 0 THEN trim(regexp_extract(text, '{HEADING}', 2)) ELSE text END AS title
-    FROM (SELECT *, length(regexp_extract(text, '{HEADING}', 1)) AS m, length(text) <= 60 AND regexp_matches(text, '{NUMBERED}') AS numbered FROM p WHERE text <> '') x),
+LEVELS = f"""l AS (SELECT *, CASE WHEN m > 0 THEN m WHEN numbered AND regexp_matches(text, '^\\d') THEN least(6, length(text) - length(replace(text, '.', '')) + 1) WHEN numbered THEN 1 END AS level, CASE WHEN m > 0 THEN trim(regexp_extract(text, '{HEADING}', 2)) ELSE text END AS title
+    FROM (SELECT *, length(regexp_extract(text, '{HEADING}', 1)) AS m, length(text) <= 60 AND regexp_matches(text, '^(第[一二三四五六七八九十百零\\d]+[章节部分]|[一二三四五六七八九十]+、|\\d+\\.\\d+\\s+\\S|\\d+\\.\\d+\\.\\d+\\s+\\S)') AS numbered FROM p WHERE text <> '') x),
     h AS (SELECT doc_id, pos, text, level, {", ".join(f"coalesce(max(CASE WHEN level = {n} THEN pos END) OVER w, -1) AS p{n}, last_value(CASE WHEN level = {n} THEN title END IGNORE NULLS) OVER w AS t{n}" for n in range(1, 7))} FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
     b AS (SELECT doc_id, pos, text, concat_ws(' > ', {", ".join(f"CASE WHEN p{n} > greatest(-1{''.join(f', p{k}' for k in range(1, n))}) THEN t{n} END" for n in range(1, 7))}) AS section_path FROM h WHERE level IS NULL)"""
 BLOCKS = PARAGRAPHS.replace("{v_doc}", "{v_book}") + ", " + LEVELS

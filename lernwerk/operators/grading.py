@@ -13,6 +13,8 @@ from .stats import exam_summary
 
 R = Registry()
 PARTIAL, KEYWORD_SHARE = 0.5, 0.6
+# Hints of points that an answer misses.
+UNANSWERED, PARTLY, ABSENT = "未作答", "只答出一部分，还差：", "未提及该要点，应包含："
 POINTS, HINTS, CORRECTIONS = "array<struct<point: string, score: double>>", "array<struct<point: string, hint: string>>", "array<struct<point: string, correction: string>>"
 
 
@@ -98,8 +100,7 @@ def grade_rubric(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("_p", rubric_points(F.col("rubric"), F.coalesce("user_answer", F.lit(""))))
     total = F.aggregate("_p", F.lit(0.0), lambda t, p: t + p["given"])
     hit = F.transform(F.filter("_p", lambda p: p["share"] > 0), lambda p: F.struct(p["point"].alias("point"), p["given"].alias("score")))
-    part = F.lit("只答出一部分，还差：")
-    hint = lambda p: F.when(p["share"] > 0, F.concat(part, F.substring(F.array_join(p["missing"], "、"), 1, 40))).otherwise(F.concat(F.lit("未提及该要点，应包含："), F.array_join(F.slice(p["keywords"], 1, 3), "、")))
+    hint = lambda p: F.when(p["share"] > 0, F.concat(F.lit(PARTLY), F.substring(F.array_join(p["missing"], "、"), 1, 40))).otherwise(F.concat(F.lit(ABSENT), F.array_join(F.slice(p["keywords"], 1, 3), "、")))
     miss = F.transform(F.filter("_p", lambda p: p["share"] < 0.5), lambda p: F.struct(p["point"].alias("point"), hint(p).alias("hint")))
     return rows.withColumns({"score": F.bround(F.least(total, F.col("full_score")), 1), "hit_points": hit, "miss_points": miss}).drop("_p")
 
@@ -108,7 +109,7 @@ def grade_answers(rows: DataFrame) -> DataFrame:
     """blank answers get 0; types 1 and 3 are graded as F5, 2 as F6, 4 as F7, else by rubric.
 
     rows(answer_id, q_type, full_score, reference, user_answer, rubric). method is 1 for rules, 2 for
-    a blank left to the rubric, 3 for the rubric.
+    a blank left to the rubric, 3 for the rubric. A blank answer misses every point of its rubric.
     """
     full, expected, actual = F.col("full_score"), F.col("reference"), F.col("user_answer")
     by_rule = F.when(F.col("q_type").isin(1, 3), exact_score(full, expected, actual)).when(F.col("q_type") == 2, multi_score(full, expected, actual)).when(F.col("q_type") == 4, blank_score(full, expected, actual))
@@ -116,7 +117,10 @@ def grade_answers(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("_rule", F.when(blank, 0.0).otherwise(by_rule))
     # Only answers that no rule settles are held against a rubric.
     rubric = F.coalesce("rubric", F.expr("array(struct(reference as point, full_score as score))"))
-    graded = grade_rubric(rows.withColumn("rubric", F.when(F.col("_rule").isNull(), rubric)))
+    points = F.coalesce("rubric", F.expr(f"cast(array() as {POINTS})"))
+    unsaid = F.transform(points, lambda p: F.struct(p["point"].alias("point"), F.lit(UNANSWERED).alias("hint")))
+    graded = grade_rubric(rows.withColumns({"rubric": F.when(F.col("_rule").isNull(), rubric), "_unsaid": F.when(blank, unsaid)}))
+    graded = graded.withColumn("miss_points", F.coalesce("_unsaid", "miss_points")).drop("_unsaid")
     method = F.when(F.col("_rule").isNotNull(), 1).when(F.col("q_type") == 4, 2).otherwise(3)
     return graded.withColumns({"score": clamp(F.coalesce("_rule", "score"), full), "method": method}).drop("_rule")
 
@@ -203,7 +207,7 @@ def _response(s) -> DataFrame:
 
 
 def _with_rubric(s) -> DataFrame:
-    return _response(s).withColumn("rubric", F.expr(f"cast(null as {POINTS})"))
+    return _response(s).withColumn("rubric", F.expr(f"case when q_type > 4 then cast(array(struct(reference as point, full_score as score)) as {POINTS}) end"))
 
 
 def _add(name: str, query, select: str, where: str = "") -> None:
@@ -219,8 +223,8 @@ _add("grade_blank", lambda s: _response(s).filter("q_type = 4").select("answer_i
 _add("grade_rubric", lambda s: grade_rubric(_response(s).filter("q_type > 4").withColumn("rubric", F.expr("array(struct(reference as point, full_score as score))"))).select("answer_id", "score", F.size("hit_points").alias("n_hit"), F.size("miss_points").alias("n_miss")),
      f"answer_id, {RUBRIC} AS score, CASE WHEN {HITS} > 0 THEN 1 ELSE 0 END AS n_hit, CASE WHEN {HITS} < 0.5 THEN 1 ELSE 0 END AS n_miss", "WHERE q_type > 4")
 GRADE = f"CASE WHEN trim(user_answer) = '' THEN 0.0 WHEN q_type IN (1, 3) THEN {EXACT} WHEN q_type = 2 THEN {MULTI} WHEN q_type = 4 THEN coalesce({BLANK}, {RUBRIC}) ELSE {RUBRIC} END"
-_add("grade_answers", lambda s: grade_answers(_with_rubric(s)).select("answer_id", "score", "method"),
-     f"answer_id, {GRADE} AS score, CASE WHEN trim(user_answer) = '' OR q_type <= 3 OR q_type = 4 AND {BLANK} IS NOT NULL THEN 1 WHEN q_type = 4 THEN 2 ELSE 3 END AS method")
+_add("grade_answers", lambda s: grade_answers(_with_rubric(s)).select("answer_id", "score", "method", F.coalesce(F.size("miss_points"), F.lit(0)).alias("n_miss"), F.coalesce(F.size(F.filter("miss_points", lambda p: p["hint"] == "未作答")), F.lit(0)).alias("unanswered")),
+     f"answer_id, {GRADE} AS score, CASE WHEN trim(user_answer) = '' OR q_type <= 3 OR q_type = 4 AND {BLANK} IS NOT NULL THEN 1 WHEN q_type = 4 THEN 2 ELSE 3 END AS method, CASE WHEN trim(user_answer) = '' THEN CASE WHEN q_type > 4 THEN 1 ELSE 0 END WHEN q_type > 4 OR q_type = 4 AND {BLANK} IS NULL THEN CASE WHEN {HITS} < 0.5 OR {HITS} IS NULL THEN 1 ELSE 0 END ELSE 0 END AS n_miss, CASE WHEN trim(user_answer) = '' THEN CASE WHEN q_type > 4 THEN 1 ELSE 0 END ELSE 0 END AS unanswered")
 R.add("start_exam", lambda s: start_exam(s["v_paper_item"], s["v_question"]),
       """SELECT paper_id, i.question_id, CAST(row_number() OVER (PARTITION BY paper_id ORDER BY sort_order, i.question_id) AS INT) AS seq, CASE WHEN q_type <= 4 THEN 5.0 ELSE 10.0 END AS full_score,
       sum(CASE WHEN q_type <= 4 THEN 5.0 ELSE 10.0 END) OVER (PARTITION BY paper_id) AS total_score, '' AS user_answer FROM {v_paper_item} i JOIN {v_question} q ON q.question_id = i.question_id AND q.status = 1""")

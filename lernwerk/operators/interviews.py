@@ -18,11 +18,13 @@ from .bank import terms_sql
 from .tags import blocks
 
 R = Registry()
-# Endings of names, degrees, words of risk and of order, dimensions of an answer's score.
-SUFFIXES = "篇|章|节|基础|原理|进阶|入门|详解|概述|知识"
-DEGREES = ["博士", "硕士", "研究生", "本科", "大专"]
+# Endings of names and what is left out of them, degrees, majors, words of risk and of order, dimensions of an answer's score.
+SUFFIXES = "篇|章|节|模块|部分|专题|系列|基础|入门|详解"
+IGNORED = r"[\s　（）()【】\[\]·、,，.。/\\\-—:：;；'\"“”]"
+DEGREES = ["博士", "硕士", "本科", "大专", "专科"]
+MAJORS = "计算机科学与技术|软件工程|信息管理|电子信息工程|网络工程|通信工程|人工智能|数据科学"
 RISKS = ["精通", "熟练掌握", "架构", "主导", "负责整体", "高并发", "千万级", "从 0 到 1", "亿级", "优化了", "提升了"]
-ORDERING = ["首先", "其次", "然后", "最后", "第一", "第二", "因为", "所以", "first", "second", "then", "finally", "because"]
+ORDERING = ["首先", "其次", "然后", "最后", "第一步", "背景"]
 DIMENSIONS = ["relevance", "tech", "structure", "specificity", "consistency"]
 #: Words of a lexicon sent to the tasks at once.
 LEXICON_BLOCK = 50_000
@@ -37,13 +39,16 @@ def distinct_folded(items: Column, limit: int) -> Column:
 
 
 def normalize_profiles(rows: DataFrame, column: str = "profile") -> DataFrame:
-    """Profile JSON as a struct with defaults; lists without repeats, years as a number."""
-    schema = "name string, years string, degree string, school string, skills array<string>, highlights array<string>, risks array<string>, projects array<struct<title: string, period: string, stack: string>>"
+    """Profile JSON as a struct with defaults; lists without repeats, years as a number; a project that is a text is its title."""
+    schema = "name string, years string, degree string, school string, skills array<string>, highlights array<string>, risks array<string>, projects array<string>"
     p = F.from_json(column, schema)
     listed = lambda name, n: distinct_folded(F.coalesce(p[name], F.array().cast("array<string>")), n).alias(name)
     text = lambda name: F.coalesce(F.trim(p[name]), F.lit("")).alias(name)
     years = F.coalesce(F.regexp_extract(p["years"], r"\d+", 0).try_cast("int"), F.lit(0)).alias("years")
-    projects = F.coalesce(p["projects"], F.expr("cast(array() as array<struct<title: string, period: string, stack: string>>)")).alias("projects")
+    kind = "struct<title: string, period: string, stack: string>"
+    titled = lambda x: F.struct(x.alias("title"), F.lit("").alias("period"), F.lit("").alias("stack"))
+    project = lambda x: F.when(F.ltrim(x).startswith("{"), F.from_json(x, kind)).otherwise(titled(x))
+    projects = F.coalesce(F.transform(F.array_compact(p["projects"]), project), F.expr(f"cast(array() as array<{kind}>)")).alias("projects")
     return rows.withColumn("profile", F.struct(text("name"), years, text("degree"), text("school"), listed("skills", 20), listed("highlights", 8), listed("risks", 8), projects))
 
 
@@ -78,7 +83,7 @@ def extract_profiles(resumes: DataFrame, lexicon: DataFrame, most: int = 12) ->
     name = F.try_element_at(F.filter(F.slice(lines, 1, 6), lambda x: x.rlike(f"^{X.HAN}{{2,4}}$")), F.lit(1))
     degree = reduce(lambda c, d: c.when(text.contains(d), d), DEGREES, F)
     risks = F.slice(F.array_compact(F.array(*(F.when(text.contains(w), w) for w in RISKS))), 1, 5)
-    rows = resumes.select("resume_id", name.alias("name"), F.coalesce(F.regexp_extract(text, r"(\d+)\s*年.{0,6}经验", 1).try_cast("int"), F.lit(0)).alias("years"), degree.alias("degree"), F.regexp_extract(text, f"({X.HAN}{{2,12}}(?:大学|学院))", 1).alias("school"), risks.alias("risks"))
+    rows = resumes.select("resume_id", name.alias("name"), F.coalesce(F.regexp_extract(text, r"(\d+)\s*年(?:以上)?(?:工作)?经验", 1).try_cast("int"), F.lit(0)).alias("years"), degree.alias("degree"), F.regexp_extract(text, f"({X.HAN}{{2,12}}(?:大学|学院|职业技术学院))", 1).alias("school"), F.regexp_extract(text, f"({MAJORS})", 1).alias("major"), risks.alias("risks"))
     found = words_in(resumes.select("resume_id", F.lower(text).alias("t")), lexicon.select("word", F.lower("word").alias("low"), F.col("rank").cast("long").alias("rank")), most)
     found = found.withColumn("n", F.row_number().over(W.partitionBy("resume_id").orderBy("rank", "word"))).filter(F.col("n") <= most)
     return rows.join(found.groupBy("resume_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda x: x["word"]).alias("skills")), "resume_id", "left")
@@ -100,7 +105,7 @@ def evaluate_answers(rows: DataFrame) -> DataFrame:
     key = X.terms(F.coalesce("expected", F.lit("")), 30)
     overlap = F.when(F.size(key) > 0, 100 * F.size(F.array_intersect(key, X.terms(answer, 30))) / F.size(key)).otherwise(0.0)
     clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(100.0), c.cast("double")))
-    ordered = reduce(Column.__or__, (F.lower(answer).contains(w) for w in ORDERING))
+    ordered = reduce(Column.__or__, (answer.contains(w) for w in ORDERING))
     scores = {"relevance": 0.5 * length + 0.5 * overlap, "tech": F.when(F.size(key) > 0, 50 + 0.5 * overlap).otherwise(30.0), "structure": F.when(ordered, 85).otherwise(length), "specificity": 0.6 * length + 0.4 * overlap, "consistency": F.lit(88)}
     rows = rows.select("id", n.alias("_n"), *(F.bround(clamp(scores[d]), 1).alias(d) for d in DIMENSIONS))
     mean = reduce(Column.__add__, (F.col(d) for d in DIMENSIONS)) / len(DIMENSIONS)
@@ -141,7 +146,7 @@ def match_weak_points(points: DataFrame, tags: DataFrame) -> DataFrame:
     points that are as long as some name. Every name and every different point has few of them, and
     the first tag of each is chosen before the join, so no point meets all tags of its base.
     """
-    folded = lambda c: F.regexp_replace(X.bare(F.col(c)), f"({SUFFIXES})$", "")
+    folded = lambda c: F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), IGNORED, ""), f"({SUFFIXES})$", "")
     used = tags.withColumn("_m", F.max("chunk_count").over(W.partitionBy("kb_id"))).filter((F.col("chunk_count") > 0) | (F.col("_m") == 0))
     named = used.select("kb_id", "tag_id", folded("name").alias("name")).filter("name <> ''").groupBy("kb_id", "name").agg(F.min("tag_id").alias("tag_id"))
     asked = points.select("interview_id", "pos", "kb_id", folded("point").alias("point")).filter("point <> ''")
@@ -185,7 +190,7 @@ def _profiles(s) -> DataFrame:
 
 
 #: Malformed JSON, and profiles with different fields.
-PROFILES = """SELECT CAST(s_suppkey AS BIGINT) AS resume_id, CASE s_suppkey % 4 WHEN 0 THEN '[name]' WHEN 1 THEN concat(chr(123), '"name":" ', s_name, ' ","years":"about ', s_suppkey % 12, ' years","degree":"本科","skills":["Spark","spark"," My-SQL","mysql","T', s_suppkey % 3, '"],"projects":[', chr(123), '"title":"P', s_suppkey % 5, '","period":"","stack":"X"', chr(125), ']', chr(125))
+PROFILES = """SELECT CAST(s_suppkey AS BIGINT) AS resume_id, CASE s_suppkey % 4 WHEN 0 THEN '[name]' WHEN 1 THEN concat(chr(123), '"name":" ', s_name, ' ","years":"about ', s_suppkey % 12, ' years","degree":"本科","skills":["Spark","spark"," My-SQL","mysql","T', s_suppkey % 3, '"],"projects":[', chr(123), '"title":"P', s_suppkey % 5, '","period":"","stack":"X"', chr(125), ',"Search engine"]', chr(125))
     WHEN 2 THEN concat(chr(123), '"name":null,"years":', s_suppkey % 12, ',"school":"S","highlights":["a","A","b"],"risks":["r', s_suppkey % 2, '"]', chr(125)) ELSE concat(chr(123), '"skills":[MANY]', chr(125)) END AS profile FROM {supplier}""".replace("MANY", ",".join(f'"k{i}"' for i in range(25)))
 KIND = "s_suppkey % 4"
 
@@ -194,20 +199,20 @@ def _turns(s) -> DataFrame:
     return s["v_turn"].dropDuplicates(["interview_id", "seq"])
 
 
-POINTS = """SELECT DISTINCT interview_id, interview_id % 5 AS kb_id, seq AS pos, CASE (interview_id + seq) % 6 WHEN 0 THEN 'Supplier#000000001' WHEN 1 THEN 'zzz' WHEN 2 THEN 'supplier' WHEN 3 THEN concat('knows Supplier#00000000', interview_id % 9, ' A not, or Supplier#00000000', interview_id % 9) WHEN 4 THEN '0003 N' ELSE ' ,. ' END AS point FROM {v_turn}"""
+POINTS = """SELECT DISTINCT interview_id, interview_id % 5 AS kb_id, seq AS pos, CASE (interview_id + seq) % 6 WHEN 0 THEN 'Supplier#000000001' WHEN 1 THEN 'zzz' WHEN 2 THEN 'supplier' WHEN 3 THEN concat('knows Supplier#00000000', interview_id % 9, ' A not, or Supplier#00000000', interview_id % 9) WHEN 4 THEN '0003 N系列' ELSE ' ,. ' END AS point FROM {v_turn}"""
 COUNTED = "SELECT tag_id, kb_id, name, CASE WHEN kb_id = 3 THEN 0 ELSE tag_id % 4 END AS chunk_count FROM {v_tag}"
 R.add("normalize_profiles", lambda s: _profiles(s).select("resume_id", "profile.name", "profile.years", "profile.degree", "profile.school", *(F.array_join(f"profile.{c}", ",").alias(c) for c in ("skills", "highlights", "risks")), F.size("profile.projects").alias("projects")),
       f"""SELECT s_suppkey AS resume_id, CASE WHEN {KIND} = 1 THEN s_name ELSE '' END AS name, CAST(CASE WHEN {KIND} IN (1, 2) THEN s_suppkey % 12 ELSE 0 END AS INT) AS years, CASE WHEN {KIND} = 1 THEN '本科' ELSE '' END AS degree, CASE WHEN {KIND} = 2 THEN 'S' ELSE '' END AS school,
-      CASE {KIND} WHEN 1 THEN concat('Spark,My-SQL,T', s_suppkey % 3) WHEN 3 THEN '{",".join(f"k{i}" for i in range(20))}' ELSE '' END AS skills, CASE WHEN {KIND} = 2 THEN 'a,b' ELSE '' END AS highlights, CASE WHEN {KIND} = 2 THEN concat('r', s_suppkey % 2) ELSE '' END AS risks, CASE WHEN {KIND} = 1 THEN 1 ELSE 0 END AS projects FROM {{supplier}}""")
-R.add("extract_profiles", lambda s: extract_profiles(s["v_doc"].selectExpr("doc_id as resume_id", "concat('王小明\n', doc_id % 9, ' 年开发经验，本科，主导\n', text) as raw_text"), s.sql("SELECT DISTINCT n_name AS word, n_nationkey AS rank FROM {nation} UNION ALL SELECT 'the', 100 UNION ALL SELECT 'der', 101")).select("resume_id", "name", "years", "degree", F.array_join("risks", ",").alias("risks"), F.array_join("skills", ",").alias("skills")),
-      "SELECT doc_id AS resume_id, '王小明' AS name, CAST(doc_id % 9 AS INT) AS years, '本科' AS degree, '主导' AS risks, (SELECT string_agg(w, ',' ORDER BY r) FROM (SELECT n_name AS w, n_nationkey AS r FROM {nation} UNION ALL SELECT 'the', 100 UNION ALL SELECT 'der', 101) x WHERE contains(lower(text), lower(w))) AS skills FROM {v_doc}")
+      CASE {KIND} WHEN 1 THEN concat('Spark,My-SQL,T', s_suppkey % 3) WHEN 3 THEN '{",".join(f"k{i}" for i in range(20))}' ELSE '' END AS skills, CASE WHEN {KIND} = 2 THEN 'a,b' ELSE '' END AS highlights, CASE WHEN {KIND} = 2 THEN concat('r', s_suppkey % 2) ELSE '' END AS risks, CASE WHEN {KIND} = 1 THEN 2 ELSE 0 END AS projects FROM {{supplier}}""")
+R.add("extract_profiles", lambda s: extract_profiles(s["v_doc"].selectExpr("doc_id as resume_id", "concat('王小明\n', doc_id % 9, ' 年', case doc_id % 3 when 0 then '' when 1 then '以上工作' else '开发' end, '经验，', case doc_id % 2 when 0 then '专科' else '研究生' end, '，软件工程，主导\n', text) as raw_text"), s.sql("SELECT DISTINCT n_name AS word, n_nationkey AS rank FROM {nation} UNION ALL SELECT 'the', 100 UNION ALL SELECT 'der', 101")).select("resume_id", "name", "years", "degree", "major", F.array_join("risks", ",").alias("risks"), F.array_join("skills", ",").alias("skills")),
+      "SELECT doc_id AS resume_id, '王小明' AS name, CAST(CASE WHEN doc_id % 3 = 2 THEN 0 ELSE doc_id % 9 END AS INT) AS years, CASE WHEN doc_id % 2 = 0 THEN '专科' END AS degree, '软件工程' AS major, '主导' AS risks, (SELECT string_agg(w, ',' ORDER BY r) FROM (SELECT n_name AS w, n_nationkey AS r FROM {nation} UNION ALL SELECT 'the', 100 UNION ALL SELECT 'der', 101) x WHERE contains(lower(text), lower(w))) AS skills FROM {v_doc}")
 R.add("build_transcripts", lambda s: build_transcripts(_turns(s)),
       """WITH t AS (SELECT *, concat(CASE WHEN role = 1 THEN '面试官：' ELSE '候选人：' END, content) AS l, max(CASE WHEN role = 1 THEN seq END) OVER (PARTITION BY interview_id) AS m FROM {v_turn})
       SELECT interview_id, string_agg(l, chr(10) ORDER BY seq) AS transcript, coalesce(string_agg(l, chr(10) ORDER BY seq) FILTER (WHERE seq >= m), '') AS recent_qa FROM t GROUP BY interview_id""")
-ANSWERED = """SELECT DISTINCT interview_id * 1000 + seq AS id, CASE seq % 4 WHEN 0 THEN substring(content, 1, 30) WHEN 1 THEN concat('首先 ', substring(content, 1, 90)) WHEN 2 THEN content ELSE ' ' END AS answer, CASE WHEN interview_id % 3 = 0 THEN '' ELSE substring(content, 11, 80) END AS expected FROM {v_turn}"""
+ANSWERED = """SELECT DISTINCT interview_id * 1000 + seq AS id, CASE seq % 4 WHEN 0 THEN concat(CASE interview_id % 3 WHEN 0 THEN '背景 ' WHEN 1 THEN '因为 Then ' ELSE '' END, substring(content, 1, 30)) WHEN 1 THEN concat('首先 ', substring(content, 1, 90)) WHEN 2 THEN content ELSE ' ' END AS answer, CASE WHEN interview_id % 3 = 0 THEN '' ELSE substring(content, 11, 80) END AS expected FROM {v_turn}"""
 CLAMPED = lambda c: f"round_even(greatest(0.0::DOUBLE, least(100.0::DOUBLE, CAST({c} AS DOUBLE))), 1)"
 EVALUATED = f"""WITH a AS (SELECT id, trim(coalesce(answer, '')) AS t, {terms_sql("coalesce(expected, '')", 30)} AS k, {terms_sql("trim(coalesce(answer, ''))", 30)} AS w FROM ({ANSWERED}) x),
-    b AS (SELECT *, CASE WHEN length(t) >= 220 THEN 90 WHEN length(t) >= 120 THEN 78 WHEN length(t) >= 60 THEN 62 WHEN length(t) >= 25 THEN 45 ELSE 28 END AS n, CASE WHEN len(k) > 0 THEN 100.0::DOUBLE * len(list_filter(k, lambda y: list_contains(w, y))) / len(k) ELSE 0.0 END AS o, {" OR ".join(f"contains(lower(t), '{w}')" for w in ORDERING)} AS ordered FROM a),
+    b AS (SELECT *, CASE WHEN length(t) >= 220 THEN 90 WHEN length(t) >= 120 THEN 78 WHEN length(t) >= 60 THEN 62 WHEN length(t) >= 25 THEN 45 ELSE 28 END AS n, CASE WHEN len(k) > 0 THEN 100.0::DOUBLE * len(list_filter(k, lambda y: list_contains(w, y))) / len(k) ELSE 0.0 END AS o, regexp_matches(t, '首先|其次|然后|最后|第一步|背景') AS ordered FROM a),
     c AS (SELECT id, t, {CLAMPED("0.5::DOUBLE * n + 0.5::DOUBLE * o")} AS relevance, {CLAMPED("CASE WHEN len(k) > 0 THEN 50 + 0.5::DOUBLE * o ELSE 30.0 END")} AS tech, {CLAMPED("CASE WHEN ordered THEN 85 ELSE n END")} AS structure, {CLAMPED("0.6::DOUBLE * n + 0.4::DOUBLE * o")} AS specificity, 88.0::DOUBLE AS consistency FROM b)"""
 R.add("evaluate_answers", lambda s: evaluate_answers(s.sql(ANSWERED)), EVALUATED + " SELECT id, relevance, tech, structure, specificity, consistency, round_even((relevance + tech + structure + specificity + consistency) / 5, 0) AS total, length(t) < 120 AS follow_up FROM c")
 SCORED = "SELECT interview_id * 1000 + seq AS id, seq * 37.55 - 20 AS a, seq * 11.0 AS b, CASE WHEN seq % 2 = 0 THEN 61.25 ELSE -1.0 END AS total FROM {v_turn}"
@@ -216,7 +221,7 @@ R.add("normalize_evaluations", lambda s: normalize_evaluations(s.sql(SCORED).sel
 R.add("interview_report", lambda s: interview_report(_turns(s).withColumn("score", F.expr("if(role = 2, double(seq * 7 % 100), null)")), s["v_turn"].select("interview_id", F.explode(F.array(*map(F.lit, ["the", "der", "qqq", "zzz"]))).alias("skill")).distinct()).select("interview_id", "overall", F.array_join("unverified", ",").alias("unverified"), F.array_join("to_deepen", ",").alias("to_deepen")),
       """WITH a AS (SELECT interview_id, round(avg(CASE WHEN role = 2 THEN CAST(seq * 7 % 100 AS DOUBLE) END) + 1e-7, 1) AS overall, lower(string_agg(content, chr(10)) FILTER (WHERE role = 2)) AS said FROM {v_turn} GROUP BY interview_id)
       SELECT interview_id, overall, (SELECT coalesce(string_agg(k, ',' ORDER BY k), '') FROM (VALUES ('the'), ('der'), ('qqq'), ('zzz')) v(k) WHERE NOT coalesce(contains(said, k), false)) AS unverified, (SELECT coalesce(string_agg(k, ',' ORDER BY k), '') FROM (VALUES ('the'), ('der'), ('qqq'), ('zzz')) v(k) WHERE coalesce(contains(said, k), false)) AS to_deepen FROM a""")
-FOLDED = "regexp_replace(lower(regexp_replace(coalesce({0}, ''), '" + X.UNCOUNTED.replace("'", "''") + "', '', 'g')), '(" + SUFFIXES + ")$', '')"
+FOLDED = r"""regexp_replace(regexp_replace(lower(coalesce({0}, '')), '[\s　（）()【】\[\]·、,，.。/\\\-—:：;；''"“”]', '', 'g'), '(篇|章|节|模块|部分|专题|系列|基础|入门|详解)$', '')"""
 MATCHED = f"""p AS (SELECT *, {FOLDED.format("point")} AS f FROM ({POINTS}) x), g AS (SELECT *, {FOLDED.format("name")} AS g FROM (SELECT *, max(chunk_count) OVER (PARTITION BY kb_id) AS m FROM ({COUNTED}) t) y WHERE chunk_count > 0 OR m = 0),
     c AS (SELECT interview_id, pos, tag_id, CASE WHEN f = g THEN 1 WHEN contains(g, f) THEN 2 ELSE 3 END AS tier, length(f) AS lf, length(g) AS lg FROM p JOIN g ON g.kb_id = p.kb_id WHERE f <> '' AND g <> '' AND (contains(g, f) OR contains(f, g))),
     best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY interview_id, pos ORDER BY tier, CASE WHEN tier = 2 THEN lf ELSE lg END DESC, tag_id) AS n FROM c) z WHERE n = 1)"""
@@ -227,5 +232,5 @@ INTERVIEWS = "SELECT DISTINCT interview_id, interview_id % 40 AS resume_id, inte
 R.add("list_interviews", lambda s: list_interviews(s.sql(INTERVIEWS), s.sql("SELECT CAST(s_suppkey AS BIGINT) AS resume_id, s_name AS name FROM {supplier} WHERE s_suppkey % 2 = 0"), s["v_kb"]),
       f"SELECT i.*, s.s_name AS resume_name, k.name AS kb_name FROM ({INTERVIEWS}) i LEFT JOIN {{supplier}} s ON s.s_suppkey = i.resume_id AND s.s_suppkey % 2 = 0 LEFT JOIN {{v_kb}} k ON k.kb_id = i.kb_id")
 R.add("render_profiles", lambda s: render_profiles(_profiles(s)).select("resume_id", "rendered"),
-      f"""SELECT s_suppkey AS resume_id, CASE {KIND} WHEN 1 THEN concat_ws(chr(10), concat('- 姓名：', s_name), CASE WHEN s_suppkey % 12 > 0 THEN concat('- 年限：', s_suppkey % 12) END, '- 学历：本科', concat('- 技能：Spark、My-SQL、T', s_suppkey % 3), concat('- 项目：', chr(10), '  1. P', s_suppkey % 5, ' | X'))
+      f"""SELECT s_suppkey AS resume_id, CASE {KIND} WHEN 1 THEN concat_ws(chr(10), concat('- 姓名：', s_name), CASE WHEN s_suppkey % 12 > 0 THEN concat('- 年限：', s_suppkey % 12) END, '- 学历：本科', concat('- 技能：Spark、My-SQL、T', s_suppkey % 3), concat('- 项目：', chr(10), '  1. P', s_suppkey % 5, ' | X', chr(10), '  2. Search engine'))
       WHEN 2 THEN concat_ws(chr(10), CASE WHEN s_suppkey % 12 > 0 THEN concat('- 年限：', s_suppkey % 12) END, '- 学校：S', '- 亮点：a、b', concat('- 风险：r', s_suppkey % 2)) WHEN 3 THEN '- 技能：{"、".join(f"k{i}" for i in range(20))}' ELSE '' END AS rendered FROM {{supplier}}""")

@@ -135,9 +135,10 @@ def exam_summary(answers: DataFrame) -> DataFrame:
 
 
 def question_stats(answers: DataFrame, exams: DataFrame) -> DataFrame:
-    """Per question over graded exams: uses, correct answers, mean rate."""
-    graded = answers.join(exams.filter(F.col("status") == GRADED).select("exam_id"), "exam_id")
-    return graded.groupBy("question_id").agg(F.count("*").alias("use_count"), F.count_if(is_correct()).alias("correct_count"), half_up(F.avg(rate()), 4).alias("avg_score_rate"))
+    """Per question of a graded exam: uses and correct answers there, and the mean rate over all its answers."""
+    graded = exams.filter(F.col("status") == GRADED).select("exam_id", F.lit(True).alias("graded"))
+    rows = answers.join(graded, "exam_id", "left").groupBy("question_id").agg(F.count_if("graded").alias("use_count"), F.count_if(F.col("graded") & is_correct()).alias("correct_count"), half_up(F.coalesce(F.avg(rate()), F.lit(0.0)), 4).alias("avg_score_rate"))
+    return rows.filter("use_count > 0")
 
 
 def tag_counts(tags: DataFrame, chunk_tags: DataFrame, question_tags: DataFrame) -> DataFrame:
@@ -217,7 +218,7 @@ R.add("exam_summary", lambda s: exam_summary(s["v_answer"]),
       """SELECT exam_id, round(sum(score), 1) AS got_score, round(sum(full_score), 1) AS total_score, count(*) FILTER (WHERE score >= 0.999 * full_score) AS correct_count, count(*) FILTER (WHERE score < 0.999 * full_score) AS wrong_count,
       round(round(sum(score), 1) * 100 / sum(full_score), 1) AS rate FROM {v_answer} GROUP BY exam_id""")
 R.add("question_stats", lambda s: question_stats(s["v_answer"], s["v_exam"]),
-      "SELECT a.question_id, count(*) AS use_count, count(*) FILTER (WHERE score >= 0.999 * full_score) AS correct_count, round(avg(score / nullif(full_score, 0)) + 1e-10, 4) AS avg_score_rate FROM {v_answer} a JOIN {v_exam} e ON a.exam_id = e.exam_id AND e.status = 3 GROUP BY a.question_id")
+      "SELECT a.question_id, count(e.exam_id) AS use_count, count(e.exam_id) FILTER (WHERE score >= 0.999 * full_score) AS correct_count, round(coalesce(avg(score / nullif(full_score, 0)), 0) + 1e-10, 4) AS avg_score_rate FROM {v_answer} a LEFT JOIN {v_exam} e ON a.exam_id = e.exam_id AND e.status = 3 GROUP BY a.question_id HAVING count(e.exam_id) > 0")
 R.add("refresh_tag_counts", lambda s: tag_counts(s["v_tag"], s["v_chunk_tag"], s["v_question_tag"]),
       """SELECT t.tag_id, t.kb_id, coalesce(c.n, 0) AS chunk_count, coalesce(q.n, 0) AS question_count FROM {v_tag} t LEFT JOIN (SELECT tag_id, count(*) AS n FROM {v_chunk_tag} GROUP BY tag_id) c ON c.tag_id = t.tag_id
       LEFT JOIN (SELECT tag_id, count(*) AS n FROM {v_question_tag} GROUP BY tag_id) q ON q.tag_id = t.tag_id""")

@@ -43,7 +43,7 @@ VIEWS = {
         CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS success FROM {events}""",
     "v_doc": "SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(doc_id % 5 AS BIGINT) AS kb_id, source AS file_name, replace(text, chr(10), concat(chr(10), chr(10))) AS text FROM {documents}",
     "v_book": """SELECT doc_id, kb_id, concat('# Book ', doc_id % 7, chr(10), chr(10), substring(text, 1, 300), chr(10), chr(10), '## Part one', chr(10), chr(10), substring(text, 301, 300), chr(10), chr(10), '1.2 Scope of the part', chr(10), chr(10), substring(text, 601, 400), chr(10), chr(10),
-        CASE WHEN doc_id % 3 = 0 THEN '### Deeper' WHEN doc_id % 3 = 1 THEN '第二章 方法' ELSE '# Book two' END, chr(10), chr(10), substring(text, 1001, 2500), chr(10), chr(10), '三、小结', chr(10), chr(10), '分布式系统里的缓存要防止穿透；一致性由协议保证。', chr(10), chr(10), substring(text, 3501, 100000)) AS text FROM {v_doc}""",
+        CASE WHEN doc_id % 3 = 0 THEN '### Deeper' WHEN doc_id % 3 = 1 THEN '第二章 方法' ELSE '# Book two' END, chr(10), chr(10), substring(text, 1001, 2500), chr(10), chr(10), '三、小结', chr(10), chr(10), '分布式系统里的缓存要防止穿透；一致性由协议保证。', chr(10), chr(10), substring(text, 3501)) AS text FROM {v_doc}""",
     "v_note": """SELECT doc_id, kb_id, concat(text, chr(10), CASE WHEN doc_id % 2 = 0 THEN concat('我们使用', file_name, '与MyBatis实现一个分布式缓存，因为系统需要处理大量请求；例如布隆过滤器可以拦截不存在的键', doc_id, '。这个结论在第', doc_id, '次压力测试里得到验证，吞吐量提高了一倍，延迟下降了一半，错误率也降低了许多，所以团队决定在所有服务里推广这一方案，并且持续观察它在高峰期的表现和资源占用情况。')
         ELSE concat('The Kafka broker keeps `', chr(123), 'a` and b for Redis and its clients; Redis answers Kafka. A `', chr(123), 'c', chr(125), '` is no sentence of theirs.') END) AS text FROM {v_doc}""",
     "v_speech": """SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS seq, CASE role WHEN 'assistant' THEN 2 ELSE 1 END AS role, CASE (conv_id + turn) % 12 WHEN 0 THEN concat('嗯，那个，', text) WHEN 1 THEN concat('我我我觉得', text, '，对吧') WHEN 2 THEN concat('就是就是，应该应该应该', text, '。。。') WHEN 3 THEN concat('哈哈哈，请做个自我介绍', text, ' ')

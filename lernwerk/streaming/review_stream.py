@@ -26,25 +26,27 @@ def advance(state: tuple, ts, rate: float) -> tuple:
 
 
 class Reviews(StatefulProcessor):
-    """Answers older than the last one seen of their pair come out as late and change nothing."""
+    """Answers older than the last one seen of their pair change nothing; each comes out as a late row of its own, beside the update of the others."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("review", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = tuple(self.state.get()) if self.state.exists() else FRESH
-        late = 0
+        late, seen = [], False
         for ts, _, rate in sorted(r for part in rows for r in zip(part["ts"], part["exam_id"], part["rate"], strict=True)):
             if state[9] is not None and pd.Timestamp(ts) < pd.Timestamp(state[9]):
-                late += 1
+                late.append(pd.Timestamp(ts))
                 continue
+            seen = True
             state = advance(state, pd.Timestamp(ts).to_pydatetime(), float(rate))
         self.state.update(state)
         in_book, wrong, reps, streak, ease, gap, mastered, wrong_at, seen_at, last_at = state
-        if in_book or late:
-            due = None if seen_at is None else pd.Timestamp(seen_at) + pd.Timedelta(days=gap)
+        due = pd.NaT if seen_at is None else pd.Timestamp(seen_at) + pd.Timedelta(days=gap)
+        updates = ([(pd.Timestamp(last_at), False)] if in_book and seen else []) + [(ts, True) for ts in late]
+        for updated_at, is_late in updates:
             yield pd.DataFrame({"user_id": [key[0]], "question_id": [key[1]], "wrong_count": [wrong], "right_streak": [streak], "ease_factor": [ease], "interval_days": [gap], "repetitions": [reps],
-                                "last_wrong_at": [pd.Timestamp(wrong_at) if wrong_at else pd.NaT], "next_review_at": [due if due is not None else pd.NaT], "mastered": [int(mastered)], "updated_at": [pd.Timestamp(last_at)], "late": [late > 0]})
+                                "last_wrong_at": [pd.Timestamp(wrong_at) if wrong_at else pd.NaT], "next_review_at": [due], "mastered": [int(mastered)], "updated_at": [updated_at], "late": [is_late]})
 
     def close(self) -> None:
         pass

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lernwerk.functions import text as X
-from lernwerk.operators import bank, calls, dedup_vector, documents, grading, interviews, review, transcripts
+from lernwerk.operators import bank, calls, dedup_vector, documents, grading, interviews, review, stats, transcripts
 from lernwerk.sources import corpus
 from lernwerk.streaming import review_stream
 
@@ -223,3 +223,78 @@ def test_text_corpus_and_snapshots(spark, tmp_path):
     assert not corpus.restore_tables(spark, str(tmp_path / "snap"), str(tmp_path / "now"), ["u"]).first()["restored"]
     corpus.write_csv(spark.createDataFrame([(1, 'say "hi", you')], "id int, t string"), str(tmp_path / "csv"), bom=True)
     assert spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv")).first()[1] == 'say "hi", you'
+
+
+def test_numbered_paragraphs_that_are_no_headings_stay(spark):
+    text = "\n\n".join(["# Book", "3 replicas keep the data safe", "1.2 Scope", "Second text", "第三篇 不是标题", "第四章 方法", "2.1.3 Deep", "inner", "三、小结", "end", "1.2.3.4 four numbers"])
+    rows = {r["text"]: r["section_path"] for r in documents.section_path(documents.split_paragraphs(spark.createDataFrame([(1, text)], "doc_id long, text string"))).collect()}
+    assert rows == {"3 replicas keep the data safe": "Book", "Second text": "Book > 1.2 Scope", "第三篇 不是标题": "Book > 1.2 Scope", "inner": "第四章 方法 > 2.1.3 Deep", "end": "三、小结", "1.2.3.4 four numbers": "三、小结"}
+
+
+def test_blank_answers_miss_every_point(spark):
+    kind = "answer_id long, q_type int, full_score double, reference string, user_answer string, rubric array<struct<point: string, score: double>>"
+    rows = [(1, 5, 10.0, "r", " ", [("缓存", 5.0), ("锁", 5.0)]), (2, 1, 5.0, "A", None, None), (3, 1, 5.0, "A", "", [("A", 5.0)]), (4, 5, 10.0, "r", "缓存穿透", [("缓存穿透", 10.0)])]
+    found = {r["answer_id"]: r for r in grading.grade_answers(spark.createDataFrame(rows, kind)).collect()}
+    missed = {k: [(p["point"], p["hint"]) for p in r["miss_points"] or []] for k, r in found.items()}
+    assert missed == {1: [("缓存", "未作答"), ("锁", "未作答")], 2: [], 3: [("A", "未作答")], 4: []}
+    assert [(found[k]["score"], found[k]["method"]) for k in (1, 2, 3)] == [(0.0, 1)] * 3
+
+
+def test_projects_that_are_texts(spark):
+    rows = [(1, '{"projects": ["Search engine", {"title": "T", "period": "2020", "stack": "S"}, null]}'), (2, '{"projects": null}'), (3, "no json")]
+    found = {r["id"]: [(p["title"], p["period"], p["stack"]) for p in r["profile"]["projects"]] for r in interviews.normalize_profiles(spark.createDataFrame(rows, "id int, profile string")).collect()}
+    assert found == {1: [("Search engine", "", ""), ("T", "2020", "S")], 2: [], 3: []}
+
+
+def test_profile_fields_of_the_fixed_lists(spark):
+    rows = [(1, "王小明\n3 年以上工作经验 专科 软件工程 北京邮电大学"), (2, "5年开发经验 研究生"), (3, "2 年经验，硕士"), (4, None)]
+    lexicon = spark.createDataFrame([("Java", 1)], "word string, rank int")
+    found = {r["resume_id"]: (r["years"], r["degree"], r["major"]) for r in interviews.extract_profiles(spark.createDataFrame(rows, "resume_id long, raw_text string"), lexicon).collect()}
+    assert found == {1: (3, "专科", "软件工程"), 2: (0, None, ""), 3: (2, "硕士", ""), 4: (0, None, "")}
+
+
+def test_endings_of_names_are_left_out(spark):
+    points = spark.createDataFrame([(1, 1, 0, "缓存模块"), (1, 1, 1, "锁·专题"), (1, 1, 2, "队列原理")], "interview_id int, kb_id int, pos int, point string")
+    tags = spark.createDataFrame([(7, 1, "缓存系列", 1), (8, 1, "锁", 1), (9, 1, "队列", 1)], "tag_id int, kb_id int, name string, chunk_count int")
+    assert {r["pos"]: (r["tag_id"], r["tier"]) for r in interviews.match_weak_points(points, tags).collect()} == {0: (7, 1), 1: (8, 1), 2: (9, 3)}
+
+
+def test_words_of_order(spark):
+    rows = [(1, "背景是这样", None), (2, "第一步做这个", None), (3, "因为 所以 first then", None)]
+    found = {r["id"]: r["structure"] for r in interviews.evaluate_answers(spark.createDataFrame(rows, "id int, answer string, expected string")).collect()}
+    assert found == {1: 85.0, 2: 85.0, 3: 28.0}
+
+
+def test_mean_rate_is_over_all_answers(spark):
+    answers = spark.createDataFrame([(1, 1, 5.0, 5.0), (2, 1, 0.0, 5.0), (2, 2, 1.0, 5.0)], "exam_id int, question_id int, score double, full_score double")
+    exams = spark.createDataFrame([(1, stats.GRADED), (2, 0)], "exam_id int, status int")
+    assert [tuple(r) for r in stats.question_stats(answers, exams).collect()] == [(1, 1, 1, 0.5)]
+
+
+def test_late_answers_are_rows_of_their_own():
+    import datetime as dt
+
+    import pandas as pd
+
+    from lernwerk.streaming.review_stream import FRESH, Reviews
+
+    class Value:
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    one = Reviews()
+    one.state = Value()
+    day = lambda n: dt.datetime(2024, 1, n)
+    batch = lambda *rows: list(one.handleInputRows((1, 2), iter([pd.DataFrame(rows, columns=["ts", "exam_id", "rate"])]), None))
+    assert FRESH[0] is False and [r["late"].item() for r in batch((day(5), 1, 0.1))] == [False]
+    out = pd.concat(batch((day(3), 2, 0.2), (day(7), 3, 0.9)))
+    assert out[["wrong_count", "repetitions", "late"]].values.tolist() == [[1, 1, False], [1, 1, True]]
+    assert out["updated_at"].dt.day.tolist() == [7, 3]
