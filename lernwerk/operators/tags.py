@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialise
 from ..sources.views import Registry
 from .retrieval import unit_vector
 
@@ -128,65 +128,57 @@ def low_confidence(scored: DataFrame, chunks: DataFrame, low: float = LOW, limit
     return rows.withColumn("n", F.row_number().over(W.partitionBy("doc_id").orderBy("chunk_index", "pk"))).filter(F.col("n") <= limit)
 
 
-class Names:
-    """Tag names of one knowledge base, to be sought in texts all at once."""
-
-    def __init__(self, rows: list):
-        self.ids = np.array([r["tag_id"] for r in rows])
-        self.of: dict[str, list[int]] = {}
-        for i, r in enumerate(rows):
-            if r["name"]:
-                self.of.setdefault(r["name"], []).append(i)
-        self.finder = ahocorasick.Automaton()
-        for name in self.of:
-            self.finder.add_word(name, name)
-        self.finder.make_automaton()
-        self.letters = {c: i for i, c in enumerate(sorted({c for name in self.of for c in name}))}
-        self.holds = np.zeros((len(rows), len(self.letters)), dtype=np.float32)  # of names with two letters or more
-        for name, at in self.of.items():
-            if len(name) >= 2:
-                self.holds[np.ix_(at, [self.letters[c] for c in set(name)])] = 1
-
-    def scores(self, text: str) -> np.ndarray:
-        """Occurrences of each name that don't overlap, else 1 if the text has all its letters."""
-        missing = np.ones(len(self.letters), dtype=np.float32)
-        missing[[self.letters[c] for c in set(text) & self.letters.keys()]] = 0
-        found = ((self.holds.any(axis=1)) & (self.holds @ missing == 0)).astype(np.int64)
-        n: dict[str, int] = {}
-        done: dict[str, int] = {}
-        for end, name in self.finder.iter(text) if self.of else ():
-            if end - len(name) >= done.get(name, -1):
-                n[name], done[name] = n.get(name, 0) + 1, end
-        for name, count in n.items():
-            found[self.of[name]] = count
-        return found
+def letters_of(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(text, ""), lambda c: c != ""))
+
+
+def letters_held(chunks: DataFrame, letters: DataFrame) -> DataFrame:
+    """(kb_id, chunk_id, letter): of letters(kb_id, letter) those that stand in each chunk of the base."""
+    wanted = letters.groupBy("kb_id").agg(F.collect_set("letter").alias("letters"))  # one alphabet
+    return chunks.join(wanted, "kb_id").select("kb_id", "chunk_id", F.explode(F.filter("letters", lambda c: F.col("content").contains(c))).alias("letter"))
+
+
+def candidates(chunks: DataFrame, names: DataFrame) -> DataFrame:
+    """(chunk_id, kb_id, name): pairs of chunks(chunk_id, kb_id, content) and names(kb_id, name) that can match.
+
+    Whatever matches holds all letters of the name, so its rarest one too: each name is listed under
+    the letter that the fewest chunks of its base hold, and only chunks with that letter meet it.
+    """
+    each = names.select("kb_id", "name", F.explode(letters_of(F.col("name"))).alias("letter"))
+    df = letters_held(chunks, each.select("kb_id", "letter").distinct()).groupBy("kb_id", "letter").agg(F.count("*").alias("df"))
+    rarest = each.join(df, ["kb_id", "letter"], "left").groupBy("kb_id", "name").agg(F.min_by("letter", F.struct(F.coalesce("df", F.lit(0)), "letter")).alias("letter"))
+    rarest = materialise(rarest, "letters")
+    held = letters_held(chunks, rarest.select("kb_id", "letter").distinct())
+    return held.join(rarest, ["kb_id", "letter"]).select("chunk_id", "kb_id", "name")
 
 
 def tag_lexical(chunks: DataFrame, tags: DataFrame, best: int = BEST) -> DataFrame:
     """Per chunk(chunk_id, kb_id, content) the best tags by occurrences of the name.
 
-    A name that doesn't occur scores 1 if it has two characters or more and all of them do. Ties to the
-    higher id. Tags go to the tasks in blocks of bounded size, where one pass over a text finds all of
-    them; each block leaves at most ``best`` rows per chunk.
+    A name that doesn't occur scores 1 if it has two characters or more and all of them do. Ties to
+    the higher id; of equal names only the ``best`` highest ids can be among the best.
     """
-    out = None
-    for block in blocks(tags.select("kb_id", "tag_id", "name"), TAG_BLOCK):
-        sent = chunks.sparkSession.sparkContext.broadcast(_by_kb(block))
-
-        def seek(batches: Iterator[pd.DataFrame], known=sent) -> Iterator[pd.DataFrame]:
-            names = {kb: Names(rows) for kb, rows in known.value.items()}
-            for rows in batches:
-                found = []
-                for chunk_id, kb, text in zip(rows["chunk_id"], rows["kb_id"], rows["content"], strict=True):
-                    if kb in names and text:
-                        scores = names[kb].scores(text)
-                        found += [(chunk_id, int(names[kb].ids[i]), int(scores[i])) for i in np.lexsort((-names[kb].ids, -scores))[:best] if scores[i] > 0]
-                yield pd.DataFrame(found, columns=["chunk_id", "tag_id", "score"])
-
-        part = chunks.select("chunk_id", "kb_id", "content").mapInPandas(seek, "chunk_id long, tag_id long, score int")
-        out = part if out is None else out.unionByName(part)
+    nth = F.row_number().over(W.partitionBy("kb_id", "name").orderBy(F.desc("tag_id")))
+    ids = tags.filter("name <> ''").select("kb_id", "name", "tag_id").withColumn("n", nth).filter(F.col("n") <= best)
+    names = materialise(ids.groupBy("kb_id", "name").agg(F.collect_list("tag_id").alias("ids")), "names")  # ``best`` ids at most
+    rows = chunks.select("chunk_id", "kb_id", "content")
+    pairs = candidates(rows, names).join(rows.drop("kb_id"), "chunk_id")
+    times = ((F.length("content") - F.length(F.replace("content", F.col("name"), F.lit("")))) / F.length("name")).cast("int")
+    all_in = (F.length("name") >= 2) & F.forall(F.split("name", ""), lambda c: F.col("content").contains(c))
+    scored = pairs.select("chunk_id", "kb_id", "name", F.when(times > 0, times).when(all_in, 1).otherwise(0).alias("score")).filter("score > 0")
+    found = scored.join(names, ["kb_id", "name"]).select("chunk_id", F.explode("ids").alias("tag_id"), "score")
     rank = F.row_number().over(W.partitionBy("chunk_id").orderBy(F.desc("score"), F.desc("tag_id")))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= best).select("chunk_id", "rank", "tag_id", "score")
+    return found.withColumn("rank", rank).filter(F.col("rank") <= best).select("chunk_id", "rank", "tag_id", "score")
+
+
+def refine_tags(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(pk, tag_id): tags of a first look, replaced by those of a second one for every chunk that it answered.
+
+    first(pk, tag_id), second(pk, tag_ids); an empty answer takes a chunk's tags away, a missing one leaves them.
+    """
+    answered = second.filter("tag_ids is not null").select("pk")
+    kept = first.select("pk", "tag_id").join(answered, "pk", "left_anti")
+    return kept.unionByName(second.select("pk", F.explode("tag_ids").alias("tag_id"))).distinct()
 
 
 def tag_briefs(links: DataFrame, tags: DataFrame, key: str) -> DataFrame:
@@ -238,6 +230,22 @@ R.add("tag_chunks_by_vector", lambda s: tag_by_vector(s["v_chunk_vector"], s.sql
       f"""SELECT * FROM (SELECT pk, row_number() OVER (PARTITION BY pk ORDER BY s DESC, tag_id DESC) AS rank, tag_id, round(s, 5) AS score FROM (SELECT c.pk, t.tag_id, list_cosine_similarity(CAST(c.vector AS DOUBLE[]), CAST(t.vector AS DOUBLE[])) AS s FROM {{v_chunk_vector}} c JOIN ({TAG_VECTORS}) t ON t.kb_id = c.kb_id) x) y WHERE rank <= 3 AND score >= 0.1""")
 R.add("low_confidence_chunks", lambda s: low_confidence(tag_by_vector(s["v_chunk_vector"], s.sql(TAG_VECTORS), least=-1.0), s["v_chunk_vector"].selectExpr("pk", "pk % 7 as doc_id", "pk as chunk_index"), 0.3).select("pk", "n"),
       f"""SELECT * FROM (SELECT pk, row_number() OVER (PARTITION BY pk % 7 ORDER BY pk) AS n FROM (SELECT c.pk, max(list_cosine_similarity(CAST(c.vector AS DOUBLE[]), CAST(t.vector AS DOUBLE[]))) AS s FROM {{v_chunk_vector}} c LEFT JOIN ({TAG_VECTORS}) t ON t.kb_id = c.kb_id GROUP BY c.pk) x WHERE coalesce(s, 0) < 0.3) y WHERE n <= 40""")
+#: A second look at the chunks of low confidence: none for some, none of the tags for others, else one tag.
+ANSWER = "CASE pk % 3 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE 1000 + pk % 4 END"
+
+
+def _refined(s) -> DataFrame:
+    scored = tag_by_vector(s["v_chunk_vector"], s.sql(TAG_VECTORS), least=-1.0)
+    low = low_confidence(scored, s["v_chunk_vector"].selectExpr("pk", "pk % 7 as doc_id", "pk as chunk_index"), 0.3)
+    second = low.selectExpr("pk", "case pk % 3 when 0 then null when 1 then cast(array() as array<bigint>) else array(1000 + pk % 4) end as tag_ids")
+    return refine_tags(scored.filter("score >= 0.1"), second)
+
+
+R.add("refine_tags", _refined,
+      f"""WITH x AS (SELECT c.pk, t.tag_id, list_cosine_similarity(CAST(c.vector AS DOUBLE[]), CAST(t.vector AS DOUBLE[])) AS s FROM {{v_chunk_vector}} c JOIN ({TAG_VECTORS}) t ON t.kb_id = c.kb_id),
+      a AS (SELECT pk, tag_id FROM (SELECT *, row_number() OVER (PARTITION BY pk ORDER BY s DESC, tag_id DESC) AS r FROM x) y WHERE r <= 3 AND s >= 0.1),
+      low AS (SELECT pk FROM (SELECT pk, row_number() OVER (PARTITION BY pk % 7 ORDER BY pk) AS n FROM (SELECT c.pk, max(s) AS s FROM {{v_chunk_vector}} c LEFT JOIN x ON x.pk = c.pk GROUP BY c.pk) z WHERE coalesce(s, 0) < 0.3) w WHERE n <= 40),
+      b AS (SELECT pk, {ANSWER} AS tag_id FROM low) SELECT pk, tag_id FROM a WHERE pk NOT IN (SELECT pk FROM b WHERE tag_id IS NOT NULL) UNION SELECT pk, tag_id FROM b WHERE tag_id > 0""")
 WORDS = "SELECT tag_id, kb_id, CASE tag_id % 7 WHEN 0 THEN 'the' WHEN 1 THEN 'and' WHEN 2 THEN 'zqx' WHEN 3 THEN 'tion' WHEN 4 THEN 'e' WHEN 5 THEN 'ee' ELSE name END AS name FROM {v_tag} WHERE level < 3"
 R.add("tag_chunks_lexical", lambda s: tag_lexical(s["v_chunk"], s.sql(WORDS)),
       f"""SELECT * FROM (SELECT chunk_id, row_number() OVER (PARTITION BY chunk_id ORDER BY score DESC, tag_id DESC) AS rank, tag_id, score FROM (SELECT c.chunk_id, t.tag_id, CASE WHEN contains(c.content, t.name) THEN CAST((length(c.content) - length(replace(c.content, t.name, ''))) / length(t.name) AS INT)

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lernwerk.functions import text as X
-from lernwerk.operators import bank, calls, dedup_vector, documents, grading, interviews, review, stats, transcripts
+from lernwerk.operators import bank, calls, dedup_vector, documents, grading, interviews, review, stats, tags, transcripts
 from lernwerk.sources import corpus
 from lernwerk.streaming import review_stream
 
@@ -298,3 +298,34 @@ def test_late_answers_are_rows_of_their_own():
     out = pd.concat(batch((day(3), 2, 0.2), (day(7), 3, 0.9)))
     assert out[["wrong_count", "repetitions", "late"]].values.tolist() == [[1, 1, False], [1, 1, True]]
     assert out["updated_at"].dt.day.tolist() == [7, 3]
+
+
+def test_lexical_tags_meet_few_chunks(spark):
+    import random
+
+    rng = random.Random(5)
+    han = [chr(0x4E00 + k) for k in range(2000)]
+    few = han[:60]
+    names = ["".join(rng.sample(rng.choice([han, han, han, few]), rng.randint(1, 4))) for _ in range(300)] + ["cache", "a", "", "aa"]
+    tags_ = [(k, k % 3, n) for k, n in enumerate(names * 2)]
+    texts = ["".join(rng.choices(han, k=50)) + "".join(rng.choices(few, k=4)) + rng.choice(["", " cache", " ab ca"]) for _ in range(200)]
+    chunks_ = [(k, k % 3, t) for k, t in enumerate(texts)] + [(900, 1, ""), (901, 1, None), (902, 7, "cache")]
+    tag_rows = spark.createDataFrame(tags_, "tag_id long, kb_id long, name string")
+    chunks = spark.createDataFrame(chunks_, "chunk_id long, kb_id long, content string")
+    expected = set()
+    for c, kb, text in chunks_:
+        scored = []
+        for t, b, name in tags_:
+            if b == kb and name and text:
+                n = text.count(name) or int(len(name) >= 2 and all(x in text for x in name))
+                scored += [(n, t)] if n else []
+        expected |= {(c, r + 1, t, n) for r, (n, t) in enumerate(sorted(scored, reverse=True)[:3])}
+    assert set(map(tuple, tags.tag_lexical(chunks, tag_rows).collect())) == expected
+    pairs = tags.candidates(chunks.filter("content is not null"), tag_rows.filter("name <> ''").select("kb_id", "name").distinct()).count()
+    assert pairs < 0.05 * len(chunks_) * len(tags_) / 3
+
+
+def test_second_answer_replaces_the_first(spark):
+    first = spark.createDataFrame([(1, 10), (1, 11), (2, 20), (3, 30)], "pk long, tag_id long")
+    second = spark.createDataFrame([(1, [12]), (2, []), (3, None)], "pk long, tag_ids array<long>")
+    assert sorted(map(tuple, tags.refine_tags(first, second).collect())) == [(1, 12), (3, 30)]
