@@ -329,3 +329,30 @@ def test_second_answer_replaces_the_first(spark):
     first = spark.createDataFrame([(1, 10), (1, 11), (2, 20), (3, 30)], "pk long, tag_id long")
     second = spark.createDataFrame([(1, [12]), (2, []), (3, None)], "pk long, tag_ids array<long>")
     assert sorted(map(tuple, tags.refine_tags(first, second).collect())) == [(1, 12), (3, 30)]
+
+
+def test_a_job_that_is_started_again_asks_only_what_is_missing(spark, tmp_path):
+    log, folder = tmp_path / "log", str(tmp_path / "ledger")
+    rows = spark.createDataFrame([(k, f"prompt {k % 30}" if k else None) for k in range(90)], "id long, prompt string")
+
+    def client(stop_at: int):
+        def ask(prompts: list[str]) -> list[str]:
+            with log.open("a") as file:
+                file.write("".join(f"{p}\n" for p in prompts))
+            if stop_at and len(log.read_text().splitlines()) > stop_at:
+                raise SystemExit("killed")
+            return [p.upper() for p in prompts]
+
+        return ask
+
+    with pytest.raises(Exception):  # noqa: B017
+        calls.llm_map_once(rows, client(10), "id", folder, portions=8, wait=0.0, batch=2).collect()
+    written = {r["digest"] for r in calls.ledger(spark, folder).collect()}
+    before = log.read_text().splitlines()
+    log.write_text("")
+    found = {r["id"]: r for r in calls.llm_map_once(rows, client(0), "id", folder, portions=8, wait=0.0, batch=2).collect()}
+    after = log.read_text().splitlines()
+    assert written and len(after) == len(set(after)) == 31 - len(written) and before
+    assert {r["response"] for r in found.values()} == {f"PROMPT {k}" for k in range(30)} | {""} and all(r["calls"] == 1 for r in found.values())
+    log.write_text("")
+    assert calls.llm_map_once(rows, client(0), "id", folder).count() == 90 and not log.read_text()
