@@ -212,11 +212,12 @@ def generation_funnel(staged: DataFrame) -> DataFrame:
     return staged.groupBy("batch").agg(F.count("*").alias("generated"), count("validate").alias("dropped_validate"), count("check").alias("dropped_check"), count("dedup").alias("dropped_dedup"), count("saved").alias("saved"))
 
 
-def paper_totals(items: DataFrame, questions: DataFrame) -> DataFrame:
-    """Items, points, drafts and status of every paper (any draft: review, else ready)."""
+def paper_totals(papers: DataFrame, items: DataFrame, questions: DataFrame) -> DataFrame:
+    """Items, points, drafts and status of every paper (any draft: review, else ready; failed if nothing was saved)."""
     rows = items.join(questions.select("question_id", "q_type", "status"), "question_id")
     rows = rows.groupBy("paper_id").agg(F.count("*").alias("total_count"), F.sum(F.when(F.col("q_type") <= 4, 5.0).otherwise(10.0)).alias("total_score"), F.count_if(F.col("status") == 0).alias("drafts"), F.count_if(F.col("status") == 1).alias("published"))
-    return rows.withColumn("status", F.when(F.col("drafts") > 0, "review").otherwise("ready"))
+    rows = papers.select("paper_id").join(rows, "paper_id", "left").na.fill(0)
+    return rows.withColumn("status", F.when(F.col("total_count") == 0, "failed").when(F.col("drafts") > 0, "review").otherwise("ready"))
 
 
 def search_questions(questions: DataFrame, kb_id: int | None = None, status: int | None = None, q_type: int | None = None, keyword: str | None = None, question_tags: DataFrame | None = None, tag_id: int | None = None, page: int = 1, size: int = 20) -> DataFrame:
@@ -246,10 +247,10 @@ def approve_questions(questions: DataFrame, chosen: DataFrame) -> DataFrame:
     return rows.withColumn("status", F.when(F.col("approved"), 1).otherwise(F.col("status"))).drop("_m")
 
 
-def drop_paper_drafts(questions: DataFrame, items: DataFrame, papers: DataFrame) -> DataFrame:
-    """Questions without the drafts of the given papers(paper_id)."""
+def drop_paper_drafts(questions: DataFrame, items: DataFrame, papers: DataFrame, *parts: DataFrame) -> list[DataFrame]:
+    """Questions without the drafts of the given papers(paper_id), then options, tags or other parts(question_id, ...) without theirs."""
     gone = questions.filter("status = 0").join(items.join(papers, "paper_id", "left_semi"), "question_id", "left_semi").select("question_id")
-    return questions.join(gone, "question_id", "left_anti")
+    return [rows.join(gone, "question_id", "left_anti") for rows in (questions, *parts)]
 
 
 def list_rows(rows: DataFrame, name: str, keyword: str | None = None, kb_id: int | None = None, order: str = "doc_id", page: int = 1, size: int = 20) -> DataFrame:
@@ -359,9 +360,12 @@ R.add("explode_options", lambda s: explode_options(_unchecked(s)).select("questi
 R.add("generation_funnel", lambda s: generation_funnel(self_check(validate_questions(_unchecked(s))).selectExpr("kb_id as batch", "case when reason is not null then 'validate' when not kept then 'check' when question_id % 9 = 0 then 'dedup' else 'saved' end as stage")),
       f"""WITH st AS (SELECT kb_id AS batch, CASE WHEN {REASON} IS NOT NULL THEN 'validate' WHEN q_type IN (1, 2) AND n_options < 4 OR q_type IN (5, 6, 7, 9) AND question_id % 7 = 0 THEN 'check' WHEN question_id % 9 = 0 THEN 'dedup' ELSE 'saved' END AS stage FROM ({QUESTIONS}) q)
       SELECT batch, count(*) AS generated, count(*) FILTER (WHERE stage = 'validate') AS dropped_validate, count(*) FILTER (WHERE stage = 'check') AS dropped_check, count(*) FILTER (WHERE stage = 'dedup') AS dropped_dedup, count(*) FILTER (WHERE stage = 'saved') AS saved FROM st GROUP BY batch""")
-R.add("paper_totals", lambda s: paper_totals(s["v_paper_item"], s["v_question"]),
-      """SELECT paper_id, count(*) AS total_count, sum(CASE WHEN q_type <= 4 THEN 5.0 ELSE 10.0 END) AS total_score, count(*) FILTER (WHERE status = 0) AS drafts, count(*) FILTER (WHERE status = 1) AS published, CASE WHEN count(*) FILTER (WHERE status = 0) > 0 THEN 'review' ELSE 'ready' END AS status
-      FROM {v_paper_item} i JOIN {v_question} q ON q.question_id = i.question_id GROUP BY paper_id""")
+#: Every tenth paper has a fellow for which nothing was saved.
+PAPERS = "SELECT paper_id FROM {v_paper} UNION ALL SELECT -1 - paper_id FROM {v_paper} WHERE paper_id % 10 = 0"
+R.add("paper_totals", lambda s: paper_totals(s.sql(PAPERS), s["v_paper_item"], s["v_question"]),
+      f"""SELECT p.paper_id, count(q.question_id) AS total_count, coalesce(sum(CASE WHEN q_type <= 4 THEN 5.0 WHEN q_type > 4 THEN 10.0 END), 0) AS total_score, count(*) FILTER (WHERE status = 0) AS drafts, count(*) FILTER (WHERE status = 1) AS published,
+      CASE WHEN count(q.question_id) = 0 THEN 'failed' WHEN count(*) FILTER (WHERE status = 0) > 0 THEN 'review' ELSE 'ready' END AS status
+      FROM ({PAPERS}) p LEFT JOIN {{v_paper_item}} i ON i.paper_id = p.paper_id LEFT JOIN {{v_question}} q ON q.question_id = i.question_id GROUP BY p.paper_id""")
 R.add("search_questions", lambda s: search_questions(s["v_question"], kb_id=1, status=1, keyword="RING", size=30).select("question_id", "stem", "total"),
       "SELECT question_id, stem, (SELECT count(*) FROM {v_question} WHERE kb_id = 1 AND status = 1 AND stem ILIKE '%ring%') AS total FROM {v_question} WHERE kb_id = 1 AND status = 1 AND stem ILIKE '%ring%' ORDER BY question_id DESC LIMIT 30")
 R.add("enrich_questions", lambda s: enrich_questions(s["v_question"], s["v_option"], s["v_question_tag"].groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("tag_id")), lambda x: x.cast("string")), ",").alias("tags"))).select("question_id", F.array_join(F.transform("options", lambda o: F.concat(o["option_key"], o["is_correct"].cast("string"))), ",").alias("options"), "tags"),
@@ -369,8 +373,17 @@ R.add("enrich_questions", lambda s: enrich_questions(s["v_question"], s["v_optio
       LEFT JOIN (SELECT question_id, string_agg(CAST(tag_id AS VARCHAR), ',' ORDER BY tag_id) AS tags FROM {v_question_tag} GROUP BY 1) t ON t.question_id = q.question_id""")
 R.add("approve_questions", lambda s: approve_questions(s["v_question"], s["v_question"].filter("question_id % 4 = 0")).select("question_id", "status", "approved"),
       "SELECT question_id, CASE WHEN question_id % 4 = 0 AND status = 0 THEN 1 ELSE status END AS status, question_id % 4 = 0 AND status = 0 AS approved FROM {v_question}")
-R.add("drop_paper_drafts", lambda s: drop_paper_drafts(s["v_question"], s["v_paper_item"], s["v_exam"].filter("status = 0").selectExpr("exam_id as paper_id")).select("question_id", "status"),
-      "SELECT question_id, status FROM {v_question} WHERE NOT (status = 0 AND question_id IN (SELECT question_id FROM {v_paper_item} WHERE paper_id IN (SELECT exam_id FROM {v_exam} WHERE status = 0)))")
+def _without_drafts(s) -> DataFrame:
+    left = drop_paper_drafts(s["v_question"], s["v_paper_item"], s["v_exam"].filter("status = 0").selectExpr("exam_id as paper_id"), s["v_option"], s["v_question_tag"])
+    options, tags = (x.groupBy("question_id").agg(F.count("*").alias(n)) for x, n in zip(left[1:], ("options", "tags"), strict=True))
+    rows = left[0].select("question_id", "status").join(options, "question_id", "full_outer").join(tags, "question_id", "full_outer")
+    return rows.na.fill(0, ["options", "tags"])
+
+
+DRAFTS = "SELECT question_id FROM {v_question} WHERE status = 0 AND question_id IN (SELECT question_id FROM {v_paper_item} WHERE paper_id IN (SELECT exam_id FROM {v_exam} WHERE status = 0))"
+R.add("drop_paper_drafts", _without_drafts,
+      f"""SELECT q.question_id, q.status, coalesce(o.n, 0) AS options, coalesce(t.n, 0) AS tags FROM {{v_question}} q LEFT JOIN (SELECT question_id, count(*) AS n FROM {{v_option}} GROUP BY 1) o ON o.question_id = q.question_id
+      LEFT JOIN (SELECT question_id, count(*) AS n FROM {{v_question_tag}} GROUP BY 1) t ON t.question_id = q.question_id WHERE q.question_id NOT IN ({DRAFTS})""")
 R.add("list_documents", lambda s: list_rows(s["v_doc"], "file_name", "SRC1", 3, size=40).select("doc_id", "file_name", "total"),
       "SELECT doc_id, file_name, (SELECT count(*) FROM {v_doc} WHERE kb_id = 3 AND file_name ILIKE '%src1%') AS total FROM {v_doc} WHERE kb_id = 3 AND file_name ILIKE '%src1%' ORDER BY doc_id DESC LIMIT 40")
 R.add("list_kbs", lambda s: list_rows(s["v_kb"], "name", "a", order="kb_id").select("kb_id", "name", "total"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..sources import corpus
 from ..sources.shared import new_path
 from ..sources.views import Registry, union_all
+from .digests import reconcile_differences
 
 R = Registry()
 
@@ -146,6 +147,7 @@ R.add("export_anki", lambda s: corpus.export_anki(corpus.export_questions_json(s
 R.add("reconcile_index", lambda s: reconcile_index(_chunks(s), s.sql(INDEX)), STATUS)
 R.add("reconcile_report", lambda s: reconcile_report(reconcile_index(_chunks(s), s.sql(INDEX))),
       f"SELECT count(*) AS total, count(*) FILTER (WHERE status = 'orphan') AS orphan, count(*) FILTER (WHERE status = 'missing') AS missing, count(*) FILTER (WHERE status = 'misplaced') AS misplaced, count(*) FILTER (WHERE status <> 'ok') = 0 AS healthy FROM ({STATUS}) x")
+R.add("reconcile_differences", lambda s: reconcile_differences(_chunks(s), s.sql(INDEX)), f"SELECT * FROM ({STATUS}) x WHERE status <> 'ok'")
 R.add("purge_orphans", lambda s: purge_orphans(s.sql(INDEX), _chunks(s)), f"SELECT * FROM ({INDEX}) i WHERE pk IN (SELECT chunk_id FROM {{v_chunk}})")
 PLAIN = ("tag", "chunk", "chunk_tag", "exam", "mistake", "paper", "document")
 LEFT = " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS rows FROM {{v_{'doc' if n == 'document' else n}}} WHERE kb_id >= 2" for n in PLAIN)

@@ -180,3 +180,17 @@ def test_dedup_with_copies(spark):
         if (x[40:] @ x[p]).max() < 0.9 and all(x[o] @ x[p] < 0.9 for o in expected):
             expected.append(p)
     assert kept == set(expected)
+
+
+def test_digests_find_what_differs_and_shuffle_little(spark):
+    from lernwerk.operators import digests
+
+    left = spark.range(200_000).selectExpr("id as pk", "concat('kb_', id % 5) as partition")
+    right = spark.range(200_000).filter("id <> 77").selectExpr("id as pk", "if(id = 5, 'kb_9', concat('kb_', id % 5)) as partition").union(spark.createDataFrame([(-3, "kb_1")], "pk long, partition string")).repartition(3)
+    found = digests.differences(left, right, "pk", "partition").collect()
+    assert sorted((r["pk"], r["left_value"], r["right_value"]) for r in found) == [(-3, None, "kb_1"), (5, "kb_0", "kb_9"), (77, "kb_2", None)]
+    hashed = [digests._hashed(x, "pk", "partition") for x in (left, right)]
+    assert sum(x.count() for x in digests.open_rows(*hashed)) < 50
+    assert digests.differences(left, left.repartition(5), "pk", "partition").collect() == []
+    twice = left.limit(10).union(left.limit(10))
+    assert digests.differences(left.limit(0), twice, "pk", "partition").count() == 20
