@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.shared import new_path
+from ..sources.store import BucketStore
 from ..sources.views import Registry
 
 R = Registry()
@@ -171,6 +173,14 @@ def replace_chunks(existing: DataFrame, new: DataFrame) -> DataFrame:
     return existing.join(new.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(new)
 
 
+def stored_replacement(rows: DataFrame, new: DataFrame, folder: str) -> DataFrame:
+    """B12 on a stored table: rows are written in buckets by document, then only the buckets of the new rows' documents anew."""
+    store = BucketStore(rows.sparkSession, folder)
+    store.overwrite(rows)
+    store.replace(new)
+    return store.read()
+
+
 def list_chunks(chunks: DataFrame, doc_id: int, page: int = 1, size: int = 20) -> DataFrame:
     """A page of a document's chunks in order."""
     return chunks.filter(F.col("doc_id") == doc_id).orderBy("chunk_index").offset((page - 1) * size).limit(size)
@@ -245,4 +255,6 @@ R.add("outline_sample", lambda s: outline_sample(_blocks(s), 60, 3000),
       SELECT doc_id, substring(CASE WHEN length(coalesce(p, '')) >= 60 THEN p ELSE concat(coalesce(p, ''), chr(10), t) END, 1, 3000) AS outline FROM body LEFT JOIN paths USING (doc_id)""")
 R.add("replace_document_chunks", lambda s: replace_chunks(s["v_chunk"].select("doc_id", "chunk_index", "content"), s["v_chunk"].filter("doc_id % 3 = 0 and chunk_index < 2").selectExpr("doc_id", "chunk_index", "concat(content, '!') as content")).select("doc_id", "chunk_index", F.length("content").alias("n")),
       "SELECT doc_id, chunk_index, length(CASE WHEN doc_id % 3 = 0 THEN concat(content, '!') ELSE content END) AS n FROM {v_chunk} WHERE doc_id % 3 <> 0 OR chunk_index < 2")
+R.add("replace_stored_chunks", lambda s: stored_replacement(s["v_chunk"].select("doc_id", "chunk_index", "content"), s["v_chunk"].filter("doc_id % 3 = 0 and chunk_index < 2").selectExpr("doc_id", "chunk_index", "concat(content, '!') as content"), new_path(s.spark, "chunks")).select("doc_id", "chunk_index", F.length("content").alias("n")),
+      "SELECT doc_id, chunk_index, length(CASE WHEN doc_id % 3 = 0 THEN concat(content, '!') ELSE content END) AS n FROM {v_chunk} WHERE doc_id % 3 <> 0 OR chunk_index < 2")
 R.add("list_chunks", lambda s: list_chunks(s["v_chunk"], 7, 1, 15).select("doc_id", "chunk_index", "chunk_id"), "SELECT doc_id, chunk_index, chunk_id FROM {v_chunk} WHERE doc_id = 7 ORDER BY chunk_index LIMIT 15")
