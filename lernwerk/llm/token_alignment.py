@@ -387,6 +387,16 @@ def looked_up(partial: DataFrame, counts: DataFrame, nodes: int) -> DataFrame:
     return partial.groupBy("shard", "node").cogroup(at_nodes(counts, nodes).groupBy("of", "node")).applyInArrow(find, "block long, keys binary, counts binary, best binary")
 
 
+@lru_cache(maxsize=2)
+def _names(n: int) -> list[str]:
+    return list(map(str, range(n)))
+
+
+def _joined(parts: list[str], at: list[int], by: str) -> list[str]:
+    """The parts of each range between neighbouring places, joined."""
+    return [parts[s] if e - s == 1 else by.join(parts[s:e]) for s, e in zip(at[:-1], at[1:], strict=True)]
+
+
 def _documents(block: dict, pairs: pa.Table, tokens: Pair) -> Iterator[dict]:
     """Aligns a block's pieces again and adds up their links for every document."""
     found = align(block, tokens)
@@ -403,11 +413,9 @@ def _documents(block: dict, pairs: pa.Table, tokens: Pair) -> Iterator[dict]:
 
     piece, times = found["piece"], found["times"]
     numbers = {"n_a": block["n_a"], "n_b": block["n_b"], "n_groups": np.bincount(found["piece_of"], minlength=n), "n_links": summed(times), "n_best": summed(times * best[at]), "count_sum": summed(times * counts[at])}
-    a, b = (list(map(str, block[c].tolist())) for c in ("a", "b"))
-    a_at, b_at = found["a_at"].tolist(), found["b_at"].tolist()
-    groups = [",".join(a[a_at[g] : a_at[g + 1]]) + "|" + ",".join(b[b_at[g] : b_at[g + 1]]) for g in range(len(a_at) - 1)]
-    ends = np.cumsum(numbers["n_groups"]).tolist()
-    written = [";".join(groups[s:e]) for s, e in zip([0, *ends], ends, strict=False)]
+    names = _names(max(len(tokens.a_length), tokens.size_b))
+    a, b = (_joined([names[i] for i in block[c].tolist()], found[f"{c}_at"].tolist(), ",") for c in ("a", "b"))
+    written = _joined([f"{x}|{y}" for x, y in zip(a, b, strict=True)], [0, *np.cumsum(numbers["n_groups"]).tolist()], ";")
     last = np.cumsum(block["n_pieces"])
     totals = {c: np.append(0, np.cumsum(x.astype(np.int64)[block["pieces"]])) for c, x in numbers.items()}
     totals = {c: x[last] - x[last - block["n_pieces"]] for c, x in totals.items()}
