@@ -206,10 +206,11 @@ def explode_options(questions: DataFrame) -> DataFrame:
     return rows.select("question_id", "o.option_key", "o.content", F.array_contains("_a", F.col("o.option_key")).cast("int").alias("is_correct"), "sort_order")
 
 
-def generation_funnel(staged: DataFrame) -> DataFrame:
-    """Per batch how many questions were made, dropped by which step, and saved: rows(batch, stage)."""
+def generation_funnel(batches: DataFrame, staged: DataFrame) -> DataFrame:
+    """Per batch how many questions were asked for, made, dropped by which step, and saved: batches(batch, requested), rows(batch, stage)."""
     count = lambda stage: F.count_if(F.col("stage") == stage)
-    return staged.groupBy("batch").agg(F.count("*").alias("generated"), count("validate").alias("dropped_validate"), count("check").alias("dropped_check"), count("dedup").alias("dropped_dedup"), count("saved").alias("saved"))
+    made = staged.groupBy("batch").agg(F.count("*").alias("generated"), count("validate").alias("dropped_validate"), count("check").alias("dropped_check"), count("dedup").alias("dropped_dedup"), count("saved").alias("saved"))
+    return batches.select("batch", "requested").join(made, "batch", "left").na.fill(0, made.columns[1:])
 
 
 def paper_totals(papers: DataFrame, items: DataFrame, questions: DataFrame) -> DataFrame:
@@ -220,10 +221,10 @@ def paper_totals(papers: DataFrame, items: DataFrame, questions: DataFrame) -> D
     return rows.withColumn("status", F.when(F.col("total_count") == 0, "failed").when(F.col("drafts") > 0, "review").otherwise("ready"))
 
 
-def search_questions(questions: DataFrame, kb_id: int | None = None, status: int | None = None, q_type: int | None = None, keyword: str | None = None, question_tags: DataFrame | None = None, tag_id: int | None = None, page: int = 1, size: int = 20) -> DataFrame:
+def search_questions(questions: DataFrame, kb_id: int | None = None, status: int | None = None, q_type: int | None = None, keyword: str | None = None, question_tags: DataFrame | None = None, tag_id: int | None = None, page: int = 1, size: int = 20, difficulty: int | None = None) -> DataFrame:
     """A page of the newest questions that meet all conditions, with the total; case and accents don't count in keywords."""
     rows = questions
-    for column, value in (("kb_id", kb_id), ("status", status), ("q_type", q_type)):
+    for column, value in (("kb_id", kb_id), ("status", status), ("q_type", q_type), ("difficulty", difficulty)):
         rows = rows if value is None else rows.filter(F.col(column) == value)
     if keyword:
         rows = rows.filter(F.contains(F.collate("stem", "UNICODE_CI_AI"), F.collate(F.lit(keyword), "UNICODE_CI_AI")))
@@ -357,9 +358,11 @@ R.add("inherit_tags", lambda s: inherit_tags(s.sql(FROM_CHUNKS), s["v_question_t
       firsts AS (SELECT question_id, tag_id, min((src, base, distance)) AS place FROM every GROUP BY 1, 2) SELECT question_id, rank, tag_id FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY place, tag_id) AS rank FROM firsts) x WHERE rank <= 12""")
 R.add("explode_options", lambda s: explode_options(_unchecked(s)).select("question_id", "option_key", "content", "is_correct"),
       f"SELECT question_id, k.k AS option_key, concat(stem, k.k) AS content, CAST(regexp_matches(upper(answer), k.k) AS INT) AS is_correct FROM ({QUESTIONS}) q JOIN (SELECT chr(CAST(65 + i AS INT)) AS k, i FROM range(0, 5) r(i)) k ON k.i < q.n_options")
-R.add("generation_funnel", lambda s: generation_funnel(self_check(validate_questions(_unchecked(s))).selectExpr("kb_id as batch", "case when reason is not null then 'validate' when not kept then 'check' when question_id % 9 = 0 then 'dedup' else 'saved' end as stage")),
+#: What was asked for by each base; one base has made nothing.
+BATCHES = "SELECT kb_id AS batch, 100 + 10 * kb_id AS requested FROM {v_kb} UNION ALL SELECT CAST(99 AS BIGINT), CAST(5 AS BIGINT)"
+R.add("generation_funnel", lambda s: generation_funnel(s.sql(BATCHES), self_check(validate_questions(_unchecked(s))).selectExpr("kb_id as batch", "case when reason is not null then 'validate' when not kept then 'check' when question_id % 9 = 0 then 'dedup' else 'saved' end as stage")),
       f"""WITH st AS (SELECT kb_id AS batch, CASE WHEN {REASON} IS NOT NULL THEN 'validate' WHEN q_type IN (1, 2) AND n_options < 4 OR q_type IN (5, 6, 7, 9) AND question_id % 7 = 0 THEN 'check' WHEN question_id % 9 = 0 THEN 'dedup' ELSE 'saved' END AS stage FROM ({QUESTIONS}) q)
-      SELECT batch, count(*) AS generated, count(*) FILTER (WHERE stage = 'validate') AS dropped_validate, count(*) FILTER (WHERE stage = 'check') AS dropped_check, count(*) FILTER (WHERE stage = 'dedup') AS dropped_dedup, count(*) FILTER (WHERE stage = 'saved') AS saved FROM st GROUP BY batch""")
+      SELECT b.batch, b.requested, count(st.batch) AS generated, count(*) FILTER (WHERE stage = 'validate') AS dropped_validate, count(*) FILTER (WHERE stage = 'check') AS dropped_check, count(*) FILTER (WHERE stage = 'dedup') AS dropped_dedup, count(*) FILTER (WHERE stage = 'saved') AS saved FROM ({BATCHES}) b LEFT JOIN st ON st.batch = b.batch GROUP BY b.batch, b.requested""")
 #: Every tenth paper has a fellow for which nothing was saved.
 PAPERS = "SELECT paper_id FROM {v_paper} UNION ALL SELECT -1 - paper_id FROM {v_paper} WHERE paper_id % 10 = 0"
 R.add("paper_totals", lambda s: paper_totals(s.sql(PAPERS), s["v_paper_item"], s["v_question"]),
@@ -368,6 +371,8 @@ R.add("paper_totals", lambda s: paper_totals(s.sql(PAPERS), s["v_paper_item"], s
       FROM ({PAPERS}) p LEFT JOIN {{v_paper_item}} i ON i.paper_id = p.paper_id LEFT JOIN {{v_question}} q ON q.question_id = i.question_id GROUP BY p.paper_id""")
 R.add("search_questions", lambda s: search_questions(s["v_question"], kb_id=1, status=1, keyword="RING", size=30).select("question_id", "stem", "total"),
       "SELECT question_id, stem, (SELECT count(*) FROM {v_question} WHERE kb_id = 1 AND status = 1 AND stem ILIKE '%ring%') AS total FROM {v_question} WHERE kb_id = 1 AND status = 1 AND stem ILIKE '%ring%' ORDER BY question_id DESC LIMIT 30")
+R.add("search_questions_by_difficulty", lambda s: search_questions(s["v_question"], q_type=2, difficulty=3, page=2, size=15).select("question_id", "difficulty", "total"),
+      "SELECT question_id, difficulty, (SELECT count(*) FROM {v_question} WHERE q_type = 2 AND difficulty = 3) AS total FROM {v_question} WHERE q_type = 2 AND difficulty = 3 ORDER BY question_id DESC LIMIT 15 OFFSET 15")
 R.add("enrich_questions", lambda s: enrich_questions(s["v_question"], s["v_option"], s["v_question_tag"].groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("tag_id")), lambda x: x.cast("string")), ",").alias("tags"))).select("question_id", F.array_join(F.transform("options", lambda o: F.concat(o["option_key"], o["is_correct"].cast("string"))), ",").alias("options"), "tags"),
       """SELECT q.question_id, o.options, t.tags FROM {v_question} q LEFT JOIN (SELECT question_id, string_agg(concat(option_key, is_correct), ',' ORDER BY sort_order) AS options FROM {v_option} GROUP BY 1) o ON o.question_id = q.question_id
       LEFT JOIN (SELECT question_id, string_agg(CAST(tag_id AS VARCHAR), ',' ORDER BY tag_id) AS tags FROM {v_question_tag} GROUP BY 1) t ON t.question_id = q.question_id""")

@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.rounding import half_up
+from ..sources.shared import new_path
 from ..sources.views import AS_OF, EVENTS_AS_OF, Registry
+from ..streaming import exam_totals
 
 R = Registry()
 #: A score counts as correct from this share of the full score.
@@ -108,12 +110,16 @@ def kb_mastery(kbs: DataFrame, questions: DataFrame, answers: DataFrame) -> Data
     return kbs.select("kb_id", "name").join(published, "kb_id", "left").join(done, "kb_id", "left").select("kb_id", "name", F.coalesce("questions", zero).alias("questions"), F.coalesce("answers", zero).alias("answers"), F.round("r", 6).alias("avg_rate"))
 
 
-def overview(kbs: DataFrame, chunks: DataFrame, questions: DataFrame, mistakes: DataFrame, exams: DataFrame, answers: DataFrame, as_of: Column) -> DataFrame:
-    """One row of totals; every table is read once."""
+def overview(kbs: DataFrame, documents: DataFrame, chunks: DataFrame, questions: DataFrame, mistakes: DataFrame, exams: DataFrame, answers: DataFrame, log: DataFrame, active: DataFrame, as_of: Column) -> DataFrame:
+    """One row of totals (H1): ready documents(doc_id), the review log(reviewed_at), active(user_id, day) among them; every table is read once."""
+    streak = activity_streak(active.select(F.lit(0).alias("user_id"), "day").distinct(), as_of)
     graded = exams.filter(F.col("status") == GRADED)
     got = answers.join(graded.select("exam_id"), "exam_id").agg(F.sum("score").alias("got"), F.sum("full_score").alias("total"))
     parts = [
         kbs.agg(F.count("*").alias("kbs")),
+        documents.agg(F.count("*").alias("documents")),
+        log.agg(F.count_if(F.to_date("reviewed_at") == F.to_date(as_of)).alias("reviewed_today")),
+        streak.agg(F.coalesce(F.max("streak"), F.lit(0)).alias("streak")),
         chunks.agg(F.count("*").alias("chunks")),
         questions.agg(F.count("*").alias("questions"), F.count_if(F.col("status") == 1).alias("published"), F.count_if(F.col("status") == 0).alias("draft")),
         mistakes.agg(F.count("*").alias("mistakes"), F.count_if(F.col("mastered") == 1).alias("mastered"), F.count_if((F.col("mastered") == 0) & (F.col("next_review_at") <= as_of)).alias("due")),
@@ -208,8 +214,10 @@ R.add("estimate_cost", lambda s: estimate_cost(s["v_call_log"], _prices(s)).sele
 R.add("kb_mastery", lambda s: kb_mastery(s["v_kb"], s["v_question"], s["v_answer"]),
       """SELECT k.kb_id, k.name, (SELECT count(*) FROM {v_question} q WHERE q.kb_id = k.kb_id AND q.status = 1) AS questions, coalesce(n, 0) AS answers, avg_rate FROM {v_kb} k
       LEFT JOIN (SELECT q.kb_id, count(*) AS n, round(avg(a.score / nullif(a.full_score, 0)), 6) AS avg_rate FROM {v_answer} a JOIN {v_question} q ON q.question_id = a.question_id GROUP BY q.kb_id) f ON f.kb_id = k.kb_id""")
-R.add("overview", lambda s: overview(s["v_kb"], s["v_chunk"], s["v_question"], s["v_mistake"], s["v_exam"], s["v_answer"], now()),
-      f"""SELECT (SELECT count(*) FROM {{v_kb}}) AS kbs, (SELECT count(*) FROM {{v_chunk}}) AS chunks, q.*, m.*, e.*, (SELECT count(*) FROM {{v_answer}}) AS answers,
+R.add("overview", lambda s: overview(s["v_kb"], s["v_doc"], s["v_chunk"], s["v_question"], s["v_mistake"], s["v_exam"], s["v_answer"], s["v_review_log"], activity_days(s["v_attempt"], s["v_exam"]), now()),
+      f"""SELECT (SELECT count(*) FROM {{v_kb}}) AS kbs, (SELECT count(*) FROM {{v_doc}}) AS documents, (SELECT count(*) FROM {{v_review_log}} WHERE CAST(reviewed_at AS DATE) = CAST({AS_OF} AS DATE)) AS reviewed_today,
+      (SELECT coalesce(max(CASE WHEN last >= CAST({AS_OF} AS DATE) - 1 THEN n END), 0) FROM (SELECT count(*) AS n, max(day) AS last FROM (SELECT day, day - CAST(row_number() OVER (ORDER BY day) AS INT) AS run FROM (SELECT CAST(ts AS DATE) AS day FROM {{v_attempt}} UNION SELECT CAST(submitted_at AS DATE) FROM {{v_exam}}) d
+      WHERE day <= CAST({AS_OF} AS DATE)) r GROUP BY run) z) AS streak, (SELECT count(*) FROM {{v_chunk}}) AS chunks, q.*, m.*, e.*, (SELECT count(*) FROM {{v_answer}}) AS answers,
       (SELECT round(sum(score) / sum(full_score) * 1000) / 10 FROM {{v_answer}} a JOIN {{v_exam}} x ON a.exam_id = x.exam_id AND x.status = 3) AS avg_rate
       FROM (SELECT count(*) AS questions, count(*) FILTER (WHERE status = 1) AS published, count(*) FILTER (WHERE status = 0) AS draft FROM {{v_question}}) q,
       (SELECT count(*) AS mistakes, count(*) FILTER (WHERE mastered = 1) AS mastered, count(*) FILTER (WHERE mastered = 0 AND next_review_at <= {AS_OF}) AS due FROM {{v_mistake}}) m,
@@ -217,6 +225,28 @@ R.add("overview", lambda s: overview(s["v_kb"], s["v_chunk"], s["v_question"], s
 R.add("exam_summary", lambda s: exam_summary(s["v_answer"]),
       """SELECT exam_id, round(sum(score), 1) AS got_score, round(sum(full_score), 1) AS total_score, count(*) FILTER (WHERE score >= 0.999 * full_score) AS correct_count, count(*) FILTER (WHERE score < 0.999 * full_score) AS wrong_count,
       round(round(sum(score), 1) * 100 / sum(full_score), 1) AS rate FROM {v_answer} GROUP BY exam_id""")
+#: Answers as they were graded, and graded again: every third gets a point more, every fifth's first grade arrives once more.
+GRADES = "SELECT exam_id, answer_id, CAST(0 AS BIGINT) AS version, score, full_score FROM {v_answer}"
+REGRADES = "SELECT exam_id, answer_id, CAST(1 AS BIGINT) AS version, least(full_score, score + 1.0) AS score, full_score FROM {v_answer} WHERE answer_id % 3 = 0"
+
+
+def _streamed_totals(s) -> DataFrame:
+    """Totals as a stream over two arrivals of files, with the same state."""
+    spark, first, again = s.spark, s.sql(GRADES), s.sql(REGRADES)
+    arriving, state, out = (new_path(spark, x) for x in ("grades", "totals-state", "totals"))
+    for step, rows in enumerate((first, again.unionByName(first.filter("answer_id % 5 = 0")))):
+        rows.select(*first.columns).write.mode("append").parquet(arriving)
+        updates = exam_totals.totals_stream(spark.readStream.schema(first.schema).parquet(arriving))
+        write = lambda part, no, step=step: part.withColumn("step", F.lit(step)).write.mode("append").parquet(out)
+        updates.writeStream.outputMode("update").option("checkpointLocation", state).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    last = F.row_number().over(W.partitionBy("exam_id").orderBy(F.desc("step")))
+    return exam_totals.summary(spark.read.parquet(out).withColumn("r", last).filter("r = 1"))
+
+
+R.add("exam_totals_stream", _streamed_totals,
+      """WITH a AS (SELECT exam_id, full_score, CASE WHEN answer_id % 3 = 0 THEN least(full_score, score + 1.0) ELSE score END AS score FROM {v_answer})
+      SELECT exam_id, round(sum(score), 1) AS got_score, round(sum(full_score), 1) AS total_score, count(*) FILTER (WHERE score >= 0.999 * full_score) AS correct_count, count(*) FILTER (WHERE score < 0.999 * full_score) AS wrong_count,
+      round(round(sum(score), 1) * 100 / sum(full_score), 1) AS rate FROM a GROUP BY exam_id""")
 R.add("question_stats", lambda s: question_stats(s["v_answer"], s["v_exam"]),
       "SELECT a.question_id, count(e.exam_id) AS use_count, count(e.exam_id) FILTER (WHERE score >= 0.999 * full_score) AS correct_count, round(coalesce(avg(score / nullif(full_score, 0)), 0) + 1e-10, 4) AS avg_score_rate FROM {v_answer} a LEFT JOIN {v_exam} e ON a.exam_id = e.exam_id AND e.status = 3 GROUP BY a.question_id HAVING count(e.exam_id) > 0")
 R.add("refresh_tag_counts", lambda s: tag_counts(s["v_tag"], s["v_chunk_tag"], s["v_question_tag"]),

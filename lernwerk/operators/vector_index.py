@@ -144,6 +144,8 @@ def requests(queries: DataFrame, choose: Callable[[np.ndarray, pd.DataFrame], np
             if len(rows):
                 x = units(rows["vector"])
                 row, cell = np.nonzero(choose(x, rows))
+                if not len(row):
+                    continue
                 yield pd.DataFrame({"query_id": rows["query_id"].to_numpy()[row], "kb_id": rows["kb_id"].to_numpy()[row], "cell": cell.astype(np.int32), "vector": [x[r] for r in row]})
 
     return queries.mapInPandas(ask, "query_id long, kb_id long, cell int, vector array<double>")

@@ -194,3 +194,10 @@ def test_digests_find_what_differs_and_shuffle_little(spark):
     assert digests.differences(left, left.repartition(5), "pk", "partition").collect() == []
     twice = left.limit(10).union(left.limit(10))
     assert digests.differences(left.limit(0), twice, "pk", "partition").count() == 20
+
+
+def test_queries_that_need_no_more_cells(spark):
+    x = clustered(40, 2, 8)
+    index = vector_index.build(frame(spark, x, "pk"), cells=2)
+    found = vector_index.search(frame(spark, x[:6], "query_id"), index, 1).collect()
+    assert sorted((r["query_id"], r["pk"]) for r in found) == [(k, k) for k in range(6)]

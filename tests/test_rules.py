@@ -356,3 +356,22 @@ def test_a_job_that_is_started_again_asks_only_what_is_missing(spark, tmp_path):
     assert {r["response"] for r in found.values()} == {f"PROMPT {k}" for k in range(30)} | {""} and all(r["calls"] == 1 for r in found.values())
     log.write_text("")
     assert calls.llm_map_once(rows, client(0), "id", folder).count() == 90 and not log.read_text()
+
+
+def test_totals_take_back_what_is_graded_again():
+    import pandas as pd
+
+    from lernwerk.streaming.exam_totals import advance
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    state = State()
+    columns = ["answer_id", "version", "score", "full_score"]
+    batch = lambda *rows: [r for x in advance((1,), iter([pd.DataFrame(rows, columns=columns)]), state) for r in x[["got", "total", "correct_count", "n", "changed"]].values.tolist()]
+    assert batch((1, 0, 5.0, 5.0), (2, 0, 0.1, 5.0)) == [[5100, 10_000, 1, 2, 2]]
+    assert batch((1, 0, 5.0, 5.0)) == []
+    assert batch((2, 1, 5.0, 5.0), (1, 2, 0.3, 5.0), (1, 1, 4.0, 5.0)) == [[5300, 10_000, 1, 2, 2]]
