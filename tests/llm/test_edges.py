@@ -127,3 +127,17 @@ def test_ties(spark):
     bench = spark.createDataFrame([(2, "equal text of a few words that stands here"), (1, "equal text of a few words that stands here")], "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()} == {(i, k) for i in range(40) for k in (1, 2)}
     assert {r["class_id"] for r in near_dedup.classes(docs).collect()} == {0}
+
+
+@pytest.mark.parametrize("which", ["empty", "null texts", "clashing columns"])
+def test_pipeline_stages_on_edges(spark, docs, nothing, which):
+    import corpus_pipeline
+
+    rows = {"empty": nothing, "null texts": docs.filter("text is null or text = ''"), "clashing columns": docs.filter("doc_id in (4, 6, 7)")}[which]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, rows, "/root/testdata/sf0.001")
+        assert left.columns == rows.columns
+        rows = left
+    found = corpus_pipeline.STAGES[-1][1](spark, rows, "/root/testdata/sf0.001").collect()
+    assert len(found) <= {"empty": 0, "null texts": 2, "clashing columns": 4}[which]
+    assert sorted(str(r["doc_id"]) for r in found) == sorted(str(r["doc_id"]) for r in rows.select("doc_id").collect())
