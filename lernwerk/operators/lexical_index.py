@@ -60,15 +60,19 @@ def likeness(text: Column) -> Column:
     return F.pmod(word, F.lit(CLASSES)).cast("int") * 64 + F.floor(2 * F.log2(F.length(text) + F.lit(1))).cast("int")
 
 
-def build(chunks: DataFrame, group: int = GROUP) -> LexicalIndex:
-    """The index of chunks(kb_id, pk, text); a chunk without words counts for its base's number and mean length only."""
+def build(chunks: DataFrame, group: int = GROUP, only: DataFrame | None = None) -> LexicalIndex:
+    """The index of chunks(kb_id, pk, text); a chunk without words counts for its base's number and mean length only.
+
+    ``only``(kb_id, term) leaves other terms out, for an index that serves one set of queries.
+    """
     rows = chunks.select("kb_id", "pk", F.coalesce("text", F.lit("")).alias("text")).withColumn("class", likeness(F.col("text")))
     words = rows.select("kb_id", "class", "pk", tokens(F.col("text")).alias("w")).withColumn("dl", F.size("w"))
     counted = materialise(words.groupBy("kb_id", "class").agg(F.count("*").alias("n"), F.sum("dl").alias("words")), "classes")
     bases = counted.groupBy("kb_id").agg(F.sum("n").alias("n"), (F.sum("words") / F.sum("n")).alias("avgdl"))
     slots = counted.select("kb_id", "class", F.ceil(F.col("n") / group).alias("slots"))
     grp = F.xxhash64("class", F.pmod(F.xxhash64("pk"), F.col("slots"))).alias("grp")
-    each = words.join(slots, ["kb_id", "class"]).select("kb_id", grp, "pk", "dl", F.explode("w").alias("term")).repartition("kb_id", "term", "grp")
+    each = words.join(slots, ["kb_id", "class"]).select("kb_id", grp, "pk", "dl", F.explode("w").alias("term"))
+    each = (each if only is None else each.join(only.distinct(), ["kb_id", "term"], "left_semi")).repartition("kb_id", "term", "grp")
     held = each.groupBy("kb_id", "term", "grp", "pk").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     held = held.groupBy("kb_id", "term", "grp").agg(F.collect_list(F.struct("pk", "tf", "dl")).alias("p")).join(bases, "kb_id")
     weight = lambda x: x["tf"] * (K1 + 1) / (x["tf"] + K1 * (1 - B + B * x["dl"] / F.col("avgdl")))
@@ -80,10 +84,14 @@ def build(chunks: DataFrame, group: int = GROUP) -> LexicalIndex:
     return LexicalIndex(blocks, heads, materialise(terms, "terms"), bases)
 
 
+def query_words(queries: DataFrame) -> DataFrame:
+    """(query_id, kb_id, term): the distinct words of every query(query_id, kb_id, text)."""
+    return queries.select("query_id", "kb_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+
+
 def asked_terms(queries: DataFrame, index: LexicalIndex) -> DataFrame:
-    """(query_id, kb_id, term, idf): the distinct words of every query(query_id, kb_id, text) that its base knows."""
-    words = queries.select("query_id", "kb_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    return words.join(index.terms.select("kb_id", "term", "idf"), ["kb_id", "term"])
+    """(query_id, kb_id, term, idf): the words of every query that its base knows."""
+    return query_words(queries).join(index.terms.select("kb_id", "term", "idf"), ["kb_id", "term"])
 
 
 def bounds(asked: DataFrame, index: LexicalIndex) -> DataFrame:

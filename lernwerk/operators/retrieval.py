@@ -67,9 +67,11 @@ def dense_topk(queries: DataFrame, chunks: DataFrame, k: int = RECALL, probes: i
 def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = RECALL) -> DataFrame:
     """BM25 top-k of every query(query_id, kb_id, text) in its base (C3); N, df and mean length are per base.
 
-    Builds the index of chunks(kb_id, pk, text) and searches it; ``lexical_index`` stores one for many searches.
+    Builds the index of chunks(kb_id, pk, text) for the queries' terms and searches it;
+    ``lexical_index`` stores one of all terms for many searches.
     """
-    return lexical_index.search(queries, lexical_index.build(chunks), k)
+    terms = lexical_index.query_words(queries).select("kb_id", "term")
+    return lexical_index.search(queries, lexical_index.build(chunks, only=terms), k)
 
 
 def rrf_fuse(first: DataFrame, second: DataFrame, top: int = TOP, k: int = RRF_K) -> DataFrame:
