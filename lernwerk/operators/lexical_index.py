@@ -32,9 +32,14 @@ GROUP, FIRST, CLASSES, SHOWN = 64, 12, 16, 600
 DECIMALS, SLACK = 9, 1e-8
 
 
+def spaced(text: Column) -> Column:
+    """Lower-cased text with blanks around Chinese characters."""
+    return F.regexp_replace(F.lower(text), HAN, " $1 ")
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased words in order; null has none."""
-    return F.coalesce(F.regexp_extract_all(F.regexp_replace(F.lower(text), HAN, " $1 "), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
+    return F.coalesce(F.regexp_extract_all(spaced(text), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
 
 
 @dataclass
@@ -67,7 +72,8 @@ def build(chunks: DataFrame, group: int = GROUP, only: DataFrame | None = None)
     """
     rows = chunks.select("kb_id", "pk", F.coalesce("text", F.lit("")).alias("text")).withColumn("class", likeness(F.col("text")))
     words = rows.select("kb_id", "class", "pk", tokens(F.col("text")).alias("w")).withColumn("dl", F.size("w"))
-    counted = materialise(words.groupBy("kb_id", "class").agg(F.count("*").alias("n"), F.sum("dl").alias("words")), "classes")
+    n_words = F.regexp_count(spaced(F.col("text")), F.lit(TOKEN))
+    counted = materialise(rows.groupBy("kb_id", "class").agg(F.count("*").alias("n"), F.sum(n_words).alias("words")), "classes")
     bases = counted.groupBy("kb_id").agg(F.sum("n").alias("n"), (F.sum("words") / F.sum("n")).alias("avgdl"))
     slots = counted.select("kb_id", "class", F.ceil(F.col("n") / group).alias("slots"))
     grp = F.xxhash64("class", F.pmod(F.xxhash64("pk"), F.col("slots"))).alias("grp")
