@@ -227,6 +227,12 @@ def changes(members: DataFrame, signed: DataFrame, weights: np.ndarray) -> DataF
     return rows.select("leader", "node", *kept, "x.change", "x.mass")
 
 
+def between_classes(listed: DataFrame) -> DataFrame:
+    """The rows of changes that texts of two classes have, one of them open, with how many texts have the change (often)."""
+    held = listed.groupBy("leader", "change").agg(F.count("*").alias("often"), F.max("open").alias("any"), F.min("root").alias("low"), F.max("root").alias("high"))
+    return listed.join(held.filter("any and low <> high").select("leader", "change", "often"), ["leader", "change"])
+
+
 def open_pairs(members: DataFrame, roots: DataFrame, signed: DataFrame, weights: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
     """(node, leader) of texts with one leader that may be similar though one of them isn't similar to the leader.
 
@@ -237,17 +243,17 @@ def open_pairs(members: DataFrame, roots: DataFrame, signed: DataFrame, weights:
         (apart(x) + apart(y) - slack * (own(x) + own(y))) / 2 > (apart(y) + slack * (base - own(y))) / 2,
 
     so the rarest changes of y that are too heavy to be left out hold one that x has too. Texts are
-    paired on these changes only; a change that no other text has pairs nothing. What can still be
-    common from the paired change on bounds the pair once more. No similar pair is lost.
+    paired on these changes only; a change that no text of another class has pairs nothing, however
+    many texts of one class have it. What can still be common from the paired change on bounds the
+    pair once more. No similar pair of two classes is lost.
     """
     slack = (1 - similarity) / (1 + similarity)
     rows = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("open", F.col("similarity") < similarity)
     # Two classes at least beside the leader, one text of them open; others have nothing to compare.
     unsettled = rows.groupBy("leader").agg(F.max("open").alias("any"), F.min("root").alias("low"), F.max("root").alias("high")).filter("any and low <> high").select("leader")
     listed = materialise(changes(rows.join(unsettled, "leader").drop("similarity"), signed, weights), "changes")
-    often = listed.groupBy("leader", "change").agg(F.count("*").alias("often"), F.max("open").alias("any")).filter("often > 1 and any")
-    common = listed.join(often, ["leader", "change"])
-    # Changes that nobody shares come first in the order; only their mass matters.
+    common = between_classes(listed)
+    # Changes that one class alone has come first in the order; only their mass matters.
     shared = W.partitionBy("leader", "node").orderBy(F.desc("often"), F.desc("change")).rowsBetween(W.unboundedPreceding, 0)
     common = common.withColumn("rest", F.sum("mass").over(shared))
     least = (F.col("apart") + slack * (F.col("base") - F.col("own"))) / 2

@@ -228,6 +228,14 @@ def test_open_pairs_hold_all_similar_pairs_of_one_leader(spark, seed):
     assert wanted <= got and len(wanted) > 20 and len(got) < len(others) ** 2 / 8
 
 
+def test_changes_that_one_class_alone_has_pair_nothing(spark):
+    """Texts of a second template under one leader: all of them share its changes, none meets another on them."""
+    rows = [(b"a", b"hub", b"a", False, 1)] + [(f"b{i}".encode(), b"hub", b"b0", True, c) for i in range(300) for c in (7, 8)]
+    rows += [(b"c", b"hub", b"c", False, 9), (b"b0", b"hub", b"b0", True, 9), (b"d", b"hub", b"d", False, 5), (b"e", b"hub", b"e", False, 5)]
+    listed = spark.createDataFrame(rows, "node binary, leader binary, root binary, open boolean, change long")
+    assert sorted((bytes(r["node"]), r["change"], r["often"]) for r in near_dedup.between_classes(listed).collect()) == [(b"b0", 9, 2), (b"c", 9, 2)]
+
+
 def test_samples_collide_as_the_weighted_similarity():
     random_ = np.random.default_rng(1)
     a, b = random_.choice(1 << 32, 400, replace=False).astype(np.uint32), random_.choice(1 << 32, 400, replace=False).astype(np.uint32)
