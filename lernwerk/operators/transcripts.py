@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import difflib
-import re
-from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..sources.views import Registry
+from .corrections import PHRASE, correct_terms
 
 R = Registry()
 INTERVIEWER, CANDIDATE = 1, 2
@@ -28,7 +25,6 @@ CLASSES = {
     "SCENARIO": ["如果", "假设", "线上", "故障", "怎么设计", "如何设计", "方案"],
     "REVERSE": ["你有什么想问", "反问", "想问我们"],
 }
-LATIN = r"[A-Za-z][A-Za-z0-9+#.\-]*"
 EDGE = r"[，。！？、；：…—·～~,.!?;:\"'“”‘’（）()【】{}《》<>\s]"
 
 
@@ -149,70 +145,6 @@ def hotword_dictionary(tags: DataFrame, builtin: DataFrame, limit: int = 300) ->
     return words.groupBy("kb_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.length("word")).alias("n"), "word"))), lambda x: x["word"]).alias("words"))
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Insertions, deletions and replacements between two short texts."""
-    row = range(len(b) + 1)
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
-
-
-def closest(part: Callable[[str], str], words: list[str]) -> tuple[str, float]:
-    """The word with the least edit distance to what the text has in its place, and their similarity; the longer, then the first of equal ones."""
-    scored = [(1 - edit_distance(part(w), w) / len(w), len(w), -i, w) for i, w in enumerate(words) if len(part(w)) == len(w)]
-    return max(scored)[3::-3] if scored else ("", 0.0)
-
-
-def correct_han(text: str, words: list[str], least: float) -> tuple[str, list[tuple[str, str, float]]]:
-    """Chinese terms, from left to right: where one begins it is left, else the closest one of the same length replaces what stands there."""
-    if not words:
-        return text, []
-    by_start = {c: sorted((w for w in words if w[0] == c), key=lambda w: (-len(w), w)) for c in {w[0] for w in words}}
-    begins, out, fixes, done = re.compile("[" + "".join(map(re.escape, by_start)) + "]"), [], [], 0
-    while m := begins.search(text, done):
-        at, here = m.start(), by_start[m[0]]
-        out.append(text[done:at])
-        word = next((w for w in here if text.startswith(w, at)), None)
-        if word is None:
-            word, score = closest(lambda w: text[at : at + len(w)], here)
-            if score >= least:
-                fixes.append((text[at : at + len(word)], word, round(score, 2)))
-            else:
-                word = m[0]
-        out.append(word)
-        done = at + len(word)
-    return "".join([*out, text[done:]]), fixes
-
-
-def correct_text(text: str, words: list[str], han: float = 0.75, latin: float = 0.78) -> tuple[str, list[tuple[str, str, float]]]:
-    """A transcript with its misspelt terms corrected, Chinese ones first, and what was replaced."""
-    text, fixes = correct_han(text, [w for w in words if re.search("[一-鿿]", w)], han)
-    known = {w.lower(): w for w in words if re.fullmatch(LATIN, w)}
-    parts = re.split(f"({LATIN[:-1]}{{3,}})", text)  # odd places hold words of at least four characters
-    for i in range(1, len(parts), 2):
-        low = parts[i].lower()
-        near = [] if low in known else difflib.get_close_matches(low, known, 1, latin)
-        for found in near:
-            fixes.append((parts[i], known[found], round(difflib.SequenceMatcher(None, low, found).ratio(), 2)))
-            parts[i] = known[found]
-    return "".join(parts), fixes
-
-
-def correct_terms(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """rows(conv_id, seq, kb_id, text) with corrected text and the fixes made, by their base's dictionary."""
-
-    @F.pandas_udf("struct<text: string, fixes: array<struct<from: string, to: string, score: double>>>")
-    def correct(texts: pd.Series, words: pd.Series) -> pd.DataFrame:
-        found = [correct_text(t or "", list(w) if w is not None else []) for t, w in zip(texts, words, strict=True)]
-        return pd.DataFrame({"text": [t for t, _ in found], "fixes": [[{"from": a, "to": b, "score": s} for a, b, s in f] for _, f in found]})
-
-    joined = rows.join(dictionary, "kb_id", "left").withColumn("_r", correct("text", "words"))
-    return joined.select("conv_id", "seq", "kb_id", F.col("_r.text").alias("text"), F.col("_r.fixes").alias("fixes"))
-
-
 def display_turns(rows: DataFrame) -> DataFrame:
     """Turns in order with the clean text, or the raw one where that is blank."""
     return rows.withColumn("shown", F.coalesce(F.when(F.trim("clean_text") != "", F.col("clean_text")), F.col("text")))
@@ -274,6 +206,37 @@ R.add("note_counts", lambda s: note_counts(_rows(s)), f"WITH {KEPT} SELECT conv_
 BUILTIN = "SELECT kb_id, concat('builtin ', name) AS word FROM {v_kb}"
 R.add("hotword_dictionary", lambda s: hotword_dictionary(s["v_tag"], s.sql(BUILTIN)).select("kb_id", F.array_join("words", ",").alias("words")),
       f"""SELECT kb_id, string_agg(word, ',' ORDER BY length(word) DESC, word) AS words FROM (SELECT kb_id, trim(name) AS word FROM (SELECT *, row_number() OVER (PARTITION BY kb_id ORDER BY level, tag_id) AS i FROM {{v_tag}}) t WHERE i <= 300 UNION SELECT kb_id, trim(word) FROM ({BUILTIN}) b) x WHERE length(word) BETWEEN 2 AND 20 GROUP BY kb_id""")
-R.add("correct_terms", lambda s: correct_terms(_rows(s).withColumn("kb_id", F.col("conv_id") % 5), hotword_dictionary(s["v_tag"], s.sql(BUILTIN))).select("conv_id", "seq", F.size("fixes").alias("n_fixes"), F.length("text").alias("n")))
+#: Speech with misspelt terms in front, and the dictionary with Chinese and Latin terms beside the tags.
+MISSPELT = """SELECT conv_id, seq, conv_id % 5 AS kb_id, concat(CASE (conv_id + 3 * seq) % 7 WHEN 0 THEN '缓存激穿用互斥锁重建，' WHEN 1 THEN '缓存穿斗加分布式琐。' WHEN 2 THEN 'Redos与Kafkka，' WHEN 3 THEN concat('Suplier#', lpad(CAST(conv_id % 40 AS STRING), 8, '0'), '，') WHEN 4 THEN '讲讲分布系统一致性呢。Elastik search，'
+    WHEN 5 THEN '缓存击穿缓存缓存雪奔分布' ELSE '' END, text) AS text FROM {v_speech}"""
+GLOSSARY = "SELECT kb_id, w.word FROM {v_kb} CROSS JOIN (" + " UNION ALL ".join(f"SELECT '{w}' AS word" for w in ["缓存穿透", "缓存击穿", "缓存雪崩", "分布式锁", "分布式系统一致性", "Redis", "Kafka", "Elasticsearch", "internation"]) + ") w"
+LISTED = f"""t AS (SELECT kb_id, trim(name) AS word FROM (SELECT *, row_number() OVER (PARTITION BY kb_id ORDER BY level, tag_id) AS i FROM {{v_tag}}) t WHERE i <= 300 UNION SELECT * FROM ({GLOSSARY}) g),
+    d AS (SELECT kb_id, word, length(word) AS n, row_number() OVER (PARTITION BY kb_id ORDER BY length(word) DESC, word) AS r FROM t WHERE length(word) BETWEEN 2 AND 20)"""
+#: DuckDB's edit distance counts bytes, so characters become letters by their place in the term; others are all A.
+LETTERED = "array_to_string(list_transform(string_split({0}, ''), lambda c: chr(CAST(65 + strpos(word, c) AS INT))), '')"
+#: Best term at each place; the pass from left to right; runs of Latin words; common blocks of run and term, the longest first, then what lies left and right of it.
+CORRECTED = f"""WITH RECURSIVE {LISTED}, u AS ({MISSPELT}),
+    p AS (SELECT conv_id, seq, kb_id, text, pos, substring(text, pos + 1, 1) AS l FROM (SELECT *, CAST(unnest(range(0, length(text))) AS BIGINT) AS pos FROM u WHERE regexp_matches(text, '[一-鿿]')) x),
+    j AS MATERIALIZED (SELECT conv_id, seq, pos, n, word, substring(text, pos + 1, n) AS f, r FROM p JOIN (SELECT *, substring(word, 1, 1) AS l FROM d WHERE regexp_matches(word, '^[一-鿿]')) d USING (kb_id, l) WHERE pos + n <= length(text)),
+    m AS (SELECT *, 1 - levenshtein({LETTERED.format("f")}, {LETTERED.format("word")}) / n AS s FROM j),
+    e AS (SELECT *, row_number() OVER (PARTITION BY conv_id, seq ORDER BY pos) AS i FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, seq, pos ORDER BY f = word DESC, s DESC, n DESC, r) AS best FROM m WHERE s >= 0.75) x WHERE best = 1),
+    w AS (SELECT conv_id, seq, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS done, '' AS o, '' AS fixes FROM u UNION ALL
+      SELECT w.conv_id, w.seq, e.i, CASE WHEN pos >= done THEN pos + n ELSE done END, CASE WHEN pos >= done THEN concat(o, substring(text, done + 1, pos - done), word) ELSE o END,
+        CASE WHEN pos >= done AND f <> word THEN concat(fixes, f, '>', word, '|', CAST(CAST(round(100 * s) AS INT) AS VARCHAR), ';') ELSE fixes END FROM w JOIN e ON e.conv_id = w.conv_id AND e.seq = w.seq AND e.i = w.i + 1 JOIN u ON u.conv_id = w.conv_id AND u.seq = w.seq),
+    h AS (SELECT conv_id, seq, kb_id, fixes, concat(o, substring(text, done + 1)) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, seq ORDER BY i DESC) AS z FROM w) x JOIN u USING (conv_id, seq) WHERE z = 1),
+    g AS (SELECT conv_id, seq, kb_id, unnest(range(1, len(runs) + 1)) AS i, unnest(runs) AS run FROM (SELECT *, regexp_extract_all(text, '{PHRASE}') AS runs FROM h) x),
+    k AS (SELECT *, rtrim(run) AS v, lower(replace(run, ' ', '')) AS key FROM g WHERE length(rtrim(run)) >= 4),
+    l AS (SELECT kb_id, lower(replace(word, ' ', '')) AS term, arg_max(word, r) AS word FROM d WHERE ascii(word) < 128 AND length(word) >= 3 GROUP BY ALL),
+    c AS (SELECT kb_id, key, term, word FROM (SELECT DISTINCT kb_id, key FROM k ANTI JOIN l ON k.kb_id = l.kb_id AND k.key = l.term) x JOIN l USING (kb_id) WHERE abs(length(key) - length(term)) <= 0.22 * (length(key) + length(term)) AND levenshtein(key, term) <= 0.22 * (length(key) + length(term))),
+    q AS (SELECT DISTINCT key AS x, term AS y FROM c UNION SELECT term, key FROM c),
+    b AS (SELECT x, y, x AS a, y AS b, CAST(0 AS BIGINT) AS m FROM q UNION ALL
+      SELECT x, y, CASE side WHEN 0 THEN substring(a, 1, i - 1) ELSE substring(a, i + k) END, CASE side WHEN 0 THEN substring(b, 1, strpos(b, substring(a, i, k)) - 1) ELSE substring(b, strpos(b, substring(a, i, k)) + k) END, CASE side WHEN 0 THEN k ELSE 0 END
+      FROM (SELECT x, y, a, b, CAST(floor(v / 100) AS BIGINT) AS k, 99 - v % 100 AS i FROM (SELECT x, y, a, b, list_max(flatten(list_transform(range(1, length(a) + 1), lambda i: list_transform(range(1, length(a) - i + 2), lambda k: CASE WHEN strpos(b, substring(a, i, k)) > 0 THEN 100 * k + 99 - i END)))) AS v FROM b WHERE a <> '' AND b <> '') z WHERE v IS NOT NULL) z CROSS JOIN (SELECT 0 AS side UNION ALL SELECT 1) sides),
+    s AS (SELECT x, y, 2 * sum(m) / (length(x) + length(y)) AS s FROM b GROUP BY x, y),
+    best AS (SELECT kb_id, key, word, shown FROM (SELECT kb_id, key, word, shown.s AS shown, row_number() OVER (PARTITION BY kb_id, key ORDER BY ranked.s DESC, term DESC) AS z FROM c JOIN s ranked ON ranked.x = term AND ranked.y = key JOIN s shown ON shown.x = key AND shown.y = term WHERE ranked.s >= 0.78) x WHERE z = 1),
+    n AS (SELECT conv_id, seq, string_agg(concat(v, '>', word, '|', CAST(CAST(round(100 * shown) AS INT) AS VARCHAR), ';'), '' ORDER BY i) AS fixes FROM k JOIN best USING (kb_id, key) GROUP BY conv_id, seq),
+    y AS (SELECT conv_id, seq, string_agg(coalesce(word || substring(g.run, length(v) + 1), g.run), chr(1) ORDER BY i) AS runs FROM g LEFT JOIN (SELECT * FROM k JOIN best USING (kb_id, key)) x USING (conv_id, seq, kb_id, i) GROUP BY conv_id, seq)
+    SELECT conv_id, seq, concat(h.fixes, coalesce(n.fixes, '')) AS fixes, CASE WHEN runs IS NULL THEN h.text ELSE array_to_string(list_transform(string_split_regex(h.text, '{PHRASE}'), lambda x, i: concat(x, coalesce(string_split(runs, chr(1))[i], ''))), '') END AS text FROM h LEFT JOIN n USING (conv_id, seq) LEFT JOIN y USING (conv_id, seq)"""
+R.add("correct_terms", lambda s: correct_terms(s.sql(MISSPELT), hotword_dictionary(s["v_tag"], s.sql(GLOSSARY))).select("conv_id", "seq", F.expr("array_join(transform(fixes, x -> concat(x.from, '>', x.to, '|', cast(round(100 * x.score) as int), ';')), '')").alias("fixes"), "text"), CORRECTED)
 R.add("display_turns", lambda s: display_turns(_rows(s).withColumn("clean_text", F.expr("if(seq % 3 = 0, ' ', concat('> ', text))"))).select("conv_id", "seq", F.col("shown").alias("text")),
       f"WITH {KEPT} SELECT conv_id, n AS seq, CASE WHEN n % 3 = 0 THEN text ELSE concat('> ', text) END AS text FROM u")

@@ -6,6 +6,7 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import plain_terms
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -62,11 +63,11 @@ def plain_distance(a: str, b: str) -> int:
 
 @given(st.text("缓存穿透", max_size=5), st.text("缓存穿透", max_size=5))
 def test_edit_distance(a, b):
-    assert transcripts.edit_distance(a, b) == plain_distance(a, b)
+    assert plain_terms.edit_distance(a, b) == plain_distance(a, b)
 
 
 def test_a_dropped_and_an_added_character_are_two_edits():
-    assert transcripts.correct_text("讲讲分布系统一致性呢。", ["分布式系统一致性"]) == ("讲讲分布式系统一致性。", [("分布系统一致性呢", "分布式系统一致性", 0.75)])
+    assert plain_terms.correct_text("讲讲分布系统一致性呢。", ["分布式系统一致性"]) == ("讲讲分布式系统一致性。", [("分布系统一致性呢", "分布式系统一致性", 0.75)])
 
 
 @given(st.text("缓存穿透击雪崩x，", max_size=14))
@@ -80,12 +81,12 @@ def test_han_terms_against_a_plain_scan(text):
         word = exact or (best[1] if best[0] >= 0.75 else text[at])
         out += word
         at += len(word)
-    assert transcripts.correct_text(text, words)[0] == out
+    assert plain_terms.correct_text(text, words)[0] == out
 
 
 @pytest.mark.parametrize(("text", "expected"), TERMS)
 def test_correct_text(text, expected):
-    assert transcripts.correct_text(text, WORDS)[0] == (expected or text)
+    assert plain_terms.correct_text(text, WORDS)[0] == (expected or text)
 
 
 def test_sm2_wrong_then_right(spark):
