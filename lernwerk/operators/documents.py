@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..sources.shared import new_path
 from ..sources.store import BucketStore
 from ..sources.views import Registry
+from .tags import tag_briefs
 
 R = Registry()
 TARGET, OVERLAP, LONG = 700, 105, 1.6
@@ -181,9 +182,10 @@ def stored_replacement(rows: DataFrame, new: DataFrame, folder: str) -> DataFram
     return store.read()
 
 
-def list_chunks(chunks: DataFrame, doc_id: int, page: int = 1, size: int = 20) -> DataFrame:
-    """A page of a document's chunks in order."""
-    return chunks.filter(F.col("doc_id") == doc_id).orderBy("chunk_index").offset((page - 1) * size).limit(size)
+def list_chunks(chunks: DataFrame, links: DataFrame, tags: DataFrame, doc_id: int, page: int = 1, size: int = 20) -> DataFrame:
+    """A page of a document's chunks in order with their tags [{id, name, level}], null without any."""
+    rows = chunks.filter(F.col("doc_id") == doc_id).orderBy("chunk_index").offset((page - 1) * size).limit(size)
+    return rows.join(tag_briefs(links.join(rows.select("chunk_id"), "chunk_id", "left_semi"), tags, "chunk_id"), "chunk_id", "left")
 
 
 def _blocks(s) -> DataFrame:
@@ -257,4 +259,5 @@ R.add("replace_document_chunks", lambda s: replace_chunks(s["v_chunk"].select("d
       "SELECT doc_id, chunk_index, length(CASE WHEN doc_id % 3 = 0 THEN concat(content, '!') ELSE content END) AS n FROM {v_chunk} WHERE doc_id % 3 <> 0 OR chunk_index < 2")
 R.add("replace_stored_chunks", lambda s: stored_replacement(s["v_chunk"].select("doc_id", "chunk_index", "content"), s["v_chunk"].filter("doc_id % 3 = 0 and chunk_index < 2").selectExpr("doc_id", "chunk_index", "concat(content, '!') as content"), new_path(s.spark, "chunks")).select("doc_id", "chunk_index", F.length("content").alias("n")),
       "SELECT doc_id, chunk_index, length(CASE WHEN doc_id % 3 = 0 THEN concat(content, '!') ELSE content END) AS n FROM {v_chunk} WHERE doc_id % 3 <> 0 OR chunk_index < 2")
-R.add("list_chunks", lambda s: list_chunks(s["v_chunk"], 7, 1, 15).select("doc_id", "chunk_index", "chunk_id"), "SELECT doc_id, chunk_index, chunk_id FROM {v_chunk} WHERE doc_id = 7 ORDER BY chunk_index LIMIT 15")
+R.add("list_chunks", lambda s: list_chunks(s["v_chunk"], s["v_chunk_tag"], s["v_tag"], 7, 1, 15).select("doc_id", "chunk_index", "chunk_id", F.array_join(F.transform("tags", lambda t: F.concat_ws(":", t["id"].cast("string"), t["name"], t["level"].cast("string"))), ",").alias("tags")),
+      """WITH c AS (SELECT doc_id, chunk_index, chunk_id FROM {v_chunk} WHERE doc_id = 7 ORDER BY chunk_index LIMIT 15) SELECT c.*, g.tags FROM c LEFT JOIN (SELECT chunk_id, string_agg(concat_ws(':', x.tag_id, name, level), ',' ORDER BY x.tag_id) AS tags FROM {v_chunk_tag} x JOIN {v_tag} t ON t.tag_id = x.tag_id GROUP BY 1) g ON g.chunk_id = c.chunk_id""")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.rounding import half_up
 from ..sources.views import Registry, twin
+from .bank import enrich_questions
+from .tags import tag_briefs
 from .stats import exam_summary
 
 R = Registry()
@@ -155,11 +157,15 @@ def exam_list(summaries: DataFrame, exams: DataFrame) -> DataFrame:
     return rows.withColumn("rate", F.coalesce(half_up(F.try_divide(F.col("got_score") * 100, "total_score"), 1), F.lit(0.0)))
 
 
-def exam_result(answers: DataFrame, exams: DataFrame, questions: DataFrame) -> DataFrame:
-    """items of every exam; answer and analysis are hidden until it is graded."""
-    rows = answers.join(exams.select("exam_id", "status"), "exam_id").join(questions.select("question_id", "stem", "answer", "analysis"), "question_id")
-    shown = F.col("status") == 3
-    return rows.withColumns({"answer": F.when(shown, F.col("answer")), "analysis": F.when(shown, F.col("analysis")), "score": F.when(shown, F.col("score"))})
+def exam_result(answers: DataFrame, exams: DataFrame, questions: DataFrame, items: DataFrame) -> DataFrame:
+    """items of every exam with their place in its paper; answer, analysis and score are hidden until it is graded.
+
+    questions carry options and tags (E21), of which options show key and content only;
+    items(exam_id, question_id, sort_order) give the place, which is missing for an item that the paper no longer has.
+    """
+    shown = questions.select("question_id", "stem", "answer", "analysis", F.transform("options", lambda o: F.struct(o["option_key"], o["content"])).alias("options"), "tags")
+    rows = answers.join(exams.select("exam_id", "status"), "exam_id").join(shown, "question_id").join(items, ["exam_id", "question_id"], "left")
+    return rows.withColumns({c: F.when(F.col("status") == 3, F.col(c)) for c in ("answer", "analysis", "score")})
 
 
 def apply_regrades(answers: DataFrame, regrades: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -244,8 +250,12 @@ R.add("verify_citations", lambda s: verify_citations(s.sql(CITED), s.sql(KNOWN),
       f"SELECT r.answer_id, r.rank, r.chunk_id, c.doc_id, length(substring(c.content, 1, 300)) AS n FROM (SELECT *, row_number() OVER (PARTITION BY answer_id ORDER BY place, chunk_id) AS rank FROM ({CITED}) x WHERE (question_id, chunk_id) IN (SELECT question_id, chunk_id FROM ({KNOWN}) k)) r JOIN {{v_chunk}} c ON c.chunk_id = r.chunk_id WHERE rank <= 2")
 TOTALS = "SELECT exam_id, round(sum(score), 1) AS got, round(sum(full_score), 1) AS total FROM {v_answer} GROUP BY exam_id"
 R.add("exam_list", lambda s: exam_list(exam_summary(s["v_answer"]), s["v_exam"]), f"SELECT e.exam_id, e.user_id, e.kb_id, e.status, coalesce(got, 0.0) AS got_score, coalesce(total, 0.0) AS total_score, coalesce(round(got * 100 / nullif(total, 0) + 1e-7, 1), 0.0) AS rate FROM {{v_exam}} e LEFT JOIN ({TOTALS}) t ON t.exam_id = e.exam_id")
-R.add("exam_result", lambda s: exam_result(s["v_answer"], s["v_exam"], s["v_question"]).select("answer_id", "stem", "answer", "analysis", "score"),
-      "SELECT a.answer_id, q.stem, CASE WHEN e.status = 3 THEN q.answer END AS answer, CASE WHEN e.status = 3 THEN q.analysis END AS analysis, CASE WHEN e.status = 3 THEN a.score END AS score FROM {v_answer} a JOIN {v_exam} e ON e.exam_id = a.exam_id JOIN {v_question} q ON q.question_id = a.question_id")
+ITEMS = "SELECT paper_id AS exam_id, question_id, sort_order FROM {v_paper_item}"
+R.add("exam_result", lambda s: exam_result(s["v_answer"], s["v_exam"], enrich_questions(s["v_question"], s["v_option"], tag_briefs(s["v_question_tag"], s["v_tag"], "question_id")), s.sql(ITEMS)).select("answer_id", "sort_order", "stem", "answer", "analysis", "score",
+      F.array_join(F.transform("options", lambda o: F.concat_ws(":", o["option_key"], o["content"])), ",").alias("options"), F.array_join(F.transform("tags", lambda t: F.concat_ws(":", t["id"].cast("string"), t["name"], t["level"].cast("string"))), ",").alias("tags")),
+      f"""SELECT a.answer_id, i.sort_order, q.stem, CASE WHEN e.status = 3 THEN q.answer END AS answer, CASE WHEN e.status = 3 THEN q.analysis END AS analysis, CASE WHEN e.status = 3 THEN a.score END AS score, o.options, g.tags FROM {{v_answer}} a JOIN {{v_exam}} e ON e.exam_id = a.exam_id JOIN {{v_question}} q ON q.question_id = a.question_id
+      LEFT JOIN ({ITEMS}) i ON i.exam_id = a.exam_id AND i.question_id = a.question_id LEFT JOIN (SELECT question_id, string_agg(concat(option_key, ':', content), ',' ORDER BY sort_order) AS options FROM {{v_option}} GROUP BY 1) o ON o.question_id = a.question_id
+      LEFT JOIN (SELECT question_id, string_agg(concat_ws(':', x.tag_id, name, level), ',' ORDER BY x.tag_id) AS tags FROM {{v_question_tag}} x JOIN {{v_tag}} t ON t.tag_id = x.tag_id GROUP BY 1) g ON g.question_id = a.question_id""")
 R.add("apply_regrades", lambda s: apply_regrades(s["v_answer"], s["v_answer"].filter("answer_id % 10 = 3").selectExpr("answer_id", "score + 2 as score"))[1].select("exam_id", "got_score", "correct_count"),
       """SELECT exam_id, round(sum(s), 1) AS got_score, count(*) FILTER (WHERE s >= 0.999 * full_score) AS correct_count FROM (SELECT *, CASE WHEN answer_id % 10 = 3 THEN least(score + 2, full_score) ELSE score END AS s FROM {v_answer}) x GROUP BY exam_id""")
 R.add("recite_coverage", lambda s: recite_coverage(s["v_doc"].selectExpr("doc_id as id", "text as content", "substring(text, 1, 300) as recital")).select("id", "coverage", F.array_join("hit", ",").alias("hit")),
