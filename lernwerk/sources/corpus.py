@@ -89,12 +89,16 @@ def write_csv(rows: DataFrame, path: str, bom: bool = False) -> None:
 
 
 def snapshot_tables(tables: dict[str, DataFrame], path: str, version: str = "1") -> DataFrame:
-    """Write every table under ``path`` and return the manifest (table, rows, version), which is written too."""
+    """Write every table under ``path`` and return the manifest (table, rows, version, tables, created), which is written too.
+
+    tables is how many there are, created when the manifest was made, after all tables were written.
+    """
     manifest = None
     for name, rows in tables.items():
         rows.write.mode("overwrite").parquet(f"{path}/{name}")
         count = rows.sparkSession.read.parquet(f"{path}/{name}").agg(F.lit(name).alias("table"), F.count("*").alias("rows"), F.lit(version).alias("version"))
         manifest = count if manifest is None else manifest.unionByName(count)
+    manifest = manifest.withColumns({"tables": F.lit(len(tables)), "created": F.current_timestamp()})
     manifest.write.mode("overwrite").parquet(f"{path}/_manifest_")
     return manifest.sparkSession.read.parquet(f"{path}/_manifest_")
 

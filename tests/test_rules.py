@@ -214,7 +214,7 @@ def test_text_corpus_and_snapshots(spark, tmp_path):
     found = {r["text"] for r in corpus.load_text_corpus(spark, str(tmp_path)).collect()}
     assert found == {"缓存穿透", "缓存雪崩"}
     manifest = corpus.snapshot_tables({"t": spark.range(3), "u": spark.range(2)}, str(tmp_path / "snap"))
-    assert {(r["table"], r["rows"]) for r in manifest.collect()} == {("t", 3), ("u", 2)}
+    assert {(r["table"], r["rows"], r["tables"], r["created"] is None) for r in manifest.collect()} == {("t", 3, 2, False), ("u", 2, 2, False)}
     spark.range(9).write.parquet(str(tmp_path / "now" / "t"))
     spark.range(9).write.parquet(str(tmp_path / "now" / "missing"))
     done = corpus.restore_tables(spark, str(tmp_path / "snap"), str(tmp_path / "now"), ["t", "missing"])
