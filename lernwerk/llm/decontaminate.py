@@ -3,10 +3,10 @@
 1. Document frequencies of words are counted over all documents; words in more than ``STOP`` of them
    weigh nothing, others ln(N / df).
 2. Texts are cut into blocks of ``STRIDE`` words; two neighbouring blocks are a passage. A randomised
-   SVD of the TF-IDF matrix A (hashed terms) of the passages of about ``SAMPLE`` documents, chosen by
-   a hash of id and text, is made in one distributed pass: each task adds up its part of A'A times a
-   random matrix, whose sum has the size terms x (RANK + 8); its singular vectors span the leading
-   right singular space of A. Only this fit sees a sample; frequencies and the search see all rows.
+   SVD of the TF-IDF matrix A (hashed terms) of the passages of all documents is made in one
+   distributed pass: each task adds up its part of A'A times a random matrix, whose sum has the size
+   terms x (RANK + 8); its singular vectors span the leading right singular space of A. Only a caller
+   who names a ``sample`` has the fit see about so many documents, chosen by a hash of id and text.
 3. Passages and benchmark items are projected there, with every direction scaled to the same
    variance; pairs whose cosine reaches ``COSINE`` are candidates, unless they share fewer than
    ``SHARED`` of the item passage's weighted terms. Items are the query set: they are sent in blocks
@@ -48,9 +48,10 @@ FULL = 24
 #: With fewer weighted terms, or this share of its different words made frequent, an item passage is sought by all its words too.
 FEW, OWN = 14, 0.25
 ITEMS, ITEM_CHARS = 4_096, 1 << 22
-#: Documents whose passages the latent space is fitted on, as expected of the hash.
-SAMPLE = 20_000
-BATCH = 1 << 16
+#: Words that a task works on at once in the search, and in the fit, which adds up words by term.
+BATCH, FIT_BATCH = 1 << 16, 1 << 20
+#: Runs of rows, or passages, worked on at once, few enough to stay in the cache.
+RUNS = 128
 PAIRS = "doc_id long, item_id long, cosine double, sequence double, answer double, key binary"
 
 
@@ -122,6 +123,26 @@ def passages(slots: list[np.ndarray], weights: np.ndarray) -> Passages:
     return Passages(flat[kept] % TERMS, w[kept], blocks[kept], int(per.sum()), first, first + (per[owner] > 1), owner, place)
 
 
+def weighted_sums(rows: np.ndarray, at: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of ``rows[at]`` times their weights over the segments of ``at`` that begin at ``starts``.
+
+    Segments are cut into runs of ``STRIDE``, filled up with weights of zero; a run's sum is a product with a small matrix.
+    """
+    lengths = np.diff(starts, append=len(at))
+    runs = -(-lengths // STRIDE)
+    first, n = np.cumsum(runs) - runs, int(runs.sum())
+    place = np.arange(len(at)) + np.repeat(first * STRIDE - starts, lengths)
+    index, factor = np.zeros(n * STRIDE, dtype=np.int64), np.zeros(n * STRIDE, dtype=np.float32)
+    index[place], factor[place] = at, weights
+    index, factor = index.reshape(n, STRIDE), factor.reshape(n, 1, STRIDE)
+    sums = np.empty((n, 1, rows.shape[1]), dtype=np.float32)
+    held = np.empty((RUNS, STRIDE, rows.shape[1]), dtype=np.float32)
+    for low in range(0, n, RUNS):
+        part = slice(low, min(low + RUNS, n))
+        np.matmul(factor[part], np.take(rows, index[part], axis=0, out=held[: part.stop - low], mode="clip"), out=sums[part])
+    return sums[:, 0] if n == len(starts) else np.add.reduceat(sums[:, 0], first, axis=0)
+
+
 def project(p: Passages, onto: np.ndarray) -> np.ndarray:
     """Rows of the passages' TF-IDF matrix, scaled to length one, times ``onto``."""
     sums = np.zeros((p.n_blocks, onto.shape[1]), dtype=np.float32)
@@ -129,7 +150,7 @@ def project(p: Passages, onto: np.ndarray) -> np.ndarray:
     if len(p.blocks):
         at = np.flatnonzero(np.diff(p.blocks, prepend=-1))  # blocks ascend
         found = p.blocks[at]
-        sums[found] = np.add.reduceat(onto[p.terms] * p.weights[:, None], at, axis=0)
+        sums[found] = weighted_sums(onto, p.terms, p.weights, at)
         length[found] = np.add.reduceat(p.weights * p.weights, at)
     alone = p.first == p.second
     both = sums[p.first] + np.where(alone[:, None], 0, sums[p.second])
@@ -137,15 +158,15 @@ def project(p: Passages, onto: np.ndarray) -> np.ndarray:
     return both / norm[:, None]
 
 
-def _batches(rows: pd.DataFrame, column: str = "text") -> Iterator[tuple[list[int], list[np.ndarray]]]:
-    """Positions and words of texts, about BATCH words at a time."""
+def _batches(rows: pd.DataFrame, column: str = "text", batch: int = BATCH) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Positions and words of texts, about ``batch`` words at a time."""
     at, words, size = [], [], 0
     for i, found in enumerate(hashed_texts(rows[column])):
         if len(found):
             at.append(i)
             words.append(found)
             size += len(found)
-        if words and size >= BATCH:
+        if words and size >= batch:
             yield at, words
             at, words, size = [], [], 0
     if words:
@@ -157,8 +178,8 @@ def sampled(docs: DataFrame, share: float) -> DataFrame:
     return texts(docs).filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.lit(round(share * (1 << 20))))
 
 
-def latent_space(docs: DataFrame, weights: np.ndarray, n: int, sample: int = SAMPLE, rank: int = RANK, seed: int = 7) -> np.ndarray:
-    """TERMS x rank: leading right singular vectors, each divided by its singular value; of about ``sample`` of n documents."""
+def latent_space(docs: DataFrame, weights: np.ndarray, n: int, sample: int | None = None, rank: int = RANK, seed: int = 7) -> np.ndarray:
+    """TERMS x rank: leading right singular vectors, each divided by its singular value; of all n documents, or of about ``sample``."""
     random = np.random.default_rng(seed).standard_normal((TERMS, rank + EXTRA)).astype(np.float32)
     context = docs.sparkSession.sparkContext
     sent = context.broadcast((weights, random))  # both of fixed size
@@ -167,7 +188,7 @@ def latent_space(docs: DataFrame, weights: np.ndarray, n: int, sample: int = SAM
         weight, onto = sent.value
         total, n = np.zeros(onto.shape, dtype=np.float32), 0
         for rows in batches:
-            for _, words in _batches(rows):
+            for _, words in _batches(rows, batch=FIT_BATCH):
                 p = passages([slots_of(x) for x in words], weight)
                 y = project(p, onto)
                 n += len(y)
@@ -179,8 +200,7 @@ def latent_space(docs: DataFrame, weights: np.ndarray, n: int, sample: int = SAM
                     order = np.argsort(p.terms.astype(np.uint16), kind="stable")
                     ascending = p.terms[order]
                     at = np.flatnonzero(np.diff(ascending, prepend=-1))
-                    found = ascending[at]
-                    total[found] += np.add.reduceat(per_block[p.blocks[order]] * p.weights[order, None], at, axis=0)
+                    total[ascending[at]] += weighted_sums(per_block, p.blocks[order], p.weights[order], at)
         parts = total.reshape(-1, TERM_BLOCK, total.shape[1])
         yield pd.DataFrame({"block": range(len(parts)), "part": [x.tobytes() for x in parts], "n": [n] * len(parts)})
 
@@ -193,7 +213,8 @@ def latent_space(docs: DataFrame, weights: np.ndarray, n: int, sample: int = SAM
         yield pd.DataFrame({"block": [key[0]], "part": [total.tobytes()], "n": [n]})
 
     schema = "block int, part binary, n long"
-    found = gathered(sampled(docs, min(1.0, sample / n))).select("text").mapInPandas(sketch, schema).groupBy("block").applyInPandas(add, schema).collect()
+    rows = texts(docs) if sample is None else sampled(docs, min(1.0, sample / n))
+    found = gathered(rows).select("text").mapInPandas(sketch, schema).groupBy("block").applyInPandas(add, schema).collect()
     z = np.zeros((TERMS, rank + EXTRA))
     for row in found:
         z[row["block"] * TERM_BLOCK : (row["block"] + 1) * TERM_BLOCK] = np.frombuffer(row["part"]).reshape(TERM_BLOCK, -1)
@@ -251,6 +272,15 @@ def bitmaps(p: Passages) -> np.ndarray:
     return marks[p.first] | marks[p.second]
 
 
+def shared_terms(marks: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Marks that each passage shares with each other one; a passage has at most 2 * STRIDE."""
+    found = np.zeros((len(marks), len(others)), dtype=np.uint8)
+    for low in range(0, len(marks), RUNS):
+        for one, other in zip(marks[low : low + RUNS].T, others.T, strict=True):
+            found[low : low + RUNS] += np.bitwise_count(one[:, None] & other)
+    return found
+
+
 @dataclass
 class Frequent:
     """Words without weight, for the item passages of which the weighted terms tell too little.
@@ -329,9 +359,7 @@ def search_block(docs: DataFrame, rows: list, weights: np.ndarray, space: np.nda
                 slots = [slots_of(x) for x in words]
                 p = passages(slots, weight)
                 near, marks = unit(project(p, onto)) @ query.T, bitmaps(p)
-                i, q = where(near >= enough)
-                shared = np.bitwise_count(marks[i] & marked[q]).sum(axis=1) >= least[q]
-                i, q = i[shared], q[shared]
+                i, q = where((near >= enough) & (shared_terms(marks, marked) >= least.astype(np.uint8)))
                 if often.holds.size:
                     both = block_passages(slots, p, often.column, often.holds.shape[1]) @ often.holds.T
                     more, at_q = where(both >= of_frequent)
@@ -374,7 +402,7 @@ def digest() -> Column:
     return F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
 
 
-def keyed_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, sequence: float = SEQUENCE, items: int = ITEMS, sample: int = SAMPLE) -> DataFrame:
+def keyed_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, sequence: float = SEQUENCE, items: int = ITEMS, sample: int | None = None) -> DataFrame:
     """What ``find_leaks`` gives, and the digest of each row's text (key)."""
     weights, n = word_weights(docs)
     space = latent_space(docs, weights, n, sample)
@@ -391,7 +419,7 @@ def keyed_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, s
     return null_ids(out)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, sequence: float = SEQUENCE, items: int = ITEMS, sample: int = SAMPLE) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, sequence: float = SEQUENCE, items: int = ITEMS, sample: int | None = None) -> DataFrame:
     """(doc_id, item_id, cosine, sequence, answer) of every document row that holds a benchmark item."""
     return keyed_leaks(docs, benchmark, cosine, sequence, items, sample).drop("key")
 

@@ -548,6 +548,47 @@ def test_edited_items_are_found_with_a_space_fitted_on_few_texts(spark, texts):
         assert sum((d, i) in found for d, i in planted.items() if (d - 10**6) // 100 == k) >= 36  # nine tenths
 
 
+def test_latent_space_is_fitted_on_the_passages_of_all_documents(spark):
+    random.seed(6)
+    vocabulary = [f"w{i}" for i in range(900)]
+    kinds, rows = [" ".join(random.choices(vocabulary, k=60)) for _ in range(300)], 30_000
+    held = F.array([F.lit(x) for x in kinds])
+    docs = spark.range(rows).select(F.col("id").alias("doc_id"), held[(F.col("id") % len(kinds)).cast("int")].alias("text"))
+    weights, n = decontaminate.word_weights(docs)
+    assert n == rows
+    z = np.zeros((decontaminate.TERMS, decontaminate.RANK + decontaminate.EXTRA))
+    onto = np.random.default_rng(7).standard_normal(z.shape).astype(np.float32)
+    for kind in kinds:
+        slots = decontaminate.slots_of(shingles.hashed_words(kind))
+        for low in range(0, len(slots) - decontaminate.STRIDE, decontaminate.STRIDE):
+            a = np.zeros(len(z))
+            np.add.at(a, slots[low : low + 2 * decontaminate.STRIDE] % len(z), weights[slots[low : low + 2 * decontaminate.STRIDE]])
+            z += rows // len(kinds) * np.outer(a, a @ onto) / math.sqrt((weights[slots[low : low + 2 * decontaminate.STRIDE]] ** 2).sum())
+    left, values, _ = np.linalg.svd(z, full_matrices=False)
+    plain = left[:, : decontaminate.RANK] / np.sqrt(values[: decontaminate.RANK])
+    found = decontaminate.latent_space(docs, weights, n)
+    # Directions are open up to their signs, near ties up to a rotation; cosines see neither.
+    assert np.abs(found @ found.T[:, ::97] - plain @ plain.T[:, ::97]).max() < 0.01 * np.abs(plain @ plain.T[:, ::97]).max()
+    assert np.allclose(np.linalg.norm(found, axis=0), np.linalg.norm(plain, axis=0), rtol=1e-3)
+
+
+@given(st.lists(st.integers(1, 60), max_size=12), st.integers(0, 2**32 - 1))
+def test_weighted_sums_against_a_plain_loop(lengths, seed):
+    random_ = np.random.default_rng(seed)
+    rows, at = random_.standard_normal((40, 5)).astype(np.float32), random_.integers(0, 40, sum(lengths))
+    weights, ends = random_.random(len(at)).astype(np.float32), np.cumsum(lengths, dtype=np.int64)
+    found = decontaminate.weighted_sums(rows, at, weights, ends - np.array(lengths, dtype=np.int64))
+    plain = [(rows[at[e - k : e]] * weights[e - k : e, None]).sum(axis=0) for k, e in zip(lengths, ends, strict=True)]
+    assert found.shape == (len(lengths), 5) and np.allclose(found, np.reshape(plain, found.shape), atol=1e-4)
+
+
+def test_shared_terms_against_each_pair():
+    marks = np.random.default_rng(1).integers(0, 2**64, (300, 8), dtype=np.uint64) & np.random.default_rng(2).integers(0, 2**64, (300, 8), dtype=np.uint64)
+    marks &= np.random.default_rng(3).integers(0, 2**64, (300, 8), dtype=np.uint64) & np.random.default_rng(4).integers(0, 2**64, (300, 8), dtype=np.uint64)
+    plain = [[sum((int(x) & int(y)).bit_count() for x, y in zip(a, b, strict=True)) for b in marks[:9]] for a in marks]
+    assert decontaminate.shared_terms(marks, marks[:9]).tolist() == plain
+
+
 @pytest.mark.parametrize("spread", [0.01, 0.05, 0.12, 0.3, 0.6, 1.0])
 def test_edited_items_are_found_however_many_documents_hold_them(spark, spread):
     random.seed(3)
