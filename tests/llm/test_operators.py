@@ -722,6 +722,20 @@ def test_pages_of_the_table(spark):
         assert html_extract.main_text(r["html"]) == " ".join(b for b in blocks if b)
 
 
+def test_pipeline_decontaminates_in_a_space_of_all_documents(spark, monkeypatch):
+    pytest.importorskip("corpus_pipeline")
+    import corpus_pipeline
+
+    random.seed(8)
+    held = F.array([F.lit(" ".join(random.choices([f"w{i}" for i in range(900)], k=60))) for _ in range(300)])
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), held[(F.col("id") % 300).cast("int")].alias("text"))
+    fit, fitted = decontaminate.latent_space, []
+    monkeypatch.setattr(decontaminate, "latent_space", lambda *args: fitted.append(fit(*args)) or fitted[-1])
+    assert corpus_pipeline.decontamination(spark, docs, SF).count() == 30_000
+    whole = fit(docs, *decontaminate.word_weights(docs), 30_000)  # an expected sample of all rows is all rows
+    assert np.allclose(np.linalg.norm(fitted[0], axis=0), np.linalg.norm(whole, axis=0), rtol=1e-3)
+
+
 def test_pipeline_stages_follow_each_other(spark):
     pytest.importorskip("corpus_pipeline")
     import corpus_pipeline
